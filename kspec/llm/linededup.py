@@ -62,10 +62,13 @@ def variant_keys(line: str) -> tuple[int, np.ndarray]:
     return own & (2**63 - 1), keys & np.uint64(2**63 - 1)
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    split = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "raw"))
-    named = split.select("doc_id", "line_no", normal(F.col("raw")).alias("line")).where("line != ''")
-    return named.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
+def _split(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "raw"))
+
+
+def _named(split: DataFrame) -> DataFrame:
+    """split with the normal line and two hashes of it, 128 bits together; without blank lines."""
+    return split.withColumn("line", normal(F.col("raw"))).where("line != ''").drop("raw").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), "line")})
 
 
 def _halves() -> Column:
@@ -83,11 +86,12 @@ def _halves() -> Column:
 def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, line_no, kept_doc_id, kept_line_no of each line occurrence that goes and the earliest one that is alike; an occurrence under a null id comes last."""
     spark = docs.sparkSession
-    lines = _lines(docs, doc_id, text)
+    split = _split(docs, doc_id, text)
+    # narrow: texts are normalised once
+    lines = written(_named(split).select("doc_id", "line_no", "h1", "h2", _halves().alias("halves")), "lines-all")
     last = F.lit(2**63 - 1)
     at = F.struct(F.coalesce("doc_id", last).alias("d"), F.col("line_no").alias("l"))
-    halves = lines.select("h1", "h2", at.alias("at"), _halves().alias("halves"))
-    distinct = halves.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
+    distinct = lines.select("h1", "h2", at.alias("at"), "halves").groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     distinct = written(distinct, "lines-distinct")
     free_shuffles(spark)
     keys = distinct.select("h1", "h2", F.explode("halves").alias("key"))
@@ -98,8 +102,9 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     wanted = distinct.join(possible, ["h1", "h2"], "left_semi").select(F.col("first.d").alias("d"), F.col("first.l").alias("l"), F.col("h1").alias("p1"), F.col("h2").alias("p2"))
     wanted = written(wanted, "lines-wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    spelled = lines.join(F.broadcast(wanted) if few else wanted, (F.coalesce("doc_id", last) == F.col("d")) & (F.col("line_no") == F.col("l")) & (F.col("h1") == F.col("p1")) & (F.col("h2") == F.col("p2")))
-    spelled = written(spelled.select("h1", "h2", "d", "l", "line").dropDuplicates(["h1", "h2"]), "lines-text")
+    spelled = _named(split.join(F.broadcast(wanted) if few else wanted, (F.coalesce("doc_id", last) == F.col("d")) & (F.col("line_no") == F.col("l"))))
+    spelled = spelled.where("h1 = p1 and h2 = p2").select("h1", "h2", "d", "l", "line").dropDuplicates(["h1", "h2"])
+    spelled = written(spelled, "lines-text")
 
     found = written(_earlier(spelled), "lines-alike")
     marked = distinct.join(found, ["h1", "h2"], "left").select("h1", "h2", "n", F.coalesce(F.least("first", "earlier"), F.col("first")).alias("keep"), F.col("earlier").isNotNull().alias("alike"))
