@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, bounded_batches, free_shuffles, text_of, written
+from .common import BROADCAST_ROWS, SPACES, bounded_batches, free_shuffles, text_of, written
 
 MIN_EDIT_CHARS = 16
 #: Two primes below 2**31 and bases for them: a key has about 62 bits.
@@ -68,7 +68,8 @@ def _split(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _named(split: DataFrame) -> DataFrame:
     """split with the normal line and two hashes of it, 128 bits together; without blank lines."""
-    return split.withColumn("line", normal(F.col("raw"))).where("line != ''").drop("raw").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), "line")})
+    filled = split.where(F.btrim("raw", F.lit(SPACES + "\xa0")) != "")  # cheaper than the normal line, which would be made twice
+    return filled.withColumn("line", normal(F.col("raw"))).drop("raw").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), "line")})
 
 
 def _halves() -> Column:
@@ -102,7 +103,9 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     wanted = distinct.join(possible, ["h1", "h2"], "left_semi").select(F.col("first.d").alias("d"), F.col("first.l").alias("l"), F.col("h1").alias("p1"), F.col("h2").alias("p2"))
     wanted = written(wanted, "lines-wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    spelled = _named(split.join(F.broadcast(wanted) if few else wanted, (F.coalesce("doc_id", last) == F.col("d")) & (F.col("line_no") == F.col("l"))))
+    # written before they are normalised: else the hashes would be taken of all lines, as keys of this join
+    placed = written(split.join(F.broadcast(wanted) if few else wanted, (F.coalesce("doc_id", last) == F.col("d")) & (F.col("line_no") == F.col("l"))), "lines-placed")
+    spelled = _named(placed)
     spelled = spelled.where("h1 = p1 and h2 = p2").select("h1", "h2", "d", "l", "line").dropDuplicates(["h1", "h2"])
     spelled = written(spelled, "lines-text")
 
