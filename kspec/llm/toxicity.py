@@ -2,13 +2,15 @@
 
 Only confirmed toxic texts have labels that are used; all other text is unlabelled, toxic or not. With class prior pi, positives P and unlabelled U the
 risk of a score g is  pi * E_P[loss(g)] + max(0, E_U[loss(-g)] - pi * E_P[loss(-g)]).  The second part estimates the risk on clean texts; where it would turn
-negative - a model that has begun to learn single texts by heart - the step goes against it. The model is linear over words, trained in numpy on bounded
-samples; scoring reads every text whole."""
+negative - a model that has begun to learn single texts by heart - the step goes against it. The model is linear over words and the beginnings of words, trained in
+numpy on bounded samples; scoring reads every text whole."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -18,32 +20,73 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, text_of, written
 
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+#: Lengths of beginnings in characters, and how often a beginning must occur for each of its features.
+STEMS, LEVELS = range(3, 8), ((1, b"*"), (2, b"*2"), (4, b"*4"))
+MEMO_WORDS = 200_000
 
 
-def words_of(text: str) -> set[bytes]:
-    """The words of a whole text: runs of letters, lower case; any character beyond ASCII counts as a letter."""
-    return set(text.lower().encode("utf-8", "replace").translate(_LETTERS).split())
+def words_of(text: str) -> list[bytes]:
+    """The words of a whole text, repeats included: runs of letters, lower case; any character beyond ASCII counts as a letter."""
+    return text.lower().encode("utf-8", "replace").translate(_LETTERS).split()
 
 
-def word_key(word: bytes) -> int:
+def stems_of(word: bytes) -> list[bytes]:
+    """The beginnings of a word, of three to seven characters."""
+    s = word[: 4 * max(STEMS)].decode("utf-8", "ignore")
+    return [s[:k].encode() for k in STEMS if k <= len(s)]
+
+
+def counted(words: Counter[bytes]) -> set[bytes]:
+    """Features of a text: its words, and each beginning as often as words have it: once (`*`), twice or more (`*2`), four times or more (`*4`). An inflected insult
+    shows in its beginning; a word that has the same beginning by chance rarely comes again."""
+    stems: Counter[bytes] = Counter()
+    for word, n in words.items():
+        for stem in stems_of(word):
+            stems[stem] += n
+    return words.keys() | _leveled(stems)
+
+
+def _leveled(stems: Counter[bytes]) -> set[bytes]:
+    return {stem + mark for stem, n in stems.items() for least, mark in LEVELS if n >= least}
+
+
+def feature_key(feature: bytes) -> int:
     import xxhash
 
-    return xxhash.xxh64_intdigest(word, 1) >> 1
+    return xxhash.xxh64_intdigest(feature, 1) >> 1
 
 
 @dataclass
 class Model:
+    """weights: feature -> weight. The memo of words holds at most MEMO_WORDS and doesn't change a score."""
+
     weights: dict[bytes, float]
     bias: float
     prior: float
+    memo: dict[bytes, list[bytes]] = field(default_factory=dict, compare=False, repr=False)
+
+    @cached_property
+    def watched(self) -> frozenset[bytes]:
+        return frozenset(f.split(b"*")[0] for f in self.weights if b"*" in f)
 
     def score(self, text: str) -> float:
-        weights = self.weights
-        g = self.bias + sum(sorted(weights[w] for w in words_of(text) & weights.keys()))
+        weights, memo, watched = self.weights, self.memo, self.watched
+        words, stems = Counter(words_of(text)), Counter()
+        for word, n in words.items():
+            known = memo.get(word)
+            if known is None:
+                known = [s for s in stems_of(word) if s in watched]
+                if len(word) <= 64:
+                    if len(memo) >= MEMO_WORDS:
+                        memo.clear()
+                    memo[word] = known
+            for stem in known:
+                stems[stem] += n
+        g = self.bias + sum(sorted(weights[f] for f in (words.keys() | _leveled(stems)) & weights.keys()))
         return float(1 / (1 + np.exp(-np.clip(g, -30, 30))))
 
 
-def nnpu_train(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, *, steps: int = 200, rate: float = 0.05, decay: float = 1e-3, beta: float = 0.0) -> tuple[np.ndarray, float]:
+def nnpu_train(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, *, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, beta: float = 0.0) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the non-negative risk. rows: the features (presence) of each text; positive: which are confirmed, the others are unlabelled."""
     lengths = np.array([len(r) for r in rows], dtype=np.int64)
     columns = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, dtype=np.int64)
@@ -74,12 +117,13 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, *, max_positives: int = 3000, max_unlabelled: int = 9000, max_words: int = 4000, n_features: int = 3000, held_out_fold: int | None = 1, class_prior: float | None = None,
+    docs: DataFrame, labels: DataFrame, *, max_positives: int = 3000, max_unlabelled: int = 9000, max_words: int = 4000, n_features: int = 3000, least_evidence: float = 16.0, held_out_fold: int | None = 1, class_prior: float | None = None,
     doc_id: str = "doc_id", text: str = "text",
 ) -> Model:
     """Trains on at most max_positives confirmed toxic texts and max_unlabelled others, those with the least hashes of their ids. Labels of the held-out fold are never read.
 
-    A text longer than max_words different words gives the max_words with the least keys, in training only. class_prior: the share of toxic texts; left out, their share among
+    Features are those whose share in toxic texts differs from that in the others by a likelihood ratio (G statistic) of least_evidence, the n_features with the greatest.
+    A text of more than max_words different words gives the max_words with the least keys, in training only. class_prior: the share of toxic texts; left out, their share among
     labelled rows outside the held-out fold. A null label or id counts as none; of an id with several labels the greatest counts. Without a confirmed text the model is constant."""
     bounded_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("lid"), F.col("toxic").cast("int").alias("toxic")).where("lid is not null and toxic is not null")
@@ -102,9 +146,13 @@ def fit(
     # at most max_positives + max_unlabelled ids
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text")).join(F.broadcast(chosen), "id")
 
+    def sampled(text: str) -> Counter[bytes]:
+        words = Counter(words_of(text))
+        return words if len(words) <= max_words else Counter({w: words[w] for w in sorted(words, key=lambda w: (feature_key(w), w))[:max_words]})
+
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = [np.sort(np.array([word_key(w) for w in words_of(t)], dtype=np.int64))[:max_words] for t in batch["text"]]
+            keys = [sorted(map(feature_key, counted(sampled(t)))) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "positive": batch["positive"], "keys": keys})
 
     sample = written(texts.mapInPandas(keyed, "id long, positive boolean, keys array<long>"), "toxic-keys")
@@ -112,8 +160,13 @@ def fit(
     n_p, n_u = sample.agg(F.sum(F.col("positive").cast("int")), F.sum((~F.col("positive")).cast("int"))).first()
     if not n_p:
         return Model({}, -4.0, prior)
-    telling = F.abs(F.log((F.col("p") + 0.5) / F.lit(n_p + 1.0)) - F.log((F.col("u") + 0.5) / F.lit((n_u or 0) + 1.0))) * F.sqrt(F.col("p") + F.col("u"))
-    top = counts.where("p + u >= 3").orderBy(F.desc(telling), "key").limit(n_features).select("key")
+    p, u, share = F.col("p"), F.col("u"), (F.col("p") + F.col("u")) / F.lit(float(n_p + (n_u or 0)))
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
+
+    evidence = part(p, n_p * share) + part(n_p - p, n_p * (1 - share)) + part(u, (n_u or 0) * share) + part((n_u or 0) - u, (n_u or 0) * (1 - share))
+    top = counts.where("p + u >= 3").withColumn("evidence", evidence).where(F.col("evidence") >= least_evidence).orderBy(F.desc("evidence"), "key").limit(n_features).select("key")
     top = written(top, "toxic-features")
     keys = np.sort(np.array([r[0] for r in top.collect()], dtype=np.int64))
     taken = {int(k) for k in keys}
@@ -132,17 +185,17 @@ def fit(
         seen: set[bytes] = set()
         for batch in batches:
             for t in batch["text"]:
-                seen |= {w for w in words_of(t) if word_key(w) in taken}
-        yield pd.DataFrame({"word": [bytes(w) for w in seen]})
+                seen |= {f for f in counted(sampled(t)) if feature_key(f) in taken}
+        yield pd.DataFrame({"feature": list(seen)})
 
-    names = texts.select("text").mapInPandas(spelled, "word binary").distinct().collect()
+    names = texts.select("text").mapInPandas(spelled, "feature binary").distinct().collect()
     by_key = dict(zip(keys.tolist(), weights.tolist(), strict=True))
-    return Model({bytes(r[0]): by_key[word_key(bytes(r[0]))] for r in names if abs(by_key[word_key(bytes(r[0]))]) > 1e-4}, bias, prior)
+    return Model({bytes(r[0]): by_key[feature_key(bytes(r[0]))] for r in names if abs(by_key[feature_key(bytes(r[0]))]) > 1e-4}, bias, prior)
 
 
 def scored(docs: DataFrame, model: Model, *, threshold: float = 0.7, held_out_fold: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 from the threshold on) of each row of docs, from its whole text alone. A null or empty text scores as one without a known
-    word; equal texts score alike; a null id is in no fold. Other columns are not read. The model has at most n_features words and goes to the executors with the function."""
+    feature; equal texts score alike; a null id is in no fold. Other columns are not read. The model has at most n_features words and goes to the executors with the function."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
