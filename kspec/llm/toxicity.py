@@ -86,7 +86,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(g, -30, 30))))
 
 
-def nnpu_train(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, *, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, beta: float = 0.0) -> tuple[np.ndarray, float]:
+def nnpu_train(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, *, steps: int = 400, rate: float = 0.05, decay: float = 3e-3, beta: float = 0.0) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the non-negative risk. rows: the features (presence) of each text; positive: which are confirmed, the others are unlabelled."""
     lengths = np.array([len(r) for r in rows], dtype=np.int64)
     columns = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, dtype=np.int64)
@@ -117,7 +117,7 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, *, max_positives: int = 3000, max_unlabelled: int = 9000, max_words: int = 4000, n_features: int = 3000, least_evidence: float = 16.0, held_out_fold: int | None = 1, class_prior: float | None = None,
+    docs: DataFrame, labels: DataFrame, *, max_positives: int = 3000, max_unlabelled: int = 9000, max_words: int = 4000, n_features: int = 3000, least_evidence: float = 8.0, held_out_fold: int | None = 1, class_prior: float | None = None,
     doc_id: str = "doc_id", text: str = "text",
 ) -> Model:
     """Trains on at most max_positives confirmed toxic texts and max_unlabelled others, those with the least hashes of their ids. Labels of the held-out fold are never read.
