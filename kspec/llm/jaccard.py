@@ -1,0 +1,152 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, exactly.
+
+A document is the set of hashes of its shingles; documents with equal sets are one node. All sets are put in one order, shingles that are frequent in a sample
+last. Two sets at least `similarity` alike share one of their first n - ceil(similarity * n) + 1 members, so pairs that meet under such a member are all that can
+be alike; their overlap is verified on the whole sets. No pair is missed: the sample decides only how many are verified.
+
+If the shared member is the first that they share, the overlap is at most what either set has from its place on; pairs for which no member leaves enough are not alike.
+
+First each node is verified against one of its size that it meets, the one with the fewest members before, which joins large groups of copies at little cost. Then only nodes of different components that meet are paired."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import BROADCAST_ROWS, bounded_batches, free_shuffles, text_of, written
+from .simhash import components, without
+
+#: Documents of the sample that frequencies are taken from, and the most shingles that are remembered of it.
+SAMPLE, FREQUENT = 10_000, 250_000
+EPSILON = 1e-9
+
+
+def shingles(text: str, n: int = 5) -> np.ndarray:
+    """The distinct 64-bit hashes of the text's n-word shingles, sorted. A-Z count as a-z; fewer words are one shingle, also none."""
+    import xxhash
+
+    words = text.encode("utf-8", "replace").lower().split()
+    parts = [b" ".join(words)] if len(words) < n else map(b" ".join, zip(*[words[k:] for k in range(n)], strict=False))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in parts), dtype=np.uint64).view(np.int64))
+
+
+def node_of(members: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(members.tobytes(), 42)).view(np.int64))
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    return n - math.ceil(similarity * n - EPSILON) + 1
+
+
+def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of more than one document of a sample, sorted, and in how many they are."""
+    share = max(1, docs.count() // SAMPLE)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["text"]:
+                yield pd.DataFrame({"key": shingles(text, shingle)})
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text")
+    counted = sample.mapInPandas(run, "key long").groupBy("key").agg(F.count("*").cast("int").alias("n")).where("n > 1")
+    top = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas().sort_values("key")
+    return top["key"].to_numpy(dtype=np.int64), top["n"].to_numpy(dtype=np.int64)
+
+
+def _prefix_of(members: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    keys, counts = frequent
+    often = np.zeros(len(members), dtype=np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, members), len(keys) - 1)
+        often = np.where(keys[at] == members, counts[at], 0)
+    return members[np.lexsort((members, often))][: prefix_length(len(members), similarity)]
+
+
+def _enough(na: str, at_a: str, nb: str, at_b: str, similarity: float) -> Column:
+    """Whether sets of na and nb members whose first shared ones have these places can be alike."""
+    return F.least(F.col(na) - F.col(at_a), F.col(nb) - F.col(at_b)) >= F.lit(similarity / (1 + similarity)) * (F.col(na) + F.col(nb)) - EPSILON
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of pairs whose sets are at least so similar."""
+    a = sets.select(F.col("node").alias("u"), F.col("members").alias("a"))
+    b = sets.select(F.col("node").alias("v"), F.col("members").alias("b"))
+    both = pairs.join(a, "u").join(b, "v").select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("shared"))
+    return both.where(F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared")) - EPSILON).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and component_id (the least doc_id that is reached by links of at least this similarity) of each row of docs.
+
+    Documents without words are alike. Null ids are no least id: a component of null ids only has a null one. Rows that repeat get equal results. An empty table gives no row."""
+    spark = docs.sparkSession
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    bounded_batches(spark)
+    frequent = spark.sparkContext.broadcast(_frequent(slim, shingle))
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingles(t, shingle) for t in batch["text"]]
+            ids = batch["doc_id"] if batch["doc_id"].notna().all() else batch["doc_id"].astype("Int64")
+            prefixes = [_prefix_of(s, frequent.value, similarity) for s in sets]
+            yield pd.DataFrame({"doc_id": ids, "node": [node_of(s) for s in sets], "n": [len(s) for s in sets], "prefix": prefixes})
+
+    marked = written(slim.mapInPandas(mark, "doc_id long, node long, n int, prefix array<long>"), "jaccard-docs")
+    nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "jaccard-nodes")
+    keyed = nodes.select("node", "first", "n", F.posexplode("prefix").alias("pos", "key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    meeting = written(keyed.join(shared, "key", "left_semi"), "jaccard-meeting")
+    free_shuffles(spark)
+
+    # the sets of nodes that meet others: their texts are found by a document's id, and taken if they are the node's
+    wanted = written(meeting.select("first", F.col("node").alias("w")).distinct(), "jaccard-wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    ids = wanted.select(F.col("first").alias("f")).distinct()
+    found = slim.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("f")), "left_semi").select("text")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingles(t, shingle) for t in batch["text"]]
+            yield pd.DataFrame({"node": [node_of(s) for s in sets], "members": sets})
+
+    sets = found.mapInPandas(read, "node long, members array<long>").join(wanted.select(F.col("w").alias("node")), "node", "left_semi")
+    sets = written(sets.dropDuplicates(["node"]), "jaccard-sets")
+
+    # sizes in one class are near enough to be alike
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1 / similarity) if similarity < 1 else 1.0))
+    classed = meeting.select("key", "node", "n", "pos", size_class.alias("c"))
+    centre = classed.groupBy("key", "c").agg(F.min(F.struct("pos", "node", "n")).alias("m")).select("key", "c", F.col("m.node").alias("u"), F.col("m.n").alias("nu"), F.col("m.pos").alias("pu"))
+    star = classed.join(centre, ["key", "c"]).where((F.col("u") != F.col("node")) & _enough("nu", "pu", "n", "pos", similarity))
+    star = star.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+    edges = written(_verified(star, sets, similarity), "jaccard-star")
+    free_shuffles(spark)
+    group = components(edges).select("node", "root")
+    labelled = meeting.join(group, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    labelled = written(labelled.join(mixed, "key", "left_semi"), "jaccard-apart")
+    # u is the smaller set: of its prefix a shorter part is enough
+    smaller = labelled.where(_enough("n", "pos", "n", "pos", similarity)).select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("pos").alias("pu"), F.col("root").alias("ru"))
+    larger = labelled.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("pos").alias("pv"), F.col("root").alias("rv"))
+    later = F.struct("nu", F.col("u").alias("x")) < F.struct(F.col("nv").alias("nu"), F.col("v").alias("x"))
+    met = smaller.join(larger, (smaller["key"] == larger["key"]) & later & (F.col("ru") != F.col("rv")) & _enough("nu", "pu", "nv", "pv", similarity)).select("u", "v").distinct()
+    met = written(met, "jaccard-met")
+    free_shuffles(spark)
+    edges = edges.unionByName(_verified(met, sets, similarity))
+
+    rooted = nodes.join(components(edges).select(F.col("node").alias("k"), "root"), F.col("node") == F.col("k"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = written(rooted.join(firsts, "root").select(F.col("node").alias("k"), "component_id"), "jaccard-names")
+    return marked.join(named, marked["node"] == named["k"]).select("doc_id", "component_id")
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """docs with one document of each component: the one with the least id. Rows that share an id are one document and stay together; its columns are those of docs."""
+    found = near_duplicates(docs, **options)
+    return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
