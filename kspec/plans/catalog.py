@@ -14,8 +14,8 @@ from kspec.sources.sequences import chimeras, pseudo_dna, unbroken
 
 K = 13
 ROLES = {"mat": "seq_id % 8 in (0, 1, 2, 3)", "pat": "seq_id % 8 in (2, 3, 4, 5)", "child": "seq_id % 8 in (0, 1, 2, 3, 4, 5)", "asm1": "seq_id % 8 in (0, 1, 6)", "asm2": "seq_id % 8 in (4, 5, 7)"}
-#: Limits of the matrix queries.
-CELLS = 60
+#: Limit of the smoothed matrices and of the peaks: the reference's, as of the plain matrices.
+CELLS = 1000
 
 _kept: dict[tuple, DataFrame] = {}
 
