@@ -117,14 +117,13 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, *, max_positives: int = 3000, max_unlabelled: int = 9000, max_words: int = 4000, n_features: int = 3000, least_evidence: float = 8.0, held_out_fold: int | None = 1, class_prior: float | None = None,
+    docs: DataFrame, labels: DataFrame, *, max_positives: int = 3000, max_unlabelled: int = 9000, n_features: int = 3000, least_evidence: float = 8.0, held_out_fold: int | None = 1, class_prior: float | None = None,
     doc_id: str = "doc_id", text: str = "text",
 ) -> Model:
     """Trains on at most max_positives confirmed toxic texts and max_unlabelled others, those with the least hashes of their ids. Labels of the held-out fold are never read.
 
     Features are those whose share in toxic texts differs from that in the others by a likelihood ratio (G statistic) of least_evidence, the n_features with the greatest.
-    A text of more than max_words different words gives the max_words with the least keys, in training only. class_prior: the share of toxic texts; left out, their share among
-    labelled rows outside the held-out fold. A null label or id counts as none; of an id with several labels the greatest counts. Without a confirmed text the model is constant."""
+    A chosen text gives all its words. class_prior: the share of toxic texts; left out, their share among labelled rows outside the held-out fold. A null label or id counts as none; of an id with several labels the greatest counts. Without a confirmed text the model is constant."""
     bounded_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("lid"), F.col("toxic").cast("int").alias("toxic")).where("lid is not null and toxic is not null")
     if held_out_fold is not None:
@@ -146,13 +145,9 @@ def fit(
     # at most max_positives + max_unlabelled ids
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text")).join(F.broadcast(chosen), "id")
 
-    def sampled(text: str) -> Counter[bytes]:
-        words = Counter(words_of(text))
-        return words if len(words) <= max_words else Counter({w: words[w] for w in sorted(words, key=lambda w: (feature_key(w), w))[:max_words]})
-
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = [sorted(map(feature_key, counted(sampled(t)))) for t in batch["text"]]
+            keys = [sorted(map(feature_key, counted(Counter(words_of(t))))) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "positive": batch["positive"], "keys": keys})
 
     sample = written(texts.mapInPandas(keyed, "id long, positive boolean, keys array<long>"), "toxic-keys")
@@ -185,7 +180,7 @@ def fit(
         seen: set[bytes] = set()
         for batch in batches:
             for t in batch["text"]:
-                seen |= {f for f in counted(sampled(t)) if feature_key(f) in taken}
+                seen |= {f for f in counted(Counter(words_of(t))) if feature_key(f) in taken}
         yield pd.DataFrame({"feature": list(seen)})
 
     names = texts.select("text").mapInPandas(spelled, "feature binary").distinct().collect()
