@@ -21,10 +21,17 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "tel": r"(?<![0-9+-])(?:\([0-9]{3}\)\x20|[0-9]{3}[\x20-])[0-9]{3}-[0-9]{4}(?![0-9-])",
 }
+#: Where a proposed IBAN (the pattern finds its first four characters) may go on to, and the lengths that countries have fixed.
+IBAN_CHARS = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}"
+IBAN_LENGTHS = dict(x.split(":") for x in (
+    "NO:15 BE:16 DK:18 FI:18 FK:18 FO:18 GL:18 NL:18 SD:18 MK:19 SI:19 AT:20 BA:20 EE:20 KZ:20 LT:20 LU:20 MN:20 XK:20 CH:21 HR:21 LI:21 LV:21 BG:22 BH:22 CR:22 DE:22 GB:22 GE:22 IE:22 ME:22 RS:22 VA:22 "
+    "AE:23 GI:23 IL:23 IQ:23 OM:23 SO:23 TL:23 AD:24 CZ:24 ES:24 MD:24 PK:24 RO:24 SA:24 SE:24 SK:24 TN:24 VG:24 LY:25 PT:25 ST:25 IS:26 TR:26 BI:27 DJ:27 FR:27 GR:27 IT:27 MC:27 MR:27 SM:27 "
+    "AL:28 AZ:28 BY:28 CY:28 DO:28 GT:28 HN:28 HU:28 LB:28 NI:28 PL:28 SV:28 BR:29 EG:29 PS:29 QA:29 UA:29 JO:30 KW:30 MU:30 YE:30 MT:31 SC:31 LC:32 RU:33"
+).split())
 #: What a text must hold for the pattern to match at all.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "iban": None, "card": None, "ssn": "-", "tel": None}
 #: Score of a span of each kind once its validator has confirmed it.
@@ -107,17 +114,46 @@ def confirmed(kind: str, m: Column) -> Column:
         return n.between(13, 19) & luhn(digits)
     if kind == "phone":
         return n.between(9, 15)
-    if kind == "iban":
-        return let(F.replace(m, F.lit(" "), F.lit("")), lambda x: F.length(x).between(15, 34) & mod97(x))
     if kind == "ssn":
         return ~m.rlike("^(000|666|9)") & ~m.rlike("-00-") & ~m.rlike("-0000$")
     return n.between(9, 12) if kind == "tel" else F.lit(True)
 
 
+def ibans(text: Column) -> Column:
+    """array<struct<m, s>> of confirmed IBANs that don't overlap. What follows an IBAN may look like more of it, so it ends at its country's length; for a country without a known one, at the greatest length that confirms it. The next character is no letter or digit."""
+    country = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in (pair[0], int(pair[1]))])
+
+    def best(x: Column) -> Column:
+        def longest(tail: Column) -> Column:
+            def ends(reach: Column) -> Column:
+                def tried(n: Column) -> Column:
+                    bare = F.replace(F.substring(reach, F.lit(1), n), F.lit(" "), F.lit(""))
+                    apart = ~F.substring(tail, n + 1, F.lit(1)).rlike("[A-Za-z0-9]") & (F.substring(reach, n, F.lit(1)) != " ")
+                    fixed = F.try_element_at(country, F.substring(reach, 1, 2))
+                    right = let(bare, lambda b: F.length(b).between(F.coalesce(fixed, F.lit(15)), F.coalesce(fixed, F.lit(34))) & mod97(b))
+                    return F.when(F.when(apart, right).otherwise(False), n)
+
+                n = F.array_max(F.transform(F.sequence(F.lit(15), F.greatest(F.length(reach), F.lit(15))), tried))
+                return F.struct(F.substring(reach, F.lit(1), n).alias("m"), x["s"].alias("s"))
+
+            return let(F.regexp_extract(tail, IBAN_CHARS, 0), ends)
+
+        return let(F.substring(text, x["s"] + 1, F.lit(70)), longest)
+
+    found = F.filter(F.transform(located(text, PATTERNS["iban"]), best), lambda x: x["m"].isNotNull())
+    none = F.array().cast("array<struct<m:string,s:int>>")
+
+    def add(kept: Column, x: Column) -> Column:
+        free = let(F.try_element_at(kept, F.lit(-1)), lambda last: F.coalesce(last["s"] + F.length(last["m"]) <= x["s"], F.lit(True)))
+        return F.when(free, F.concat(kept, F.array(x))).otherwise(kept)
+
+    return F.aggregate(found, none, add)
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """Confirmed spans of a kind with their scores: array<struct<kind, start, end, score>>."""
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    found = F.filter(located(text, PATTERNS[kind]), lambda x: F.when(confirmed(kind, x["m"]), True).otherwise(False))
+    found = ibans(text) if kind == "iban" else F.filter(located(text, PATTERNS[kind]), lambda x: F.when(confirmed(kind, x["m"]), True).otherwise(False))
 
     def scored(x: Column) -> Column:
         end = x["s"] + F.length(x["m"])
