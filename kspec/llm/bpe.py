@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import PieceEncoder
-from .common import bounded_batches, text_of
+from .common import by_size, text_of
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -153,7 +154,7 @@ class ByteBPE:
 
         self.transducer = Transducer(load_ranks(path))
         self.words = regex.compile(pattern).findall
-        self.encode_bytes = PieceEncoder(self._encode)
+        self.encode_bytes = PieceEncoder(self._encode, pattern=pattern, word=self._word)
 
     def _encode(self, text: str) -> bytes:
         encode, out = self.transducer.encode_word, []
@@ -161,6 +162,10 @@ class ByteBPE:
             out += encode(word.encode())
         return np.array(out, dtype="<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        ids = self.transducer.encode_word(word.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), dtype="<u4").tolist()
 
@@ -226,11 +231,10 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, *, doc_id: str = "d
     """doc_id, n_tokens, ids_sha256 (ids as little-endian u32), decoded_sha256 of the bytes that the ids decode to, and with keep_ids the ids.
 
     A row for each row of docs, in no order; a null text is empty, an empty one has no ids. Rows that repeat get equal results, null ids stay null. Other columns are not read."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _codec(ranks, pattern)
-        for batch in batches:
+        for batch in by_size(batches):
             rows = []
             for t in batch["text"]:
                 data = codec.encode_bytes(t)

@@ -6,11 +6,14 @@ repeat far more often than texts. A text with any other spacing at a cut is enco
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable
 
+#: The pattern of the byte-level pre-tokenizers whose cuts these are; with another pattern a text is encoded whole. Fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Marks that may follow a word in a piece; cut off, they leave a word that is likely known.
 MARKS = ".,;:!?"
+#: Below this character every library and Python agree what a letter is.
+LATIN = "\u0250"
 
 
 class Uncut(Exception):
@@ -25,20 +28,23 @@ def _edge(c: str) -> bool:
 class _Memo(dict):
     """piece -> its ids as bytes. Two generations of at most `limit` pieces bound its memory; what it returns doesn't depend on them."""
 
-    def __init__(self, lead: str, encode: Callable[[str], bytes], limit: int, chars: int = 64):
+    def __init__(self, lead: str, encode: Callable[[str], bytes], word: Callable[[str], bytes], marks: _Marks, limit: int, chars: int = 64):
         super().__init__()
-        self.lead, self.encode, self.limit, self.chars, self.old = lead, encode, limit, chars, {}
+        self.lead, self.encode, self.word, self.marks, self.limit, self.chars, self.old = lead, encode, word, marks, limit, chars, {}
 
     def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
         if out is None:
-            if not piece or _edge(piece[0]) or _edge(piece[-1]):
-                raise Uncut
-            stem = piece.rstrip(MARKS)
-            if stem and stem is not piece and stem != piece and stem.isalpha():
-                out = self[stem] + self.encode(piece[len(stem) :])
+            if piece.isalpha() and (piece.isascii() or max(piece) < LATIN):
+                out = self.word(self.lead + piece)
             else:
-                out = self.encode(self.lead + piece)
+                if not piece or _edge(piece[0]) or _edge(piece[-1]):
+                    raise Uncut
+                stem = piece.rstrip(MARKS)
+                if stem and stem != piece and stem.isalpha():
+                    out = self[stem] + self.marks[piece[len(stem) :]]
+                else:
+                    out = self.encode(self.lead + piece)
         if len(piece) <= self.chars:
             if len(self) >= self.limit:
                 self.old = dict(self)
@@ -47,20 +53,37 @@ class _Memo(dict):
         return out
 
 
+class _Marks(dict):
+    """Ids of the marks behind a word; those of usual length are kept."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, marks: str) -> bytes:
+        out = self.encode(marks)
+        if len(marks) <= 3:  # of six marks, so a few hundred entries at most
+            self[marks] = out
+        return out
+
+
 class PieceEncoder:
-    """encode: text -> ids as bytes; whole: the same for a text in one go, if another way is better for that. The result is that of whole(text)."""
+    """encode: text -> ids as bytes; word: the same for letters after at most one space, which are one match of PATTERN; whole: for a text in one go, if another way is better for that.
 
-    def __init__(self, encode: Callable[[str], bytes], whole: Callable[[str], bytes] | None = None, limit: int = 250_000):
-        self.whole = whole or encode
-        self.first, self.later = _Memo("", encode, limit // 8), _Memo(" ", encode, limit)
+    The result is that of whole(text). pattern: the pre-tokenizer's; unless it is PATTERN, every text is encoded whole."""
+
+    def __init__(self, encode: Callable[[str], bytes], *, pattern: str, word: Callable[[str], bytes] | None = None, whole: Callable[[str], bytes] | None = None, limit: int = 400_000):
+        self.whole, self.cuts = whole or encode, pattern == PATTERN
+        marks = _Marks(encode)
+        self.first, self.later = _Memo("", encode, word or encode, marks, limit // 8), _Memo(" ", encode, word or encode, marks, limit)
         self.feed = encode("\n")
         self.runs: dict[int, bytes] = {}
-        gc.freeze()
-        gc.set_threshold(200_000, 20, 200)  # the tables have no cycles; going through them again and again would take most of the time
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
+        if not self.cuts:
+            return self.whole(text)
         out: list[bytes] = []
         first, later, lead = self.first.__getitem__, self.later.__getitem__, False
         try:

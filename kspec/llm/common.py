@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +27,15 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path under the folder that spark.checkpoint.dir names, which all executors share; a temporary folder where that is unset (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-    if "://" not in base and base.startswith("/"):
-        base = f"file://{base}"
+    """A new path, with its file system, under the folder that spark.checkpoint.dir names, which all executors share. Where that is unset a local master takes a temporary folder; on a cluster it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_dir()
+    if "://" not in base and not base.startswith("file:"):
+        system = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        base = system.rstrip("/") + "/" + base.lstrip("/") if not system.startswith("file:") else f"file://{base}"
     return f"{base.rstrip('/')}/kspec/{name}-{uuid.uuid4().hex}"
 
 
@@ -38,16 +46,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_size(batches: Iterator[pd.DataFrame], column: str = "text", size: int = 4 << 20) -> Iterator[pd.DataFrame]:
+    """The batches in slices of about `size` characters of a column, so what a function makes of a slice stays small. Spark itself bounds the bytes of a batch."""
+    for batch in batches:
+        if len(batch):
+            part = (batch[column].str.len().cumsum() // size).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                yield batch.iloc[a:b]
+
+
 def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Rows that an Arrow batch takes to Python. Texts may be long; a few hundred at a time keep a worker's memory small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs now rather than at the driver's next collection of garbage."""
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(taken: Iterable[str], name: str) -> str:
+    """A column name that none of these is, in any case."""
+    used = {c.lower() for c in taken}
+    while name in used:
+        name += "_"
+    return name
+
+
+def row_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
+    """What tells the rows of docs apart: the id, and a hash of the text for rows that share an id or have none. Rows equal in both are one document."""
+    return F.col(f"`{doc_id}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs less the rows whose key (row_key) is in gone (two columns). gone is broadcast if its counted rows are few; otherwise texts are shuffled."""
+    names = [fresh(docs.columns, "gone_id"), fresh(docs.columns, "gone_text")]
+    keys = written(gone.toDF(*names).distinct(), "gone")
+    few = keys.count() <= BROADCAST_ROWS
+    row_id, row_text = row_key(docs, doc_id, text)
+    return docs.join(F.broadcast(keys) if few else keys, row_id.eqNullSafe(F.col(names[0])) & (row_text == F.col(names[1])), "left_anti")
+
+
 def text_of(text: str = "text") -> Column:
     """The text column; null counts as the empty text."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

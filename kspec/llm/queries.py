@@ -25,7 +25,7 @@ def op2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .records import read_records, write_records
 
-    manifest = write_records(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    manifest = write_records(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return read_records(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_of
+from .common import by_size, text_of
 
 # Fixed values of the format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -757,10 +757,9 @@ def media(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep_m
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; with keep_media the stored bytes. A null text is empty; equal texts
     have equal values; null ids stay null; an empty table gives no row. Other columns are not read."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in by_size(batches):
             rows = []
             for t in batch["text"]:
                 raw = t.encode()
@@ -778,10 +777,9 @@ def media(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep_m
 
 def pixel_arrays(df: DataFrame, media: str, key: str) -> DataFrame:
     """key, width, height, pixels (ARGB, row by row) of a column of WebP files; null where the file is null, broken or lossy."""
-    bounded_batches(df.sparkSession, 64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in by_size(batches, "m", 1 << 18):
             rows = []
             for m in batch["m"]:
                 try:
