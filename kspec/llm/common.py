@@ -56,14 +56,6 @@ def by_size(batches: Iterator[pd.DataFrame], column: str = "text", size: int = 4
                 yield batch.iloc[a:b]
 
 
-def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    spark.sparkContext._jvm.System.gc()
-
-
 def fresh(taken: Iterable[str], name: str) -> str:
     """A column name that none of these is, in any case."""
     used = {c.lower() for c in taken}

@@ -1,15 +1,17 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Two lines are alike if, in lower case and with white space folded, they are equal or - for lines of MIN_EDIT_CHARS characters and more - one edit apart: one
-character inserted, deleted or replaced. An occurrence of a line goes if an earlier one, by (doc_id, line number), is alike; so the earliest stays.
+Two lines are alike if, in lower case and with white space folded, they are equal or - from `edits_from` characters on - one edit apart: one
+character inserted, deleted or replaced. An occurrence of a line goes if an earlier one is alike; so the earliest stays. Occurrences are in the order of doc_id
+(null last), a hash of the text, line number.
 
 Distinct lines are found first, with their earliest occurrence. Each emits the hashes of all its variants with one character deleted. Lines of which one is a variant of
 the other share the variant's key; lines that differ by a replacement share a variant at the same place, so (variant, place) is their key. In either case all
 lines under a key are within the bound of the one it stands for, so the least occurrence under a key is enough: no pairs are built, however many lines share a key. The
 edit distance of each line and the earlier one found for it is then verified on their texts.
 
-Variants are emitted only for lines that can have a partner: if two lines are one edit apart, then either the halves before the middle or those after it are equal.
-Lines whose halves no other line has are set aside; that loses no pair."""
+Variants are emitted only for lines that can have a partner. If two lines are one edit apart and one of them is cut into S segments, the edit lies in one of these, and
+what stands before it and after it is equal. So a line whose rest without a segment no other line has, for any segment, is set aside; that loses no pair. All lines are
+tried with two segments and those left with SEGMENTS."""
 
 from __future__ import annotations
 
@@ -19,11 +21,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, SPACES, bounded_batches, free_shuffles, text_of, written
+from .common import BROADCAST_ROWS, SPACES, fresh, row_key, text_of, written
 
-MIN_EDIT_CHARS = 16
+#: Characters from which on a line may differ by one edit; shorter ones are alike if equal.
+EDITS_FROM = 16
+#: Segments of the second trial.
+SEGMENTS = 16
 #: Two primes below 2**31 and bases for them: a key has about 62 bits.
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
 
@@ -32,14 +36,15 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D\xA0]+", " ")))
 
 
+_KEPT = [np.ones(1, dtype=np.uint64) for _ in PRIMES]
+
+
 def _powers(n: int, k: int) -> np.ndarray:
-    """BASES[k]**i modulo PRIMES[k], for i below n, by doubling."""
-    p = np.uint64(PRIMES[k])
-    out = np.ones(1, dtype=np.uint64)
-    step = BASES[k]
+    """BASES[k]**i modulo PRIMES[k], for i below n; those of the longest line so far are kept."""
+    p, out = np.uint64(PRIMES[k]), _KEPT[k]
     while len(out) < n:
-        out = np.concatenate((out, out * np.uint64(step) % p))
-        step = step * step % PRIMES[k]
+        out = np.concatenate((out, out * np.uint64(pow(BASES[k], len(out), PRIMES[k])) % p))
+    _KEPT[k] = out
     return out[:n]
 
 
@@ -63,7 +68,8 @@ def variant_keys(line: str) -> tuple[int, np.ndarray]:
 
 
 def _split(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "raw"))
+    row_id, row_text = row_key(docs, doc_id, text)
+    return docs.select(row_id.alias("doc_id"), row_text.alias("t"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "raw"))
 
 
 def _named(split: DataFrame) -> DataFrame:
@@ -73,53 +79,87 @@ def _named(split: DataFrame) -> DataFrame:
 
 
 def _halves() -> Column:
-    """Keys of which an equal one is shared by any two lines one edit apart. A pair agrees on the greater length n, which a line takes to be its own or one more."""
+    """Keys of which an equal one is shared by any two lines one edit apart: the beginning or the end, cut at the middle of the greater length n, which a line takes to be its own or one more.
+
+    Of an even length the middle stays where it is in the line one longer, of an odd one the end does; so three keys are enough."""
+    n = F.length("line")
+    low, high = F.floor(n / 2).cast("int"), F.floor((n + 1) / 2).cast("int")
+
+    def before(middle: Column) -> Column:
+        return F.xxhash64(F.lit("before"), F.substring("line", F.lit(1), middle))
+
+    def after(size: Column) -> Column:
+        return F.xxhash64(F.lit("after"), F.substring("line", n - size + 1, size))
+
+    return F.when(n % 2 == 0, F.array(before(low), after(n - low), after(n + 1 - low))).otherwise(F.array(before(low), before(high), after(n + 1 - high)))
+
+
+def _segments() -> Column:
+    """The same for SEGMENTS parts: for each the hash of what stands before and after it."""
     n = F.length("line")
     keys = []
     for more in (0, 1):
         whole = n + more
-        middle = F.floor(whole / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("before"), whole, F.substring("line", F.lit(1), middle)))
-        keys.append(F.xxhash64(F.lit("after"), whole, F.expr("right(line, cast(length(line) as int) + {0} - cast(floor((length(line) + {0}) / 2) as int))".format(more))))
-    return F.when(n >= MIN_EDIT_CHARS - 1, F.array(*keys)).otherwise(F.array().cast("array<bigint>"))
+        for s in range(SEGMENTS):
+            begin, rest = F.floor(whole * s / SEGMENTS).cast("int"), (whole - F.floor(whole * (s + 1) / SEGMENTS)).cast("int")
+            keys.append(F.xxhash64(F.lit(s), whole, F.substring("line", F.lit(1), begin), F.substring("line", n - rest + 1, rest)))
+    return F.array(*keys)
+
+
+def _meeting(keyed: DataFrame, name: str) -> DataFrame:
+    """(h1) of the rows (h1, keys) of which a key is also another line's. A key's least and greatest line tell whether it has several, so no group of lines meets."""
+    each = keyed.select("h1", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key")
+    shared = written(shared, f"{name}-shared")
+    few = shared.count() <= BROADCAST_ROWS
+    return each.join(F.broadcast(shared) if few else shared, "key", "left_semi").select("h1").distinct()
+
 
+LAST = 2**63 - 1
 
-def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line_no, kept_doc_id, kept_line_no of each line occurrence that goes and the earliest one that is alike; an occurrence under a null id comes last."""
-    spark = docs.sparkSession
+
+def _removed(docs: DataFrame, edits_from: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, t, line_no of each line occurrence that goes, and keep: the place (d, t, l) of the earliest one that is alike."""
     split = _split(docs, doc_id, text)
+    long_enough = F.length("line") >= edits_from - 1
     # narrow: texts are normalised once
-    lines = written(_named(split).select("doc_id", "line_no", "h1", "h2", _halves().alias("halves")), "lines-all")
-    last = F.lit(2**63 - 1)
-    at = F.struct(F.coalesce("doc_id", last).alias("d"), F.col("line_no").alias("l"))
-    distinct = lines.select("h1", "h2", at.alias("at"), "halves").groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
-    distinct = written(distinct, "lines-distinct")
-    free_shuffles(spark)
-    keys = distinct.select("h1", "h2", F.explode("halves").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    possible = written(keys.join(shared, "key", "left_semi").select("h1", "h2").distinct(), "lines-possible")
-    free_shuffles(spark)
-
-    wanted = distinct.join(possible, ["h1", "h2"], "left_semi").select(F.col("first.d").alias("d"), F.col("first.l").alias("l"), F.col("h1").alias("p1"), F.col("h2").alias("p2"))
-    wanted = written(wanted, "lines-wanted")
+    lines = written(_named(split).select("doc_id", "t", "line_no", "h1", "h2", F.when(long_enough, _halves()).otherwise(F.array().cast("array<bigint>")).alias("keys")), "lines-all")
+    at = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("t"), F.col("line_no").alias("l"))
+    distinct = written(lines.select("h1", "h2", at.alias("at")).groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n")), "lines-distinct")
+
+    possible = written(_meeting(lines.select("h1", "keys"), "lines-halves"), "lines-possible")
+    few = possible.count() <= BROADCAST_ROWS
+    wanted = distinct.join(F.broadcast(possible) if few else possible, "h1", "left_semi")
+    wanted = written(wanted.select(F.col("first.d").alias("d"), F.col("first.t").alias("wt"), F.col("first.l").alias("l"), F.col("h1").alias("p1"), F.col("h2").alias("p2")), "lines-wanted")
     few = wanted.count() <= BROADCAST_ROWS
     # written before they are normalised: else the hashes would be taken of all lines, as keys of this join
-    placed = written(split.join(F.broadcast(wanted) if few else wanted, (F.coalesce("doc_id", last) == F.col("d")) & (F.col("line_no") == F.col("l"))), "lines-placed")
-    spelled = _named(placed)
-    spelled = spelled.where("h1 = p1 and h2 = p2").select("h1", "h2", "d", "l", "line").dropDuplicates(["h1", "h2"])
+    here = (F.coalesce("doc_id", F.lit(LAST)) == F.col("d")) & (F.col("t") == F.col("wt")) & (F.col("line_no") == F.col("l"))
+    placed = written(split.join(F.broadcast(wanted) if few else wanted, here), "lines-placed")
+    spelled = _named(placed).where("h1 = p1 and h2 = p2").select("h1", "h2", "d", "t", "l", "line").dropDuplicates(["h1", "h2"])
     spelled = written(spelled, "lines-text")
 
-    found = written(_earlier(spelled), "lines-alike")
+    near = written(_meeting(spelled.select("h1", _segments().alias("keys")), "lines-segments"), "lines-near")
+    few = near.count() <= BROADCAST_ROWS
+    spelled = spelled.join(F.broadcast(near) if few else near, "h1", "left_semi")
+    found = written(_earlier(written(spelled, "lines-near-text"), edits_from), "lines-alike")
     marked = distinct.join(found, ["h1", "h2"], "left").select("h1", "h2", "n", F.coalesce(F.least("first", "earlier"), F.col("first")).alias("keep"), F.col("earlier").isNotNull().alias("alike"))
     marked = marked.where("n > 1 or alike").select(F.col("h1").alias("m1"), F.col("h2").alias("m2"), "keep")
-    gone = lines.select("doc_id", "line_no", "h1", "h2", at.alias("at")).join(marked, (F.col("h1") == F.col("m1")) & (F.col("h2") == F.col("m2"))).where("at > keep")
-    kept_id = F.when(F.col("keep.d") == last, F.lit(None).cast("long")).otherwise(F.col("keep.d"))
+    placed = lines.select("doc_id", "t", "line_no", "h1", "h2", at.alias("at"))
+    return placed.join(marked, (F.col("h1") == F.col("m1")) & (F.col("h2") == F.col("m2"))).where("at > keep").select("doc_id", "t", "line_no", "keep")
+
+
+def removed_lines(docs: DataFrame, *, edits_from: int = EDITS_FROM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, line_no, kept_doc_id, kept_line_no of each line occurrence that goes and the earliest one that is alike.
+
+    Rows are told apart by id and text: those without an id, or with another's, are documents of their own, and only rows equal in both count as one. Null ids come last. Blank lines
+    never go; null and empty texts have none. An empty table gives no row. Other columns are not read. edits_from: least length for an edit; 0 allows one in any line."""
+    gone = _removed(docs, edits_from, doc_id, text)
+    kept_id = F.when(F.col("keep.d") == LAST, F.lit(None).cast("long")).otherwise(F.col("keep.d"))
     return gone.select("doc_id", "line_no", kept_id.alias("kept_doc_id"), F.col("keep.l").alias("kept_line_no"))
 
 
-def _earlier(spelled: DataFrame) -> DataFrame:
-    """(h1, h2, earlier): for lines (h1, h2, d, l, line) that have an earlier one within one edit, the earliest such."""
-    bounded_batches(spelled.sparkSession, 1000)
+def _earlier(spelled: DataFrame, edits_from: int) -> DataFrame:
+    """(h1, h2, earlier): for lines (h1, h2, d, t, l, line) that have an earlier one within one edit, the earliest such."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,14 +169,14 @@ def _earlier(spelled: DataFrame) -> DataFrame:
                 own, keys = variant_keys(line)
                 n = len(keys)
                 # role 0: the line itself, 1: a shorter line that it becomes, 2: a replacement at this place
-                if n < MIN_EDIT_CHARS - 1:
+                if n < edits_from - 1:
                     continue
                 places = np.concatenate(([-1], np.full(n, -1), np.arange(n)))
                 every = np.concatenate(([own], keys.view(np.int64), keys.view(np.int64)))
                 roles = np.concatenate(([0], np.ones(n, dtype=np.int64), np.full(n, 2)))
                 # deleting any of equal characters side by side gives the same shorter line once
-                keep = np.concatenate(([True], np.concatenate(([True], keys[1:] != keys[:-1])), np.full(n, n >= MIN_EDIT_CHARS)))
-                if n < MIN_EDIT_CHARS:
+                keep = np.concatenate(([True], np.concatenate(([True], keys[1:] != keys[:-1])), np.full(n, n >= edits_from)))
+                if n < edits_from:
                     keep[1 : n + 1] = False
                 out.append((np.full(int(keep.sum()), k), every[keep], places[keep], roles[keep]))
                 size += len(out[-1][0])
@@ -146,45 +186,53 @@ def _earlier(spelled: DataFrame) -> DataFrame:
             if out:
                 yield _emitted(batch, out)
 
-    keyed = spelled.mapInPandas(emit, "h1 long, h2 long, d long, l int, key long, place int, role int")
-    me = F.struct("d", "l", "h1", "h2")
-    # Under (key, -1) stand the line with this key, if any, and the longer lines that become it; under (key, place) lines that differ there only.
-    group = Window.partitionBy("key", "place")
-    seen = keyed.select("h1", "h2", "role", me.alias("me"), F.min(F.when(F.col("role") == 0, me)).over(group).alias("short"), F.min(F.when(F.col("role") != 0, me)).over(group).alias("other"))
+    keyed = written(spelled.mapInPandas(emit, "h1 long, h2 long, d long, t long, l int, key long, place int, role int"), "lines-variants")
+    me = F.struct("d", "t", "l", "h1", "h2")
+    # Under (key, -1) stand the line with this key, if any, and the longer lines that become it; under (key, place) lines that differ there only. Least ones are found before rows meet.
+    least = keyed.groupBy("key", "place").agg(F.count("*").alias("c"), F.min(F.when(F.col("role") == 0, me)).alias("short"), F.min(F.when(F.col("role") != 0, me)).alias("other")).where("c > 1")
     # A longer line looks to the shorter one only; two longer lines under it may be two edits apart.
     partner = F.when(F.col("role") == 1, F.col("short")).otherwise(F.col("other"))
-    pairs = seen.select("h1", "h2", "me", partner.alias("p")).where("p < me").select("h1", "h2", F.col("p.d").alias("d"), F.col("p.l").alias("l"), F.col("p.h1").alias("p1"), F.col("p.h2").alias("p2")).distinct()
+    pairs = keyed.join(least, ["key", "place"]).select("h1", "h2", me.alias("me"), partner.alias("p")).where("p < me")
+    pairs = pairs.select("h1", "h2", F.col("p.d").alias("d"), F.col("p.t").alias("t"), F.col("p.l").alias("l"), F.col("p.h1").alias("p1"), F.col("p.h2").alias("p2")).distinct()
     own = spelled.select("h1", "h2", "line")
     theirs = spelled.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("line").alias("other"))
     verified = pairs.join(own, ["h1", "h2"]).join(theirs, ["p1", "p2"]).where(F.levenshtein("line", "other", 1).between(0, 1))
-    return verified.groupBy("h1", "h2").agg(F.min(F.struct("d", "l")).alias("earlier"))
+    return verified.groupBy("h1", "h2").agg(F.min(F.struct("d", "t", "l")).alias("earlier"))
 
 
 def _emitted(batch: pd.DataFrame, out: list[tuple]) -> pd.DataFrame:
     k = np.concatenate([x[0] for x in out])
-    rows = {c: batch[c].to_numpy()[k] for c in ("h1", "h2", "d", "l")}
+    rows = {c: batch[c].to_numpy()[k] for c in ("h1", "h2", "d", "t", "l")}
     return pd.DataFrame(rows | {"key": np.concatenate([x[1] for x in out]), "place": np.concatenate([x[2] for x in out]).astype(np.int32), "role": np.concatenate([x[3] for x in out]).astype(np.int32)})
 
 
-def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, edits_from: int = EDITS_FROM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the lines that go taken out of their texts, n_chars (where docs has it) counted anew for texts that changed; every row stays, also one that has no line left.
 
-    Blank lines never go. A null text stays null. Rows under one id count as one document's occurrences: what goes from one goes from all of them. Columns are those of docs, whatever their names."""
-    gone = removed_lines(docs, doc_id=doc_id, text=text)
-    per_doc = gone.groupBy(F.col("doc_id").alias("__gone_id")).agg(F.collect_set("line_no").alias("__gone"))
-    per_doc = written(per_doc, "lines-gone")
-    free_shuffles(docs.sparkSession)
-    joined = docs.join(per_doc, docs[doc_id].cast("long").eqNullSafe(F.col("__gone_id")), "left")
-    lines = F.split(docs[text], "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    cleaned = F.when(F.col("__gone").isNull() | docs[text].isNull(), docs[text]).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
-    joined = joined.withColumn("__text", cleaned)
+    Rows are told apart as removed_lines says. Blank lines never go. A null text stays null. Columns are those of docs, whatever their names. Texts are shuffled once, by id
+    and hash; what goes from each is the hashed side of that join, a few numbers a text."""
+    taken: list[str] = list(docs.columns)
+
+    def name(n: str) -> str:
+        taken.append(fresh(taken, n))
+        return taken[-1]
+
+    gone_id, gone_text, gone_lines, cleaned = map(name, ("gone_id", "gone_text", "gone_lines", "cleaned"))
+    gone = _removed(docs, edits_from, doc_id, text)
+    per_doc = written(gone.groupBy(F.col("doc_id").alias(gone_id), F.col("t").alias(gone_text)).agg(F.collect_set("line_no").alias(gone_lines)), "lines-gone")
+    row_id, row_text = row_key(docs, doc_id, text)
+    joined = docs.join(per_doc.hint("shuffle_hash"), row_id.eqNullSafe(F.col(gone_id)) & (row_text == F.col(gone_text)), "left")
+    own = F.col(f"`{text}`")
+    lines = F.split(own, "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_lines))
+    same = F.col(gone_lines).isNull() | own.isNull()
+    joined = joined.withColumn(cleaned, F.when(same, own).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")))
 
     def column(c: str) -> Column:
         if c == text:
-            return F.col("__text").alias(c)
+            return F.col(cleaned).alias(c)
         if c == "n_chars":
-            return F.when(F.col("__gone").isNull() | docs[text].isNull(), docs[c]).otherwise(F.length("__text")).cast(docs.schema[c].dataType).alias(c)
-        return docs[f"`{c}`"]
+            return F.when(same, F.col(c)).otherwise(F.length(cleaned)).cast(docs.schema[c].dataType).alias(c)
+        return F.col(f"`{c}`")
 
     return joined.select(*map(column, docs.columns))

@@ -1,58 +1,107 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Fingerprints are compared as they are: 64-bit exclusive-or and bit counts in numpy, tile against tile. A fingerprint's signature is the bit
-count of each of its quarters. Two fingerprints that differ in r bits have signatures at most r apart (sum of differences), so only tiles whose
-signatures are that near are compared; no pair within the radius is missed. A tile holds the distinct fingerprints of one signature, in parts of about
-TILE. A pair of tiles gives all links if they are few, else a forest with the same components, so a large group of near copies gives no
-square of links. Components come from alternating star operations on links between distinct fingerprints."""
+Fingerprints are compared as they are: exclusive-or and bit counts in numpy, tile against tile. A pair of tiles gives all links if they are few, else a forest with the
+same components, so a large group of near copies gives no square of links. Components come from alternating star operations on links.
+
+near_duplicates: 64 bits, links within a few bits. A fingerprint's signature is the bit count of each of its quarters. Two fingerprints that differ in r bits have signatures
+at most r apart (sum of differences), so only tiles whose signatures are that near are compared; no pair within the radius is missed. A tile holds the distinct
+fingerprints of one signature, in parts of about TILE.
+
+similar_documents: links by the Jaccard similarity of the sets of shingles. For a similarity of 0.8 a fingerprint's bits differ with a chance of about 0.15, at most 0.19 in the
+shortest sets; of WIDE words of 64 bits a share of REACH is far beyond that, and far below the half in which unrelated ones differ. Pairs within that reach are verified on their
+whole sets, so no pair below the similarity is linked. So wide a reach skips few tiles by their bit counts; tiles are cut by the sets' sizes too, which
+can't be further apart than the similarity."""
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_batches, free_shuffles, text_of, written
+from .common import BROADCAST_ROWS, by_size, row_key, text_of, without, written
 
 TILE, QUARTERS = 2048, 4
+#: Words of a wide fingerprint, and the share of its bits in which two may differ to be verified.
+WIDE, REACH = 4, 0.26
 #: Hashes counted at a time.
 CHUNK = 1 << 15
+#: Stands for a null id: the last one.
+LAST = 2**63 - 1
+EPSILON = 1e-9
 
 
-def fingerprint(text: str, n: int = 3) -> int:
-    """A bit is set if it is in over half of the hashes of the text's n-word shingles. A-Z count as a-z; fewer words are one shingle; none: zero."""
+def shingle_hashes(text: str, n: int) -> Iterator[int]:
+    """XXH64 (seed 42) of each shingle, repeats included. A-Z count as a-z; fewer words than n are one shingle; no words give none."""
     import xxhash
 
     words = text.encode("utf-8", "replace").lower().split()
-    if not words:
-        return 0
     if len(words) < n:
-        shingles = [b" ".join(words)]
+        shingles: Iterator[bytes] = iter([b" ".join(words)] if words else [])
     else:
         shingles = map(b" ".join, zip(*[words[k:] for k in range(n)], strict=False))
-    digest, total, set_bits = xxhash.xxh64_intdigest, 0, np.zeros(64, dtype=np.int64)
-    shingles = iter(shingles)
-    while hashes := [digest(s, 42) for s in itertools.islice(shingles, CHUNK)]:
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    digest = xxhash.xxh64_intdigest
+    return (digest(s, 42) for s in shingles)
+
+
+def majority(hashes: Iterator[int] | np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero for none."""
+    hashes, total, set_bits = iter(hashes), 0, np.zeros(64, dtype=np.int64)
+    while part := list(itertools.islice(hashes, CHUNK)):
+        bits = np.unpackbits(np.array(part, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         set_bits += bits.sum(axis=0, dtype=np.int64)
-        total += len(hashes)
+        total += len(part)
     return int(np.packbits(2 * set_bits > total, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, n: int = 3) -> int:
+    return majority(shingle_hashes(text, n))
+
+
+def shingle_set(text: str, n: int) -> np.ndarray:
+    """The distinct hashes, sorted as unsigned numbers; a text without words has the one member 0."""
+    found = np.unique(np.fromiter(shingle_hashes(text, n), dtype=np.uint64))
+    return found if len(found) else np.zeros(1, dtype=np.uint64)
+
+
+def wide_fingerprint(members: np.ndarray) -> np.ndarray:
+    """WIDE words of bits that are set in over half of the members' hashes, hashed anew for each word."""
+    out = np.zeros(WIDE, dtype=np.uint64)
+    for k in range(WIDE):
+        set_bits = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(members), CHUNK):
+            x = members[at : at + CHUNK] + np.uint64((k * 0x9E3779B97F4A7C15) % 2**64)
+            if k:  # the usual finishing steps of a 64-bit hash
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                x = x ^ (x >> np.uint64(31))
+            set_bits += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * set_bits > len(members), bitorder="little").view("<u8")[0]
+    return out
+
+
+def _ids(batch: pd.DataFrame) -> pd.Series:
+    return batch["doc_id"] if batch["doc_id"].notna().all() else batch["doc_id"].astype("Int64")
+
+
+def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    row_id, row_text = row_key(docs, doc_id, text)
+    return docs.select(row_id.alias("doc_id"), row_text.alias("t"), text_of(text).alias("text"))
+
+
 def fingerprints(docs: DataFrame, *, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row; a null text has no words."""
-    bounded_batches(docs.sparkSession)
+    """doc_id, t (see row_key) and fp (the fingerprint as a signed long) of each row; a null text has no words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t, shingle) for t in batch["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"] if batch["doc_id"].notna().all() else batch["doc_id"].astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"doc_id": _ids(batch), "t": batch["t"], "fp": fp})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return _slim(docs, doc_id, text).mapInPandas(run, "doc_id long, t long, fp long")
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +160,6 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     for n in names:
         is_same = (F.col(f"a_{n}") == F.col(n)) if is_same is None else is_same & (F.col(f"a_{n}") == F.col(n))
     pairs = pairs.where(~is_same | (F.col("a_part") <= F.col("part"))).select("a", F.col("fps").alias("b"), (is_same & (F.col("a_part") == F.col("part"))).alias("same"))
-    bounded_batches(spark, 256)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -147,35 +195,167 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(down, F.col("v") == F.col("w")).select(F.col("m"), F.explode(F.array("u", "v")).alias("v")).where("m != v").select(F.col("m").alias("u"), "v").distinct()
         edges = written(small, "star-small")
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        free_shuffles(spark)
         if now == before:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
         before = now
 
 
-def near_duplicates(docs: DataFrame, *, radius: int = 3, shingle: int = 3, **options) -> DataFrame:
+def _first() -> Column:
+    """The place of a row in the order of ids, null last, and hashes of texts."""
+    return F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("t"))
+
+
+def _named(marked: DataFrame, distinct: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """marked with `keep`, the first place in the component of each row's node. distinct: a row a node, with `first`."""
+    star = components(edges)
+    rooted = distinct.join(star.select(F.col("node").alias("k"), "root"), F.col(node) == F.col("k"), "left").select(node, "first", F.coalesce("root", node).alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("keep"))
+    named = written(rooted.select(node, "root").join(firsts, "root").select(F.col(node).alias("k"), "keep"), "simhash-names")
+    return marked.join(named, marked[node] == named["k"]).drop("k")
+
+
+def _component_id() -> Column:
+    return F.when(F.col("keep.d") != LAST, F.col("keep.d")).alias("component_id")
+
+
+def _near(docs: DataFrame, radius: int, shingle: int, doc_id: str, text: str) -> DataFrame:
+    marked = written(fingerprints(docs, shingle=shingle, doc_id=doc_id, text=text), "simhash-docs")
+    distinct = written(marked.groupBy("fp").agg(F.min(_first()).alias("first")), "simhash-distinct")
+    return _named(marked, distinct, links(distinct, radius), "fp")
+
+
+def near_duplicates(docs: DataFrame, *, radius: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp, component_id (the least doc_id that is reached by links of at most radius bits) of each row of docs.
 
     Documents without words have fingerprint zero and are linked like others. Null ids are no least id: a component of null ids only has a null one. Rows
     that repeat get equal results. An empty table gives no row."""
-    marked = written(fingerprints(docs, shingle=shingle, **options), "simhash-docs")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    free_shuffles(docs.sparkSession)
-    star = components(links(distinct, radius))
-    rooted = distinct.join(star, distinct["fp"] == star["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(rooted.select("fp", "root").join(firsts, "root").select(F.col("fp").alias("k"), "component_id"), "simhash-names")
-    return marked.join(named, marked["fp"] == named["k"]).select("doc_id", "fp", "component_id")
-
-
-def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """docs less the rows whose id is in ids (one column); their number decides whether ids are broadcast. Texts are moved only if they are not."""
-    gone = written(ids.toDF("__gone").distinct(), "gone")
-    few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, docs[doc_id].eqNullSafe(F.col("__gone")), "left_anti")
-
-
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each component: the one with the least id. Rows that share an id are one document and stay together; its columns are those of docs."""
-    found = near_duplicates(docs, **options)
-    return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    return _near(docs, radius, shingle, doc_id, text).select("doc_id", "fp", _component_id())
+
+
+def alike(a: np.ndarray, b: np.ndarray, same: bool, similarity: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ordinals in a and b of rows (node, root, size, words of the fingerprint) within reach, of sizes that allow the similarity and of different roots.
+
+    every: all such pairs. Else, where they are more than a few a row, each row with the nearest and with the most central one within its reach."""
+    words = [(a[:, 3 + k].view(np.uint64), b[:, 3 + k].view(np.uint64)) for k in range(WIDE)]
+    far = np.empty((len(a), len(b)), dtype=np.uint16)
+    for at in range(0, len(a), 256):
+        rows = slice(at, at + 256)
+        total = np.zeros((len(a[rows]), len(b)), dtype=np.uint16)
+        for x, y in words:
+            total += np.bitwise_count(x[rows, None] ^ y[None, :])
+        apart = (a[rows, 1, None] == b[None, :, 1]) | (similarity * np.maximum(a[rows, 2, None], b[None, :, 2]) > np.minimum(a[rows, 2, None], b[None, :, 2]) + EPSILON)
+        total[apart] = 999
+        far[rows] = total
+    near = far <= int(REACH * 64 * WIDE)
+    if same:
+        np.fill_diagonal(near, False)
+    if every or np.count_nonzero(near) <= 4 * (len(a) + len(b)):
+        return np.nonzero(np.triu(near) if same else near)
+    with_any = np.flatnonzero(near.any(axis=1))
+    near, far = near[with_any], np.where(near, far, 999)[with_any]
+    degree = near.sum(axis=0)
+    central = degree - np.where(near, far, 0).sum(axis=0) / (1000.0 * np.maximum(degree, 1))
+    to_centre = np.where(near, central[None, :], -1.0).argmax(axis=1)
+    i, j = np.concatenate((with_any, with_any)), np.concatenate((far.argmin(axis=1), to_centre))
+    if not same:  # and those of b that no row of a has taken
+        left = np.flatnonzero(near.any(axis=0) & ~np.isin(np.arange(near.shape[1]), j))
+        i, j = np.concatenate((i, with_any[far[:, left].argmin(axis=0)])), np.concatenate((j, left))
+    return i, j
+
+
+def _in_reach(nodes: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """(u, v): pairs of nodes (node, root, n, f0...) that alike() gives, tile against tile. Sizes of one class or the next can be similar enough."""
+    step = math.log(1 / similarity) if similarity < 1 else 1.0
+    classed = nodes.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / step + EPSILON).cast("int"))
+    parts = classed.groupBy("c").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("parts"))
+    columns = ["node", "root", F.col("n").cast("long"), *[f"f{k}" for k in range(WIDE)]]
+    bits = sum((F.bit_count(f"f{k}") for k in range(1, WIDE)), F.bit_count("f0"))
+    placed = classed.join(F.broadcast(parts), "c").select("c", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.array(*columns).alias("row"), bits.alias("bits"))
+    tiles = placed.groupBy("c", "part").agg(F.flatten(F.collect_list("row")).alias("rows"), F.min("bits").alias("low"), F.max("bits").alias("high"))
+    tiles = written(tiles, "simhash-wide-tiles")
+    left = tiles.select(F.col("c").alias("ac"), F.col("part").alias("ap"), F.col("rows").alias("a"), F.col("low").alias("al"), F.col("high").alias("ah"), F.explode(F.array("c", F.col("c") + 1)).alias("c"))
+    reach = int(REACH * 64 * WIDE)
+    pairs = left.join(tiles, "c").where(f"(ac < c or ap <= part) and low - ah <= {reach} and al - high <= {reach}")
+    pairs = pairs.select("a", F.col("rows").alias("b"), F.expr("ac = c and ap = part").alias("same"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a, b, same in zip(batch["a"], batch["b"], batch["same"], strict=True):
+                a, b = (np.asarray(x, dtype=np.int64).reshape(-1, 3 + WIDE) for x in (a, b))
+                i, j = alike(a, b, bool(same), similarity, every)
+                u, v = a[i, 0], b[j, 0]
+                yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    return pairs.mapInPandas(compare, "u long, v long").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of pairs whose sets are at least so similar."""
+    a = sets.select(F.col("node").alias("u"), F.col("members").alias("a"))
+    b = sets.select(F.col("node").alias("v"), F.col("members").alias("b"))
+    both = pairs.join(a, "u").join(b, "v").select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("shared"))
+    return both.where(F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared")) - EPSILON).select("u", "v")
+
+
+def _node_of(members: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(members.tobytes(), 42)).view(np.int64))
+
+
+def _similar(docs: DataFrame, similarity: float, shingle: int, doc_id: str, text: str) -> DataFrame:
+    slim = _slim(docs, doc_id, text)
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for t in batch["text"]:
+                members = shingle_set(t, shingle)
+                rows.append((_node_of(members), len(members), *wide_fingerprint(members).view(np.int64).tolist()))
+            out = pd.DataFrame(rows, columns=["node", "n", *[f"f{k}" for k in range(WIDE)]])
+            out.insert(0, "t", batch["t"].to_numpy())
+            out.insert(0, "doc_id", _ids(batch).reset_index(drop=True))
+            yield out
+
+    words = [f"f{k}" for k in range(WIDE)]
+    marked = written(slim.mapInPandas(mark, "doc_id long, t long, node long, n int, " + ", ".join(f"{w} long" for w in words)), "simhash-docs")
+    nodes = written(marked.groupBy("node").agg(F.min(_first()).alias("first"), *[F.first(c).alias(c) for c in ("n", *words)]), "simhash-nodes")
+    # every node in reach of another has a pair here
+    pairs = written(_in_reach(nodes.select("node", F.col("node").alias("root"), "n", *words), similarity, False), "simhash-reached")
+
+    # their sets are made again from the first text of each
+    met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = written(nodes.join(met, "node", "left_semi").select(F.col("first.d").alias("d"), F.col("first.t").alias("wt")), "simhash-wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    found = slim.join(F.broadcast(wanted) if few else wanted, (F.coalesce("doc_id", F.lit(LAST)) == F.col("d")) & (F.col("t") == F.col("wt")), "left_semi").select("text")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in by_size(batches):
+            sets = [shingle_set(t, shingle) for t in batch["text"]]
+            yield pd.DataFrame({"node": [_node_of(s) for s in sets], "members": [s.view(np.int64) for s in sets]})
+
+    sets = written(found.mapInPandas(read, "node long, members array<long>").dropDuplicates(["node"]), "simhash-sets")
+    edges = written(_verified(pairs, sets, similarity), "simhash-edges")
+    roots = components(edges).select(F.col("node").alias("k"), "root")
+    # only pairs of different components are left to be verified
+    labelled = nodes.join(sets.select("node"), "node", "left_semi").join(roots, F.col("node") == F.col("k"), "left").select("node", F.coalesce("root", "node").alias("root"), "n", *words)
+    more = written(_in_reach(labelled, similarity, True), "simhash-apart")
+    edges = edges.unionByName(_verified(more, sets, similarity))
+    return _named(marked, nodes, edges, "node")
+
+
+def similar_documents(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and component_id (the least doc_id that is reached by links of at least this Jaccard similarity of shingle sets) of each row of docs.
+
+    Documents without words are alike. Null ids are no least id: a component of null ids only has a null one. Rows that repeat get equal results. Hashes of 64 bits that are equal count
+    as equal shingles. An empty table gives no row."""
+    return _similar(docs, similarity, shingle, doc_id, text).select("doc_id", _component_id())
+
+
+def deduplicated(docs: DataFrame, *, similarity: float | None = None, radius: int = 3, shingle: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each component: the one with the least id, null last. Components are those of similar_documents if a similarity is given, else those of near_duplicates.
+
+    Rows are told apart by id and text; rows equal in both are one document and stay together. Columns are those of docs."""
+    found = _near(docs, radius, shingle or 3, doc_id, text) if similarity is None else _similar(docs, similarity, shingle or 5, doc_id, text)
+    gone = found.where(_first() != F.col("keep")).select("doc_id", "t")
+    return without(docs, gone, doc_id, text)

@@ -14,10 +14,11 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_of, written
+from .common import by_size, text_of, written
 
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 #: Lengths of beginnings in characters, and how often a beginning must occur for each of its features.
@@ -123,8 +124,7 @@ def fit(
     """Trains on at most max_positives confirmed toxic texts and max_unlabelled others, those with the least hashes of their ids. Labels of the held-out fold are never read.
 
     Features are those whose share in toxic texts differs from that in the others by a likelihood ratio (G statistic) of least_evidence, the n_features with the greatest.
-    A chosen text gives all its words. class_prior: the share of toxic texts; left out, their share among labelled rows outside the held-out fold. A null label or id counts as none; of an id with several labels the greatest counts. Without a confirmed text the model is constant."""
-    bounded_batches(docs.sparkSession)
+    Features of fewer than three chosen texts are not considered. A chosen text gives all its words; of rows that share an id one is taken. class_prior: the share of toxic texts; left out, their share among labelled rows outside the held-out fold. A null label or id counts as none; of an id with several labels the greatest counts. Without a confirmed text the model is constant."""
     known = labels.select(F.col("doc_id").alias("lid"), F.col("toxic").cast("int").alias("toxic")).where("lid is not null and toxic is not null")
     if held_out_fold is not None:
         known = known.where(fold(F.col("lid")) != held_out_fold)
@@ -134,7 +134,7 @@ def fit(
     if not n_toxic:
         return Model({}, -4.0, prior)
     chance = F.xxhash64(F.lit("train"), F.col("id"))
-    learn = docs.select(F.col(doc_id).cast("long").alias("id")).where("id is not null")
+    learn = docs.select(F.col(doc_id).cast("long").alias("id")).where("id is not null").distinct()
     if held_out_fold is not None:
         learn = learn.where(fold(F.col("id")) != held_out_fold)
     toxic = known.where("toxic = 1").select(F.col("lid").alias("id"))
@@ -142,11 +142,14 @@ def fit(
     # unlabelled: of all texts of these folds, whatever their label
     others = learn.orderBy(chance, "id").limit(max_unlabelled).withColumn("positive", F.lit(False))
     chosen = written(positives.unionByName(others), "toxic-sample")
-    # at most max_positives + max_unlabelled ids
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text")).join(F.broadcast(chosen), "id")
+    # At most max_positives + max_unlabelled ids, each once or, chosen as both, twice. Of rows that share an id the one with the least hash of its text is taken.
+    ids = chosen.select("id").distinct()
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text")).join(F.broadcast(ids), "id")
+    texts = texts.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    texts = written(texts.join(F.broadcast(chosen), "id"), "toxic-texts")
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in by_size(batches):
             keys = [sorted(map(feature_key, counted(Counter(words_of(t))))) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "positive": batch["positive"], "keys": keys})
 
@@ -191,7 +194,6 @@ def fit(
 def scored(docs: DataFrame, model: Model, *, threshold: float = 0.7, held_out_fold: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 from the threshold on) of each row of docs, from its whole text alone. A null or empty text scores as one without a known
     feature; equal texts score alike; a null id is in no fold. Other columns are not read. The model has at most n_features words and goes to the executors with the function."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -202,3 +204,14 @@ def scored(docs: DataFrame, model: Model, *, threshold: float = 0.7, held_out_fo
     out = slim.mapInPandas(run, "doc_id long, score double")
     held = F.coalesce(fold(F.col("doc_id")) == held_out_fold, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Model, *, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """docs less the rows that score at or above the threshold, each judged by its own text. Rows pass as they are, whatever their columns; a null text scores as an empty one."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -111,9 +111,9 @@ def test_crc32c():
 def test_records(docs, rows, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    manifest = records.write_records(docs, path, public_tokenizers.PATTERN)
+    manifest = records.write_records(docs, path)
     got = records.read_records(manifest).orderBy("start").collect()
-    ordered = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
+    ordered = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, np.uint64(xxhash.xxh64_intdigest((r.text or "").encode(), 42)).view(np.int64), r.text or ""))
     start = 0
     assert len(got) == len(ordered)
     for g, r in zip(got, ordered, strict=True):
@@ -125,7 +125,7 @@ def test_records(docs, rows, empty):
     back = list(records.read_at(first.path, [first.n_docs - 1, 0]))
     ids = [*t.encode(ordered[0].text or "", add_special_tokens=False).ids, 2]
     assert back[1][0] == ordered[0].doc_id and back[1][1].tolist() == ids
-    assert records.read_records(records.write_records(empty, path, public_tokenizers.PATTERN)).count() == 0
+    assert records.read_records(records.write_records(empty, path)).count() == 0
 
 
 def test_broken_record(tmp_path):
@@ -315,10 +315,10 @@ def normal(line):
     return re.sub(r"[\x20\x09-\x0D\xA0]+", " ", line).strip(" ").lower()
 
 
-def near(a, b):
+def near(a, b, edits_from=16):
     if a == b:
         return True
-    if min(len(a), len(b)) < linededup.MIN_EDIT_CHARS - (len(a) != len(b)) or max(len(a), len(b)) < linededup.MIN_EDIT_CHARS or abs(len(a) - len(b)) > 1:
+    if max(len(a), len(b)) < edits_from or abs(len(a) - len(b)) > 1:
         return False
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b, strict=True)) == 1
@@ -327,33 +327,60 @@ def near(a, b):
     return a[k:] == b[k + 1 :]
 
 
-def brute_removed(rows):
-    first = {}
-    at = []
+def text_key(text):
+    return int(np.uint64(xxhash.xxh64_intdigest((text or "").encode(), 42)).view(np.int64))
+
+
+def brute_removed(rows, edits_from=16):
+    """(place, place of the one that is kept) of each line occurrence that goes; a place is (id, hash of the text, line number)."""
+    first, at = {}, []
     for r in rows:
         for k, line in enumerate((r.text or "").split("\n")):
             if normal(line):
-                key = (2**63 - 1 if r.doc_id is None else r.doc_id, k)
+                key = (2**63 - 1 if r.doc_id is None else r.doc_id, text_key(r.text), k)
                 at.append((key, normal(line)))
                 first[normal(line)] = min(first.get(normal(line), key), key)
     by_size = defaultdict(list)
     for line in first:
         by_size[len(line)].append(line)
-    keep = {x: min(first[y] for n in (len(x) - 1, len(x), len(x) + 1) for y in by_size[n] if near(x, y)) for x in first}
+    keep = {x: min(first[y] for n in (len(x) - 1, len(x), len(x) + 1) for y in by_size[n] if near(x, y, edits_from)) for x in first}
     return Counter((k, keep[x]) for k, x in at if keep[x] < k)
 
 
-def test_line_dedup(docs, rows, empty, spark):
-    gone = linededup.removed_lines(docs).collect()
+def removed(docs, **options):
     big = 2**63 - 1
-    got = Counter(((big if g.doc_id is None else g.doc_id, g.line_no), (big if g.kept_doc_id is None else g.kept_doc_id, g.kept_line_no)) for g in gone)
-    want = brute_removed(rows)
-    assert got == want
+    got = linededup.removed_lines(docs, **options).collect()
+    return Counter(((big if g.doc_id is None else g.doc_id, g.line_no), (big if g.kept_doc_id is None else g.kept_doc_id, g.kept_line_no)) for g in got)
+
+
+def without_hashes(places):
+    out = Counter()
+    for (a, b), n in places.items():
+        out[(a[0], a[2]), (b[0], b[2])] += n
+    return out
+
+
+def brute_deduped(rows):
+    """Each row's text without the lines that go."""
+    gone = {a for a, _ in brute_removed(rows)}
+    out = Counter()
+    for r in rows:
+        d = 2**63 - 1 if r.doc_id is None else r.doc_id
+        lines = (r.text or "").split("\n")
+        left = "\n".join(x for k, x in enumerate(lines) if (d, text_key(r.text), k) not in gone)
+        out[r.doc_id, None if r.text is None else left] += 1
+    return out
+
+
+def test_line_dedup(docs, rows, empty, spark):
+    assert removed(docs) == without_hashes(brute_removed(rows))
     out = linededup.dedup_lines(docs)
     assert out.columns == docs.columns
-    texts = {r.doc_id: r for r in out.collect()}
+    got = out.collect()
+    assert Counter((r.doc_id, r.text) for r in got) == brute_deduped(rows)
+    texts = {r.doc_id: r for r in got}
     assert texts[1000].text is None and texts[1007].text == "the long line number one of this text\nshort" and texts[1008].text == "The long line number  two of this text"
-    assert texts[1008].n_chars == len(texts[1008].text) and out.count() == len(rows)
+    assert texts[1008].n_chars == len(texts[1008].text)
     assert linededup.dedup_lines(empty).count() == 0
 
 
@@ -369,8 +396,9 @@ def test_line_dedup_edits(spark):
         lines.append("".join(s))
     order = rng.permutation(len(lines))
     df = spark.createDataFrame([(int(i), lines[i]) for i in order], "doc_id long, text string")
-    gone = Counter(((g.doc_id, g.line_no), (g.kept_doc_id, g.kept_line_no)) for g in linededup.removed_lines(df).collect())
-    assert gone == brute_removed(df.collect())
+    assert removed(df) == without_hashes(brute_removed(df.collect()))
+    short = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "ab", "b", "cde", "cdf", "xcde", "zzzzzzzz", "zzzzzzz", "q", *lines[:40]])], "doc_id long, text string")
+    assert removed(short, edits_from=0) == without_hashes(brute_removed(short.collect(), 0))
 
 
 def luhn(digits):

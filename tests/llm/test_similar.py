@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from kspec.llm import jaccard
+from kspec.llm import simhash
 from kspec.llm.common import written
 from kspec.llm.linededup import dedup_lines
 
@@ -38,7 +38,7 @@ def brute_roots(rows):
 
 def check(docs):
     rows = docs.collect()
-    got = Counter((r.doc_id, r.component_id) for r in jaccard.near_duplicates(docs).collect())
+    got = Counter((r.doc_id, r.component_id) for r in simhash.similar_documents(docs).collect())
     assert got == Counter((r.doc_id, c) for r, c in zip(rows, brute_roots(rows), strict=True))
 
 
