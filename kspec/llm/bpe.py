@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import PieceEncoder
-from .common import by_size, text_of
+from .common import by_size, modest_batches, text_of
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -232,6 +232,8 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, *, doc_id: str = "d
 
     A row for each row of docs, in no order; a null text is empty, an empty one has no ids. Rows that repeat get equal results, null ids stay null. Other columns are not read."""
 
+    modest_batches(docs.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _codec(ranks, pattern)
         for batch in by_size(batches):

@@ -19,6 +19,7 @@ SPACES = " \t\n\x0b\x0c\r"
 
 #: A table of at most this many narrow rows may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
+BATCH_ROWS = 256
 
 
 @lru_cache(maxsize=1)
@@ -46,6 +47,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Rows of an Arrow batch to Python: BATCH_ROWS, unless the session's user has set another number. Texts may be long, and a worker holds a batch in several forms."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def by_size(batches: Iterator[pd.DataFrame], column: str = "text", size: int = 4 << 20) -> Iterator[pd.DataFrame]:
     """The batches in slices of about `size` characters of a column, so what a function makes of a slice stays small. Spark itself bounds the bytes of a batch."""
     for batch in batches:

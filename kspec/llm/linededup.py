@@ -11,7 +11,7 @@ edit distance of each line and the earlier one found for it is then verified on
 
 Variants are emitted only for lines that can have a partner. If two lines are one edit apart and one of them is cut into S segments, the edit lies in one of these, and
 what stands before it and after it is equal. So a line whose rest without a segment no other line has, for any segment, is set aside; that loses no pair. All lines are
-tried with two segments and those left with SEGMENTS."""
+tried with two segments and those left with SEGMENTS; of these, variants are emitted without a character of a segment for which there was another line."""
 
 from __future__ import annotations
 
@@ -97,22 +97,23 @@ def _halves() -> Column:
 def _segments() -> Column:
     """The same for SEGMENTS parts: for each the hash of what stands before and after it."""
     n = F.length("line")
-    keys = []
-    for more in (0, 1):
-        whole = n + more
-        for s in range(SEGMENTS):
-            begin, rest = F.floor(whole * s / SEGMENTS).cast("int"), (whole - F.floor(whole * (s + 1) / SEGMENTS)).cast("int")
-            keys.append(F.xxhash64(F.lit(s), whole, F.substring("line", F.lit(1), begin), F.substring("line", n - rest + 1, rest)))
-    return F.array(*keys)
+
+    def key(p: Column) -> Column:
+        whole, s = n + F.floor(p / SEGMENTS).cast("int"), p % SEGMENTS
+        begin, rest = F.floor(whole * s / SEGMENTS).cast("int"), (whole - F.floor(whole * (s + 1) / SEGMENTS)).cast("int")
+        return F.xxhash64(s, whole, F.substring("line", F.lit(1), begin), F.substring("line", n - rest + 1, rest))
+
+    # a key names its segment and the greater length; the first SEGMENTS of them take the line to be the longer one
+    return F.transform(F.sequence(F.lit(0), F.lit(2 * SEGMENTS - 1)), key)
 
 
 def _meeting(keyed: DataFrame, name: str) -> DataFrame:
-    """(h1) of the rows (h1, keys) of which a key is also another line's. A key's least and greatest line tell whether it has several, so no group of lines meets."""
-    each = keyed.select("h1", F.explode("keys").alias("key"))
+    """(h1, at) of the rows (h1, keys) of which a key is also another line's, and which ones are. A key's least and greatest line tell whether it has several, so no group of lines meets."""
+    each = keyed.select("h1", F.posexplode("keys").alias("pos", "key"))
     shared = each.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key")
     shared = written(shared, f"{name}-shared")
     few = shared.count() <= BROADCAST_ROWS
-    return each.join(F.broadcast(shared) if few else shared, "key", "left_semi").select("h1").distinct()
+    return each.join(F.broadcast(shared) if few else shared, "key", "left_semi").groupBy("h1").agg(F.sort_array(F.collect_set("pos")).alias("at"))
 
 
 LAST = 2**63 - 1
@@ -140,7 +141,7 @@ def _removed(docs: DataFrame, edits_from: int, doc_id: str, text: str) -> DataFr
 
     near = written(_meeting(spelled.select("h1", _segments().alias("keys")), "lines-segments"), "lines-near")
     few = near.count() <= BROADCAST_ROWS
-    spelled = spelled.join(F.broadcast(near) if few else near, "h1", "left_semi")
+    spelled = spelled.join(F.broadcast(near) if few else near, "h1")
     found = written(_earlier(written(spelled, "lines-near-text"), edits_from), "lines-alike")
     marked = distinct.join(found, ["h1", "h2"], "left").select("h1", "h2", "n", F.coalesce(F.least("first", "earlier"), F.col("first")).alias("keep"), F.col("earlier").isNotNull().alias("alike"))
     marked = marked.where("n > 1 or alike").select(F.col("h1").alias("m1"), F.col("h2").alias("m2"), "keep")
@@ -159,26 +160,28 @@ def removed_lines(docs: DataFrame, *, edits_from: int = EDITS_FROM, doc_id: str
 
 
 def _earlier(spelled: DataFrame, edits_from: int) -> DataFrame:
-    """(h1, h2, earlier): for lines (h1, h2, d, t, l, line) that have an earlier one within one edit, the earliest such."""
+    """(h1, h2, earlier): for lines (h1, h2, d, t, l, line) that have an earlier one within one edit, the earliest such. at: the line's keys of _segments() that another line has; the character to delete is in one of their segments."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple[np.ndarray, np.ndarray, int]] = []
             size = 0
-            for k, line in enumerate(batch["line"]):
+            for k, (line, shared) in enumerate(zip(batch["line"], batch["at"], strict=True)):
                 own, keys = variant_keys(line)
                 n = len(keys)
                 # role 0: the line itself, 1: a shorter line that it becomes, 2: a replacement at this place
                 if n < edits_from - 1:
                     continue
-                places = np.concatenate(([-1], np.full(n, -1), np.arange(n)))
-                every = np.concatenate(([own], keys.view(np.int64), keys.view(np.int64)))
-                roles = np.concatenate(([0], np.ones(n, dtype=np.int64), np.full(n, 2)))
+                here = np.zeros(n, dtype=bool)
+                for s in shared[shared < SEGMENTS].tolist():  # the others are those of a line that is one shorter
+                    here[n * s // SEGMENTS : n * (s + 1) // SEGMENTS] = n >= edits_from
+                where = np.flatnonzero(here)
                 # deleting any of equal characters side by side gives the same shorter line once
-                keep = np.concatenate(([True], np.concatenate(([True], keys[1:] != keys[:-1])), np.full(n, n >= edits_from)))
-                if n < edits_from:
-                    keep[1 : n + 1] = False
-                out.append((np.full(int(keep.sum()), k), every[keep], places[keep], roles[keep]))
+                once = where[np.concatenate(([True], (keys[where[1:]] != keys[where[:-1]]) | (np.diff(where) > 1)))[: len(where)]]
+                places = np.concatenate(([-1], np.full(len(once), -1), where))
+                every = np.concatenate(([own], keys[once].view(np.int64), keys[where].view(np.int64)))
+                roles = np.concatenate(([0], np.ones(len(once), dtype=np.int64), np.full(len(where), 2)))
+                out.append((np.full(len(places), k), every, places, roles))
                 size += len(out[-1][0])
                 if size > 100_000:
                     yield _emitted(batch, out)

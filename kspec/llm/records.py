@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .chunks import PATTERN, PieceEncoder
-from .common import by_size, shared_dir, text_of, written
+from .common import by_size, modest_batches, shared_dir, text_of, written
 
 CASTAGNOLI, MASK_DELTA, BLOCK = 0x82F63B78, 0xA282EAD8, 512
 HEAD = struct.Struct("<qIHH")
@@ -233,6 +233,7 @@ def write_records(docs: DataFrame, tokenizer: str, *, end_id: int | None = 2, wi
     A file is planned for FILE_BYTES of text, with no fewer files than shuffle partitions; many rows of one id spread over several. An empty table gives no file and an empty
     manifest. Other columns are not read."""
     spark = docs.sparkSession
+    modest_batches(spark)
     path = path or shared_dir(spark, "records")
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     n_bytes = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0

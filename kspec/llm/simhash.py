@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, by_size, row_key, text_of, without, written
+from .common import BROADCAST_ROWS, by_size, modest_batches, row_key, text_of, without, written
 
 TILE, QUARTERS = 2048, 4
 #: Words of a wide fingerprint, and the share of its bits in which two may differ to be verified.
@@ -89,6 +89,7 @@ def _ids(batch: pd.DataFrame) -> pd.Series:
 
 
 def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    modest_batches(docs.sparkSession)
     row_id, row_text = row_key(docs, doc_id, text)
     return docs.select(row_id.alias("doc_id"), row_text.alias("t"), text_of(text).alias("text"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, text_of, written
+from .common import by_size, modest_batches, text_of, written
 
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 #: Lengths of beginnings in characters, and how often a beginning must occur for each of its features.
@@ -125,6 +125,7 @@ def fit(
 
     Features are those whose share in toxic texts differs from that in the others by a likelihood ratio (G statistic) of least_evidence, the n_features with the greatest.
     Features of fewer than three chosen texts are not considered. A chosen text gives all its words; of rows that share an id one is taken. class_prior: the share of toxic texts; left out, their share among labelled rows outside the held-out fold. A null label or id counts as none; of an id with several labels the greatest counts. Without a confirmed text the model is constant."""
+    modest_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("lid"), F.col("toxic").cast("int").alias("toxic")).where("lid is not null and toxic is not null")
     if held_out_fold is not None:
         known = known.where(fold(F.col("lid")) != held_out_fold)
@@ -195,6 +196,8 @@ def scored(docs: DataFrame, model: Model, *, threshold: float = 0.7, held_out_fo
     """doc_id, held_out, score (0 to 1) and predicted (1 from the threshold on) of each row of docs, from its whole text alone. A null or empty text scores as one without a known
     feature; equal texts score alike; a null id is in no fold. Other columns are not read. The model has at most n_features words and goes to the executors with the function."""
 
+    modest_batches(docs.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids = batch["doc_id"] if batch["doc_id"].notna().all() else batch["doc_id"].astype("Int64")
@@ -208,6 +211,7 @@ def scored(docs: DataFrame, model: Model, *, threshold: float = 0.7, held_out_fo
 
 def without_toxic(docs: DataFrame, model: Model, *, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """docs less the rows that score at or above the threshold, each judged by its own text. Rows pass as they are, whatever their columns; a null text scores as an empty one."""
+    modest_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

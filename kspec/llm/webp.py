@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, text_of
+from .common import by_size, modest_batches, text_of
 
 # Fixed values of the format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -758,6 +758,8 @@ def media(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep_m
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; with keep_media the stored bytes. A null text is empty; equal texts
     have equal values; null ids stay null; an empty table gives no row. Other columns are not read."""
 
+    modest_batches(docs.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in by_size(batches):
             rows = []

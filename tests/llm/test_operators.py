@@ -235,44 +235,67 @@ def test_quality(docs, rows, empty):
     assert outliers.quality(empty).count() == 0
 
 
-def test_outliers_against_numpy(spark):
-    """The same estimate in numpy; planted outliers go, the rest stays."""
+STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, n_distinct long, base_failed boolean"
+
+
+def statistics(rng, i, lang, source, junk=False):
+    n = int(rng.integers(200, 400))
+    if junk:
+        return (i, lang, source, 300, 1800, 700, 0, 20, 0, 120, False)
+    return (i, lang, source, n, int(n * rng.normal(6, 0.2)), int(rng.integers(0, 3)), 0, 20, int(rng.integers(0, 5)), int(n**0.85 * rng.normal(1, 0.05)), False)
+
+
+def vectors(rows):
+    x = np.array([[math.log(r[4] / r[3]), math.sqrt(r[5] / r[4]), math.sqrt(r[8] / r[3]), 0.0, math.log(r[9] / r[3] ** 0.85)] for r in rows])
+    return np.round(x * outliers.SCALE)
+
+
+def best_determinant(x, floors, rng, starts=60):
+    """FAST-MCD as published: exact cores of three quarters, from random small subsets, to convergence; the least log determinant."""
+    h, best = math.ceil(0.75 * len(x)), math.inf
+    for _ in range(starts):
+        part = x[rng.choice(len(x), min(len(x), 8), replace=False)]
+        last = math.inf
+        while True:
+            mu, cov = part.mean(axis=0), np.cov(part.T, bias=True) + np.diag(floors**2)
+            z = np.linalg.solve(np.linalg.cholesky(cov), (x - mu).T)
+            part = x[np.argsort((z * z).sum(axis=0), kind="stable")[:h]]
+            now = np.linalg.slogdet(np.cov(part.T, bias=True) + np.diag(floors**2))[1]
+            if now >= last - 1e-9:
+                break
+            last = now
+        best = min(best, last)
+    return best
+
+
+def test_outliers_against_published_method(spark):
+    """Planted outliers go, the rest stays; determinants are those that random starts with exact cores reach, but for the width of a bin."""
     rng = np.random.default_rng(5)
-    rows = []
-    for i in range(600):
-        n = int(rng.integers(200, 400))
-        rows.append((i, "en", "a" if i % 3 else "b", n, int(n * rng.normal(6, 0.2)), int(rng.integers(0, 3)), 0, 20, int(rng.integers(0, 5)), int(n**0.85 * rng.normal(1, 0.05)), False))
-    for i in range(600, 620):
-        rows.append((i, "en", "a", 300, 1800, 700, 0, 20, 0, 120, False))
-    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, n_distinct long, base_failed boolean")
+    rows = [statistics(rng, i, "en", "a" if i % 3 else "b") for i in range(600)] + [statistics(rng, i, "en", "a", True) for i in range(600, 720)]
+    df = spark.createDataFrame(rows, STATS)
     got = {r.doc_id: r for r in outliers.mcd_outliers(df).collect()}
-    assert all(got[i].outlier for i in range(600, 620)) and not any(got[i].outlier for i in range(600))
-
-    floors = np.array([f for _, _, f in outliers.FEATURES])
+    assert all(got[i].outlier for i in range(600, 720)) and not any(got[i].outlier for i in range(600))
+    fit = spark.createDataFrame([(r[2], *map(int, v)) for r, v in zip(rows, vectors(rows), strict=True)], "grp string, v0 long, v1 long, v2 long, v3 long, v4 long")
+    found = {r.grp: r.log_det for r in outliers.mcd_estimates(fit).collect()}
+    floors = np.array([f for _, _, f in outliers.FEATURES]) * outliers.SCALE
     for source in "ab":
-        own = [r for r in rows if r[2] == source]
-        x = np.array([[math.log(r[4] / r[3]), math.sqrt(r[5] / r[4]), math.sqrt(r[8] / r[3]), 0.0, math.log(r[9] / r[3] ** 0.85)] for r in own])
-        x = np.round(x * outliers.SCALE) / outliers.SCALE
-
-        def low(v, share):
-            return np.sort(v)[math.ceil(len(v) * share) - 1]
-
-        mu = np.array([low(c, 0.5) for c in x.T])
-        cov = np.diag([(1.4826 * low(np.abs(c - m), 0.5)) ** 2 for c, m in zip(x.T, mu, strict=True)])
-
-        def d2(mu, cov):
-            z = np.linalg.solve(np.linalg.cholesky(cov + np.diag(floors**2)), (x - mu).T)
-            return (z * z).sum(axis=0)
-
-        for _ in range(3):
-            b = np.floor(np.log2(1 + d2(mu, cov)) * outliers.BINS_PER_DOUBLING)
-            core = x[b <= low(b, 0.75)]
-            mu, cov = core.mean(axis=0), np.cov(core.T, bias=True)
-        d = d2(mu, cov)
-        mid = low(np.floor(np.log2(1 + d) * outliers.BINS_PER_DOUBLING), 0.5)
-        normal = 5 * (1 - 2 / 45) ** 3
-        want = np.sqrt(d / (max(2 ** ((mid + 0.5) / outliers.BINS_PER_DOUBLING) - 1, normal) / normal))
-        assert np.allclose([got[r[0]].distance for r in own], want, rtol=1e-6, atol=1e-9)
+        want = best_determinant(vectors([r for r in rows if r[2] == source]), floors, rng)
+        assert found[source] <= want + 0.1
+
+
+def test_small_groups_are_judged_by_their_language(spark):
+    """The same junk text is an outlier in groups of any size, however small; a group's own kind counts the more the larger it is."""
+    rng = np.random.default_rng(6)
+    rows = [statistics(rng, i, "en", "a") for i in range(300)]
+    at = 300
+    for source, n in (("x", 0), ("y", 1), ("z", 10), ("w", 49), ("v", 60)):
+        rows += [statistics(rng, at + k, "en", source) for k in range(n)] + [statistics(rng, at + n, "en", source, True)]
+        at += n + 1
+    rows += [(at, None, None, 0, 0, 0, 0, 0, 0, 0, True), (at + 1, None, "a", 50, 250, 0, 0, 5, 0, 40, False), (at + 1, None, "a", 50, 250, 0, 0, 5, 0, 40, False)]
+    got = outliers.mcd_outliers(spark.createDataFrame(rows, STATS)).collect()
+    assert len(got) == len(rows)
+    junk = {r[0] for r in rows if r[5] == 700}
+    assert {g.doc_id for g in got if g.outlier and not g.base_failed} == junk
 
 
 def test_webp_round_trips():
