@@ -1,15 +1,27 @@
-"""K-mer expressions: canonical form, packing, GC content, and the explosion of sequences into windows."""
+"""K-mer expressions: canonical form, packing, GC content, and the windows of sequences.
+
+Windows of packed k-mers are made in numpy, a few steps for a million at a time: as string expressions each window costs some microseconds."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 #: Anything but these letters breaks a sequence.
 BASES = "acgt"
 BREAK = "-"
-#: Windows that one row explodes into. A chunk overlaps the next by k - 1, so a window is taken from a short string wherever it lies.
-CHUNK = 512
+#: Bases of a chunk, of packed k-mers and of longer ones. A chunk overlaps the next by k - 1, so chunks are independent, and those of one long sequence go to many tasks.
+CHUNK, LONG_K_CHUNK = 1 << 14, 512
+#: Windows that are packed together.
+GROUP = 1 << 20
 #: Longest k-mer whose two bits a base fit a signed long.
 MAX_PACKED = 31
 
@@ -41,14 +53,68 @@ def cleaned(sequence: Column) -> Column:
     return F.regexp_replace(F.lower(sequence), "[^acgt]", BREAK)
 
 
-def windows(sequences: DataFrame, k: int, keep: tuple[str, ...] = ("seq_id",)) -> DataFrame:
-    """keep..., pos, kmer (packed if it fits) for each valid window of column seq. A sequence shorter than k, empty or null gives none."""
+def packed_windows(bases: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the valid windows and their canonical k-mers as pack() writes them; any byte but the four bases breaks.
+
+    Keys of twice the length are put together from two keys, so a window takes a few steps for each doubling up to k, for all windows at once."""
+    n = len(bases) - k + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    lookup = np.full(256, 4, dtype=np.int64)
+    lookup[np.frombuffer(BASES.encode(), dtype=np.uint8)] = np.arange(4)
+    code = lookup[np.frombuffer(bases, dtype=np.uint8)]
+    broken = np.concatenate(([0], np.cumsum(code == 4)))
+    at = np.flatnonzero(broken[k:] == broken[:-k])
+    code &= 3
+    forward, backward, length = code, 3 - code, 1  # keys of windows of this length, and of their reverse complements
+    whole_f = whole_b = np.zeros(len(code), dtype=np.int64)
+    done = 0
+    while True:
+        if k & length:  # this length's keys follow what has been put together
+            m = len(code) - done - length + 1
+            whole_b = whole_b[:m] | backward[done : done + m] << 2 * done
+            whole_f = whole_f[:m] << 2 * length | forward[done : done + m]
+            done += length
+        if done == k:
+            return at, np.minimum(whole_f, whole_b)[at]
+        forward, backward = forward[:-length] << 2 * length | forward[length:], backward[:-length] | backward[length:] << 2 * length
+        length *= 2
+
+
+def windows(sequences: DataFrame, k: int, keep: tuple[str, ...] = ("seq_id",), *, positions: bool = True) -> DataFrame:
+    """keep..., pos (unless positions is false), kmer (packed if it fits) for each valid window of column seq. A sequence shorter than k, empty or null gives none.
+
+    Chunks are dealt to tasks before they become windows, so neither few input files nor one long sequence keep the work in one place."""
+    size = CHUNK if k <= MAX_PACKED else LONG_K_CHUNK
     # bytes, not characters: the n-th byte is found without walking there, so a long sequence costs no square of its length
     raw = F.encode("seq", "UTF-8")
-    chunk = F.explode(F.sequence(F.lit(0), ((F.octet_length("seq") - k) / F.lit(CHUNK)).cast("int")))
+    chunk = F.explode(F.sequence(F.lit(0), ((F.octet_length("seq") - k) / F.lit(size)).cast("int")))
     chunks = sequences.where(F.octet_length("seq") >= k).select(*keep, raw.alias("raw"), chunk.alias("c"))
-    part = F.decode(F.substring("raw", F.col("c") * CHUNK + 1, F.lit(CHUNK + k - 1)), "UTF-8")
-    chunks = chunks.select(*keep, "c", part.alias("part"))
-    each = chunks.select(*keep, "c", "part", F.explode(F.sequence(F.lit(0), F.length("part") - k)).alias("i"))
-    each = each.select(*keep, (F.col("c") * CHUNK + F.col("i")).cast("int").alias("pos"), F.substring("part", F.col("i") + 1, F.lit(k)).alias("w"))
-    return each.where(~F.col("w").contains(BREAK)).select(*keep, "pos", pack(canonical(F.col("w")), k).alias("kmer"))
+    chunks = chunks.select(*keep, (F.col("c") * size).alias("start"), F.substring("raw", F.col("c") * size + 1, F.lit(size + k - 1)).alias("part"))
+    chunks = chunks.repartition(int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    place = ("pos",) if positions else ()
+    if k > MAX_PACKED:
+        each = chunks.withColumn("part", F.decode("part", "UTF-8"))
+        each = each.select(*keep, "start", "part", F.explode(F.sequence(F.lit(0), F.length("part") - k)).alias("i"))
+        each = each.select(*keep, (F.col("start") + F.col("i")).cast("int").alias("pos"), F.substring("part", F.col("i") + 1, F.lit(k)).alias("w"))
+        return each.where(~F.col("w").contains(BREAK)).select(*keep, *place, canonical(F.col("w")).alias("kmer"))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for batch in batches:
+            parts, starts = batch.column(len(keep) + 1).to_pylist(), batch.column(len(keep)).to_numpy()
+            lengths = np.array([len(x) + 1 for x in parts], dtype=np.int64)  # with a break behind each
+            for rows in np.split(np.arange(len(parts)), np.flatnonzero(np.diff(np.cumsum(lengths) // GROUP)) + 1):
+                if not len(rows):
+                    continue
+                begin = np.concatenate(([0], np.cumsum(lengths[rows])[:-1]))
+                at, keys = packed_windows(b"-".join([parts[i] for i in rows]), k)
+                row = np.searchsorted(begin, at, side="right") - 1
+                held = [batch.column(i).take(pa.array(rows[row])) for i in range(len(keep))]
+                if positions:
+                    held.append(pa.array((starts[rows[row]] + at - begin[row]).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*held, pa.array(keys)], names=[*keep, *place, "kmer"])
+
+    fields = [StructField(c, sequences.schema[c].dataType) for c in keep] + ([StructField("pos", IntegerType())] if positions else [])
+    return chunks.mapInArrow(emit, StructType([*fields, StructField("kmer", LongType())]))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .profile import islands
+from .profile import runs
 
 #: A block as long as this is an anchor, and so is one with this many marked bases for each base of k.
 ANCHOR_LENGTH, ANCHOR_MARKS_PER_K = 20_000, 5
@@ -19,11 +19,15 @@ def hap_sites(prof: DataFrame, k: int) -> DataFrame:
     """seq_id, contig, beg, end, mrk, n, kept: chains of overlapping markers. mrk: maternal less paternal ones; maternal where both. Sites of mixed markers (|mrk| below a quarter) aren't kept.
 
     prof: seq_id, contig, pos, mat_cnt, pat_cnt."""
+    return sites_of(prof, k, ("seq_id", "contig"))
+
+
+def sites_of(prof: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:
+    """The same for any grouping. Contigs are k positions apart at least, so sites never reach over two, with or without contig among the columns."""
     sign = F.when(F.col("mat_cnt") > 0, 1).when(F.col("pat_cnt") > 0, -1)
-    marks = prof.select("seq_id", "contig", "pos", sign.alias("sign")).where("sign is not null")
-    sites = islands(marks, k - 1, ("seq_id", "contig")).groupBy("seq_id", "contig", "island")
-    out = sites.agg(F.min("pos").cast("long").alias("beg"), (F.max("pos") + k).cast("long").alias("end"), F.sum("sign").cast("long").alias("mrk"), F.count("*").alias("n"))
-    return out.drop("island").withColumn("kept", F.abs("mrk") >= F.expr("(n + 3) div 4"))
+    marks = prof.select(*by, "pos", sign.alias("sign")).where("sign is not null")
+    sites = runs(marks, k - 1, by, {"mrk": F.col("sign"), "n": F.lit(1)})
+    return sites.select(*by, "beg", (F.col("last") + k).alias("end"), "mrk", "n", (F.abs("mrk") >= F.expr("(n + 3) div 4")).alias("kept"))
 
 
 def pure_blocks(sites: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Positions that are put in order together.
+BLOCK = 1_000_000
+
 
 def profile(positions: DataFrame, counts: DataFrame, columns: dict[str, str]) -> DataFrame:
     """positions (seq_id, pos, kmer) with a count for each of columns (new name: column of counts), 0 where the table lacks the k-mer.
@@ -36,26 +39,42 @@ def assembly_qv(prof: DataFrame, k: int) -> DataFrame:
     return sums.unionByName(both).select("assembly", "miss", "total", err.alias("err_pct"), qv.alias("qv"))
 
 
-def islands(df: DataFrame, gap: int, by: tuple[str, ...] = ("seq_id",), pos: str = "pos") -> DataFrame:
-    """df with `island`: a row more than gap after the one before begins another."""
-    w = Window.partitionBy(*by).orderBy(pos)
-    new = F.when(F.col(pos) - F.lag(pos).over(w) > gap, 1).otherwise(0)
-    return df.withColumn("__new", new).withColumn("island", F.sum("__new").over(w).cast("long")).drop("__new")
+def runs(df: DataFrame, gap: int, by: tuple[str, ...] = ("seq_id",), sums: dict[str, F.Column] | None = None, pos: str = "pos") -> DataFrame:
+    """by..., island (from 0), beg, last and the sums: runs of rows of which each is at most gap after the one before.
+
+    Rows are put in order within blocks of BLOCK positions, and become runs there; only the runs, a few a block, are put in order along a whole sequence. So no task sorts a chromosome's positions."""
+    sums = sums or {}
+    block = F.floor(F.col(pos) / BLOCK).alias("__block")
+    inner = Window.partitionBy(*by, "__block").orderBy("__pos")
+    each = df.select(*by, F.col(pos).cast("long").alias("__pos"), block, *[c.alias(f"__s_{n}") for n, c in sums.items()])
+    each = each.withColumn("__new", F.when(F.col("__pos") - F.lag("__pos").over(inner) > gap, 1).otherwise(0)).withColumn("__run", F.sum("__new").over(inner))
+    parts = each.groupBy(*by, "__block", "__run").agg(F.min("__pos").alias("__beg"), F.max("__pos").alias("__last"), *[F.sum(f"__s_{n}").alias(f"__s_{n}") for n in sums])
+    outer = Window.partitionBy(*by).orderBy("__beg")
+    parts = parts.withColumn("__new", F.when(F.col("__beg") - F.lag("__last").over(outer) > gap, 1).otherwise(0)).withColumn("island", F.sum("__new").over(outer).cast("long"))
+    return parts.groupBy(*by, "island").agg(F.min("__beg").alias("beg"), F.max("__last").alias("last"), *[F.sum(f"__s_{n}").cast("long").alias(n) for n in sums])
 
 
 def unsupported_bed(prof: DataFrame, k: int) -> DataFrame:
     """seq_id, beg, end (half open) of stretches covered by k-mers that the reads lack; touching ones are one."""
-    missing = islands(prof.where("read_cnt = 0").select("seq_id", "pos"), k)
-    return missing.groupBy("seq_id", "island").agg(F.min("pos").cast("long").alias("beg"), (F.max("pos") + k).cast("long").alias("end")).drop("island")
+    return runs(prof.where("read_cnt = 0"), k).select("seq_id", "beg", (F.col("last") + k).alias("end"))
 
 
 def contigs(positions: DataFrame, k: int, by: tuple[str, ...] = ("seq_id",)) -> DataFrame:
     """by..., contig (from 0 in each sequence), beg, n_pos, size (n_pos + k - 1) of maximal runs of valid positions."""
-    runs = islands(positions.select(*by, "pos"), 1, by).groupBy(*by, "island").agg(F.min("pos").cast("long").alias("beg"), F.count("*").alias("n_pos"))
-    return runs.select(*by, F.col("island").alias("contig"), "beg", "n_pos", (F.col("n_pos") + k - 1).alias("size"))
+    found = runs(positions, 1, by, {"n_pos": F.lit(1)})
+    return found.select(*by, F.col("island").alias("contig"), "beg", "n_pos", (F.col("n_pos") + k - 1).alias("size"))
 
 
 def hap_blob(prof: DataFrame, by: tuple[str, ...] = ("assembly", "seq_id")) -> DataFrame:
     """by..., contig, mat, pat, size: positions of each contig with a maternal and with a paternal marker (a position may count in both), and all of them."""
-    marked = islands(prof, 1, by)
-    return marked.groupBy(*by, F.col("island").alias("contig")).agg(F.count_if(F.col("mat_cnt") > 0).alias("mat"), F.count_if(F.col("pat_cnt") > 0).alias("pat"), F.count("*").alias("size"))
+    sums = {"mat": (F.col("mat_cnt") > 0).cast("int"), "pat": (F.col("pat_cnt") > 0).cast("int"), "size": F.lit(1)}
+    return runs(prof, 1, by, sums).select(*by, F.col("island").alias("contig"), "mat", "pat", "size")
+
+
+def located(places: DataFrame, contig_table: DataFrame, pos: str = "beg") -> DataFrame:
+    """places (seq_id, pos and others) with the contig in which each lies: the last one that begins there or before. contig_table: seq_id, contig, beg."""
+    names = [c for c in places.columns if c not in ("seq_id", pos)]
+    starts = contig_table.select("seq_id", F.col("beg").alias(pos), F.col("contig").alias("__contig"), *[F.lit(None).cast(places.schema[c].dataType).alias(c) for c in names], F.lit(0).alias("__place"))
+    both = starts.unionByName(places.select("seq_id", pos, F.lit(None).cast("long").alias("__contig"), *names, F.lit(1).alias("__place")))
+    seen = F.last("__contig", True).over(Window.partitionBy("seq_id").orderBy(pos, "__place"))
+    return both.withColumn("contig", seen).where("__place = 1").drop("__contig", "__place")

@@ -40,12 +40,16 @@ def size_stats(sizes: DataFrame) -> DataFrame:
 
 
 def n_curve(sizes: DataFrame, by: str, genome: int | None = None) -> DataFrame:
-    """by, size, cum, n, n2: sizes from the greatest down with the share of the total (or of a genome's size) that they reach, and the share before; ties in one step each, in the order of `id`.
-
-    A last row of size 0 lets a step line end."""
-    w = Window.partitionBy(by).orderBy(F.desc("size"), "id")
-    total = F.lit(float(genome)) if genome else F.sum("size").over(Window.partitionBy(by))
-    steps = sizes.withColumn("cum", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).withColumn("n", 100.0 * F.col("cum") / total)
-    steps = steps.withColumn("n2", F.coalesce(F.lag("n").over(w), F.lit(0.0)))
-    end = steps.groupBy(by).agg(F.max("cum").alias("cum"), F.max("n").alias("n")).select(by, F.lit(0).cast("long").alias("size"), "cum", "n", F.col("n").alias("n2"))
-    return steps.select(by, F.col("size").cast("long").alias("size"), "cum", "n", "n2").unionByName(end)
+    """by, size, cum, n, n2: sizes from the greatest down with the share of the total (or of a genome's size) that they reach, and the share before; equal sizes in one step each.
+
+    A last row of size 0 lets a step line end. Only different sizes are put in order; equal ones become steps afterwards."""
+    by_size = sizes.groupBy(by, F.col("size").cast("long").alias("size")).agg(F.count("*").alias("c"))
+    mass = F.col("size") * F.col("c")
+    order, whole = Window.partitionBy(by).orderBy(F.desc("size")), Window.partitionBy(by)
+    upto = by_size.select(by, "size", "c", (F.sum(mass).over(order) - mass).alias("before"), F.sum(mass).over(whole).alias("all"))
+    each = upto.select(by, "size", "all", "before", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("nth"))
+    steps = each.select(by, "size", "all", (F.col("before") + F.col("nth") * F.col("size")).alias("cum"))
+    total = F.lit(float(genome)) if genome else F.col("all")
+    steps = steps.select(by, "size", "cum", (100.0 * F.col("cum") / total).alias("n"), (100.0 * (F.col("cum") - F.col("size")) / total).alias("n2"))
+    end = by_size.groupBy(by).agg(F.sum(mass).alias("cum")).withColumn("n", 100.0 * F.col("cum") / (total if genome else F.col("cum")))
+    return steps.unionByName(end.select(by, F.lit(0).cast("long").alias("size"), "cum", "n", F.col("n").alias("n2")))

@@ -20,7 +20,7 @@ class KmerTable:
     @staticmethod
     def count(sequences: DataFrame, k: int) -> KmerTable:
         """Counts canonical k-mers of column seq. Counts are summed before rows meet; keys are packed where they fit."""
-        return KmerTable(windows(sequences, k, ()).groupBy("kmer").agg(F.count("*").alias("cnt")), k)
+        return KmerTable(windows(sequences, k, (), positions=False).groupBy("kmer").agg(F.count("*").alias("cnt")), k)
 
     @staticmethod
     def load(spark: SparkSession, path: str, k: int, cut_off: int = 1) -> KmerTable:
@@ -85,5 +85,5 @@ def joint_counts(labelled: DataFrame, k: int, labels: dict[str, str]) -> DataFra
 
     Every set expression over the tables is a filter on this one; sequences are read once and k-mers shuffled once, however many tables there are."""
     flags = [c for c in labelled.columns if c != "seq"]
-    each = windows(labelled, k, tuple(flags))
+    each = windows(labelled, k, tuple(flags), positions=False)
     return each.groupBy("kmer").agg(*[F.count_if(F.expr(on)).alias(name) for name, on in labels.items()])

@@ -17,17 +17,6 @@ ROLES = {"mat": "seq_id % 8 in (0, 1, 2, 3)", "pat": "seq_id % 8 in (2, 3, 4, 5)
 #: Limit of the smoothed matrices and of the peaks: the reference's, as of the plain matrices.
 CELLS = 1000
 
-_kept: dict[tuple, DataFrame] = {}
-
-
-def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """Several queries of a session read one table of counts; it is persisted at its first use."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _kept:
-        _kept[key] = make().persist()
-    return _kept[key]
-
-
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -38,7 +27,7 @@ def _seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kmer and a count for each role."""
-    return _once(spark, sf_dir, "counts", lambda: joint_counts(_seqs(spark, sf_dir), K, ROLES))
+    return joint_counts(_seqs(spark, sf_dir), K, ROLES)
 
 
 def _table(counts: DataFrame, role: str) -> KmerTable:
@@ -108,7 +97,7 @@ _on_counts("spectrum_peaks", lambda c: histogram.spectrum_peaks(spectra.cn_spect
 _on_counts("axis_limits", lambda c: histogram.axis_limits(spectra.cn_spectrum(c, "child", "asm1"), "copies", "class_ord"))
 _on_counts("completeness", lambda c: stats.completeness(c, "child", ["asm1", "asm2"]))
 _on_counts("parent_completeness", lambda c: stats.parent_completeness(c, ["asm1", "asm2"], ["mat", "pat"]))
-_on_counts("joint_matrix", lambda c: matrix.joint_matrix(matrix.joined_counts(_table(c, "asm1"), _table(c, "asm2")), "cnt1", "cnt2"))
+_on_counts("joint_matrix", lambda c: matrix.joint_matrix(c, "asm1", "asm2"))
 _on_counts("gc_matrix", lambda c: matrix.gc_matrix(_table(c, "child")))
 _on_counts("gc_matrix_smoothed", lambda c: _smoothed_gc(c))
 _on_counts("joint_matrix_smoothed", lambda c: _smoothed_joint(c))
@@ -183,20 +172,16 @@ def contig_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def n_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = contigs(spark, sf_dir).select(F.lit("contig").alias("type"), "size", F.struct("seq_id", "contig").alias("id"))
+    sized = contigs(spark, sf_dir).select(F.lit("contig").alias("type"), "size")
     return stats.n_curve(sized, "type")
 
 
 def _chimera_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq_id, contig (one each), pos, mat_cnt, pat_cnt of the chimeras; markers are one parent's k-mers that the other lacks."""
-
-    def make() -> DataFrame:
-        docs = _docs(spark, sf_dir)
-        counts = joint_counts(unbroken(docs).drop("doc_id"), K, {r: ROLES[r] for r in ("mat", "pat")})
-        marks = counts.where("(mat > 0) != (pat > 0)")
-        return profile.profile(windows(chimeras(docs), K), marks, {"mat_cnt": "mat", "pat_cnt": "pat"}).withColumn("contig", F.lit(0).cast("long"))
-
-    return _once(spark, sf_dir, "chimera", make)
+    docs = _docs(spark, sf_dir)
+    counts = joint_counts(unbroken(docs).drop("doc_id"), K, {r: ROLES[r] for r in ("mat", "pat")})
+    marks = counts.where("(mat > 0) != (pat > 0)")
+    return profile.profile(windows(chimeras(docs), K), marks, {"mat_cnt": "mat", "pat_cnt": "pat"}).withColumn("contig", F.lit(0).cast("long"))
 
 
 @query
@@ -211,7 +196,9 @@ def pure_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def phase_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = _chimera_profile(spark, sf_dir).groupBy("seq_id", "contig").agg(F.min("pos").cast("long").alias("beg"), (F.max("pos") - F.min("pos") + K).cast("long").alias("size"))
+    # a chimera has no breaks, so it is one contig from its first base to its last
+    whole = chimeras(_docs(spark, sf_dir)).where(F.length("seq") >= K)
+    ends = whole.select("seq_id", F.lit(0).cast("long").alias("contig"), F.lit(0).cast("long").alias("beg"), F.length("seq").cast("long").alias("size"))
     return phasing.phase_blocks(pure_blocks(spark, sf_dir), ends, K)
 
 

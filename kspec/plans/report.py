@@ -85,7 +85,9 @@ def full(reads: DataFrame, asms: list[Source], k: int, markers: tuple[DataFrame,
             positions = windows(df, k)
             marks = [m.select("kmer", F.lit(1).alias(n)) for m, n in zip(markers, ("mat", "pat"), strict=True)]
             both = marks[0].join(marks[1], "kmer", "full_outer").select("kmer", F.coalesce("mat", F.lit(0)).alias("mat"), F.coalesce("pat", F.lit(0)).alias("pat"))
-            p = profile.islands(profile.profile(positions, both, {"mat_cnt": "mat", "pat_cnt": "pat"}), 1).withColumnRenamed("island", "contig")
-            blocks = phasing.phase_blocks(phasing.pure_blocks(phasing.hap_sites(p, k)), profile.contigs(positions, k), k)
+            p = profile.profile(positions, both, {"mat_cnt": "mat", "pat_cnt": "pat"})
+            contig_table = profile.contigs(positions, k)
+            sites = profile.located(phasing.sites_of(p, k, ("seq_id",)), contig_table)
+            blocks = phasing.phase_blocks(phasing.pure_blocks(sites), contig_table, k)
             out |= {f"{name}.phased_block": blocks, f"{name}.block_stats": stats.size_stats(blocks), f"{name}.block_totals": phasing.phase_totals(blocks)}
     return out

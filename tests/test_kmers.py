@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kspec import cli
 from kspec.functions.kmer import CHUNK
@@ -168,6 +169,57 @@ def test_readers_and_programs(spark, tmp_path):
             cli.run(spark, bad)
 
 
+def test_split_files(spark, tmp_path):
+    """Many small splits of several files: numbers follow the files; headers hold '>', lines end in CR LF, quality lines begin with '@'."""
+    rng = random.Random(3)
+    seqs = ["".join(rng.choices("acgt", k=rng.randrange(1, 200))) for _ in range(120)]
+    for f in range(3):
+        end = "\r\n" if f == 1 else "\n"
+        part = list(enumerate(seqs))[40 * f : 40 * f + 40]
+        with open(tmp_path / f"{f}.fa", "w", newline="") as fa, open(tmp_path / f"{f}.fastq", "w", newline="") as fq:
+            fa.write("".join(f">s{i} a>b >c{end}{s[:70].upper()}{end}{s[70:]}{end}" for i, s in part))
+            fq.write("".join(f"@s{i}{end}{s}{end}+{end}{'@' * len(s)}{end}" for i, s in part))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        fa, fq = read_fasta(spark, [str(tmp_path / f"{f}.fa") for f in (2, 0, 1)]), read_fastq(spark, [str(tmp_path / f"{f}.fastq") for f in range(3)])
+        assert [(r.seq_id, r.name, r.seq) for r in fa.orderBy("seq_id").collect()] == [(i, f"s{i} a>b >c", s) for i, s in enumerate(seqs)]
+        assert [(r.seq_id, r.name, r.seq) for r in fq.orderBy("seq_id").collect()] == [(i, f"s{i}", s) for i, s in enumerate(seqs)]
+        (tmp_path / "bad.fa").write_text("acgt\n>x\nacgt\n")
+        (tmp_path / "bad.fastq").write_text("@x\nacgt\n+\nIIII\nx\nacgt\n+\nIIII\n")
+        for read, name in ((read_fasta, "bad.fa"), (read_fastq, "bad.fastq")):
+            with pytest.raises(Exception, match="header"):
+                read(spark, str(tmp_path / name)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_runs_over_block_edges(spark, monkeypatch):
+    """Runs that end before, at and after the edge of a block, and one over several blocks."""
+    monkeypatch.setattr(profile, "BLOCK", 10)
+    rng = random.Random(8)
+    pos = sorted(rng.sample(range(400), 150)) + list(range(500, 560))
+    rows = [(s, p, p % 3) for s in (1, 2) for p in pos if s == 1 or p % 7]
+    df = spark.createDataFrame(rows, "seq_id long, pos int, w int")
+    for gap in (1, 3, 12):
+        want = {}
+        for s in (1, 2):
+            run, n = [], 0
+            for _, p, w in [r for r in rows if r[0] == s] + [(s, 10**6, 0)]:
+                if run and p - run[-1][0] > gap:
+                    want[s, n] = (run[0][0], run[-1][0], sum(x for _, x in run))
+                    run, n = [], n + 1
+                run.append((p, w))
+        got = profile.runs(df, gap, sums={"w": F.col("w")}).collect()
+        assert {(r.seq_id, r.island): (r.beg, r.last, r.w) for r in got} == want
+
+
+def test_sites_are_located_in_contigs(spark):
+    contigs = spark.createDataFrame([(1, 0, 5), (1, 1, 50), (2, 0, 0)], "seq_id long, contig long, beg long")
+    places = spark.createDataFrame([(1, 5, "a"), (1, 49, "b"), (1, 50, "c"), (1, 99, "d"), (2, 7, "e")], "seq_id long, beg long, x string")
+    assert {r.x: r.contig for r in profile.located(places, contigs).collect()} == {"a": 0, "b": 0, "c": 1, "d": 1, "e": 0}
+
+
 def test_streaming(spark, tmp_path):
     seqs = sequences(11, 5, 120)
     frame(spark, seqs).write.parquet(str(tmp_path / "in"))
