@@ -1,7 +1,8 @@
 """Personal data in texts, by DataFrame functions only.
 
-Regular expressions propose spans. Validators confirm them: Luhn for cards, mod-97 for IBANs, ranges and digit counts for the rest. Words nearby raise
-a span's score. Spans of the base kinds stay whatever their score; spans of the added kinds need at least `threshold`."""
+Regular expressions propose spans. Validators confirm them: Luhn for cards, mod-97 for IBANs and French numbers, a letter by mod-23 for Spanish ones, mod-11 for British and German
+ones, entropy for keys and secrets, ranges and digit counts for the rest. Words nearby raise or lower a span's score. Spans of the base kinds stay whatever their score; spans of the
+added kinds need at least `threshold`."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban", "ssn", "tel")
+ADDED_KINDS = ("iban", "ssn", "tel", "dni", "nir", "nhs", "idnr", "key", "secret")
 
 #: The same matches as the plain patterns find. Possessive repeats need no stack however long a match is, and the looks behind keep a long run without a match from being tried at each of its characters.
 PATTERNS = {
@@ -24,6 +25,12 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "tel": r"(?<![0-9+-])(?:\([0-9]{3}\)\x20|[0-9]{3}[\x20-])[0-9]{3}-[0-9]{4}(?![0-9-])",
+    "dni": r"(?<![A-Za-z0-9])[0-9XYZ][0-9]{7}-?[A-Z](?![A-Za-z0-9])",
+    "nir": r"(?<![0-9])[12]\x20?[0-9]{2}\x20?(?:0[1-9]|1[0-2])\x20?[0-9]{2}\x20?[0-9]{3}\x20?[0-9]{3}\x20?[0-9]{2}(?![0-9])",
+    "nhs": r"(?<![0-9-])[0-9]{3}[\x20-]?[0-9]{3}[\x20-]?[0-9]{4}(?![0-9-])",
+    "idnr": r"(?<![0-9])[1-9][0-9]\x20?[0-9]{3}\x20?[0-9]{3}\x20?[0-9]{3}(?![0-9])",
+    "key": r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,255}+|xox[abprs]-[A-Za-z0-9-]{10,255}+|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,255}+|eyJ[A-Za-z0-9_-]{8,4096}+\.eyJ[A-Za-z0-9_-]{8,4096}+\.[A-Za-z0-9_-]{8,4096}+)",
+    "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,512}+={0,2}(?![A-Za-z0-9+/_=-])",
 }
 #: Where a proposed IBAN (the pattern finds its first four characters) may go on to, and the lengths that countries have fixed.
 IBAN_CHARS = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}"
@@ -33,9 +40,9 @@ IBAN_LENGTHS = dict(x.split(":") for x in (
     "AL:28 AZ:28 BY:28 CY:28 DO:28 GT:28 HN:28 HU:28 LB:28 NI:28 PL:28 SV:28 BR:29 EG:29 PS:29 QA:29 UA:29 JO:30 KW:30 MU:30 YE:30 MT:31 SC:31 LC:32 RU:33"
 ).split())
 #: What a text must hold for the pattern to match at all.
-NEEDS = {"email": "@", "ip": ".", "phone": "+", "iban": None, "card": None, "ssn": "-", "tel": None}
+NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 #: Score of a span of each kind once its validator has confirmed it.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "tel": 0.3}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "tel": 0.3, "dni": 0.6, "nir": 0.8, "nhs": 0.3, "idnr": 0.3, "key": 0.9, "secret": 0.4}
 CONTEXT = {
     "email": "mail|contact|write|kontakt|correo|courriel",
     "ip": "ip|address|host|server|adresse",
@@ -44,6 +51,22 @@ CONTEXT = {
     "iban": "iban|account|bank|konto|cuenta|compte",
     "ssn": "ssn|social|security|tax",
     "tel": "phone|call|tel|mobile|fax|telefon|llama|appel",
+    "dni": "dni|nif|nie|identidad|documento",
+    "nir": "nir|securite|sécurité|assur",
+    "nhs": "nhs|patient|health|medical",
+    "idnr": "steuer|idnr|identifikationsnummer|tin",
+    "key": "key|token|secret|auth",
+    "secret": "token|secret|passw|api|key|auth|bearer|credential|passwort|clave|jeton",
+}
+#: Words that speak against a span of an added kind.
+AGAINST = {
+    "ssn": "order|invoice|serial|version",
+    "tel": "order|invoice|serial|version",
+    "dni": "order|invoice|serial|pedido|factura",
+    "nhs": "order|invoice|serial|isbn|phone|call|tel",
+    "idnr": "order|invoice|serial|rechnung|bestell",
+    "key": "example|placeholder",
+    "secret": "sha|commit|checksum|digest|hash|md5|revision|etag|example|placeholder",
 }
 CONTEXT_CHARS, CONTEXT_SCORE = 40, 0.35
 BLOCK = 256
@@ -105,6 +128,21 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.split(turned, "(?<=.)"), F.lit(0), add) == 1
 
 
+#: The check letters of Spanish identity numbers, by the remainder of 23. Fixed value.
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+
+
+def entropy(m: Column) -> Column:
+    """Bits a character of a string by its own frequencies."""
+    def of(letters: Column) -> Column:
+        def term(a: Column, c: Column) -> Column:
+            return let(F.length(m) - F.length(F.replace(m, c, F.lit(""))), lambda k: a - k / F.length(m) * F.log2(k / F.length(m)))
+
+        return F.aggregate(letters, F.lit(0.0), term)
+
+    return let(F.filter(F.array_distinct(F.split(m, "(?<=.)")), lambda c: c != ""), of)
+
+
 def confirmed(kind: str, m: Column) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     n = F.length(digits)
@@ -114,6 +152,24 @@ def confirmed(kind: str, m: Column) -> Column:
         return n.between(13, 19) & luhn(digits)
     if kind == "phone":
         return n.between(9, 15)
+    if kind == "dni":
+        number = F.translate(F.substring(m, 1, 8), "XYZ", "012").cast("long")
+        return F.right(m, F.lit(1)) == F.substring(F.lit(DNI_LETTERS), (number % 23 + 1).cast("int"), F.lit(1))
+    if kind == "nir":
+        return let(F.substring(digits, 1, 13).cast("long"), lambda v: 97 - v % 97 == F.substring(digits, 14, 2).cast("long"))
+    if kind == "nhs":
+        weighted = F.aggregate(F.sequence(F.lit(1), F.lit(9)), F.lit(0), lambda a, i: a + F.substring(digits, i, F.lit(1)).cast("int") * (11 - i))
+        return (11 - weighted % 11) % 11 == F.substring(digits, 10, 1).cast("int")
+    if kind == "idnr":
+        def turn(p: Column, i: Column) -> Column:
+            return let((F.substring(digits, i, F.lit(1)).cast("int") + p) % 10, lambda v: F.when(v == 0, 10).otherwise(v) * 2 % 11)
+
+        check = F.aggregate(F.sequence(F.lit(1), F.lit(10)), F.lit(10), turn)
+        return ((11 - check) % 10 == F.substring(digits, 11, 1).cast("int")) & (F.size(F.array_distinct(F.split(F.substring(digits, 1, 10), "(?<=.)"))) < 11)
+    if kind == "key":
+        return entropy(m) >= 3.0
+    if kind == "secret":  # words joined by strokes have few digits
+        return (n >= 3) & m.rlike("[A-Za-z]") & (entropy(m) >= 3.0)
     if kind == "ssn":
         return ~m.rlike("^(000|666|9)") & ~m.rlike("-00-") & ~m.rlike("-0000$")
     return n.between(9, 12) if kind == "tel" else F.lit(True)
@@ -158,11 +214,14 @@ def spans_of(text: Column, kind: str) -> Column:
     def scored(x: Column) -> Column:
         end = x["s"] + F.length(x["m"])
         near = F.concat(F.substring(text, F.greatest(x["s"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT_CHARS))), F.lit(" "), F.substring(text, end + 1, F.lit(CONTEXT_CHARS)))
-        score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near.rlike(rf"(?i)\b(?:{CONTEXT[kind]})"), CONTEXT_SCORE).otherwise(0.0))
+        score = F.lit(SCORES[kind]) + F.when(near.rlike(rf"(?i)(?<![A-Za-z])(?:{CONTEXT[kind]})"), CONTEXT_SCORE).otherwise(0.0)
+        if kind in AGAINST:
+            score = score - F.when(near.rlike(rf"(?i)(?<![A-Za-z])(?:{AGAINST[kind]})"), CONTEXT_SCORE).otherwise(0.0)
+        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
         return F.struct(F.lit(kind).alias("kind"), x["s"].alias("start"), end.alias("end"), score.alias("score"))
 
     spans = F.transform(found, scored)
-    need = NEEDS[kind]
+    need = NEEDS.get(kind)
     possible = (F.instr(text, need) > 0) if need else text.rlike("[0-9]")
     return F.when(possible, spans).otherwise(none)
 
@@ -171,12 +230,16 @@ def find_personal_data(docs: DataFrame, *, threshold: float = 0.6, doc_id: str =
     """doc_id, base and added: arrays of (kind, start, end, score), each kind in the order of PATTERNS, then by start; ends are exclusive, in code points.
 
     A row for each row of docs. A null or empty text has no spans; rows that repeat get equal results; null ids stay null. An added span that overlaps a base one is
-    dropped. Other columns are not read."""
+    dropped, and so is one that overlaps an added span of a kind that stands before its own. Other columns are not read."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("t"))
     slim = slim.select("doc_id", *[spans_of(F.col("t"), k).alias(k) for k in BASE_KINDS + ADDED_KINDS])
     base = slim.select("doc_id", F.concat(*BASE_KINDS).alias("base"), F.concat(*ADDED_KINDS).alias("proposed"))
-    added = F.filter("proposed", lambda x: (x["score"] >= threshold) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return base.select("doc_id", "base", F.when(F.size("proposed") == 0, F.col("proposed")).otherwise(added).alias("added"))
+    def over(x: Column, spans: Column) -> Column:
+        return F.exists(spans, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+
+    likely = F.filter("proposed", lambda x: (x["score"] >= threshold) & ~over(x, F.col("base")))
+    kept = F.aggregate(likely, F.filter("proposed", lambda x: F.lit(False)), lambda a, x: F.when(over(x, F.filter(a, lambda b: b["kind"] != x["kind"])), a).otherwise(F.concat(a, F.array(x))))
+    return base.select("doc_id", "base", F.when(F.size("proposed") == 0, F.col("proposed")).otherwise(kept).alias("added"))
 
 
 def as_text(spans: Column) -> Column:

@@ -681,13 +681,42 @@ def _copies(s: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def _plain(samples: np.ndarray) -> bytes:
-    """A VP8L file of one channel, in numpy: literals and copies, one group of codes; few colours go through a palette that bundles pixels."""
+#: Predictors that `store` tries: the pixel to the left, the one above. A block of theirs is as large as the format allows.
+TRIED_MODES, LARGEST_BLOCK = (1, 2), 9
+#: A predictor is tried if the entropy of what it leaves is below this part of the samples' own.
+WORTH_TRYING = 0.95
+
+
+def _entropy(counts: np.ndarray) -> float:
+    held = counts[counts > 0]
+    return float((held * np.log2(held.sum() / held)).sum())
+
+
+def _smallest(samples: np.ndarray) -> bytes:
+    """The shortest of the files without a predictor and with those that promise to be worth it."""
+    files = [_plain(samples)]
+    if len(samples) > WIDTH:
+        own = WORTH_TRYING * _entropy(np.bincount(samples, minlength=256))
+        for mode, distance in zip(TRIED_MODES, (1, WIDTH), strict=True):
+            if _entropy(np.bincount(samples[distance:] - samples[:-distance], minlength=256)) < own:
+                files.append(_plain(samples, mode))
+    return min(files, key=len)
+
+
+def _plain(samples: np.ndarray, mode: int | None = None) -> bytes:
+    """A VP8L file of one channel, in numpy: literals and copies, one group of codes; after a predictor if a mode is given, else few colours go through a palette that bundles pixels."""
     w = Writer()
     rows = len(samples) // WIDTH
     _header(w, WIDTH, rows)
+    if mode is not None:
+        modes = np.full((-(-rows >> LARGEST_BLOCK), 1), mode)
+        w.put(1, 1)
+        w.put(PREDICTOR, 2)
+        w.put(LARGEST_BLOCK - 2, 3)
+        write_image(w, (modes.astype(np.uint32) << 8 | np.uint32(OPAQUE_BLACK)).reshape(-1), 1)
+        samples = (do_predictor(samples.astype(np.uint32) << 8 | np.uint32(OPAQUE_BLACK), WIDTH, modes, LARGEST_BLOCK) >> 8 & 0xFF).astype(np.uint8)
     present = np.flatnonzero(np.bincount(samples, minlength=256))
-    if len(present) <= 16:
+    if len(present) <= 16 and mode is None:
         w.put(1, 1)
         w.put(PALETTE, 2)
         w.put(len(present) - 1, 8)
@@ -719,7 +748,7 @@ def _plain(samples: np.ndarray) -> bytes:
     w.put(0, 1)  # no cache
     w.put(0, 1)  # one group
     codes, lengths = write_code(w, np.bincount(symbols, minlength=256 + N_LENGTHS))
-    for value in (0, 0, 255):
+    for value in (0, 0, 255 if mode is None else 0):  # a predictor leaves nothing of the opaque alpha
         only = np.zeros(256, dtype=np.int64)
         only[value] = 1
         write_code(w, only)
@@ -739,7 +768,7 @@ def store(payload: bytes) -> bytes:
     """A payload of a multiple of WIDTH bytes as WebP files, one after another."""
     samples = np.frombuffer(payload, dtype=np.uint8)
     tile = WIDTH * MAX_ROWS
-    return b"".join(_plain(samples[at : at + tile]) for at in range(0, len(samples), tile))
+    return b"".join(_smallest(samples[at : at + tile]) for at in range(0, len(samples), tile))
 
 
 def load(stored: bytes) -> bytes:

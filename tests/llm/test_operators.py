@@ -319,6 +319,20 @@ def test_webp_round_trips():
     assert (webp.decode(webp.encode(flat.reshape(6, 8), copies=[(10, 10, 1), (30, 10, 8)], cache_bits=2)) == flat.reshape(6, 8)).all()
 
 
+def test_store_chooses_by_size():
+    """Samples that climb or repeat the row above but for a step go through a predictor; text doesn't. Whatever is chosen, the payload comes back."""
+    rng = np.random.default_rng(9)
+    climb = (np.arange(64 * 300) * 3 + rng.integers(0, 2, 64 * 300)).astype(np.uint8)
+    rows = (rng.integers(0, 256, 64)[None, :] + np.arange(700)[:, None] * 5 + rng.integers(0, 2, (700, 64))).astype(np.uint8).reshape(-1)
+    noise = rng.integers(0, 256, 64 * 20, dtype=np.uint8)
+    prose = ("The quick brown fox jumps over the lazy dog. " * 3 + "Pack my box with five dozen jugs.").encode()
+    text = np.frombuffer(prose + bytes(-len(prose) % 64), dtype=np.uint8)
+    for samples, predicted in ((climb, True), (rows, True), (noise, False), (text, False), (np.zeros(64, dtype=np.uint8), False), (np.tile(climb, 10), True)):
+        stored = webp.store(samples.tobytes())
+        assert webp.load(stored) == samples.tobytes()
+        assert (len(stored) < 0.7 * len(webp._plain(samples[: 64 * webp.MAX_ROWS]))) == predicted
+
+
 def test_media(docs, rows, empty, spark):
     got = webp.media(docs, keep_media=True).collect()
     want = Counter()
