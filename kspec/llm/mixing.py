@@ -10,14 +10,16 @@ a block; the last epoch ends where the budget does.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, small_join, text_of, word_count, written
+from .common import BROADCAST_ROWS, modest_batches, small_join, text_of, word_count, written
 
 #: Bins of the permuted block key; the bin in which a budget ends is the only one ordered row by row.
 BINS = 4096
@@ -64,17 +66,32 @@ def _summary(stats: DataFrame, rows: int) -> Callable[[float], tuple[float, floa
     return measured_by_spark
 
 
+def _encoded(slim: DataFrame, encoder: Callable[[], Callable[[str], bytes]]) -> DataFrame:
+    """slim with n_tokens in place of its last column, text."""
+    modest_batches(slim.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder()
+        for batch in batches:
+            counts = pa.array([len(encode(t)) // 4 for t in batch.column(2).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts], names=["doc_id", "source", "n_tokens"])
+
+    return slim.mapInArrow(run, StructType([*slim.schema.fields[:2], StructField("n_tokens", LongType())]))
+
+
 def mixture(
     docs: DataFrame, *, target_entropy: float | None = None, max_repeats: float | None = 2.0, budget: float | None = None, block_docs: int = 64,
-    seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+    encoder: Callable[[], Callable[[str], bytes]] | None = None, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source",
 ) -> tuple[DataFrame, DataFrame, float]:
     """(documents as id, source and tokens, a row of budgets for each source, the exponent).
 
     target_entropy is a part (0 to 1) of the greatest entropy, log of the number of sources. budget is in tokens; left out, it is
-    the least budget at which every source is read once at least, so no document is lost. A token is a word here, and a
-    document counts one at least, so empty and null texts keep a place. A null source is a source of its own.
+    the least budget at which every source is read once at least, so no document is lost. encoder gives, in a task, the function from a text to its ids of four bytes each; tokens
+    are those ids, without an encoder they are words. A document counts one at least, so empty and null texts keep a place. A null source is a source of its own.
     """
-    narrow = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.greatest(word_count(text_of(text)), F.lit(1)).cast("long").alias("n_tokens")), "mix-docs")
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), text_of(text).alias("text"))
+    counted = slim.withColumn("n_tokens", word_count(F.col("text"))).drop("text") if encoder is None else _encoded(slim, encoder)
+    narrow = written(counted.withColumn("n_tokens", F.greatest("n_tokens", F.lit(1)).cast("long")), "mix-docs")
     stats = written(narrow.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")), "mix-sources")
     rows, total = stats.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     summary = _summary(stats, rows)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +14,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every occurrence of a document in the mixture: entropy 0.95 of the greatest, no source more than twice as often as another."""
+    """Every occurrence of a document in the mixture: entropy 0.95 of the greatest, no source more than twice as often as another, tokens counted by a vocabulary. See mixture() for nulls and empty tables."""
+    import public_tokenizers
+
     from .mixing import mixture, realise
+    from .records import encoder
 
-    narrow, plan, _ = mixture(_table(spark, sf_dir, "documents"), target_entropy=0.95, max_repeats=2.0)
+    narrow, plan, _ = mixture(_table(spark, sf_dir, "documents"), target_entropy=0.95, max_repeats=2.0, encoder=partial(encoder, public_tokenizers.path("byte_bpe_50k.json")))
     return realise(narrow, plan)
 
 
 def op2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all documents, read back from their files. See write_records() for nulls, repeated ids and empty tables."""
     import public_tokenizers
 
     from .records import read_records, write_records
@@ -30,6 +35,7 @@ def op2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of each document by the law `rows`. See hilbert_shards() for nulls, repeated rows and empty tables."""
     from .hilbert import hilbert_shards
 
     placed = hilbert_shards(_table(spark, sf_dir, "documents"), shards=24)
@@ -37,6 +43,7 @@ def op3_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of each document, as checksums. See encode_decode() for nulls, repeated rows and empty tables."""
     import public_tokenizers
 
     from .bpe import encode_decode
@@ -45,31 +52,35 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and verdict of each document. See quality() for nulls, repeated rows and empty tables."""
     from .outliers import quality
 
     return quality(_table(spark, sf_dir, "documents"))
 
 
 def op6_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document stored as lossless WebP and read back. See media() for nulls, repeated rows and empty tables."""
     from .webp import media
 
     return media(_table(spark, sf_dir, "documents"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line occurrence that goes, with the earliest one that is alike."""
+    """Each line occurrence that goes, with the earliest one that is alike. See removed_lines() for nulls, repeated ids and empty tables."""
     from .linededup import removed_lines
 
     return removed_lines(_table(spark, sf_dir, "documents"))
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data in each document. See find_personal_data() for nulls, repeated rows and empty tables."""
     from .pii import personal_data_digest
 
     return personal_data_digest(_table(spark, sf_dir, "documents"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document. See near_duplicates() for nulls, repeated rows and empty tables."""
     from .simhash import near_duplicates
 
     found = near_duplicates(_table(spark, sf_dir, "documents"))
@@ -77,6 +88,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of each document. See fit() and scored() for nulls, repeated ids and empty tables."""
     from .toxicity import fit, scored
 
     docs = _table(spark, sf_dir, "documents")
@@ -84,6 +96,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stages of corpus_pipeline.py make of documents; each stage says what it does with nulls, repeated ids and empty tables."""
     from corpus_pipeline import run
 
     return run(spark, sf_dir)

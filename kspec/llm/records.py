@@ -195,7 +195,7 @@ def _is_plain_byte_level(spec: dict) -> bool:
 
 
 @lru_cache(maxsize=2)
-def _encoder(tokenizer: str) -> Callable[[str], bytes]:
+def encoder(tokenizer: str) -> Callable[[str], bytes]:
     """text -> ids as little-endian u32, as Tokenizer.encode gives them without special tokens.
 
     With a plain byte-level file the library's model encodes each piece once and it is remembered. A text with one of the added tokens, and any text with another kind of file, goes through the library whole."""
@@ -241,7 +241,7 @@ def write_records(docs: DataFrame, tokenizer: str, *, end_id: int | None = 2, wi
     ordered = slim.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        context, encode = TaskContext.get(), _encoder(tokenizer)
+        context, encode = TaskContext.get(), encoder(tokenizer)
         batches = by_size(batches)
         first = next(batches, None)
         if first is None:
