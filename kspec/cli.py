@@ -1,18 +1,77 @@
-"""python -m kspec.cli PROGRAM [options] INPUTS... OUT: the programs over FASTA or FASTQ files, each table a folder of TSV under OUT."""
+"""python -m kspec.cli PROGRAM [flags] INPUTS... OUT: the programs over FASTA or FASTQ files, each table a folder of TSV under OUT.
+
+Flags stand before or between the paths, with their values attached: -l -f -s line, filled and stacked plots (none: all three), -z zero lines, -k keep the plot's data, -v verbose, -pdf,
+-w6.0 -h4.5 width and height, -x2.1 -y1.1 axis ends in proportion to the peaks, -X -Y axis ends as counts, -T threads, -P sort folder, -K21 length of k-mers. Plots are not drawn:
+their data, axis ends and settings are written. Threads and sort folders are Spark's matter; both flags are accepted and do nothing. `cn`, `asm` and `blob` with OUT alone plot
+again what an earlier run with -k has kept under OUT."""
 
 from __future__ import annotations
 
-import argparse
 import re
+from dataclasses import dataclass, field
 from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kspec.plans import report
 from kspec.sources.sequences import read_fasta, read_fastq, write_bed, write_tsv
 
-#: Inputs of each program: least and most.
-PROGRAMS = {"hapmers": (3, 3), "cn": (2, 2), "asm": (2, 3), "blob": (3, 4), "report": (2, 5), "joint": (2, 2), "gc": (1, 1)}
+#: Inputs of each program, least and most, and its flags.
+PROGRAMS = {
+    "hapmers": (3, 3, "vTK"), "cn": (2, 2, "vklfszwhxXyYpTPK"), "asm": (2, 3, "vklfszwhxXyYpTPK"), "blob": (3, 4, "vkwhpTPK"),
+    "report": (2, 5, "vklfszwhxXyYpTPK"), "joint": (2, 2, "lfswhxXyYpTK"), "gc": (1, 1, "lfswhxXpTK"),
+}
+REPLOT = ("cn", "asm", "blob")
+REALS, POSITIVE, WHOLE = {"w": 6.0, "h": 4.5, "x": 2.1, "y": 1.1}, "xy", "XYTK"
+
+
+@dataclass
+class Flags:
+    on: set[str] = field(default_factory=set)
+    reals: dict[str, float] = field(default_factory=lambda: dict(REALS))
+    whole: dict[str, int] = field(default_factory=dict)
+
+    @property
+    def styles(self) -> list[str]:
+        return [n for n, f in (("ln", "l"), ("fl", "f"), ("st", "s")) if f in self.on] or ["ln", "fl", "st"]
+
+
+def parse(argv: list[str]) -> tuple[str, Flags, list[str]]:
+    """Program, flags and paths; ValueError for what the program doesn't know or a value that isn't one."""
+    if not argv or argv[0] not in PROGRAMS:
+        raise ValueError(f"the first argument is one of {', '.join(sorted(PROGRAMS))}")
+    program, flags, paths = argv[0], Flags(), []
+    known = PROGRAMS[program][2]
+    for a in argv[1:]:
+        letter, value = a[1:2], a[2:]
+        if not a.startswith("-"):
+            paths.append(a)
+        elif letter in known and letter == "p":
+            if value != "df":
+                raise ValueError(f"don't recognize option {a}")
+            flags.on.add("pdf")
+        elif letter in known and letter == "P":
+            continue
+        elif letter in known and letter in REALS:
+            try:
+                flags.reals[letter] = float(value)
+            except ValueError:
+                raise ValueError(f"-{letter} '{value}' argument is not a real number") from None
+            if letter in POSITIVE and not flags.reals[letter] > 0:
+                raise ValueError(f"max {letter} scaling factor must be > 0")
+        elif letter in known and letter in WHOLE:
+            if not re.fullmatch(r"[+-]?[0-9]+", value):
+                raise ValueError(f"-{letter} '{value}' argument is not an integer")
+            flags.whole[letter] = int(value)
+            if flags.whole[letter] <= 0:
+                raise ValueError(f"-{letter} must be positive ({value})")
+        else:
+            for c in a[1:] or "-":
+                if c not in known or c not in "vklfsz":
+                    raise ValueError(f"-{c} is an illegal option")
+                flags.on.add(c)
+    return program, flags, paths
 
 
 def root_name(path: str) -> str:
@@ -23,49 +82,69 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
     return read_fastq(spark, path) if re.search(r"\.(fq|fastq)(\.gz)?$", path) else read_fasta(spark, path)
 
 
-def _parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="kspec", description=__doc__)
-    p.add_argument("program", choices=sorted(PROGRAMS))
-    p.add_argument("-k", type=int, default=21)
-    p.add_argument("-x", type=int, default=1000, help="largest count of a matrix")
-    p.add_argument("paths", nargs="+")
-    return p
+def _kept(spark: SparkSession, program: str, out: str) -> dict[str, DataFrame]:
+    names = {"cn": ("spectrum", "zero"), "asm": ("spectrum", "zero"), "blob": ("blob",)}[program]
+    try:
+        return {n: spark.read.parquet(f"{out}/kept/{n}") for n in names}
+    except Exception as e:
+        raise ValueError(f"nothing is kept under {out}") from e
 
 
 def run(spark: SparkSession, argv: list[str]) -> dict[str, DataFrame]:
-    a = _parser().parse_args(argv)
-    *inputs, out = a.paths
-    least, most = PROGRAMS[a.program]
-    if a.k <= 0 or a.x <= 0:
-        raise ValueError("-k and -x must be above 0")
-    if not least <= len(inputs) <= most:
-        raise ValueError(f"{a.program} takes {least} to {most} inputs")
+    """Writes a program's tables and returns them by name."""
+    program, flags, paths = parse(argv)
+    if not paths:
+        raise ValueError("no output is named")
+    *inputs, out = paths
+    least, most, _ = PROGRAMS[program]
+    again = not inputs and program in REPLOT
+    if again and "k" in flags.on:
+        raise ValueError("-k has no meaning for data that are kept already")
+    if not again and not least <= len(inputs) <= most:
+        raise ValueError(f"{program} takes {least} to {most} inputs")
     names = [root_name(p) for p in inputs]
     if len(set(names)) < len(names):
         raise ValueError(f"two inputs have one name: {', '.join(names)}")
+    k = flags.whole.get("K", 21)
     seqs = [_read(spark, p) for p in inputs]
     named = list(zip(names, seqs, strict=True))
-    if a.program == "hapmers":
-        tables = report.trio_hapmers(*seqs, a.k)
-    elif a.program == "cn":
-        tables = report.copy_numbers(*seqs, a.k)
-    elif a.program == "asm":
-        tables = report.assemblies(seqs[0], seqs[1], seqs[2] if len(seqs) > 2 else None, a.k)
-    elif a.program == "blob":
-        m = report.counts_of(a.k, mat=seqs[0], pat=seqs[1])
-        tables = {"blob": report.blob(m.where("mat > 0 and pat = 0"), m.where("pat > 0 and mat = 0"), named[2:], a.k)}
-    elif a.program == "report":
+    settings = {"styles": flags.styles, "zero": "z" in flags.on, "xrel": flags.reals["x"], "yrel": flags.reals["y"], "xmax": flags.whole.get("X"), "ymax": flags.whole.get("Y")}
+    if program == "hapmers":
+        tables = report.trio_hapmers(*seqs, k)
+    elif program in ("cn", "asm"):
+        if again:
+            data = _kept(spark, program, out)
+        elif program == "cn":
+            data = report.copy_numbers(*seqs, k)
+        else:
+            data = report.assemblies(seqs[0], named[1:], k)
+        tables = report.plots(data, "copies" if program == "cn" else "class", **settings)
+    elif program == "blob":
+        if again:
+            data = _kept(spark, program, out)
+        else:
+            m = report.counts_of(k, mat=seqs[0], pat=seqs[1])
+            data = {"blob": report.blob(m.where("mat > 0 and pat = 0"), m.where("pat > 0 and mat = 0"), named[2:], k)}
+        tables = report.blob_plot(data["blob"], *(names[:2] if inputs else ("mat", "pat")))
+    elif program == "report":
         if len(inputs) < 4:
-            tables = report.full(seqs[0], named[1:], a.k)
+            tables = report.files(report.full(seqs[0], named[1:], k), settings)
         else:  # reads, mother, father, one or two assemblies
-            h = report.trio_hapmers(seqs[1], seqs[2], seqs[0], a.k)
-            tables = report.full(seqs[0], named[3:], a.k, (h["mat"], h["pat"]))
-    elif a.program == "joint":
-        tables = {"joint": report.joint(*seqs, a.k, a.x)}
+            h = report.trio_hapmers(seqs[1], seqs[2], seqs[0], k)
+            tables = report.files(report.full(seqs[0], named[3:], k, (h["mat"], h["pat"])), settings, (names[1], names[2]))
+    elif program == "joint":
+        tables = report.joint_plot(*seqs, k, flags.whole.get("X", 1000), flags.whole.get("Y", 1000))
     else:
-        tables = {"gc": report.gc(seqs[0], a.k, a.x)}
+        tables = report.gc_plot(seqs[0], k, flags.whole.get("X", 1000))
+    if "k" in flags.on and program in (*REPLOT, "report"):
+        for name, df in (data if program != "report" else {n: t for n, t in tables.items() if n.endswith(("spectrum", "blob"))}).items():
+            df.write.mode("overwrite").parquet(f"{out}/kept/{name}")
+    drawn = {"width": flags.reals["w"], "height": flags.reals["h"], "pdf": "pdf" in flags.on, "k": k}
+    tables["settings"] = spark.range(1).select(*[F.lit(v).alias(n) for n, v in drawn.items()])
     for name, df in tables.items():
-        (write_bed if name.endswith("bed") else write_tsv)(df, f"{out}/{name}")
+        (write_bed if name.endswith("only_bed") else write_tsv)(df, f"{out}/{name}")
+        if "v" in flags.on:
+            print(f"wrote {out}/{name}")
     return tables
 
 

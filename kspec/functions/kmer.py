@@ -48,6 +48,11 @@ def gc_content(w: Column) -> Column:
     return F.length(F.translate(w, "at", "")).cast("int")
 
 
+def gc_percent(gc: Column, k: int) -> Column:
+    """The label of a GC count: per cent of k, cut off."""
+    return F.floor(100 * gc / k).cast("int")
+
+
 def cleaned(sequence: Column) -> Column:
     """Lower case; every letter that is no base becomes a break."""
     return F.regexp_replace(F.lower(sequence), "[^acgt]", BREAK)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,11 +57,26 @@ def primary_peak(hist: DataFrame, curve: str, order: str, high: int = 1000) -> D
     return peaks.agg(F.max(F.struct("ym", (-F.col(order)).alias("o"), "xm")).alias("p")).where("p is not null").select(F.col("p.xm").alias("xmax"), F.col("p.ym").alias("ymax"))
 
 
-def spectrum_peaks(hist: DataFrame, curve: str, order: str, high: int = 1000) -> DataFrame:
+def stacked(hist: DataFrame) -> DataFrame:
+    """The sum of all curves as one: curve `all`, class_ord 0."""
+    sums = hist.groupBy("multiplicity").agg(F.sum("n_unique").cast("long").alias("n_unique"), F.sum("n_instances").cast("long").alias("n_instances"))
+    return sums.select(F.lit("all").alias("curve"), F.lit(0).alias("class_ord"), "multiplicity", "n_unique", "n_instances")
+
+
+def stacked_peak(hist: DataFrame, high: int = 1000) -> DataFrame:
+    """xmax, ymax of stacked curves: past the first bin that is above the one before it the last of the greatest sums below high; without one high and the bin before it. No row for an empty histogram."""
+    bins = dense(stacked(hist), "n_instances", ("curve", "class_ord"), high).withColumn("prev", F.lag("n").over(Window.partitionBy("curve").orderBy("multiplicity")))
+    rise = F.min(F.when((F.col("n") > F.col("prev")) & (F.col("multiplicity") < high), F.col("multiplicity"))).over(Window.partitionBy("curve"))
+    past = bins.withColumn("from_k", rise).where("multiplicity < %d and (from_k is null or multiplicity >= from_k)" % high)
+    best = past.agg(F.max(F.struct("n", "multiplicity")).alias("b"), F.max("from_k").alias("k"), F.max(F.struct("multiplicity", "n")).alias("l")).where("l is not null")
+    return best.select(F.when(F.col("k").isNull(), high).otherwise(F.col("b.multiplicity")).cast("long").alias("xmax"), F.when(F.col("k").isNull(), F.col("l.n")).otherwise(F.col("b.n")).alias("ymax"))
+
+
+def spectrum_peaks(hist: DataFrame, curve: str, order: str, high: int = 1000, top: DataFrame | None = None) -> DataFrame:
     """xmax, ymax, xsec: xsec is the last local maximum right of xmax, of the last curve that has one, of at least a tenth of ymax; xmax if there is none.
 
     A local maximum ends a climb (not falling from the bin before) and the next bin falls, or high is reached."""
-    top = primary_peak(hist, curve, order, high)
+    top = primary_peak(hist, curve, order, high) if top is None else top
     order_by = Window.partitionBy(curve, order).orderBy("multiplicity")
     bins = dense(hist, "n_instances", (curve, order), high).withColumn("prev", F.lag("n").over(order_by)).withColumn("next", F.lead("n").over(order_by))
     joined = bins.crossJoin(F.broadcast(top))
@@ -73,6 +88,37 @@ def spectrum_peaks(hist: DataFrame, curve: str, order: str, high: int = 1000) ->
     return top.crossJoin(F.broadcast(sec)).select("xmax", "ymax", F.coalesce(F.col("s.multiplicity"), F.col("xmax")).alias("xsec"))
 
 
+def stacked_limits(hist: DataFrame, high: int = 1000, xrel: float = 2.1, yrel: float = 1.1) -> DataFrame:
+    """x_limit and y_limit of stacked curves, in proportion to the peaks of their sum."""
+    peaks = spectrum_peaks(stacked(hist), "curve", "class_ord", high, stacked_peak(hist, high))
+    return peaks.select(((F.col("xmax") + F.col("xsec")) * xrel / 2).cast("long").alias("x_limit"), (F.col("ymax") * yrel).cast("long").alias("y_limit"))
+
+
+def fallback_limits(plot: DataFrame, zero: DataFrame | None = None, read_only: str = "read-only") -> DataFrame:
+    """x_limit and y_limit for a plot (class, multiplicity, n) whose limits aren't given: 1.1 times the greatest count beyond multiplicity 3 of classes other than read-only, and 2.5 times
+    its multiplicity; with zero lines (n_instances) y holds 1.1 times their sum at least."""
+    top = plot.where((F.col("class") != read_only) & (F.col("multiplicity") > 3)).agg(F.max(F.struct("n", (-F.col("multiplicity")).alias("m"))).alias("p")).where("p is not null")
+    out = top.select((F.col("p.m") * -2.5).alias("x_limit"), (F.col("p.n") * 1.1).alias("y_limit"))
+    if zero is None:
+        return out
+    high = zero.agg((F.coalesce(F.sum("n_instances"), F.lit(0)) * 1.1).alias("z"))
+    return out.crossJoin(F.broadcast(high)).select("x_limit", F.greatest("y_limit", "z").alias("y_limit"))
+
+
+def save(hist: DataFrame, path: str, k: int) -> None:
+    """A histogram as Parquet with its k."""
+    hist.withColumn("k", F.lit(k)).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str, k: int | None = None) -> DataFrame:
+    """The histogram saved there; ValueError if it is of another k."""
+    df = spark.read.parquet(path)
+    row = df.select("k").first()
+    if k is not None and row and row[0] != k:
+        raise ValueError(f"the histogram at {path} has k = {row[0]}, not {k}")
+    return df.drop("k")
+
+
 def axis_limits(hist: DataFrame, curve: str, order: str, high: int = 1000, xrel: float = 2.1, yrel: float = 1.1, mass: float = 0.98) -> DataFrame:
     """x_limit and y_limit of a plot: in proportion to the peaks, x wide enough for 98 % of each curve whose peak is over 1 % of the y limit."""
     peaks = spectrum_peaks(hist, curve, order, high)

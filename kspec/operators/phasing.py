@@ -140,7 +140,14 @@ def phase_totals(blocks: DataFrame) -> DataFrame:
     return sums.select("n", (100.0 * F.col("switches") / F.col("markers")).alias("switch_pct"), "switches", "markers")
 
 
+def numbered(blocks: DataFrame) -> DataFrame:
+    """blocks with `number`, from 0 through all sequences and contigs. Blocks are counted a sequence first, so only one sequence's are put in order together."""
+    counts = blocks.groupBy("seq_id").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.orderBy("seq_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("seq_id").orderBy("contig", "block")) - 1
+    return blocks.join(counts.select("seq_id", before.alias("before")), "seq_id").withColumn("number", (F.col("before") + nth).cast("long")).drop("before")
+
+
 def block_blob(blocks: DataFrame) -> DataFrame:
-    """block, range, mat, pat, size: a point for each block."""
-    name = F.concat_ws(".", F.col("seq_id"), F.col("contig"), F.col("block"))
-    return blocks.select(name.alias("block"), F.concat_ws("-", "beg", "end").alias("range"), "mat", "pat", "size")
+    """block (its parent), range (its number), mat, pat, size: a point for each block."""
+    return numbered(blocks).select(F.col("phase").alias("block"), F.col("number").alias("range"), "mat", "pat", "size")

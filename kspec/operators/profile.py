@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,6 +18,27 @@ def profile(positions: DataFrame, counts: DataFrame, columns: dict[str, str]) ->
     return positions.join(right, "kmer", "left").select("seq_id", "pos", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in columns])
 
 
+def save_profiles(prof: DataFrame, path: str, k: int) -> None:
+    """Profiles (seq_id, pos and counts) as Parquet with their k, sorted so that one sequence is read from few row groups."""
+    prof.withColumn("k", F.lit(k)).repartitionByRange("seq_id", "pos").sortWithinPartitions("seq_id", "pos").write.mode("overwrite").parquet(path)
+
+
+def load_profiles(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """The profiles saved there; ValueError if they are of another k than the table they are used with."""
+    df = spark.read.parquet(path)
+    row = df.select("k").first()
+    if row and row[0] != k:
+        raise ValueError(f"the profiles at {path} have k = {row[0]}, not {k}")
+    return df.drop("k")
+
+
+def fetch_profile(profiles: DataFrame, seq_id: int, n_sequences: int) -> DataFrame:
+    """pos and counts of one sequence in order; ValueError for an id that no sequence has."""
+    if not 0 <= seq_id < n_sequences:
+        raise ValueError(f"no sequence {seq_id}: there are {n_sequences}")
+    return profiles.where(F.col("seq_id") == seq_id).drop("seq_id").orderBy("pos")
+
+
 def quality_value(miss: F.Column, total: F.Column, k: int) -> tuple[F.Column, F.Column]:
     """Error in percent and QV; QV is null where nothing is missing."""
     err = 1 - F.pow(1 - miss / total, F.lit(1.0 / k))
@@ -71,6 +92,11 @@ def hap_blob(prof: DataFrame, by: tuple[str, ...] = ("assembly", "seq_id")) -> D
     return runs(prof, 1, by, sums).select(*by, F.col("island").alias("contig"), "mat", "pat", "size")
 
 
+def blob_limit(blob: DataFrame) -> DataFrame:
+    """One row, limit: both axes of a blob plot end at 1.01 times the greatest marker count."""
+    return blob.agg((F.greatest(F.max("mat"), F.max("pat")) * 1.01).alias("limit"))
+
+
 def located(places: DataFrame, contig_table: DataFrame, pos: str = "beg") -> DataFrame:
     """places (seq_id, pos and others) with the contig in which each lies: the last one that begins there or before. contig_table: seq_id, contig, beg."""
     names = [c for c in places.columns if c not in ("seq_id", pos)]

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kspec.functions.kmer import canonical, pack, unpack, windows
+from kspec.functions.kmer import MAX_PACKED, canonical, pack, unpack, windows
 
 
 @dataclass(frozen=True)
@@ -75,6 +75,19 @@ class KmerTable:
         """The n rows from this key on, in key order."""
         return self.df.where(F.col("kmer") >= pack(F.lit(word.lower()), self.k)).orderBy("kmer").limit(n)
 
+    def from_ordinal(self, ordinal: int, n: int) -> DataFrame:
+        """The n rows from the ordinal-th on, in key order, counting from 0."""
+        if ordinal < 0:
+            raise ValueError(f"no row {ordinal}")
+        return self.df.orderBy("kmer").offset(ordinal).limit(n)
+
+    def max_bucket(self, prefix: int) -> DataFrame:
+        """One row, n: k-mers of the most frequent beginning of so many bases."""
+        if not 0 < prefix <= self.k:
+            raise ValueError(f"a beginning of {prefix} bases of {self.k}")
+        begin = F.shiftright("kmer", 2 * (self.k - prefix)) if self.k <= MAX_PACKED else F.substring("kmer", 1, prefix)
+        return self.df.groupBy(begin.alias("bucket")).agg(F.count("*").alias("c")).agg(F.max("c").alias("n"))
+
     def decoded(self) -> DataFrame:
         """kmer as letters, and cnt."""
         return self.df.select(unpack(F.col("kmer"), self.k).alias("kmer"), "cnt")

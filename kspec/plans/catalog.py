@@ -93,6 +93,8 @@ _on_counts("asm_spectrum_2", lambda c: spectra.asm_spectrum(c, "child", "asm1",
 _on_counts("asm_zero", lambda c: spectra.asm_zero(c, "child", "asm1", "asm2"))
 _on_counts("spectrum_plot", lambda c: spectra.plot_rows(spectra.cn_spectrum(c, "child", "asm1"), "copies", "class_ord", 80).drop("class_ord"))
 _on_counts("primary_peak", lambda c: histogram.primary_peak(spectra.cn_spectrum(c, "child", "asm1"), "copies", "class_ord"))
+_on_counts("stacked_peak", lambda c: histogram.stacked_peak(spectra.cn_spectrum(c, "child", "asm1")))
+_on_counts("stacked_limits", lambda c: histogram.stacked_limits(spectra.cn_spectrum(c, "child", "asm1")))
 _on_counts("spectrum_peaks", lambda c: histogram.spectrum_peaks(spectra.cn_spectrum(c, "child", "asm1"), "copies", "class_ord"))
 _on_counts("axis_limits", lambda c: histogram.axis_limits(spectra.cn_spectrum(c, "child", "asm1"), "copies", "class_ord"))
 _on_counts("completeness", lambda c: stats.completeness(c, "child", ["asm1", "asm2"]))
@@ -160,6 +162,14 @@ def scaffold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.unionByName(runs.select(F.lit("contig").alias("kind"), F.lit("asm1").alias("grp"), "size"))
 
 
+@query
+def blob_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.blob_limit(hap_blob(spark, sf_dir))
+
+
+_on_counts("max_bucket", lambda c: _table(c, "child").max_bucket(6))
+
+
 @query
 def hap_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.hap_blob(_both(spark, sf_dir, {"mat_cnt": "mat", "pat_cnt": "pat"}))

@@ -57,6 +57,13 @@ SECOND = f"""{CURVES}, tr AS (SELECT *, last_value(CASE WHEN n > prev THEN 1 WHE
   peaks AS (SELECT xmax, ymax, coalesce((SELECT multiplicity FROM sec), xmax) AS xsec FROM top)"""
 
 
+STACK = f"""cn AS ({CN}), sb AS (SELECT b.multiplicity, coalesce(h.n, 0)::BIGINT AS n FROM (SELECT unnest(range(1, 1001)) AS multiplicity) b LEFT JOIN (SELECT multiplicity, sum(n_instances) AS n FROM cn GROUP BY 1) h USING (multiplicity)),
+  ss AS (SELECT *, lag(n) OVER (ORDER BY multiplicity) AS prev, lead(n) OVER (ORDER BY multiplicity) AS next FROM sb), sr AS (SELECT min(multiplicity) AS k FROM ss WHERE n > prev AND multiplicity < 1000),
+  stop AS (SELECT multiplicity AS xmax, n AS ymax FROM ss, sr WHERE multiplicity >= k AND multiplicity < 1000 ORDER BY n DESC, multiplicity DESC LIMIT 1),
+  str AS (SELECT *, last_value(CASE WHEN n > prev THEN 1 WHEN n < prev THEN -1 END IGNORE NULLS) OVER (ORDER BY multiplicity ROWS UNBOUNDED PRECEDING) AS trend FROM ss),
+  ssec AS (SELECT max(multiplicity) AS m FROM str, stop WHERE trend > 0 AND (next < n OR multiplicity = 999) AND multiplicity > xmax AND multiplicity < 1000 AND n >= 0.1 * ymax)"""
+
+
 def peak(line: str, along: str, max_line: int, cells: str, name: str) -> str:
     return f"""g_{name} AS (SELECT l.line, a.ap, coalesce(x.n, 0) AS n FROM (SELECT unnest(range(0, {max_line + 1})) AS line) l CROSS JOIN (SELECT unnest(range(1, {CELLS + 1})) AS ap) a LEFT JOIN {cells} x ON x.{line} = l.line AND x.{along} = a.ap),
   p1_{name} AS (SELECT *, lag(n) OVER (PARTITION BY line ORDER BY ap) AS prev FROM g_{name}),
@@ -104,6 +111,41 @@ PURE = f"""{SITES}, sw AS (SELECT seq_id, contig, beg, "end", mrk > 0 AS m, CASE
   tn AS (SELECT *, CASE WHEN lag(m) OVER (PARTITION BY seq_id, contig ORDER BY beg) != m THEN 1 ELSE 0 END AS t FROM sw), rn AS (SELECT *, sum(t) OVER (PARTITION BY seq_id, contig ORDER BY beg) AS run FROM tn)
   SELECT seq_id, contig, min(beg) AS beg, max("end") AS "end", sum(w)::BIGINT AS mrk FROM rn GROUP BY seq_id, contig, run"""
 
+CTG = "seq_id, contig"
+#: Phase blocks by recursion over the gaps between groups of anchors: of two equally good splits of a gap the choice depends on what the left group has got so far.
+PHASED = f"""{PURE.replace(" SELECT seq_id, contig, min(beg) AS beg,", ", pure AS (SELECT seq_id, contig, min(beg) AS beg,")} ),
+  pb AS (SELECT *, row_number() OVER (PARTITION BY {CTG} ORDER BY beg) - 1 AS i, count(*) OVER (PARTITION BY {CTG}) AS total, ("end" - beg >= 20000 OR abs(mrk) >= {5 * K}) AS anchor FROM pure),
+  an AS (SELECT *, sum(CASE WHEN turn THEN 1 ELSE 0 END) OVER (PARTITION BY {CTG} ORDER BY i) AS g FROM (SELECT *, coalesce((mrk < 0) != lag(mrk < 0) OVER (PARTITION BY {CTG} ORDER BY i), false) AS turn FROM pb WHERE anchor)),
+  gr AS (SELECT {CTG}, g, bool_or(mrk < 0) AS neg, min(i) AS fi, max(i) AS li, min(beg) AS beg, max("end") AS "end" FROM an GROUP BY {CTG}, g),
+  gm AS (SELECT gr.seq_id, gr.contig, g, fi, li, any_value(gr.beg) AS beg, any_value(gr."end") AS "end", coalesce(sum(mrk) FILTER ((mrk < 0) = neg), 0) AS mrk, coalesce(sum(mrk) FILTER ((mrk < 0) != neg), 0) AS opp
+    FROM gr JOIN pb ON pb.seq_id = gr.seq_id AND pb.contig = gr.contig AND i BETWEEN fi AND li GROUP BY gr.seq_id, gr.contig, g, fi, li),
+  ng AS (SELECT {CTG}, any_value(total) AS total, min(beg) AS first_beg, (SELECT count(*) FROM gm WHERE gm.seq_id = pb.seq_id AND gm.contig = pb.contig) AS groups FROM pb GROUP BY {CTG}),
+  gap AS (SELECT n.seq_id, n.contig, n.n, n.n = n.groups AS is_last, coalesce(l.li, -1) AS lo, coalesce(r.fi, n.total) AS hi FROM (SELECT *, unnest(range(0, groups + 1)) AS n FROM ng) n
+    LEFT JOIN gm l ON l.seq_id = n.seq_id AND l.contig = n.contig AND l.g = n.n - 1 LEFT JOIN gm r ON r.seq_id = n.seq_id AND r.contig = n.contig AND r.g = n.n),
+  gl AS (SELECT *, hi - lo - 1 + (hi - lo - 1) % 2 AS size, CASE WHEN is_last THEN 0 ELSE (hi - lo - 1) % 2 END AS shift FROM gap),
+  sm AS (SELECT gl.seq_id, gl.contig, n, i - lo - 1 + shift AS j, beg, "end", mrk FROM gl JOIN pb ON pb.seq_id = gl.seq_id AND pb.contig = gl.contig AND i > lo AND i < hi),
+  cuts AS (SELECT {CTG}, n, unnest(range(0, size + 1, 2)) AS cut FROM gl),
+  op AS (SELECT c.seq_id, c.contig, c.n, cut, coalesce(sum(abs(mrk)) FILTER ((j < cut AND j % 2 = 0) OR (j > cut AND j % 2 = 1)), 0) AS cost,
+    coalesce(sum(mrk) FILTER (j < cut AND j % 2 = 1), 0) AS l_own, coalesce(sum(mrk) FILTER (j < cut AND j % 2 = 0), 0) AS l_opp, coalesce(sum(mrk) FILTER (j >= cut AND j % 2 = 0), 0) AS r_own, coalesce(sum(mrk) FILTER (j >= cut AND j % 2 = 1), 0) AS r_opp,
+    max("end") FILTER (j < cut) AS head_end, min(beg) FILTER (j >= cut) AS tail_beg, max("end") FILTER (j >= cut) AS tail_end
+    FROM cuts c LEFT JOIN sm ON sm.seq_id = c.seq_id AND sm.contig = c.contig AND sm.n = c.n GROUP BY c.seq_id, c.contig, c.n, cut),
+  be AS (SELECT * FROM (SELECT *, min(cost) OVER (PARTITION BY {CTG}, n) AS least FROM op) WHERE cost = least),
+  pk AS (SELECT *, cut = min(cut) OVER (PARTITION BY {CTG}, n) AS early, cut = max(cut) OVER (PARTITION BY {CTG}, n) AS late FROM be),
+  rc AS (SELECT c.seq_id, c.contig, c.n, c.cut, (coalesce(gm.mrk, 0) + c.r_own)::BIGINT AS held FROM pk c LEFT JOIN gm ON gm.seq_id = c.seq_id AND gm.contig = c.contig AND gm.g = 0 WHERE c.n = 0 AND early
+    UNION ALL SELECT c.seq_id, c.contig, c.n, c.cut, (coalesce(gm.mrk, 0) + c.r_own)::BIGINT FROM rc JOIN pk c ON c.seq_id = rc.seq_id AND c.contig = rc.contig AND c.n = rc.n + 1
+      LEFT JOIN gm ON gm.seq_id = c.seq_id AND gm.contig = c.contig AND gm.g = c.n WHERE CASE WHEN abs(rc.held) > abs(coalesce(gm.mrk, 0)) THEN late ELSE early END),
+  pick AS (SELECT op.*, gl.is_last FROM rc JOIN op USING (seq_id, contig, n, cut) JOIN gl USING (seq_id, contig, n)),
+  merged AS (SELECT {CTG}, -1 AS o, first_beg AS beg, head_end AS "end", l_own AS mrk, l_opp AS opp FROM pick JOIN ng USING (seq_id, contig) WHERE n = 0 AND cut > 0
+    UNION ALL SELECT gm.seq_id, gm.contig, gm.g, coalesce(b.tail_beg, gm.beg), coalesce(a.head_end, gm."end"), gm.mrk + b.r_own + a.l_own, gm.opp + b.r_opp + a.l_opp FROM gm
+      JOIN pick b ON b.seq_id = gm.seq_id AND b.contig = gm.contig AND b.n = gm.g JOIN pick a ON a.seq_id = gm.seq_id AND a.contig = gm.contig AND a.n = gm.g + 1
+    UNION ALL SELECT {CTG}, n, tail_beg, tail_end, r_own, r_opp FROM pick WHERE is_last AND tail_beg IS NOT NULL AND r_own != 0),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY {CTG} ORDER BY o) - 1 AS block, count(*) OVER (PARTITION BY {CTG}) AS blocks FROM merged),
+  snapped AS (SELECT p.seq_id, p.contig, block, CASE WHEN block = 0 THEN 0 ELSE beg END::BIGINT AS beg, CASE WHEN block = blocks - 1 THEN length(ch_seq.seq) ELSE "end" END::BIGINT AS "end", CASE WHEN mrk > 0 THEN 'mat' ELSE 'pat' END AS phase,
+    abs(opp)::BIGINT AS switches, abs(mrk)::BIGINT AS own FROM placed p JOIN (SELECT doc_id // 8 AS seq_id, string_agg(seq, '') AS seq FROM ub GROUP BY 1) ch_seq ON ch_seq.seq_id = p.seq_id),
+  phased AS (SELECT {CTG}, block, beg, "end", phase, 100.0::DOUBLE * switches / (switches + own) AS switch_pct, switches, switches + own AS markers,
+    CASE WHEN phase = 'mat' THEN own ELSE switches END AS mat, CASE WHEN phase = 'mat' THEN switches ELSE own END AS pat, "end" - beg AS size FROM snapped)"""
+PHASED = PHASED.replace("WITH ", "WITH RECURSIVE ", 1)
+
 
 def _queries() -> dict[str, str]:
     q = {
@@ -128,6 +170,9 @@ def _queries() -> dict[str, str]:
         "asm_zero": f"{BASE} SELECT {MEMBER} AS class, sum(asm1 + asm2)::BIGINT AS n_instances FROM c WHERE child = 0 AND asm1 + asm2 > 0 GROUP BY 1",
         "spectrum_plot": f"{BASE}, {CURVES} SELECT copies, multiplicity, n::BIGINT AS n FROM bins WHERE multiplicity <= 80",
         "primary_peak": f"{BASE}, {CURVES} SELECT xmax, ymax FROM top",
+        "stacked_peak": f"{BASE}, {STACK} SELECT xmax, ymax FROM stop",
+        "stacked_limits": f"{BASE}, {STACK} SELECT floor((xmax + coalesce(m, xmax)) * 2.1 / 2)::BIGINT AS x_limit, floor(ymax * 1.1)::BIGINT AS y_limit FROM stop, ssec",
+        "max_bucket": f"{BASE} SELECT max(n) AS n FROM (SELECT count(*) AS n FROM c WHERE child > 0 GROUP BY substr(kmer, 1, 6))",
         "spectrum_peaks": f"{BASE}, {SECOND} SELECT xmax, ymax, xsec FROM peaks",
         "axis_limits": f"""{BASE}, {SECOND}, lim AS (SELECT floor((xmax + xsec) * 2.1 / 2)::BIGINT AS x0, floor(ymax * 1.1)::BIGINT AS y_limit FROM peaks),
           up AS (SELECT copies, multiplicity, sum(n) OVER (PARTITION BY copies ORDER BY multiplicity) AS upto, floor(sum(n) OVER (PARTITION BY copies)::DOUBLE * 0.98) AS want, max(n) OVER (PARTITION BY copies) AS ym FROM bins WHERE multiplicity < 1000),
@@ -160,7 +205,13 @@ def _queries() -> dict[str, str]:
           SELECT assembly, seq_id, contig, count(*) FILTER (mat_cnt > 0) AS mat, count(*) FILTER (pat_cnt > 0) AS pat, count(*) AS size FROM j GROUP BY 1, 2, 3""",
         "hap_sites": f'{SITES} SELECT seq_id, contig, beg, "end", mrk, n, kept FROM kept',
         "pure_blocks": PURE,
+        "phase_blocks": f"{PHASED} SELECT * FROM phased",
+        "block_blob": f"{PHASED} SELECT phase AS block, row_number() OVER (ORDER BY seq_id, contig, block) - 1 AS range, mat, pat, size FROM phased",
+        "phase_totals": f"{PHASED} SELECT count(*) AS n, 100.0::DOUBLE * sum(switches) / sum(markers) AS switch_pct, sum(switches)::BIGINT AS switches, sum(markers)::BIGINT AS markers FROM phased HAVING count(*) > 0",
+        "block_stats": f"""{PHASED}, w AS (SELECT count(*) AS n, sum(size)::BIGINT AS total, min(size) AS mn, max(size) AS mx FROM phased), r AS (SELECT size, sum(size) OVER (ORDER BY size DESC) AS run FROM phased)
+          SELECT n, total, mn AS min, total // n AS avg, (SELECT max(size) FROM r WHERE run >= w.total // 2) AS n50, mx AS max FROM w""",
     }
+    q["blob_limit"] = f"SELECT greatest(max(mat), max(pat)) * 1.01::DOUBLE AS \"limit\" FROM ({q['hap_blob']})"
     for own, other in (("mat", "pat"), ("pat", "mat")):
         q[f"specific_{own}"] = f"{BASE}, {specific(own, other)} SELECT kmer, cnt FROM sp"
         q[f"inherited_{own}"] = f"{BASE}, {inherited(own, other)} SELECT kmer, cnt FROM inh"

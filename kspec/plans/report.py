@@ -9,9 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kspec.functions.kmer import windows
+from kspec.functions.kmer import gc_percent, windows
 from kspec.operators import hapmers, histogram, matrix, phasing, profile, spectra, stats
 from kspec.operators.table import KmerTable, joint_counts
+from kspec.sources import tables
 
 Source = tuple[str, DataFrame]
 
@@ -31,63 +32,132 @@ def counts_of(k: int, **sources: DataFrame) -> DataFrame:
 
 
 def trio_hapmers(mat: DataFrame, pat: DataFrame, child: DataFrame, k: int) -> dict[str, DataFrame]:
-    counts = counts_of(k, mat=mat, pat=pat, child=child).persist()
+    counts = counts_of(k, mat=mat, pat=pat, child=child)
     return {"mat": hapmers.hapmers(counts, "mat", "pat"), "pat": hapmers.hapmers(counts, "pat", "mat")}
 
 
 def copy_numbers(reads: DataFrame, asm: DataFrame, k: int) -> dict[str, DataFrame]:
-    counts = counts_of(k, reads=reads, asm=asm).persist()
-    cn = spectra.cn_spectrum(counts, "reads", "asm")
-    return {"spectrum": cn, "zero": spectra.cn_zero(counts, "reads", "asm"), "limits": histogram.axis_limits(cn, "copies", "class_ord")}
+    counts = counts_of(k, reads=reads, asm=asm)
+    return {"spectrum": spectra.cn_spectrum(counts, "reads", "asm"), "zero": spectra.cn_zero(counts, "reads", "asm")}
 
 
-def assemblies(reads: DataFrame, asm1: DataFrame, asm2: DataFrame | None, k: int) -> dict[str, DataFrame]:
-    sources = {"reads": reads, "asm1": asm1} | ({"asm2": asm2} if asm2 is not None else {})
-    counts = counts_of(k, **sources).persist()
-    second = "asm2" if asm2 is not None else None
-    return {"spectrum": spectra.asm_spectrum(counts, "reads", "asm1", second), "zero": spectra.asm_zero(counts, "reads", "asm1", second)}
+def assemblies(reads: DataFrame, asms: list[Source], k: int) -> dict[str, DataFrame]:
+    """Which of one or two assemblies holds the reads' k-mers; classes have the assemblies' names."""
+    _distinct_names(*asms)
+    counts = counts_of(k, reads=reads, **{f"asm{i + 1}": df for i, (_, df) in enumerate(asms)})
+    counts = counts.select("kmer", "reads", *[F.col(f"asm{i + 1}").alias(n) for i, (n, _) in enumerate(asms)])
+    first, second = asms[0][0], asms[1][0] if len(asms) > 1 else None
+    return {"spectrum": spectra.asm_spectrum(counts, "reads", first, second), "zero": spectra.asm_zero(counts, "reads", first, second)}
+
+
+def plots(data: dict[str, DataFrame], curve: str, *, styles: list[str], zero: bool, xrel: float = 2.1, yrel: float = 1.1, xmax: int | None = None, ymax: int | None = None) -> dict[str, DataFrame]:
+    """The data of a spectrum's plots, and for each style (ln, fl, st) its axis ends: line and filled plots by the tallest curve, stacked ones by the sum. With zero the zero lines too."""
+    order = "class_ord" if curve == "copies" else "ord"
+    spectrum = data["spectrum"] if curve == "copies" else data["spectrum"].withColumn(order, F.when(F.col("class") == "read-only", 0).when(F.col("class") == "shared", 3).otherwise(1))
+    out = {"plot": tables.plot(spectra.plot_rows(spectrum, curve, order, spectra.HIGH), curve, order)}
+    for style in styles:
+        ends = histogram.stacked_limits(spectrum, spectra.HIGH, xrel, yrel) if style == "st" else histogram.axis_limits(spectrum, curve, order, spectra.HIGH, xrel, yrel)
+        out[f"limits.{style}"] = ends.select((F.lit(xmax) if xmax else F.col("x_limit")).cast("long").alias("x_limit"), (F.lit(ymax) if ymax else F.col("y_limit")).cast("long").alias("y_limit"))
+    if zero:
+        out["zero"] = data["zero"].select(F.col(curve).alias("Copies"), F.lit(0).alias("kmer_multiplicity"), F.col("n_instances").alias("Count"))
+    return out
+
 
+def blob_plot(blobs: DataFrame, mat: str, pat: str) -> dict[str, DataFrame]:
+    return {"blob": tables.blob(blobs, mat, pat), "limit": profile.blob_limit(blobs)}
 
-def joint(t1: DataFrame, t2: DataFrame, k: int, limit: int = 1000) -> DataFrame:
-    return matrix.joint_matrix(counts_of(k, a=t1, b=t2), "a", "b", limit, limit)
 
+def joint_plot(t1: DataFrame, t2: DataFrame, k: int, x: int = 1000, y: int = 1000) -> dict[str, DataFrame]:
+    """The joint matrix, and it smoothed, no higher than the greater peak of both axes; ValueError if either has none."""
+    cells = matrix.joint_matrix(counts_of(k, a=t1, b=t2), "a", "b", x, y)
+    peaks = [matrix.require_peak(matrix.axis_peak(cells, "cnt2", "cnt1", y, x)), matrix.require_peak(matrix.axis_peak(cells, "cnt1", "cnt2", x, y))]
+    top = cells.sparkSession.range(1).select(F.lit(max(h for _, h in peaks)).alias("height"))
+    return {"joint": cells, "smoothed": tables.matrix(matrix.smoothed(cells, "cnt1", "cnt2", x, y, top), "cnt1", "cnt2", ("KF1", "KF2"))}
 
-def gc(t: DataFrame, k: int, limit: int = 1000) -> DataFrame:
-    return matrix.gc_matrix(KmerTable.count(t, k), limit)
+
+def gc_plot(t: DataFrame, k: int, x: int = 1000) -> dict[str, DataFrame]:
+    """The GC matrix, and it smoothed; ValueError if it has no peak. label: the GC count in per cent of k."""
+    cells = matrix.gc_matrix(KmerTable.count(t, k), x)
+    _, height = matrix.require_peak(matrix.axis_peak(cells, "gc", "cnt", k, x))
+    top = cells.sparkSession.range(1).select(F.lit(height).alias("height"))
+    return {"gc": cells.withColumn("label", gc_percent(F.col("gc"), k)), "smoothed": tables.matrix(matrix.smoothed(cells, "gc", "cnt", k, x, top), "gc", "cnt", ("GCP", "KF"))}
 
 
 def blob(mat_markers: DataFrame, pat_markers: DataFrame, asms: list[Source], k: int) -> DataFrame:
     """Contig blobs of one or two assemblies; markers: tables of kmer."""
     _distinct_names(*asms)
-    marks = mat_markers.select("kmer", F.lit(1).alias("mat"), F.lit(0).alias("pat")).unionByName(pat_markers.select("kmer", F.lit(0).alias("mat"), F.lit(1).alias("pat")))
-    marks = marks.groupBy("kmer").agg(F.max("mat").alias("mat"), F.max("pat").alias("pat"))
+    marks = _marks(mat_markers, pat_markers)
     each = [profile.profile(windows(df, k), marks, {"mat_cnt": "mat", "pat_cnt": "pat"}).withColumn("assembly", F.lit(n)) for n, df in asms]
     return profile.hap_blob(reduce(DataFrame.unionByName, each))
 
 
+def _marks(mat_markers: DataFrame, pat_markers: DataFrame) -> DataFrame:
+    """kmer, mat, pat (0 or 1)."""
+    both = mat_markers.select("kmer", F.lit(1).alias("mat"), F.lit(0).alias("pat")).unionByName(pat_markers.select("kmer", F.lit(0).alias("mat"), F.lit(1).alias("pat")))
+    return both.groupBy("kmer").agg(F.max("mat").alias("mat"), F.max("pat").alias("pat"))
+
+
 def full(reads: DataFrame, asms: list[Source], k: int, markers: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """Everything about one or two assemblies: QV, unsupported stretches, completeness, spectra, and with a trio's markers blobs and phase blocks."""
+    """Everything about one or two assemblies: QV, unsupported stretches, completeness, spectra, and with a trio's markers the parents' completeness, blobs and phase blocks."""
     if not 1 <= len(asms) <= 2:
         raise ValueError("one or two assemblies")
     _distinct_names(*asms)
     cols = [f"asm{i + 1}" for i in range(len(asms))]
-    counts = counts_of(k, reads=reads, **{c: df for c, (_, df) in zip(cols, asms, strict=True)}).persist()
-    out = {"completeness": stats.completeness(counts, "reads", cols), "assembly_spectrum": spectra.asm_spectrum(counts, "reads", *cols)}
+    names = {c: n for c, (n, _) in zip(cols, asms, strict=True)}
+    counts = counts_of(k, reads=reads, **{c: df for c, (_, df) in zip(cols, asms, strict=True)})
+
+    def own(df: DataFrame) -> DataFrame:
+        """The assemblies' own names in place of asm1 and asm2."""
+        return df.withColumn("assembly", F.coalesce(*[F.when(F.col("assembly") == c, n) for c, n in names.items()], F.col("assembly")))
+
+    held = counts.select("kmer", "reads", *[F.col(c).alias(n) for c, n in names.items()])
+    out = {"completeness": own(stats.completeness(counts, "reads", cols)), "assembly_spectrum": spectra.asm_spectrum(held, "reads", *names.values()), "assembly_zero": spectra.asm_zero(held, "reads", *names.values())}
     profiles = []
     for c, (name, df) in zip(cols, asms, strict=True):
         p = profile.profile(windows(df, k), counts, {"read_cnt": "reads"})
         profiles.append(p.withColumn("assembly", F.lit(name)))
-        out |= {f"{name}.spectrum": spectra.cn_spectrum(counts, "reads", c), f"{name}.qv": profile.scaffold_qv(p, k), f"{name}.only_bed": profile.unsupported_bed(p, k)}
+        out |= {f"{name}.spectrum": spectra.cn_spectrum(counts, "reads", c), f"{name}.zero": spectra.cn_zero(counts, "reads", c)}
+        out |= {f"{name}.qv": profile.scaffold_qv(p, k), f"{name}.only_bed": profile.unsupported_bed(p, k)}
     out["qv"] = profile.assembly_qv(reduce(DataFrame.unionByName, profiles), k)
     if markers:
+        marks = _marks(*markers)
         out["blob"] = blob(*markers, asms, k)
+        marked = counts.join(marks, "kmer", "left").select(*cols, *[F.coalesce(m, F.lit(0)).alias(m) for m in ("mat", "pat")])
+        out["parent_completeness"] = own(stats.parent_completeness(marked, cols, ["mat", "pat"]))
         for name, df in asms:
             positions = windows(df, k)
-            marks = [m.select("kmer", F.lit(1).alias(n)) for m, n in zip(markers, ("mat", "pat"), strict=True)]
-            both = marks[0].join(marks[1], "kmer", "full_outer").select("kmer", F.coalesce("mat", F.lit(0)).alias("mat"), F.coalesce("pat", F.lit(0)).alias("pat"))
-            p = profile.profile(positions, both, {"mat_cnt": "mat", "pat_cnt": "pat"})
+            p = profile.profile(positions, marks, {"mat_cnt": "mat", "pat_cnt": "pat"})
             contig_table = profile.contigs(positions, k)
             sites = profile.located(phasing.sites_of(p, k, ("seq_id",)), contig_table)
             blocks = phasing.phase_blocks(phasing.pure_blocks(sites), contig_table, k)
-            out |= {f"{name}.phased_block": blocks, f"{name}.block_stats": stats.size_stats(blocks), f"{name}.block_totals": phasing.phase_totals(blocks)}
+            out |= {f"{name}.contigs": contig_table, f"{name}.phased_block": blocks, f"{name}.block_stats": stats.size_stats(blocks), f"{name}.block_totals": phasing.phase_totals(blocks)}
+    return out
+
+
+def files(found: dict[str, DataFrame], settings: dict, parents: tuple[str, str] = ("mat", "pat")) -> dict[str, DataFrame]:
+    """The tables of full() as the files of a report: their columns, decimals and total rows, and the plots' data."""
+    out: dict[str, DataFrame] = {}
+    called = F.when(F.col("phase") == "mat", parents[0]).otherwise(parents[1])
+    for name, df in found.items():
+        root, _, kind = name.rpartition(".")
+        if name == "qv":
+            out[name] = tables.qv(df)
+        elif kind == "qv":
+            out[name] = tables.scaffold_qv(df)
+        elif name == "completeness":
+            own = found.get("parent_completeness")
+            out["completeness.stats"] = tables.completeness(df, own if own is None else own.withColumn("parent", F.when(F.col("parent") == "mat", parents[0]).otherwise(parents[1])))
+        elif name == "assembly_spectrum" or kind == "spectrum":
+            zero = found["assembly_zero" if name == "assembly_spectrum" else f"{root}.zero"]
+            out |= {f"{root or 'assembly'}.spectrum-{n}": t for n, t in plots({"spectrum": df, "zero": zero}, "class" if name == "assembly_spectrum" else "copies", **settings).items()}
+        elif name == "blob":
+            out |= {f"hapmers.{n}": t for n, t in blob_plot(df, *parents).items()}
+        elif kind == "phased_block":
+            out[name] = tables.phased_blocks(df.withColumn("phase", called), found[f"{root}.block_totals"])
+            out[f"{root}.block_blob"] = tables.blob(phasing.block_blob(df.withColumn("phase", called)), *parents)
+            out[f"{root}.sizes"] = tables.sizes(found[f"{root}.contigs"], root, df.withColumn("phase", called))
+        elif kind == "block_stats":
+            out[f"{root}.phased_block.stats"] = tables.block_stats(df)
+        elif kind == "only_bed":
+            out[name] = df.orderBy("seq_id", "beg")
     return out

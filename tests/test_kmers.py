@@ -1,6 +1,7 @@
 """Tables, algebra, matrices and phasing on small cases by hand and against plain Python."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -13,6 +14,7 @@ from kspec.functions.kmer import CHUNK
 from kspec.operators import histogram, matrix, profile, stats
 from kspec.operators.phasing import Block, merge_blocks
 from kspec.operators.table import KmerTable
+from kspec.plans import report
 from kspec.sources.sequences import read_fasta, read_fastq
 from kspec.streaming.counting import streaming_counts
 
@@ -161,14 +163,86 @@ def test_readers_and_programs(spark, tmp_path):
     fastq.write_text("".join(f"@r{i}\n{s}\n+\n{'I' * len(s)}\n" for i, s in enumerate(reads)))
     assert [(r.seq_id, r.name, r.seq) for r in read_fasta(spark, str(fasta)).orderBy("seq_id").collect()] == [(i, f"s{i} x", s) for i, s in enumerate(asm)]
     assert [r.seq for r in read_fastq(spark, str(fastq)).orderBy("seq_id").collect()] == reads
-    tables = cli.run(spark, ["report", "-k", "7", str(fastq), str(fasta), str(tmp_path / "out")])
-    assert (tmp_path / "out" / "qv").is_dir() and tables["qv"].count() == 1
-    cli.run(spark, ["cn", "-k", "7", str(fastq), str(fasta), str(tmp_path / "cn")])
-    for bad in (["cn", str(fasta), str(tmp_path)], ["cn", "-k", "0", str(fastq), str(fasta), "o"], ["joint", str(fasta), str(fasta), "o"]):
+    tables = cli.run(spark, ["report", "-K7", "-lz", str(fastq), str(fasta), str(tmp_path / "out")])
+    assert (tmp_path / "out" / "qv").is_dir() and tables["qv"].columns == ["Assembly", "No Support", "Total", "Error %", "QV"] and tables["qv"].count() == 1
+    assert tables["completeness.stats"].columns == ["Assembly", "Region", "Found", "Total", "% Covered"] and "asm.spectrum-limits.ln" in tables and "asm.spectrum-limits.st" not in tables
+    first = cli.run(spark, ["cn", "-K7", "-k", str(fastq), str(fasta), str(tmp_path / "cn")])
+    again = cli.run(spark, ["cn", "-s", "-x1.5", "-Y77", str(tmp_path / "cn")])
+    assert first["plot"].columns == ["Copies", "kmer_multiplicity", "Count"] and sorted(map(tuple, first["plot"].collect())) == sorted(map(tuple, again["plot"].collect()))
+    assert [n for n in again if n.startswith("limits")] == ["limits.st"] and again["limits.st"].first().y_limit == 77
+    for bad in (
+        ["cn", str(fasta), str(tmp_path)], ["cn", "-K0", str(fastq), str(fasta), "o"], ["joint", str(fasta), str(fasta), "o"], ["cn", "-q", "a", "b", "c"], ["gc", "-z", "a", "o"], ["cn", "-xabc", "a", "b", "c"],
+        ["cn", "-x-1", "a", "b", "c"], ["cn", "-T", "a", "b", "c"], ["cn", "-pdx", "a", "b", "c"], ["cn", "-k", str(tmp_path / "cn")], ["cn", str(tmp_path / "nothing")], ["plot"], [], ["cn"],
+    ):
         with pytest.raises(ValueError):
             cli.run(spark, bad)
 
 
+def test_trio_report(spark, tmp_path):
+    """A trio whose child has a stretch of each parent: every file with its columns, blocks with a total row, completeness of the parents' markers."""
+    rng = random.Random(12)
+    mat, pat, extra = ("".join(rng.choice("acgt") for _ in range(3000)) for _ in range(3))
+    asm = mat[:1200] + pat[1300:2600]
+
+    def reads(*seqs):
+        return frame(spark, [s[i : i + 300] for s in seqs for i in range(0, len(s) - 299, 30)])
+
+    h = report.trio_hapmers(reads(mat, extra), reads(pat, extra), reads(mat, pat), 11)
+    found = report.full(reads(mat, pat), [("asm", frame(spark, [asm, extra[:200]]))], 11, (h["mat"], h["pat"]))
+    out = report.files(found, {"styles": ["ln", "st"], "zero": True}, ("ma", "pa"))
+    blocks = out["asm.phased_block"].collect()
+    assert out["asm.phased_block"].columns == ["Scaffold", "Start", "End", "Phase", "Purity", "Switches", "Markers"]
+    assert [r.Phase for r in blocks] == ["ma", "pa", ""] and blocks[-1].Scaffold == "total" and blocks[-1].Markers == sum(r.Markers for r in blocks[:-1])
+    assert blocks[0].Start == "0" and blocks[1].End == str(len(asm)) and all(r.Purity == "0.000" for r in blocks)
+    region = {(r.Assembly, r.Region): r for r in out["completeness.stats"].collect()}
+    assert set(region) == {("asm", "all"), ("asm", "ma"), ("asm", "pa")}
+    distinct = len(plain_counts([asm, extra[:200]], 11))
+    assert region["asm", "ma"].Total == distinct and 0 < region["asm", "ma"].Found < distinct and re.fullmatch(r"[0-9]+\.[0-9]{2}", region["asm", "ma"]["% Covered"])
+    blob = sorted(map(tuple, out["asm.block_blob"].collect()))
+    assert out["asm.block_blob"].columns == ["Block", "Range", "ma", "pa", "Size"] and [b[:2] for b in blob] == [("ma", 0), ("pa", 1)]
+    kinds = Counter(r.kind for r in out["asm.sizes"].collect())
+    assert kinds == {"scaffold": 2, "contig": 2, "block": 2}
+    qv = {r.Assembly: r for r in out["qv"].collect()}
+    assert int(qv["asm"]["No Support"]) > 0 and re.fullmatch(r"[0-9]+\.[0-9]{4}", qv["asm"]["Error %"]) and re.fullmatch(r"[0-9]+\.[0-9]", qv["asm"].QV)
+    assert out["hapmers.blob"].columns == ["Assembly", "Contig", "ma", "pa", "Size"] and out["asm.phased_block.stats"].first()["# Blocks"] == 2
+    perfect = report.files(report.full(frame(spark, [asm] * 3), [("x", frame(spark, [asm]))], 11), {"styles": ["fl"], "zero": False})
+    assert perfect["qv"].first().QV == "inf" and perfect["x.qv"].columns[0] == "Scaffold"
+
+
+def test_stacked_peak_and_limits(spark):
+    def peak(curves, high=9):
+        rows = [(c, o, m, n, n) for c, o, bins in curves for m, n in bins.items()]
+        return histogram.stacked_peak(spark.createDataFrame(rows, "copies string, class_ord int, multiplicity long, n_unique long, n_instances long"), high).first()
+
+    assert tuple(peak([("1", 1, {1: 9, 2: 4, 3: 5, 4: 1}), ("2", 2, {1: 1, 2: 3, 3: 4, 4: 8, 5: 8})])) == (4, 9)
+    assert tuple(peak([("1", 1, {1: 9, 2: 4, 3: 1})])) == (9, 0)
+    plot = spark.createDataFrame([("read-only", 4, 99), ("1", 2, 50), ("1", 6, 20), ("2", 8, 20)], "class string, multiplicity long, n long")
+    assert tuple(histogram.fallback_limits(plot).first()) == (15.0, pytest.approx(22.0))
+    zero = spark.createDataFrame([(30,), (10,)], "n_instances long")
+    assert histogram.fallback_limits(plot, zero).first().y_limit == pytest.approx(44.0)
+
+
+def test_saved_profiles_and_histograms(spark, tmp_path):
+    prof = spark.createDataFrame([(s, p, s + p) for s in range(3) for p in range(9, -1, -1)], "seq_id long, pos int, read_cnt long")
+    profile.save_profiles(prof, str(tmp_path / "p"), 7)
+    back = profile.load_profiles(spark, str(tmp_path / "p"), 7)
+    assert [tuple(r) for r in profile.fetch_profile(back, 2, 3).collect()] == [(p, 2 + p) for p in range(10)]
+    for bad in (-1, 3):
+        with pytest.raises(ValueError):
+            profile.fetch_profile(back, bad, 3)
+    with pytest.raises(ValueError):
+        profile.load_profiles(spark, str(tmp_path / "p"), 8)
+    h = hist(spark, {1: 4, 2: 9})
+    histogram.save(h, str(tmp_path / "h"), 7)
+    assert sorted(map(tuple, histogram.load(spark, str(tmp_path / "h"), 7).collect())) == sorted(map(tuple, h.collect()))
+    with pytest.raises(ValueError):
+        histogram.load(spark, str(tmp_path / "h"), 5)
+    t = KmerTable.count(frame(spark, sequences(3, 2, 200)), 6)
+    ordered = sorted(as_dict(t).items())
+    assert [r.cnt for r in t.from_ordinal(5, 3).collect()] == [n for _, n in ordered[5:8]]
+    assert t.max_bucket(2).first().n == max(Counter(m[:2] for m, _ in ordered).values())
+
+
 def test_split_files(spark, tmp_path):
     """Many small splits of several files: numbers follow the files; headers hold '>', lines end in CR LF, quality lines begin with '@'."""
     rng = random.Random(3)
