@@ -44,7 +44,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df cut from its lineage: written as Parquet in the shared folder and read again, so a lost executor costs a read and no recomputation."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once nothing that is still to be computed reads them."""
+    from pyarrow import fs
+
+    for table in tables:
+        system, path = fs.FileSystem.from_uri(table.written_at)
+        system.delete_dir(path)
 
 
 def modest_batches(spark: SparkSession) -> None:

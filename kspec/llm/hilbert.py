@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_join, text_of, written
+from .common import fresh, small_join, text_of, written
 
 #: Rows that one step of the ordering sorts together, at the mean.
 RUN_ROWS = 64
@@ -85,7 +85,7 @@ def quantised(column: Column, kind: str, bits: int) -> Column:
 def hilbert_shards(docs: DataFrame, *, shards: int = 24, bits: int = 5, doc_id: str = "doc_id", text: str = "text", names: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot and curve of every row: rows in Hilbert order of (names..., size), cut into shards whose row counts differ by one at most.
 
-    size is the text's UTF-8 bytes plus 8, a null text has none. Rows of one cell, which may be a third of all, are put in order by a hash of doc_id:
+    size is the text's UTF-8 bytes plus 8, a null text has none. Rows of one cell, which may be a third of all, are put in order by a hash of doc_id, size and checksum:
     first in runs of about RUN_ROWS rows, whose counts are summed on two levels, then within a run. Equal ids are ordered by size and checksum; rows
     equal in all of that are alike, so which comes first makes no difference. Null ids, names and texts are kept. An empty table gives no row."""
     t = F.col(text).cast("string")
@@ -102,7 +102,7 @@ def hilbert_shards(docs: DataFrame, *, shards: int = 24, bits: int = 5, doc_id:
     n_cells, total = cells.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     before = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
     bases = cells.select(*cell, "curve", "runs", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("cell_base"))
-    placed = small_join(meta, bases, cell, n_cells).withColumn("run", F.pmod(F.xxhash64(F.lit("run"), F.col("doc_id")), F.col("runs"))).drop(*cell, "runs")
+    placed = small_join(meta, bases, cell, n_cells).withColumn("run", F.pmod(F.xxhash64(F.lit("run"), F.col("doc_id"), F.col("size"), F.col("text_crc32")), F.col("runs"))).drop(*cell, "runs")
 
     by_run = placed.groupBy("curve", "cell_base", "run").agg(F.count("*").alias("n")).withColumn("fan", F.expr(f"run div {FAN}"))
     fans = by_run.groupBy("curve", "fan").agg(F.sum("n").alias("fan_n"))
@@ -117,18 +117,36 @@ def hilbert_shards(docs: DataFrame, *, shards: int = 24, bits: int = 5, doc_id:
     return ranked.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), (F.col("rank") - first).cast("long").alias("slot"), "curve")
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id") -> None:
-    """Writes docs as Parquet under path/shard=N, each shard in slot order. doc_id must be a key of docs."""
-    names = docs.columns
-    at = placed.select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    joined = docs.join(at, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")))
-    out = joined.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__shard", "__slot").sortWithinPartitions("__shard", "__slot")
-    out.select(F.col("__shard").alias("shard"), *[F.col(f"`{c}`") for c in names if c != "shard"]).write.partitionBy("shard").parquet(path)
+def _matched(docs: DataFrame, placed: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, shard and slot, and their names. Rows meet by id, size and checksum; of rows equal in all three each gets one of their places."""
+    taken: list[str] = list(docs.columns)
 
+    def name(n: str) -> str:
+        taken.append(fresh(taken, n))
+        return taken[-1]
 
-def shard_ranges(docs: DataFrame, placed: DataFrame, columns: list[str], doc_id: str = "doc_id") -> DataFrame:
-    """For each shard its rows and the least and greatest value of each column: what a reader needs to skip shards."""
-    at = placed.select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard"))
-    joined = docs.join(at, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")))
+    key, nth, shard, slot = [name(n) for n in ("placed_id", "placed_size", "placed_crc")], name("nth"), name("shard"), name("slot")
+    t = F.col(f"`{text}`").cast("string")
+    own = [F.col(f"`{doc_id}`"), (F.coalesce(F.octet_length(t), F.lit(0)) + 8).cast("long"), F.crc32(F.encode(F.coalesce(t, F.lit("")), "UTF-8"))]
+    mine = docs.select("*", *[c.alias(n) for c, n in zip(own, key, strict=True)])
+    mine = mine.withColumn(nth, F.row_number().over(Window.partitionBy(*key).orderBy(key[0])))
+    theirs = placed.select("doc_id", "size", "text_crc32", F.col("shard").alias(shard), F.col("slot").alias(slot), F.row_number().over(Window.partitionBy("doc_id", "size", "text_crc32").orderBy("shard", "slot")).alias("n_"))
+    on = mine[key[0]].eqNullSafe(theirs["doc_id"]) & (mine[key[1]] == theirs["size"]) & (mine[key[2]] == theirs["text_crc32"]) & (mine[nth] == theirs["n_"])
+    return mine.join(theirs, on).select(*[mine[c] for c in docs.columns], theirs[shard], theirs[slot]), shard, slot
+
+
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> str:
+    """Writes docs as Parquet under path/shard=N, each shard in slot order, and returns the name of that column: shard, or shard_ and so on where docs has one of that name already.
+
+    Every row is written once with all its columns. Null and repeated ids are told apart by size and checksum; rows equal in these are spread over their places."""
+    out, shard, slot = _matched(docs, placed, doc_id, text)
+    out = out.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shard, slot).sortWithinPartitions(shard, slot)
+    out.drop(slot).write.partitionBy(shard).parquet(path)
+    return shard
+
+
+def shard_ranges(docs: DataFrame, placed: DataFrame, columns: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each shard its rows and the least and greatest value of each column: what a reader needs to skip shards. Null values count in neither; an empty table gives no row."""
+    out, shard, _ = _matched(docs, placed, doc_id, text)
     aggs = [f(F.col(f"`{c}`")).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
-    return joined.groupBy(F.col("__shard").alias("shard")).agg(F.count("*").alias("n_rows"), *aggs)
+    return out.groupBy(F.col(shard).alias("shard")).agg(F.count("*").alias("n_rows"), *aggs)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACES, fresh, row_key, text_of, written
+from .common import BROADCAST_ROWS, SPACES, discard, fresh, row_key, text_of, written
 
 #: Characters from which on a line may differ by one edit; shorter ones are alike if equal.
 EDITS_FROM = 16
@@ -113,7 +113,10 @@ def _meeting(keyed: DataFrame, name: str) -> DataFrame:
     shared = each.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key")
     shared = written(shared, f"{name}-shared")
     few = shared.count() <= BROADCAST_ROWS
-    return each.join(F.broadcast(shared) if few else shared, "key", "left_semi").groupBy("h1").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    meeting = each.join(F.broadcast(shared) if few else shared, "key", "left_semi").groupBy("h1").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    meeting = written(meeting, name)
+    discard(shared)
+    return meeting
 
 
 LAST = 2**63 - 1
@@ -128,7 +131,7 @@ def _removed(docs: DataFrame, edits_from: int, doc_id: str, text: str) -> DataFr
     at = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("t"), F.col("line_no").alias("l"))
     distinct = written(lines.select("h1", "h2", at.alias("at")).groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n")), "lines-distinct")
 
-    possible = written(_meeting(lines.select("h1", "keys"), "lines-halves"), "lines-possible")
+    possible = _meeting(lines.select("h1", "keys"), "lines-possible")
     few = possible.count() <= BROADCAST_ROWS
     wanted = distinct.join(F.broadcast(possible) if few else possible, "h1", "left_semi")
     wanted = written(wanted.select(F.col("first.d").alias("d"), F.col("first.t").alias("wt"), F.col("first.l").alias("l"), F.col("h1").alias("p1"), F.col("h2").alias("p2")), "lines-wanted")
@@ -138,11 +141,14 @@ def _removed(docs: DataFrame, edits_from: int, doc_id: str, text: str) -> DataFr
     placed = written(split.join(F.broadcast(wanted) if few else wanted, here), "lines-placed")
     spelled = _named(placed).where("h1 = p1 and h2 = p2").select("h1", "h2", "d", "t", "l", "line").dropDuplicates(["h1", "h2"])
     spelled = written(spelled, "lines-text")
+    discard(possible, wanted, placed)
 
-    near = written(_meeting(spelled.select("h1", _segments().alias("keys")), "lines-segments"), "lines-near")
+    near = _meeting(spelled.select("h1", _segments().alias("keys")), "lines-near")
     few = near.count() <= BROADCAST_ROWS
-    spelled = spelled.join(F.broadcast(near) if few else near, "h1")
-    found = written(_earlier(written(spelled, "lines-near-text"), edits_from), "lines-alike")
+    closer = written(spelled.join(F.broadcast(near) if few else near, "h1"), "lines-near-text")
+    discard(near, spelled)
+    found = _earlier(closer, edits_from)
+    discard(closer)
     marked = distinct.join(found, ["h1", "h2"], "left").select("h1", "h2", "n", F.coalesce(F.least("first", "earlier"), F.col("first")).alias("keep"), F.col("earlier").isNotNull().alias("alike"))
     marked = marked.where("n > 1 or alike").select(F.col("h1").alias("m1"), F.col("h2").alias("m2"), "keep")
     placed = lines.select("doc_id", "t", "line_no", "h1", "h2", at.alias("at"))
@@ -200,7 +206,9 @@ def _earlier(spelled: DataFrame, edits_from: int) -> DataFrame:
     own = spelled.select("h1", "h2", "line")
     theirs = spelled.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("line").alias("other"))
     verified = pairs.join(own, ["h1", "h2"]).join(theirs, ["p1", "p2"]).where(F.levenshtein("line", "other", 1).between(0, 1))
-    return verified.groupBy("h1", "h2").agg(F.min(F.struct("d", "t", "l")).alias("earlier"))
+    found = written(verified.groupBy("h1", "h2").agg(F.min(F.struct("d", "t", "l")).alias("earlier")), "lines-alike")
+    discard(keyed)
+    return found
 
 
 def _emitted(batch: pd.DataFrame, out: list[tuple]) -> pd.DataFrame:

@@ -2,8 +2,8 @@
 
 Base statistics of each text give a vector of transformed statistics. For each language and source, each language, and all rows the minimum covariance determinant (MCD) is
 estimated: the mean and covariance of the share of rows whose ellipsoid is smallest. From each of three starts - medians and spreads, all rows' moments, the covariance of directions from
-the median - concentration steps are repeated: distances of all rows, the share `core` with the least, mean and covariance of those. A start's steps end when its determinant falls no
-further; the start with the least determinant counts.
+the median - concentration steps are taken: distances of all rows, the share `core` with the least, mean and covariance of those. After two steps the start with the least determinant
+goes on until that falls no further.
 
 A group's estimate is blended with its language's, and that with all rows', in proportion to its rows: m of them weigh m / (m + PRIOR_ROWS). So a group is
 judged by its own estimate the more the larger it is, and none is too small to be judged. A row whose Mahalanobis distance from the blend is beyond the limit is an outlier.
@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE_CLASS, SPACES, small_join, text_of, written
+from .common import SPACE_CLASS, SPACES, discard, small_join, text_of, written
 
 SCALE = 1000
 #: Bins of a distance for each doubling, and narrow bins in a wide one.
 BINS_PER_DOUBLING, WIDE_BIN = 64, 64
 #: Rows of its own at which a group's estimate weighs as much as what stands above it.
 PRIOR_ROWS = 50
+#: Steps that every start takes; after them the one with the least determinant goes on, as in the published fast algorithm.
+SHORT_STEPS = 2
 #: A determinant that falls by less than this part has stopped falling.
 FALL = 1e-3
 #: The transformed statistics: name, expression, and a spread below which a group's own spread is not taken for real.
@@ -184,7 +186,11 @@ def mcd_estimates(fit: DataFrame, core: float = 0.75) -> DataFrame:
         step = _factored(_moments(small_join(far, cut, ["grp", "start"], starts).where("bin <= cut"), ["grp", "start"])).drop("m")
         old = est.select("grp", "start", F.col("log_det").alias("old"))
         step = written(small_join(step, old, ["grp", "start"], starts).withColumn("falls", F.col("log_det") < F.col("old") - FALL), "mcd-step")
+        discard(cut)
         done.append(step.select("grp", "start", *MEANS, *COVARIANCES, "log_det"))
+        if len(done) == SHORT_STEPS:  # of the starts the best goes on
+            best = step.groupBy("grp").agg(F.min(F.struct("log_det", "start")).alias("b")).select("grp", F.col("b.start").alias("start"))
+            step = small_join(step, best, ["grp", "start"], starts)
         est = step.where("falls").drop("old", "falls")
         if est.isEmpty():
             break

@@ -1,3 +1,20 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The others hash with XXH64 or CRC-32, learn, encode or compress, for which DuckDB has no functions; tests/llm hold them against brute-force versions."""
+
+#: Lines as op7 compares them, and the keys that two lines one edit apart share: the beginning or the end, cut at the middle of the longer one.
+_LINES = r"""split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+  named AS (SELECT doc_id, line_no, lower(trim(regexp_replace(raw, '[\x20\x09-\x0D\xA0]+', ' ', 'g'), ' ')) AS line FROM (SELECT doc_id, unnest(l) AS raw, unnest(range(len(l)))::INT AS line_no FROM split)),
+  lines AS (SELECT * FROM named WHERE line != ''),
+  firsts AS (SELECT line, length(line) AS n, min(ROW(coalesce(doc_id, 9223372036854775807), line_no)) AS place FROM lines GROUP BY line),
+  halves AS (SELECT line, n, place, m FROM (SELECT *, unnest([n // 2, (n + 1) // 2]) AS m FROM firsts WHERE n >= 15)),
+  keys AS (SELECT DISTINCT line, n, place, 'before' AS side, left(line, m) AS key FROM halves UNION SELECT line, n, place, 'after', right(line, m) FROM halves UNION SELECT line, n, place, 'after', right(line, m + 1) FROM halves),
+  met AS (SELECT DISTINCT a.line AS a, b.line AS b, a.n AS na, b.n AS nb, b.place FROM keys a JOIN keys b USING (side, key) WHERE a.line != b.line AND greatest(a.n, b.n) >= 16 AND abs(a.n - b.n) <= 1),
+  begun AS (SELECT *, coalesce(list_position(list_transform(range(1, least(na, nb) + 1), lambda i: substr(a, i, 1) != substr(b, i, 1)), true) - 1, least(na, nb)) AS same FROM met),
+  near AS (SELECT a AS line, min(place) AS place FROM begun WHERE substr(a, same + CASE WHEN na >= nb THEN 2 ELSE 1 END) = substr(b, same + CASE WHEN nb >= na THEN 2 ELSE 1 END) GROUP BY a),
+  kept AS (SELECT f.line, least(f.place, coalesce(near.place, f.place)) AS place FROM firsts f LEFT JOIN near USING (line))"""
+
+ORACLES: dict[str, str] = {
+    "op7_line_dedup": f"""WITH {_LINES} SELECT doc_id, line_no, nullif(place[1], 9223372036854775807) AS kept_doc_id, place[2] AS kept_line_no FROM lines JOIN kept USING (line)
+  WHERE ROW(coalesce(doc_id, 9223372036854775807), line_no) > place""",
+}

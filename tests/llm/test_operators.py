@@ -174,6 +174,23 @@ def test_hilbert_shards(docs, rows, empty):
     assert ranges.count() == 7
 
 
+def test_written_shards(spark, tmp_path):
+    """Each row once, in its shard and in slot order; null ids, repeated ids and equal rows, and a column that is called shard."""
+    rows = [(None if i % 5 == 0 else i // 2, f"text {i % 40}", "en", "a", i, f"s{i}") for i in range(200)] + [(7, "same", None, None, k, "x") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, shard string")
+    placed = hilbert.hilbert_shards(docs, shards=6)
+    name = hilbert.write_shards(docs, placed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert name == "shard_" and back.columns == [*docs.columns, "shard_"]
+    assert Counter(tuple(r)[:6] for r in back.collect()) == Counter(rows)
+    sizes = Counter(r.shard for r in placed.collect())
+    assert Counter(r.shard_ for r in back.collect()) == sizes
+    ranges = {r.shard: r for r in hilbert.shard_ranges(docs, placed, ["n_chars"]).collect()}
+    for s, n in sizes.items():
+        held = [r.n_chars for r in back.collect() if r.shard_ == s]
+        assert (ranges[s].n_rows, ranges[s].min_n_chars, ranges[s].max_n_chars) == (n, min(held), max(held))
+
+
 def test_bpe(docs, rows, empty):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
