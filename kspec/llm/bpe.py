@@ -5,7 +5,7 @@ text into tokens exactly one has only allowed neighbours, and that one is the BP
 (place in the trie of tokens, last finished token), and reading a byte moves each configuration down the trie and, where a token ends that may
 follow the last one, adds one at the root. The transducer is determinised while it reads: a state is the set of configurations, each with
 the tokens it has not yet put out; what all of them agree on is put out at once. A configuration inside a token ends or dies within the longest
-token, so the lookahead is bounded. States and steps are kept in a table that is emptied when full."""
+token, so the lookahead is bounded. States and steps are kept in a table that is emptied when full, also in the middle of a word."""
 
 from __future__ import annotations
 
@@ -49,6 +49,9 @@ class Transducer:
         self.down = {key: (at, ends.get(at, -1), at in inner) for key, at in child.items()}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._allowed: dict[int, bool] = {}
+        self._number: dict[tuple, int] = {}
+        self._state: list[tuple] = []
+        self._step: dict[int, tuple[int, tuple[int, ...]]] = {}
         self._reset()
 
     def halves(self, t: int) -> tuple[int, int] | None:
@@ -94,15 +97,23 @@ class Transducer:
                 undone, right = right + 1, r[0]
 
     def _reset(self) -> None:
+        """Empties the tables in place: a word that is being read holds on to them."""
         first = ((0, self.start, ()),)
-        self._number: dict[tuple, int] = {first: 0}
-        self._state: list[tuple] = [first]
-        self._step: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self._number.clear()
+        self._number[first] = 0
+        self._state[:] = [first]
+        self._step.clear()
 
     def _advance(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The step from state `at`: the state after it and what it puts out.
 
         Configurations are in the order of their beginnings, so the first owes the fewest tokens; one at a leaf of the trie is finished."""
+        if len(self._state) > self.max_states or len(self._step) > 16 * self.max_states:  # the state stays, under a new number
+            held = self._state[at]
+            self._reset()
+            at = self._number.setdefault(held, len(self._state))
+            if at == len(self._state):
+                self._state.append(held)
         down, allowed, after, owes = self.down.get, self._allowed.get, [], None
         for node, last, owed in self._state[at]:
             if found := down(node << 8 | byte):
@@ -134,8 +145,6 @@ class Transducer:
         whole = self.ranks.get(word)
         if whole is not None:
             return [whole]
-        if len(self._state) > self.max_states:
-            self._reset()
         out: list[int] = []
         at, step = 0, self._step.get
         for byte in word:

@@ -210,7 +210,7 @@ def test_transducer_on_small_vocabularies():
         while len(ranks) < 20:
             a, b = (list(ranks)[i] for i in rng.integers(0, len(ranks), 2))
             ranks.setdefault(a + b, len(ranks))
-        t = bpe.Transducer(ranks, max_states=20)
+        t = bpe.Transducer(ranks, max_states=5)
         for _ in range(60):
             word = bytes(rng.integers(0, 4, rng.integers(1, 30)).tolist())
             parts = [bytes([x]) for x in word]
@@ -222,6 +222,7 @@ def test_transducer_on_small_vocabularies():
             want = [ranks[word]] if word in ranks else [ranks[p] for p in parts]
             if all(t.made(x) for x in want):
                 assert t.encode_word(word) == want
+                assert len(t._state) <= t.max_states + 2
 
 
 def test_stream_decoder():
