@@ -8,8 +8,9 @@ at most r apart (sum of differences), so only tiles whose signatures are that ne
 fingerprints of one signature, in parts of about TILE.
 
 similar_documents: links by the Jaccard similarity of the sets of shingles. For a similarity of 0.8 a fingerprint's bits differ with a chance of about 0.15, at most 0.19 in the
-shortest sets; of WIDE words of 64 bits a share of REACH is far beyond that, and far below the half in which unrelated ones differ. Pairs within that reach are verified on their
-whole sets, so no pair below the similarity is linked. So wide a reach skips few tiles by their bit counts; tiles are cut by the sets' sizes too, which
+shortest sets; of WIDE words of 64 bits a share of REACH is far beyond that, and far below the half in which unrelated ones differ. Links within that reach give groups; only pairs of one
+group and within reach are verified, on their whole sets, next to each other in numpy, nearest first and unless links found before connect them. So no pair below the
+similarity is linked, and a large group gives a forest, not its pairs. So wide a reach skips few tiles by their bit counts; tiles are cut by the sets' sizes too, which
 can't be further apart than the similarity."""
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, by_size, modest_batches, row_key, text_of, without, written
+from .common import BROADCAST_ROWS, by_size, discard, modest_batches, row_key, text_of, without, written
 
 TILE, QUARTERS = 2048, 4
+#: Members of sets, and sets, that are verified side by side: a large group is cut into tiles of so many.
+TILE_MEMBERS, TILE_SETS = 1 << 18, 512
 #: Words of a wide fingerprint, and the share of its bits in which two may differ to be verified.
 WIDE, REACH = 4, 0.26
 #: Hashes counted at a time.
@@ -106,20 +109,25 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, doc_id: str = "doc_id", t
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Ordinals in a and b of fingerprints that differ in at most radius bits. If more than a few a fingerprint are, a forest that connects the same ones (in it a may be linked to a)."""
-    n = len(a)
-    near = np.empty((n, len(b)), dtype=bool)
-    for at in range(0, n, 256):
+    """Ordinals in a and b of fingerprints that differ in at most radius bits, as linked() gives them."""
+    near = np.empty((len(a), len(b)), dtype=bool)
+    for at in range(0, len(a), 256):
         near[at : at + 256] = np.bitwise_count(a[at : at + 256, None] ^ b[None, :]) <= radius
+    return linked(near, same)
+
+
+def linked(near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a matrix, columns counted on after the rows unless they are the same ones. If there are more than a few a row, a forest that connects the same ones (in it a row may be linked to a row)."""
+    n, m = near.shape
     if same:
         np.fill_diagonal(near, False)
         count = int(np.count_nonzero(near)) // 2
     else:
         count = int(np.count_nonzero(near))
-    if count <= 4 * (n + len(b)):
+    if count <= 4 * (n + m):
         i, j = np.nonzero(np.triu(near) if same else near)
         return i, j + n
-    # least label over neighbours until nothing changes; a label is an ordinal in a
+    # least label over neighbours until nothing changes; a label is the ordinal of a row
     label_a, far = np.arange(n), np.int64(1) << 40
     while True:
         label_b = np.where(near, label_a[:, None], far).min(axis=0)
@@ -194,7 +202,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(large, "star-large")
         down = large.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("w"), "m")
         small = large.join(down, F.col("v") == F.col("w")).select(F.col("m"), F.explode(F.array("u", "v")).alias("v")).where("m != v").select(F.col("m").alias("u"), "v").distinct()
-        edges = written(small, "star-small")
+        last, edges = edges, written(small, "star-small")
+        discard(last, large)
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
@@ -233,44 +242,27 @@ def near_duplicates(docs: DataFrame, *, radius: int = 3, shingle: int = 3, doc_i
     return _near(docs, radius, shingle, doc_id, text).select("doc_id", "fp", _component_id())
 
 
-def alike(a: np.ndarray, b: np.ndarray, same: bool, similarity: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Ordinals in a and b of rows (node, root, size, words of the fingerprint) within reach, of sizes that allow the similarity and of different roots.
-
-    every: all such pairs. Else, where they are more than a few a row, each row with the nearest and with the most central one within its reach."""
-    words = [(a[:, 3 + k].view(np.uint64), b[:, 3 + k].view(np.uint64)) for k in range(WIDE)]
+def distances(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Bits in which wide fingerprints (a row each) differ; 999 where the sets' sizes don't allow the similarity."""
     far = np.empty((len(a), len(b)), dtype=np.uint16)
     for at in range(0, len(a), 256):
         rows = slice(at, at + 256)
         total = np.zeros((len(a[rows]), len(b)), dtype=np.uint16)
-        for x, y in words:
-            total += np.bitwise_count(x[rows, None] ^ y[None, :])
-        apart = (a[rows, 1, None] == b[None, :, 1]) | (similarity * np.maximum(a[rows, 2, None], b[None, :, 2]) > np.minimum(a[rows, 2, None], b[None, :, 2]) + EPSILON)
-        total[apart] = 999
+        for k in range(WIDE):
+            total += np.bitwise_count(a[rows, k, None] ^ b[None, :, k])
+        total[similarity * np.maximum(sizes_a[rows, None], sizes_b[None, :]) > np.minimum(sizes_a[rows, None], sizes_b[None, :]) + EPSILON] = 999
         far[rows] = total
-    near = far <= int(REACH * 64 * WIDE)
-    if same:
-        np.fill_diagonal(near, False)
-    if every or np.count_nonzero(near) <= 4 * (len(a) + len(b)):
-        return np.nonzero(np.triu(near) if same else near)
-    with_any = np.flatnonzero(near.any(axis=1))
-    near, far = near[with_any], np.where(near, far, 999)[with_any]
-    degree = near.sum(axis=0)
-    central = degree - np.where(near, far, 0).sum(axis=0) / (1000.0 * np.maximum(degree, 1))
-    to_centre = np.where(near, central[None, :], -1.0).argmax(axis=1)
-    i, j = np.concatenate((with_any, with_any)), np.concatenate((far.argmin(axis=1), to_centre))
-    if not same:  # and those of b that no row of a has taken
-        left = np.flatnonzero(near.any(axis=0) & ~np.isin(np.arange(near.shape[1]), j))
-        i, j = np.concatenate((i, with_any[far[:, left].argmin(axis=0)])), np.concatenate((j, left))
-    return i, j
-
-
-def _in_reach(nodes: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """(u, v): pairs of nodes (node, root, n, f0...) that alike() gives, tile against tile. Sizes of one class or the next can be similar enough."""
+    return far
+
+
+def _in_reach(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links between nodes (node, n, f0...) within reach, tile against tile. Sizes of one class or the next can be similar enough."""
     step = math.log(1 / similarity) if similarity < 1 else 1.0
     classed = nodes.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / step + EPSILON).cast("int"))
     parts = classed.groupBy("c").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("parts"))
-    columns = ["node", "root", F.col("n").cast("long"), *[f"f{k}" for k in range(WIDE)]]
+    columns = ["node", F.col("n").cast("long"), *[f"f{k}" for k in range(WIDE)]]
     bits = sum((F.bit_count(f"f{k}") for k in range(1, WIDE)), F.bit_count("f0"))
+    # a row a size class, of which there are as many as doublings of a text's length, about
     placed = classed.join(F.broadcast(parts), "c").select("c", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.array(*columns).alias("row"), bits.alias("bits"))
     tiles = placed.groupBy("c", "part").agg(F.flatten(F.collect_list("row")).alias("rows"), F.min("bits").alias("low"), F.max("bits").alias("high"))
     tiles = written(tiles, "simhash-wide-tiles")
@@ -282,20 +274,70 @@ def _in_reach(nodes: DataFrame, similarity: float, every: bool) -> DataFrame:
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b, same in zip(batch["a"], batch["b"], batch["same"], strict=True):
-                a, b = (np.asarray(x, dtype=np.int64).reshape(-1, 3 + WIDE) for x in (a, b))
-                i, j = alike(a, b, bool(same), similarity, every)
-                u, v = a[i, 0], b[j, 0]
-                yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+                a, b = (np.asarray(x, dtype=np.int64).reshape(-1, 2 + WIDE) for x in (a, b))
+                i, j = linked(distances(a[:, 2:].view(np.uint64), b[:, 2:].view(np.uint64), a[:, 1], b[:, 1], similarity) <= reach, bool(same))
+                nodes = np.concatenate((a[:, 0], b[:, 0]))
+                yield pd.DataFrame({"u": np.minimum(nodes[i], nodes[j]), "v": np.maximum(nodes[i], nodes[j])})
 
-    return pairs.mapInPandas(compare, "u long, v long").distinct()
+    return pairs.mapInPandas(compare, "u long, v long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v) of pairs whose sets are at least so similar."""
-    a = sets.select(F.col("node").alias("u"), F.col("members").alias("a"))
-    b = sets.select(F.col("node").alias("v"), F.col("members").alias("b"))
-    both = pairs.join(a, "u").join(b, "v").select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("shared"))
-    return both.where(F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared")) - EPSILON).select("u", "v")
+def similar_sets(a: list[np.ndarray], b: list[np.ndarray], same: bool, similarity: float) -> list[tuple[int, int]]:
+    """Links (ordinals in a and b) of rows (node, words of the fingerprint, members) within reach whose sets are so similar; not those that earlier ones, nearer, connect."""
+    print_a, print_b = (np.array([x[1 : 1 + WIDE] for x in rows]).view(np.uint64) for rows in (a, b))
+    size_a, size_b = (np.array([len(x) - 1 - WIDE for x in rows]) for rows in (a, b))
+    far = distances(print_a, print_b, size_a, size_b, similarity)
+    if same:
+        far[np.tril_indices(len(a))] = 999
+    i, j = np.nonzero(far <= int(REACH * 64 * WIDE))
+    order = np.argsort(far[i, j], kind="stable")
+    parent, sets, out = list(range(len(a) + (0 if same else len(b)))), {}, []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def members(x: int) -> set[int]:
+        if x not in sets:
+            sets[x] = set((a[x] if x < len(a) else b[x - len(a)])[1 + WIDE :].tolist())
+        return sets[x]
+
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        z = y if same else len(a) + y
+        u, v = root(x), root(z)
+        if u != v:
+            shared = len(members(x) & members(z))
+            if shared >= similarity * (size_a[x] + size_b[y] - shared) - EPSILON:
+                parent[u] = v
+                out.append((x, y))
+    return out
+
+
+def _verified(sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links of sufficient similarity among the sets (root, row: node, words, members) of each group; a group of several tiles is compared tile against tile."""
+    size = F.greatest(F.ceil(F.sum(F.size("row")) / F.lit(TILE_MEMBERS)), F.ceil(F.count("*") / F.lit(TILE_SETS))).cast("int")
+    parts = sets.groupBy("root").agg(size.alias("parts"))
+    placed = sets.join(parts, "root").withColumn("part", F.pmod(F.xxhash64(F.col("row")[0]), F.col("parts")).cast("int"))
+    tiles = written(placed.groupBy("root", "part", "parts").agg(F.collect_list("row").alias("rows")), "simhash-groups")
+    alone = tiles.where("parts = 1").select(F.col("rows").alias("a"), F.array().cast("array<array<bigint>>").alias("b"), F.lit(True).alias("same"))
+    many = tiles.where("parts > 1")
+    left = many.select("root", F.col("part").alias("ap"), F.col("rows").alias("a"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("part"))
+    pairs = left.join(many.select("root", "part", "rows"), ["root", "part"]).select("a", F.col("rows").alias("b"), F.expr("ap = part").alias("same"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            u, v = [], []
+            for a, b, same in zip(batch["a"], batch["b"], batch["same"], strict=True):
+                b = a if same else b
+                found = similar_sets(list(a), list(b), bool(same), similarity)
+                u += [int(a[x][0]) for x, _ in found]
+                v += [int(b[y][0]) for _, y in found]
+            yield pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
+
+    schema = "u long, v long"
+    return alone.mapInPandas(compare, schema).unionByName(pairs.mapInPandas(compare, schema))
 
 
 def _node_of(members: np.ndarray) -> int:
@@ -321,28 +363,23 @@ def _similar(docs: DataFrame, similarity: float, shingle: int, doc_id: str, text
     words = [f"f{k}" for k in range(WIDE)]
     marked = written(slim.mapInPandas(mark, "doc_id long, t long, node long, n int, " + ", ".join(f"{w} long" for w in words)), "simhash-docs")
     nodes = written(marked.groupBy("node").agg(F.min(_first()).alias("first"), *[F.first(c).alias(c) for c in ("n", *words)]), "simhash-nodes")
-    # every node in reach of another has a pair here
-    pairs = written(_in_reach(nodes.select("node", F.col("node").alias("root"), "n", *words), similarity, False), "simhash-reached")
-
-    # their sets are made again from the first text of each
-    met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = written(nodes.join(met, "node", "left_semi").select(F.col("first.d").alias("d"), F.col("first.t").alias("wt")), "simhash-wanted")
+    roots = components(_in_reach(nodes.select("node", "n", *words), similarity))
+    # the groups' sets are made again from the first text of each node
+    grouped = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+    wanted = nodes.join(grouped, "node").select(F.col("node").alias("w"), "root", *words, F.col("first.d").alias("d"), F.col("first.t").alias("wt"))
+    wanted = written(wanted, "simhash-wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    found = slim.join(F.broadcast(wanted) if few else wanted, (F.coalesce("doc_id", F.lit(LAST)) == F.col("d")) & (F.col("t") == F.col("wt")), "left_semi").select("text")
+    found = slim.join(F.broadcast(wanted) if few else wanted, (F.coalesce("doc_id", F.lit(LAST)) == F.col("d")) & (F.col("t") == F.col("wt"))).select("w", "root", *words, "text")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in by_size(batches):
-            sets = [shingle_set(t, shingle) for t in batch["text"]]
-            yield pd.DataFrame({"node": [_node_of(s) for s in sets], "members": [s.view(np.int64) for s in sets]})
-
-    sets = written(found.mapInPandas(read, "node long, members array<long>").dropDuplicates(["node"]), "simhash-sets")
-    edges = written(_verified(pairs, sets, similarity), "simhash-edges")
-    roots = components(edges).select(F.col("node").alias("k"), "root")
-    # only pairs of different components are left to be verified
-    labelled = nodes.join(sets.select("node"), "node", "left_semi").join(roots, F.col("node") == F.col("k"), "left").select("node", F.coalesce("root", "node").alias("root"), "n", *words)
-    more = written(_in_reach(labelled, similarity, True), "simhash-apart")
-    edges = edges.unionByName(_verified(more, sets, similarity))
-    return _named(marked, nodes, edges, "node")
+            heads = batch[["w", *words]].to_numpy(dtype=np.int64)
+            yield pd.DataFrame({"root": batch["root"].to_numpy(), "row": [np.concatenate((head, shingle_set(t, shingle).view(np.int64))) for head, t in zip(heads, batch["text"], strict=True)]})
+
+    sets = found.mapInPandas(read, "root long, row array<long>")
+    # rows that repeat a document give its set again: one is enough
+    sets = written(sets.groupBy("root", F.col("row")[0].alias("w")).agg(F.first("row").alias("row")).select("root", "row"), "simhash-sets")
+    return _named(marked, nodes, _verified(sets, similarity), "node")
 
 
 def similar_documents(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
