@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +97,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that a source uses more than its language. See audit() for nulls, repeated rows and empty tables."""
+    from .divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
+def tiled(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The contract's planted runs: of one document in ten a stretch of words is repeated to its end. A null id counts as no digits."""
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    g = h // 10
+    if h % 10 or not n:
+        return None
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.concatenate([np.arange(a), a + np.arange(n - a) % p])
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in each document and what is left without their repeats. See find_runs() for nulls, repeated ids and empty tables."""
+    from .runs import digest, find_runs
+
+    return digest(find_runs(_table(spark, sf_dir, "documents"), tiling=tiled))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the stages of corpus_pipeline.py make of documents; each stage says what it does with nulls, repeated ids and empty tables."""
     from corpus_pipeline import run
@@ -103,7 +130,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_mixture, op2_records, op3_hilbert, op4_bpe, op5_outliers, op6_webp, op7_line_dedup, op8_personal_data, op9_simhash, op10_toxicity, pipeline)
+    ops = (op1_mixture, op2_records, op3_hilbert, op4_bpe, op5_outliers, op6_webp, op7_line_dedup, op8_personal_data, op9_simhash, op10_toxicity, op12_divergence, op13_runs, pipeline)
     return {f.__name__: f for f in ops}
 
 
