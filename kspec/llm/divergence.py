@@ -22,7 +22,9 @@ if TYPE_CHECKING:
 #: Letters are lowered, bytes of characters beyond ASCII stay, all else separates.
 TABLE = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 #: A task hands its counts on at so many entries, and works on so many pairs at a time.
-ENTRIES, PAIRS = 200_000, 1 << 21
+ENTRIES, PAIRS = 600_000, 1 << 21
+#: A task's entry is its documents times this, plus its occurrences: one dictionary holds both.
+DOCUMENT = 1 << 40
 #: Shares are whole numbers of this many parts.
 SCALE = 1_000_000_000
 
@@ -40,27 +42,23 @@ def frequencies(docs: DataFrame, lang: str = "lang", source: str = "source", tex
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
-        occurrences: dict[tuple, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
-        documents: dict[tuple, Counter[bytes]] = defaultdict(Counter)
+        counts: dict[tuple[str, str], dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
 
         def handed_on() -> Iterator[pa.RecordBatch]:
-            for (lang_, source_), own in occurrences.items():
-                terms, held = list(own), documents[lang_, source_]
-                arrays = [pa.array([lang_] * len(terms), pa.string()), pa.array([source_] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(own.values(), pa.int64()), pa.array([held[t] for t in terms], pa.int64())], names=["lang", "source", "term", "n", "n_docs"])
-            occurrences.clear()
-            documents.clear()
+            for (lang_, source_), own in counts.items():
+                documents, occurrences = np.divmod(np.fromiter(own.values(), np.int64, len(own)), DOCUMENT)
+                arrays = [pa.array([lang_] * len(own), pa.string()), pa.array([source_] * len(own), pa.string()), pa.array(own, pa.binary()).cast(pa.string()), pa.array(occurrences), pa.array(documents)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "n", "n_docs"])
+            counts.clear()
 
         entries = 0
         for batch in batches:
             langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i in range(len(batch)):
-                found = terms_of(batch.column(2)[i].as_py())
-                group = langs[i], sources[i]
-                own, before = occurrences[group], len(occurrences[group])
-                for t, c in found.items():
-                    own[t] += c
-                documents[group].update(found.keys())
+                own = counts[langs[i], sources[i]]
+                before = len(own)
+                for t, c in terms_of(batch.column(2)[i].as_py()).items():
+                    own[t] += c + DOCUMENT
                 entries += len(own) - before
                 if entries > ENTRIES:
                     yield from handed_on()
