@@ -97,6 +97,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten greatest inner products of every hundredth vector with all others. See build() and search() for nulls, repeated ids, ties and empty tables."""
+    from .pivots import build, search
+
+    return search(build(_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances between the sources of each language, and the terms that a source uses more than its language. See audit() for nulls, repeated rows and empty tables."""
     from .divergence import audit
@@ -130,7 +137,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_mixture, op2_records, op3_hilbert, op4_bpe, op5_outliers, op6_webp, op7_line_dedup, op8_personal_data, op9_simhash, op10_toxicity, op12_divergence, op13_runs, pipeline)
+    ops = (op1_mixture, op2_records, op3_hilbert, op4_bpe, op5_outliers, op6_webp, op7_line_dedup, op8_personal_data, op9_simhash, op10_toxicity, op11_top_k, op12_divergence, op13_runs, pipeline)
     return {f.__name__: f for f in ops}
 
 

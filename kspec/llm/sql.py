@@ -27,6 +27,11 @@ _SHARES = r"""docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS l
     FROM dense d JOIN sums s ON s.lang = d.lang AND s.source = d.source JOIN langs l ON l.lang = d.lang)"""
 
 ORACLES: dict[str, str] = {
+    "op11_top_k": """WITH whole AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  met AS (SELECT q.vec_id AS query_id, q.r, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND q.r != c.r),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM met)
+  SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
     "op12_divergence": f"""WITH {_SHARES}, far AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL),
   pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source != b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
   terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares WHERE n > 0 AND p > q),
