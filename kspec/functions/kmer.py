@@ -10,7 +10,7 @@ from typing import TYPE_CHECKING
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DataType, IntegerType, LongType, StructField, StructType
 
 if TYPE_CHECKING:
     import pyarrow as pa
@@ -22,8 +22,10 @@ BREAK = "-"
 CHUNK, LONG_K_CHUNK = 1 << 14, 512
 #: Windows that are packed together.
 GROUP = 1 << 20
-#: Longest k-mer whose two bits a base fit a signed long.
-MAX_PACKED = 31
+#: Longest k-mer whose two bits a base fit a signed long, and longest that fits two: hi holds what is before the last MAX_PACKED bases, lo those.
+MAX_PACKED, MAX_DOUBLE = 31, 62
+#: Bytes of sequences for a task of the scan to be busy with.
+TASK_BYTES = 64 << 20
 
 
 def reverse_complement(w: Column) -> Column:
@@ -35,13 +37,28 @@ def canonical(w: Column) -> Column:
     return F.least(w, reverse_complement(w))
 
 
+def _digits(w: Column) -> Column:
+    return F.conv(F.translate(w, "acgt", "0123"), 4, 10).cast("long")
+
+
+def _letters(key: Column, k: int) -> Column:
+    return F.translate(F.lpad(F.lower(F.conv(key.cast("string"), 10, 4)), k, "0"), "0123", "acgt")
+
+
 def pack(w: Column, k: int) -> Column:
-    """Two bits a base, a = 0 to t = 3, first base highest; longer k-mers stay strings. Order is that of the strings."""
-    return F.conv(F.translate(w, "acgt", "0123"), 4, 10).cast("long") if k <= MAX_PACKED else w
+    """Two bits a base, a = 0 to t = 3, first base highest, in a long, or in a struct of two; still longer k-mers stay strings. Order is that of the strings."""
+    if k <= MAX_PACKED:
+        return _digits(w)
+    if k > MAX_DOUBLE:
+        return w
+    rest = k - MAX_PACKED
+    return F.struct(_digits(F.substring(w, 1, rest)).alias("hi"), _digits(F.substring(w, rest + 1, MAX_PACKED)).alias("lo"))
 
 
 def unpack(key: Column, k: int) -> Column:
-    return F.translate(F.lpad(F.lower(F.conv(key.cast("string"), 10, 4)), k, "0"), "0123", "acgt") if k <= MAX_PACKED else key
+    if k <= MAX_PACKED:
+        return _letters(key, k)
+    return key if k > MAX_DOUBLE else F.concat(_letters(key["hi"], k - MAX_PACKED), _letters(key["lo"], MAX_PACKED))
 
 
 def gc_content(w: Column) -> Column:
@@ -58,47 +75,92 @@ def cleaned(sequence: Column) -> Column:
     return F.regexp_replace(F.lower(sequence), "[^acgt]", BREAK)
 
 
-def packed_windows(bases: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the valid windows and their canonical k-mers as pack() writes them; any byte but the four bases breaks.
-
-    Keys of twice the length are put together from two keys, so a window takes a few steps for each doubling up to k, for all windows at once."""
-    n = len(bases) - k + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+def codes(bases: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two-bit codes of bases, any for other bytes; and, for each place, how many other bytes are before it."""
     lookup = np.full(256, 4, dtype=np.int64)
     lookup[np.frombuffer(BASES.encode(), dtype=np.uint8)] = np.arange(4)
     code = lookup[np.frombuffer(bases, dtype=np.uint8)]
-    broken = np.concatenate(([0], np.cumsum(code == 4)))
-    at = np.flatnonzero(broken[k:] == broken[:-k])
-    code &= 3
-    forward, backward, length = code, 3 - code, 1  # keys of windows of this length, and of their reverse complements
+    return code & 3, np.concatenate(([0], np.cumsum(code == 4)))
+
+
+def directed_keys(code: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Packed keys of the windows of length <= MAX_PACKED bases at each place, and of their reverse complements.
+
+    Keys of twice the length are put together from two keys, so a window takes a few steps for each doubling, for all windows at once."""
+    forward, backward, size = code, 3 - code, 1
     whole_f = whole_b = np.zeros(len(code), dtype=np.int64)
     done = 0
     while True:
-        if k & length:  # this length's keys follow what has been put together
-            m = len(code) - done - length + 1
+        if length & size:  # this size's keys follow what has been put together
+            m = len(code) - done - size + 1
             whole_b = whole_b[:m] | backward[done : done + m] << 2 * done
-            whole_f = whole_f[:m] << 2 * length | forward[done : done + m]
-            done += length
-        if done == k:
-            return at, np.minimum(whole_f, whole_b)[at]
-        forward, backward = forward[:-length] << 2 * length | forward[length:], backward[:-length] | backward[length:] << 2 * length
-        length *= 2
+            whole_f = whole_f[:m] << 2 * size | forward[done : done + m]
+            done += size
+        if done == length:
+            return whole_f, whole_b
+        forward, backward = forward[:-size] << 2 * size | forward[size:], backward[:-size] | backward[size:] << 2 * size
+        size *= 2
 
 
-def windows(sequences: DataFrame, k: int, keep: tuple[str, ...] = ("seq_id",), *, positions: bool = True) -> DataFrame:
-    """keep..., pos (unless positions is false), kmer (packed if it fits) for each valid window of column seq. A sequence shorter than k, empty or null gives none.
+def canonical_keys(code: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Canonical keys of the windows at each place, as pack() writes them: one array, or those of hi and of lo. Windows of more than MAX_PACKED bases are two, and swap places when they are turned round."""
+    if k <= MAX_PACKED:
+        return (np.minimum(*directed_keys(code, k)),)
+    rest, n = k - MAX_PACKED, len(code) - k + 1
+    (short_f, short_b), (long_f, long_b) = directed_keys(code, rest), directed_keys(code, MAX_PACKED)
+    hi_f, lo_f, hi_b, lo_b = short_f[:n], long_f[rest : rest + n], short_b[MAX_PACKED : MAX_PACKED + n], long_b[:n]
+    as_is = (hi_f < hi_b) | (hi_f == hi_b) & (lo_f <= lo_b)
+    return np.where(as_is, hi_f, hi_b), np.where(as_is, lo_f, lo_b)
+
+
+def key_type(k: int) -> DataType:
+    return LongType() if k <= MAX_PACKED else StructType([StructField("hi", LongType()), StructField("lo", LongType())])
+
+
+def key_array(keys: tuple[np.ndarray, ...]) -> pa.Array:
+    """Keys as a column of key_type."""
+    import pyarrow as pa
+
+    each = [pa.array(np.ascontiguousarray(x)) for x in keys]
+    return each[0] if len(each) == 1 else pa.StructArray.from_arrays(each, names=["hi", "lo"])
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df is read from, by Spark's own statistics; what has none, such as rows given by the driver, counts as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
+def part_count(df: DataFrame) -> int:
+    """Partitions for what is shuffled of df: as many as the session sets, and more if one of them would get more than TASK_BYTES of the input."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // TASK_BYTES))
+
 
-    Chunks are dealt to tasks before they become windows, so neither few input files nor one long sequence keep the work in one place."""
-    size = CHUNK if k <= MAX_PACKED else LONG_K_CHUNK
+def chunked(sequences: DataFrame, k: int, keep: tuple[str, ...], size: int) -> DataFrame:
+    """keep..., start, part: pieces of column seq of size windows each, in bytes.
+
+    Pieces are dealt to all tasks, so neither few input files nor one long sequence keep the work in one place - unless there are so many bytes that the scan has a task for each core anyway."""
     # bytes, not characters: the n-th byte is found without walking there, so a long sequence costs no square of its length
     raw = F.encode("seq", "UTF-8")
     chunk = F.explode(F.sequence(F.lit(0), ((F.octet_length("seq") - k) / F.lit(size)).cast("int")))
     chunks = sequences.where(F.octet_length("seq") >= k).select(*keep, raw.alias("raw"), chunk.alias("c"))
     chunks = chunks.select(*keep, (F.col("c") * size).alias("start"), F.substring("raw", F.col("c") * size + 1, F.lit(size + k - 1)).alias("part"))
-    chunks = chunks.repartition(int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark, parts = sequences.sparkSession, part_count(sequences)
+    return chunks if parts > 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) else chunks.repartition(parts)
+
+
+def grouped(parts: list[bytes]) -> Iterator[np.ndarray]:
+    """Numbers of the pieces that are packed together, of GROUP bytes or so."""
+    ends = np.cumsum(np.array([len(x) + 1 for x in parts], dtype=np.int64))  # with a break behind each
+    return (rows for rows in np.split(np.arange(len(parts)), np.flatnonzero(np.diff(ends // GROUP)) + 1) if len(rows))
+
+
+def windows(sequences: DataFrame, k: int, keep: tuple[str, ...] = ("seq_id",), *, positions: bool = True) -> DataFrame:
+    """keep..., pos (unless positions is false), kmer (packed if it fits) for each valid window of column seq. A sequence shorter than k, empty or null gives none."""
+    chunks = chunked(sequences, k, keep, CHUNK if k <= MAX_DOUBLE else LONG_K_CHUNK)
     place = ("pos",) if positions else ()
-    if k > MAX_PACKED:
+    if k > MAX_DOUBLE:
         each = chunks.withColumn("part", F.decode("part", "UTF-8"))
         each = each.select(*keep, "start", "part", F.explode(F.sequence(F.lit(0), F.length("part") - k)).alias("i"))
         each = each.select(*keep, (F.col("start") + F.col("i")).cast("int").alias("pos"), F.substring("part", F.col("i") + 1, F.lit(k)).alias("w"))
@@ -109,17 +171,16 @@ def windows(sequences: DataFrame, k: int, keep: tuple[str, ...] = ("seq_id",), *
 
         for batch in batches:
             parts, starts = batch.column(len(keep) + 1).to_pylist(), batch.column(len(keep)).to_numpy()
-            lengths = np.array([len(x) + 1 for x in parts], dtype=np.int64)  # with a break behind each
-            for rows in np.split(np.arange(len(parts)), np.flatnonzero(np.diff(np.cumsum(lengths) // GROUP)) + 1):
-                if not len(rows):
-                    continue
-                begin = np.concatenate(([0], np.cumsum(lengths[rows])[:-1]))
-                at, keys = packed_windows(b"-".join([parts[i] for i in rows]), k)
+            for rows in grouped(parts):
+                joined = [parts[i] for i in rows]
+                begin = np.concatenate(([0], np.cumsum([len(x) + 1 for x in joined])[:-1]))
+                code, broken = codes(b"-".join(joined))
+                at = np.flatnonzero(broken[k:] == broken[:-k])
                 row = np.searchsorted(begin, at, side="right") - 1
                 held = [batch.column(i).take(pa.array(rows[row])) for i in range(len(keep))]
                 if positions:
                     held.append(pa.array((starts[rows[row]] + at - begin[row]).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*held, pa.array(keys)], names=[*keep, *place, "kmer"])
+                yield pa.RecordBatch.from_arrays([*held, key_array(tuple(x[at] for x in canonical_keys(code, k)))], names=[*keep, *place, "kmer"])
 
     fields = [StructField(c, sequences.schema[c].dataType) for c in keep] + ([StructField("pos", IntegerType())] if positions else [])
-    return chunks.mapInArrow(emit, StructType([*fields, StructField("kmer", LongType())]))
+    return chunks.mapInArrow(emit, StructType([*fields, StructField("kmer", key_type(k))]))

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kspec.functions.kmer import MAX_PACKED, canonical, pack, unpack, windows
+from kspec.functions import minimizer
+from kspec.functions.kmer import MAX_DOUBLE, MAX_PACKED, canonical, pack, unpack, windows
 
 
 @dataclass(frozen=True)
@@ -19,8 +20,8 @@ class KmerTable:
 
     @staticmethod
     def count(sequences: DataFrame, k: int) -> KmerTable:
-        """Counts canonical k-mers of column seq. Counts are summed before rows meet; keys are packed where they fit."""
-        return KmerTable(windows(sequences, k, (), positions=False).groupBy("kmer").agg(F.count("*").alias("cnt")), k)
+        """Counts canonical k-mers of column seq, by minimizers where keys are packed."""
+        return KmerTable(joint_counts(sequences, k, {"cnt": "true"}), k)
 
     @staticmethod
     def load(spark: SparkSession, path: str, k: int, cut_off: int = 1) -> KmerTable:
@@ -85,7 +86,7 @@ class KmerTable:
         """One row, n: k-mers of the most frequent beginning of so many bases."""
         if not 0 < prefix <= self.k:
             raise ValueError(f"a beginning of {prefix} bases of {self.k}")
-        begin = F.shiftright("kmer", 2 * (self.k - prefix)) if self.k <= MAX_PACKED else F.substring("kmer", 1, prefix)
+        begin = F.shiftright("kmer", 2 * (self.k - prefix)) if self.k <= MAX_PACKED else F.substring(unpack(F.col("kmer"), self.k), 1, prefix)
         return self.df.groupBy(begin.alias("bucket")).agg(F.count("*").alias("c")).agg(F.max("c").alias("n"))
 
     def decoded(self) -> DataFrame:
@@ -94,9 +95,11 @@ class KmerTable:
 
 
 def joint_counts(labelled: DataFrame, k: int, labels: dict[str, str]) -> DataFrame:
-    """kmer and a count for each label: labels maps a name to a condition on the rows' other columns.
+    """kmer and a count for each label: labels maps a name to a condition on the rows' other columns. k-mers of no label may be left out.
 
     Every set expression over the tables is a filter on this one; sequences are read once and k-mers shuffled once, however many tables there are."""
+    if k <= MAX_DOUBLE:
+        return minimizer.counted(labelled, k, labels)
     flags = [c for c in labelled.columns if c != "seq"]
     each = windows(labelled, k, tuple(flags), positions=False)
     return each.groupBy("kmer").agg(*[F.count_if(F.expr(on)).alias(name) for name, on in labels.items()])

@@ -42,7 +42,7 @@ def as_dict(table):
     return {r.kmer: r.cnt for r in table.decoded().collect()}
 
 
-@pytest.mark.parametrize("k", [3, 4, 13, 31, 40])
+@pytest.mark.parametrize("k", [1, 3, 4, 13, 21, 31, 32, 40, 62, 63])
 def test_count(spark, k):
     seqs = [*sequences(k, 3, 3 * CHUNK + 17), "", "ac", "a" * CHUNK, "acgt" * 300, None]
     assert as_dict(KmerTable.count(frame(spark, seqs), k)) == dict(plain_counts([s for s in seqs if s], k))
