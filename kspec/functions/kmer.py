@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 if TYPE_CHECKING:
     import pyarrow as pa
@@ -126,7 +127,9 @@ def key_array(keys: tuple[np.ndarray, ...]) -> pa.Array:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files that df is read from, by Spark's own statistics; what has none, such as rows given by the driver, counts as nothing."""
+    """Bytes of the files that df is read from, by Spark's own statistics; what has none, such as rows given by the driver or a stream, counts as nothing."""
+    if df.isStreaming:
+        return 0
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
     return sum(x for x in sizes if x < 1 << 60)
@@ -156,14 +159,25 @@ def grouped(parts: list[bytes]) -> Iterator[np.ndarray]:
     return (rows for rows in np.split(np.arange(len(parts)), np.flatnonzero(np.diff(ends // GROUP)) + 1) if len(rows))
 
 
-def windows(sequences: DataFrame, k: int, keep: tuple[str, ...] = ("seq_id",), *, positions: bool = True) -> DataFrame:
-    """keep..., pos (unless positions is false), kmer (packed if it fits) for each valid window of column seq. A sequence shorter than k, empty or null gives none."""
+def _run_starts(at: np.ndarray) -> np.ndarray:
+    """Numbers of the windows that don't follow the one before; pieces have a break between them."""
+    return np.concatenate(([0], np.flatnonzero(np.diff(at) != 1) + 1)) if len(at) else np.zeros(0, dtype=np.int64)
+
+
+def windows(sequences: DataFrame, k: int, keep: tuple[str, ...] = ("seq_id",), *, positions: bool = True, runs: bool = False) -> DataFrame:
+    """keep..., pos (unless positions is false), kmer (packed if it fits) for each valid window of column seq. A sequence shorter than k, empty or null gives none.
+
+    runs: run in place of pos, the position at which the windows begin that follow each other up to this one within its piece of the sequence."""
     chunks = chunked(sequences, k, keep, CHUNK if k <= MAX_DOUBLE else LONG_K_CHUNK)
-    place = ("pos",) if positions else ()
+    place = ("run",) if runs else ("pos",) if positions else ()
     if k > MAX_DOUBLE:
         each = chunks.withColumn("part", F.decode("part", "UTF-8"))
         each = each.select(*keep, "start", "part", F.explode(F.sequence(F.lit(0), F.length("part") - k)).alias("i"))
         each = each.select(*keep, (F.col("start") + F.col("i")).cast("int").alias("pos"), F.substring("part", F.col("i") + 1, F.lit(k)).alias("w"))
+        if runs:
+            row = Window.partitionBy(*keep, "start").orderBy("pos")
+            first = F.when(F.col("pos") - F.lag("pos").over(row) == 1, None).otherwise(F.col("pos"))
+            each = each.where(~F.col("w").contains(BREAK)).withColumn("first", first).withColumn("run", F.last("first", True).over(row))
         return each.where(~F.col("w").contains(BREAK)).select(*keep, *place, canonical(F.col("w")).alias("kmer"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,9 +192,37 @@ def windows(sequences: DataFrame, k: int, keep: tuple[str, ...] = ("seq_id",), *
                 at = np.flatnonzero(broken[k:] == broken[:-k])
                 row = np.searchsorted(begin, at, side="right") - 1
                 held = [batch.column(i).take(pa.array(rows[row])) for i in range(len(keep))]
-                if positions:
-                    held.append(pa.array((starts[rows[row]] + at - begin[row]).astype(np.int32)))
+                if place:
+                    pos = (starts[rows[row]] + at - begin[row]).astype(np.int32)
+                    if runs:
+                        first = _run_starts(at)
+                        pos = np.repeat(pos[first], np.diff(np.append(first, len(at))))
+                    held.append(pa.array(pos))
                 yield pa.RecordBatch.from_arrays([*held, key_array(tuple(x[at] for x in canonical_keys(code, k)))], names=[*keep, *place, "kmer"])
 
-    fields = [StructField(c, sequences.schema[c].dataType) for c in keep] + ([StructField("pos", IntegerType())] if positions else [])
+    fields = [StructField(c, sequences.schema[c].dataType) for c in keep] + [StructField(c, IntegerType()) for c in place]
     return chunks.mapInArrow(emit, StructType([*fields, StructField("kmer", key_type(k))]))
+
+
+def valid_runs(sequences: DataFrame, k: int, keep: tuple[str, ...] = ("seq_id",)) -> DataFrame:
+    """keep..., beg, last: first and last position of the valid windows that follow each other within a piece of a sequence. What goes over the edges of pieces is still in parts: the last run of a piece and the
+    first of the next."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for batch in batches:
+            parts, starts = batch.column(len(keep) + 1).to_pylist(), batch.column(len(keep)).to_numpy()
+            for rows in grouped(parts):
+                joined = [parts[i] for i in rows]
+                begin = np.concatenate(([0], np.cumsum([len(x) + 1 for x in joined])[:-1]))
+                _, broken = codes(b"-".join(joined))
+                at = np.flatnonzero(broken[k:] == broken[:-k])
+                first = _run_starts(at)
+                beg, n = at[first], np.diff(np.append(first, len(at)))
+                row = np.searchsorted(begin, beg, side="right") - 1
+                pos = starts[rows[row]].astype(np.int64) + beg - begin[row]
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(rows[row])) for i in range(len(keep))], pa.array(pos), pa.array(pos + n - 1)], names=[*keep, "beg", "last"])
+
+    fields = [StructField(c, sequences.schema[c].dataType) for c in keep]
+    return chunked(sequences, k, keep, CHUNK).mapInArrow(emit, StructType([*fields, StructField("beg", LongType()), StructField("last", LongType())]))

@@ -29,10 +29,19 @@ def dense(hist: DataFrame, value: str = "n_unique", by: tuple[str, ...] = (), hi
 
 
 def first_rise(hist: DataFrame, strict: bool) -> DataFrame:
-    """One row, thresh: the first bin above 1 that is not below the one before it (strict: above it), the last bin if there is none."""
-    steps = dense(hist).withColumn("prev", F.lag("n").over(Window.orderBy("multiplicity")))
-    rises = (F.col("n") > F.col("prev")) if strict else (F.col("n") >= F.col("prev"))
-    return steps.agg(F.coalesce(F.min(F.when(rises, F.col("multiplicity"))), F.max("multiplicity")).cast("long").alias("thresh")).where("thresh is not null")
+    """One row, thresh: the first bin above 1 that is not below the one before it (strict: above it), the last bin if there is none.
+
+    Absent bins are 0, and none of them is made: of two neighbours in the histogram the later one rises above the bin before it, be that absent, and an absent bin rises, unless strict, if the one before is 0 too, which
+    is so first two bins after a bin that isn't 0. So a histogram costs its own rows, whatever its greatest count is."""
+    order = Window.orderBy("multiplicity")
+    m, n = F.col("multiplicity"), F.col("n_unique")
+    last_m, last_n = F.coalesce(F.lag("multiplicity").over(order), F.lit(0)), F.coalesce(F.lag("n_unique").over(order), F.lit(1))  # before bin 1 no bin is
+    steps = hist.select(m, n, last_m.alias("m0"), last_n.alias("n0"))
+    before = F.when(m - 1 == F.col("m0"), F.col("n0")).otherwise(F.lit(0))
+    own = F.when((m > 1) & ((n > before) if strict else (n >= before)), m)
+    empty = F.lit(None).cast("long") if strict else F.col("m0") + F.when((F.col("n0") == 0) & (F.col("m0") > 0), 1).otherwise(2)
+    gap = F.when(empty < m, empty)
+    return steps.agg(F.coalesce(F.min(F.least(own, gap)), F.max(m)).cast("long").alias("thresh")).where("thresh is not null")
 
 
 def solid(hist: DataFrame) -> DataFrame:

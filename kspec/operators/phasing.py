@@ -55,10 +55,13 @@ class Block:
 
 def _best_split(between: list[Block], prefer_late: bool) -> int:
     """between: blocks of alternating sign, an even number. How many go left, by twos, so that the weight on the wrong side is least: the 1st, 3rd, ... are wrong on the left, the 2nd, 4th, ... on the right."""
-    costs = []
-    for cut in range(0, len(between) + 1, 2):
-        costs.append((sum(abs(b.mrk) for b in between[:cut:2]) + sum(abs(b.mrk) for b in between[cut + 1 :: 2]), -cut if prefer_late else cut))
-    return abs(min(costs)[1])
+    wrong = sum(abs(b.mrk) for b in between[1::2])
+    best, at = wrong, 0
+    for cut in range(2, len(between) + 1, 2):  # two more go left: one of them is wrong there, the other was wrong on the right
+        wrong += abs(between[cut - 2].mrk) - abs(between[cut - 1].mrk)
+        if wrong < best or prefer_late and wrong == best:
+            best, at = wrong, cut
+    return at
 
 
 def merge_blocks(blocks: list[Block], anchor_length: int, anchor_marks: int) -> list[Block]:

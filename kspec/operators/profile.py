@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kspec.functions.kmer import valid_runs
+
 #: Positions that are put in order together.
 BLOCK = 1_000_000
 
 
 def profile(positions: DataFrame, counts: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """positions (seq_id, pos, kmer) with a count for each of columns (new name: column of counts), 0 where the table lacks the k-mer.
+    """positions (kmer and others, such as seq_id and pos) with a count for each of columns (new name: column of counts), 0 where the table lacks the k-mer.
 
     One join for all tables. Adaptive execution splits a k-mer that fills a partition."""
     right = counts.select("kmer", *[F.col(c).alias(n) for n, c in columns.items()])
-    return positions.join(right, "kmer", "left").select("seq_id", "pos", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in columns])
+    return positions.join(right, "kmer", "left").select(*[c for c in positions.columns if c != "kmer"], *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in columns])
 
 
 def save_profiles(prof: DataFrame, path: str, k: int) -> None:
@@ -70,6 +72,11 @@ def runs(df: DataFrame, gap: int, by: tuple[str, ...] = ("seq_id",), sums: dict[
     each = df.select(*by, F.col(pos).cast("long").alias("__pos"), block, *[c.alias(f"__s_{n}") for n, c in sums.items()])
     each = each.withColumn("__new", F.when(F.col("__pos") - F.lag("__pos").over(inner) > gap, 1).otherwise(0)).withColumn("__run", F.sum("__new").over(inner))
     parts = each.groupBy(*by, "__block", "__run").agg(F.min("__pos").alias("__beg"), F.max("__pos").alias("__last"), *[F.sum(f"__s_{n}").alias(f"__s_{n}") for n in sums])
+    return _joined(parts, gap, by, tuple(sums))
+
+
+def _joined(parts: DataFrame, gap: int, by: tuple[str, ...], sums: tuple[str, ...]) -> DataFrame:
+    """Runs from parts of runs (by..., __beg, __last, __s_ and the name of each sum): parts that are at most gap apart are one."""
     outer = Window.partitionBy(*by).orderBy("__beg")
     parts = parts.withColumn("__new", F.when(F.col("__beg") - F.lag("__last").over(outer) > gap, 1).otherwise(0)).withColumn("island", F.sum("__new").over(outer).cast("long"))
     return parts.groupBy(*by, "island").agg(F.min("__beg").alias("beg"), F.max("__last").alias("last"), *[F.sum(f"__s_{n}").cast("long").alias(n) for n in sums])
@@ -80,16 +87,22 @@ def unsupported_bed(prof: DataFrame, k: int) -> DataFrame:
     return runs(prof.where("read_cnt = 0"), k).select("seq_id", "beg", (F.col("last") + k).alias("end"))
 
 
-def contigs(positions: DataFrame, k: int, by: tuple[str, ...] = ("seq_id",)) -> DataFrame:
-    """by..., contig (from 0 in each sequence), beg, n_pos, size (n_pos + k - 1) of maximal runs of valid positions."""
-    found = runs(positions, 1, by, {"n_pos": F.lit(1)})
-    return found.select(*by, F.col("island").alias("contig"), "beg", "n_pos", (F.col("n_pos") + k - 1).alias("size"))
+def contigs(sequences: DataFrame, k: int, by: tuple[str, ...] = ("seq_id",)) -> DataFrame:
+    """by..., contig (from 0 in each sequence), beg, n_pos, size (n_pos + k - 1) of maximal runs of valid positions.
+
+    Each piece of a sequence gives its runs; those that meet at the edges of pieces are joined. No position is a row, so a sequence costs a row for each piece or contig."""
+    parts = valid_runs(sequences, k, by).select(*by, F.col("beg").alias("__beg"), F.col("last").alias("__last"), (F.col("last") - F.col("beg") + 1).alias("__s_n_pos"))
+    return _joined(parts, 1, by, ("n_pos",)).select(*by, F.col("island").alias("contig"), "beg", "n_pos", (F.col("n_pos") + k - 1).alias("size"))
 
 
 def hap_blob(prof: DataFrame, by: tuple[str, ...] = ("assembly", "seq_id")) -> DataFrame:
-    """by..., contig, mat, pat, size: positions of each contig with a maternal and with a paternal marker (a position may count in both), and all of them."""
-    sums = {"mat": (F.col("mat_cnt") > 0).cast("int"), "pat": (F.col("pat_cnt") > 0).cast("int"), "size": F.lit(1)}
-    return runs(prof, 1, by, sums).select(*by, F.col("island").alias("contig"), "mat", "pat", "size")
+    """by..., contig, mat, pat, size: positions of each contig with a maternal and with a paternal marker (a position may count in both), and all of them.
+
+    prof: by..., run (see windows), mat_cnt, pat_cnt. Positions are summed by run, in any order, and only runs, one or some for each piece of a sequence, are put in order."""
+    sums = {"mat": F.count_if(F.col("mat_cnt") > 0), "pat": F.count_if(F.col("pat_cnt") > 0), "size": F.count("*")}
+    parts = prof.groupBy(*by, F.col("run").cast("long").alias("__beg")).agg(*[c.alias(f"__s_{n}") for n, c in sums.items()])
+    parts = parts.withColumn("__last", F.col("__beg") + F.col("__s_size") - 1)
+    return _joined(parts, 1, by, tuple(sums)).select(*by, F.col("island").alias("contig"), "mat", "pat", "size")
 
 
 def blob_limit(blob: DataFrame) -> DataFrame:

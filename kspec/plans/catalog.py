@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kspec.functions.kmer import unpack, windows
+from kspec.functions.kmer import part_count, unpack, windows
 from kspec.operators import hapmers, histogram, matrix, phasing, profile, spectra, stats
+from kspec.operators.stored import SortedTable, joined_buckets, write_buckets
 from kspec.operators.table import KmerTable, joint_counts
+from kspec.plans import expressions
 from kspec.sources.sequences import chimeras, pseudo_dna, unbroken
+from kspec.sources.shared import shared_dir
 
-K = 13
+K, LONG_K = 13, 40
+#: Where the seek by key begins.
+SEEK = "catcat" + "a" * 7
+#: Which documents play which part where several tables are asked for; a query on one table takes all of them.
 ROLES = {"mat": "seq_id % 8 in (0, 1, 2, 3)", "pat": "seq_id % 8 in (2, 3, 4, 5)", "child": "seq_id % 8 in (0, 1, 2, 3, 4, 5)", "asm1": "seq_id % 8 in (0, 1, 6)", "asm2": "seq_id % 8 in (4, 5, 7)"}
 #: Limit of the smoothed matrices and of the peaks: the reference's, as of the plain matrices.
 CELLS = 1000
@@ -26,20 +32,21 @@ def _seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """kmer and a count for each role."""
-    return joint_counts(_seqs(spark, sf_dir), K, ROLES)
+    """kmer and a count for each role, and for all documents."""
+    return joint_counts(_seqs(spark, sf_dir), K, {**ROLES, "whole": "true"})
 
 
 def _table(counts: DataFrame, role: str) -> KmerTable:
     return KmerTable(counts.where(F.col(role) > 0).select("kmer", F.col(role).alias("cnt")), K)
 
 
-def _positions(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
-    return windows(_seqs(spark, sf_dir).where(ROLES[role]), K)
+def _profile(spark: SparkSession, sf_dir: str, columns: dict[str, str]) -> DataFrame:
+    """Counts at each position of all documents."""
+    return profile.profile(windows(_seqs(spark, sf_dir), K), _counts(spark, sf_dir), columns)
 
 
-def _profile(spark: SparkSession, sf_dir: str, role: str, columns: dict[str, str]) -> DataFrame:
-    return profile.profile(_positions(spark, sf_dir, role), _counts(spark, sf_dir), columns)
+def _letters(df: DataFrame) -> DataFrame:
+    return df.withColumn("kmer", unpack(F.col("kmer"), K))
 
 
 def _decoded(df: DataFrame) -> DataFrame:
@@ -58,34 +65,74 @@ def _on_counts(name: str, make: Callable[[DataFrame], DataFrame]) -> None:
     Q[name] = lambda spark, sf_dir: make(_counts(spark, sf_dir))
 
 
-def _child_hist(c: DataFrame) -> DataFrame:
-    return histogram.histogram(_table(c, "child").df)
+def _hist(c: DataFrame) -> DataFrame:
+    return histogram.histogram(_table(c, "whole").df)
 
 
 @query
 def kmer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return KmerTable.count(_seqs(spark, sf_dir).where(ROLES["child"]), K).decoded()
+    return KmerTable.count(_seqs(spark, sf_dir), K).decoded()
+
+
+@query
+def kmer_table_40(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-mers of 40 bases, in two longs."""
+    return KmerTable.count(_seqs(spark, sf_dir), LONG_K).decoded()
+
+
+def _sorted(spark: SparkSession, sf_dir: str) -> SortedTable:
+    return SortedTable.write(KmerTable.count(_seqs(spark, sf_dir), K), shared_dir(spark, "sorted"))
+
+
+@query
+def kmer_seek_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand rows from the middle of the sorted table of all documents."""
+    stored = _sorted(spark, sf_dir)
+    return stored.from_ordinal(stored.count() // 2, 1000).select("ordinal", unpack(F.col("kmer"), K).alias("kmer"), "cnt")
+
+
+@query
+def kmer_seek_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand rows of the sorted table of all documents from a key on, whether it has that key or not."""
+    return _sorted(spark, sf_dir).from_key(SEEK, 1000).select("ordinal", unpack(F.col("kmer"), K).alias("kmer"), "cnt")
+
+
+@query
+def table_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of two assemblies side by side, from tables in buckets."""
+    seqs, n = _seqs(spark, sf_dir), part_count(_docs(spark, sf_dir))
+    sides = []
+    for role in ("asm1", "asm2"):
+        path = shared_dir(spark, f"buckets-{role}")
+        sides.append(write_buckets(KmerTable.count(seqs.where(ROLES[role]), K), path.rsplit("/", 1)[1].replace("-", "_"), path, n))
+    return joined_buckets(*sides).select(unpack(F.col("kmer"), K).alias("kmer"), "cnt1", "cnt2")
 
 
 @query
 def kmer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k-mers of the benchmark items that the child has; there are few items, but their table is joined like any other."""
+    """k-mers of the benchmark items that the documents have; there are few items, but their table is joined like any other."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
     probes = windows(pseudo_dna(items), K).select("kmer").distinct()
-    return _decoded(_table(_counts(spark, sf_dir), "child").df.join(probes, "kmer", "left_semi"))
-
-
-_on_counts("kmer_hist", _child_hist)
-_on_counts("kmer_hist_capped", lambda c: histogram.histogram(_table(c, "child").df, cap=100))
-_on_counts("kmer_hist_reranged", lambda c: histogram.rerange(_child_hist(c), 2, 50))
-_on_counts("solid_threshold", lambda c: histogram.solid(_child_hist(c)))
+    return _decoded(KmerTable.count(_seqs(spark, sf_dir), K).df.join(probes, "kmer", "left_semi"))
+
+
+_on_counts("expression_copy_number", lambda c: expressions.histograms(c, expressions.COPY_NUMBER, ["asm1", "child"], 1000))
+_on_counts("expression_one_assembly", lambda c: expressions.histograms(c, expressions.ONE_ASSEMBLY, ["asm1", "child"], 1000))
+_on_counts("expression_two_assemblies", lambda c: expressions.histograms(c, expressions.TWO_ASSEMBLIES, ["asm1", "asm2", "child"], 1000))
+_on_counts("expression_specific", lambda c: _letters(expressions.evaluate(c, expressions.SPECIFIC, ["mat", "pat"])))
+_on_counts("expression_inherited", lambda c: _letters(expressions.evaluate(c, {"mat": "C&.(A-B)[2-]", "pat": "C&.(B-A)[3-]"}, ["mat", "pat", "child"])))
+_on_counts("expression_solid", lambda c: expressions.histograms(c, expressions.solid(12), ["asm1", "asm2", "child"], 1))
+_on_counts("kmer_hist", _hist)
+_on_counts("kmer_hist_capped", lambda c: histogram.histogram(_table(c, "whole").df, cap=100))
+_on_counts("kmer_hist_reranged", lambda c: histogram.rerange(_hist(c), 2, 50))
+_on_counts("solid_threshold", lambda c: histogram.solid(_hist(c)))
 _on_counts("table_minus", lambda c: _table(c, "mat").minus(_table(c, "pat")).decoded())
 _on_counts("table_semi", lambda c: _table(c, "child").intersect(_table(c, "asm1")).decoded())
 _on_counts("table_semi_filtered", lambda c: _table(c, "child").intersect(_table(c, "asm1").between(2)).decoded())
 _on_counts("table_inner_sum", lambda c: _table(c, "asm1").intersect(_table(c, "asm2"), "sum").decoded())
 _on_counts("table_union_sum", lambda c: _table(c, "asm1").union(_table(c, "asm2")).decoded())
-_on_counts("table_count_eq", lambda c: _table(c, "child").between(3, 3).decoded())
-_on_counts("table_count_ge", lambda c: _table(c, "child").between(12).decoded())
+_on_counts("table_count_eq", lambda c: _table(c, "whole").between(3, 3).decoded())
+_on_counts("table_count_ge", lambda c: _table(c, "whole").between(12).decoded())
 _on_counts("cn_spectrum", lambda c: spectra.cn_spectrum(c, "child", "asm1").drop("class_ord"))
 _on_counts("cn_zero", lambda c: spectra.cn_zero(c, "child", "asm1"))
 _on_counts("asm_spectrum_1", lambda c: spectra.asm_spectrum(c, "child", "asm1"))
@@ -100,7 +147,7 @@ _on_counts("axis_limits", lambda c: histogram.axis_limits(spectra.cn_spectrum(c,
 _on_counts("completeness", lambda c: stats.completeness(c, "child", ["asm1", "asm2"]))
 _on_counts("parent_completeness", lambda c: stats.parent_completeness(c, ["asm1", "asm2"], ["mat", "pat"]))
 _on_counts("joint_matrix", lambda c: matrix.joint_matrix(c, "asm1", "asm2"))
-_on_counts("gc_matrix", lambda c: matrix.gc_matrix(_table(c, "child")))
+_on_counts("gc_matrix", lambda c: matrix.gc_matrix(_table(c, "whole")))
 _on_counts("gc_matrix_smoothed", lambda c: _smoothed_gc(c))
 _on_counts("joint_matrix_smoothed", lambda c: _smoothed_joint(c))
 _on_counts("matrix_peaks", lambda c: _peaks(matrix.joint_matrix(c, "asm1", "asm2", CELLS, CELLS)))
@@ -121,22 +168,25 @@ def _smoothed_joint(c: DataFrame) -> DataFrame:
 
 
 def _smoothed_gc(c: DataFrame) -> DataFrame:
-    cells = matrix.gc_matrix(_table(c, "child"), CELLS)
+    cells = matrix.gc_matrix(_table(c, "whole"), CELLS)
     return matrix.smoothed(cells, "gc", "cnt", K, CELLS, matrix.axis_peak(cells, "gc", "cnt", K, CELLS))
 
 
 @query
 def relative_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profile(spark, sf_dir, "asm1", {"self_cnt": "asm1", "read_cnt": "child"})
+    return _profile(spark, sf_dir, {"self_cnt": "whole", "read_cnt": "child"})
 
 
 @query
 def scaffold_qv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.scaffold_qv(_profile(spark, sf_dir, "asm1", {"read_cnt": "child"}), K)
+    return profile.scaffold_qv(_profile(spark, sf_dir, {"read_cnt": "child"}), K)
 
 
-def _both(spark: SparkSession, sf_dir: str, columns: dict[str, str]) -> DataFrame:
-    return _profile(spark, sf_dir, "asm1", columns).withColumn("assembly", F.lit("asm1")).unionByName(_profile(spark, sf_dir, "asm2", columns).withColumn("assembly", F.lit("asm2")))
+def _both(spark: SparkSession, sf_dir: str, columns: dict[str, str], runs: bool = False) -> DataFrame:
+    """Counts at each position of the two assemblies."""
+    seqs = _seqs(spark, sf_dir)
+    sides = [windows(seqs.where(ROLES[a]), K, runs=runs).withColumn("assembly", F.lit(a)) for a in ("asm1", "asm2")]
+    return profile.profile(sides[0].unionByName(sides[1]), _counts(spark, sf_dir), columns)
 
 
 @query
@@ -146,20 +196,20 @@ def assembly_qv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unsupported_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.unsupported_bed(_profile(spark, sf_dir, "asm1", {"read_cnt": "child"}), K)
+    return profile.unsupported_bed(_profile(spark, sf_dir, {"read_cnt": "child"}), K)
 
 
 @query
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.contigs(_positions(spark, sf_dir, "asm1"), K)
+    return profile.contigs(_seqs(spark, sf_dir), K)
 
 
 @query
 def scaffold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kind, grp, size: valid positions of each scaffold, bases of each contig."""
     runs = contigs(spark, sf_dir)
-    per = runs.groupBy("seq_id").agg(F.sum("n_pos").cast("long").alias("size")).select(F.lit("scaffold").alias("kind"), F.lit("asm1").alias("grp"), "size")
-    return per.unionByName(runs.select(F.lit("contig").alias("kind"), F.lit("asm1").alias("grp"), "size"))
+    per = runs.groupBy("seq_id").agg(F.sum("n_pos").cast("long").alias("size")).select(F.lit("scaffold").alias("kind"), F.lit("all").alias("grp"), "size")
+    return per.unionByName(runs.select(F.lit("contig").alias("kind"), F.lit("all").alias("grp"), "size"))
 
 
 @query
@@ -167,12 +217,12 @@ def blob_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.blob_limit(hap_blob(spark, sf_dir))
 
 
-_on_counts("max_bucket", lambda c: _table(c, "child").max_bucket(6))
+_on_counts("max_bucket", lambda c: _table(c, "whole").max_bucket(6))
 
 
 @query
 def hap_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.hap_blob(_both(spark, sf_dir, {"mat_cnt": "mat", "pat_cnt": "pat"}))
+    return profile.hap_blob(_both(spark, sf_dir, {"mat_cnt": "mat", "pat_cnt": "pat"}, runs=True))
 
 
 @query

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from .catalog import CELLS, K
+from .catalog import CELLS, LONG_K, SEEK, K
 
 SEQS = """seqs AS (SELECT doc_id AS seq_id, translate(lower(regexp_replace(text, '[^A-Za-z.\\n]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz.' || chr(10), 'acgtacgtacgtacgtacgtacgtac--') AS seq FROM documents)"""
 KMERS = f"""km AS (SELECT seq_id, pos, least(w, reverse(translate(w, 'acgt', 'tgca'))) AS kmer
   FROM (SELECT seq_id, (i - 1)::INT AS pos, substr(seq, i, {K}) AS w FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - {K - 2})) AS i FROM seqs WHERE length(seq) >= {K}))
   WHERE w NOT LIKE '%-%')"""
 COUNTS = """c AS (SELECT kmer, count(*) FILTER (seq_id % 8 IN (0,1,2,3)) AS mat, count(*) FILTER (seq_id % 8 IN (2,3,4,5)) AS pat, count(*) FILTER (seq_id % 8 IN (0,1,2,3,4,5)) AS child,
-  count(*) FILTER (seq_id % 8 IN (0,1,6)) AS asm1, count(*) FILTER (seq_id % 8 IN (4,5,7)) AS asm2 FROM km GROUP BY kmer)"""
+  count(*) FILTER (seq_id % 8 IN (0,1,6)) AS asm1, count(*) FILTER (seq_id % 8 IN (4,5,7)) AS asm2, count(*) AS whole FROM km GROUP BY kmer)"""
 BASE = f"WITH {SEQS}, {KMERS}, {COUNTS}"
 
-HIST = "SELECT child::BIGINT AS multiplicity, count(*) AS n_unique, sum(child)::BIGINT AS n_instances FROM c WHERE child > 0 GROUP BY 1"
+
+
+def hist(of: str) -> str:
+    return f"SELECT {of}::BIGINT AS multiplicity, count(*) AS n_unique, sum({of})::BIGINT AS n_instances FROM c WHERE {of} > 0 GROUP BY 1"
+
+
 CN_CLASS = "CASE WHEN asm1 = 0 THEN 'read-only' WHEN asm1 > 4 THEN '>4' ELSE asm1::VARCHAR END"
 CN = f"SELECT {CN_CLASS} AS copies, least(asm1, 5) AS class_ord, least(child, 1000)::BIGINT AS multiplicity, count(*) AS n_unique, sum(child)::BIGINT AS n_instances FROM c WHERE child > 0 GROUP BY 1, 2, 3"
 MEMBER = "CASE WHEN asm1 > 0 AND asm2 > 0 THEN 'shared' WHEN asm1 > 0 THEN 'asm1-only' WHEN asm2 > 0 THEN 'asm2-only' ELSE 'read-only' END"
@@ -29,7 +34,8 @@ def rise(hist: str, op: str, name: str) -> str:
     return f"{s}, {name} AS (SELECT coalesce(min(multiplicity) FILTER (n {op} prev), max(multiplicity))::BIGINT AS thresh FROM s_{name})"
 
 
-SOLID = f"h AS ({HIST}), {rise('h', '>=', 't')}, solid AS (SELECT thresh, sum(n_unique)::BIGINT AS solid_count FROM h, t WHERE multiplicity >= thresh GROUP BY thresh)"
+def solid(of: str) -> str:
+    return f"h AS ({hist(of)}), {rise('h', '>=', 't')}, solid AS (SELECT thresh, sum(n_unique)::BIGINT AS solid_count FROM h, t WHERE multiplicity >= thresh GROUP BY thresh)"
 
 
 def specific(own: str, other: str) -> str:
@@ -74,7 +80,7 @@ def peak(line: str, along: str, max_line: int, cells: str, name: str) -> str:
 
 JOINT = f"jm AS (SELECT asm1 AS cnt1, asm2 AS cnt2, count(*) AS n FROM c WHERE asm1 + asm2 > 0 AND asm1 <= {CELLS} AND asm2 <= {CELLS} GROUP BY 1, 2)"
 GC = "length(translate(kmer, 'at', ''))"
-GCM = f"gm AS (SELECT {GC}::INT AS gc, child AS cnt, count(*) AS n FROM c WHERE child > 0 AND child <= {CELLS} GROUP BY 1, 2)"
+GCM = f"gm AS (SELECT {GC}::INT AS gc, whole AS cnt, count(*) AS n FROM c WHERE whole <= {CELLS} GROUP BY 1, 2)"
 PEAKS = f"{JOINT}, {peak('cnt2', 'cnt1', CELLS, 'jm', 'px')}, {peak('cnt1', 'cnt2', CELLS, 'jm', 'py')}, pk AS (SELECT 'cnt1' AS axis, pos, height FROM px UNION ALL SELECT 'cnt2', pos, height FROM py)"
 
 
@@ -85,12 +91,12 @@ def smooth(cells: str, row: str, col: str, rows: int, height: str) -> str:
 
 
 def prof(role: str) -> str:
-    ids = "(0,1,6)" if role == "asm1" else "(4,5,7)"
-    return f"SELECT seq_id, pos, {role} AS self_cnt, child AS read_cnt, mat AS mat_cnt, pat AS pat_cnt FROM km JOIN c USING (kmer) WHERE seq_id % 8 IN {ids}"
+    of = {"asm1": "seq_id % 8 IN (0,1,6)", "asm2": "seq_id % 8 IN (4,5,7)", "whole": "true"}[role]
+    return f"SELECT seq_id, pos, {role} AS self_cnt, child AS read_cnt, mat AS mat_cnt, pat AS pat_cnt FROM km JOIN c USING (kmer) WHERE {of}"
 
 
 QV = f"100 * (1 - pow(1 - miss / total, 1.0 / {K})) AS err_pct, CASE WHEN miss > 0 THEN -10 * log10(1 - pow(1 - miss / total, 1.0 / {K})) END AS qv"
-CONTIGS = f"""runs AS (SELECT seq_id, pos, sum(new) OVER (PARTITION BY seq_id ORDER BY pos) AS contig FROM (SELECT seq_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY seq_id ORDER BY pos) > 1 THEN 1 ELSE 0 END AS new FROM km WHERE seq_id % 8 IN (0,1,6))),
+CONTIGS = f"""runs AS (SELECT seq_id, pos, sum(new) OVER (PARTITION BY seq_id ORDER BY pos) AS contig FROM (SELECT seq_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY seq_id ORDER BY pos) > 1 THEN 1 ELSE 0 END AS new FROM km)),
   ctg AS (SELECT seq_id, contig::BIGINT AS contig, min(pos)::BIGINT AS beg, count(*) AS n_pos, count(*) + {K - 1} AS size FROM runs GROUP BY 1, 2)"""
 
 UNBROKEN = """ub AS (SELECT doc_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac') AS seq FROM documents)"""
@@ -147,22 +153,47 @@ PHASED = f"""{PURE.replace(" SELECT seq_id, contig, min(beg) AS beg,", ", pure A
 PHASED = PHASED.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def outputs(of: dict[str, tuple[str, str]], cap: int) -> str:
+    """Histograms of outputs: name -> which k-mers, and their counts."""
+    each = " UNION ALL ".join(f"SELECT '{n}' AS output, ({cnt})::BIGINT AS cnt FROM c WHERE {on}" for n, (on, cnt) in of.items())
+    return f"{BASE}, o AS ({each}) SELECT output, least(cnt, {cap})::BIGINT AS multiplicity, count(*) AS n_unique, sum(cnt)::BIGINT AS n_instances FROM o GROUP BY 1, 2"
+
+
+ONLY_ASM1 = ("asm1 > 0 AND child = 0", "asm1")
+COPIES = {"0": ("child > 0 AND asm1 = 0", "child"), **{str(n): (f"child > 0 AND asm1 = {n}", "child") for n in range(1, 5)}, "5": ("child > 0 AND asm1 >= 5", "child"), "6": ONLY_ASM1}
+TWO = {
+    "0": ("child > 0 AND asm1 = 0 AND asm2 = 0", "child"), "1": ("child > 0 AND asm1 > 0 AND asm2 = 0", "child"), "2": ("child > 0 AND asm1 = 0 AND asm2 > 0", "child"), "3": ("child > 0 AND asm1 > 0 AND asm2 > 0", "child"),
+    "4": ("child = 0 AND asm1 > 0 AND asm2 > 0", "asm1 + asm2"), "5": ("child = 0 AND asm1 > 0 AND asm2 = 0", "asm1"), "6": ("child = 0 AND asm1 = 0 AND asm2 > 0", "asm2"),
+}
+SOLID_12 = {"0": ("asm1 > 0 AND child >= 12", "asm1"), "1": ("asm2 > 0 AND child >= 12", "asm2"), "2": ("asm1 + asm2 > 0 AND child >= 12", "asm1 + asm2")}
+
+
 def _queries() -> dict[str, str]:
     q = {
-        "kmer_table": f"{BASE} SELECT kmer, child AS cnt FROM c WHERE child > 0",
+        "expression_copy_number": outputs(COPIES, 1000),
+        "expression_one_assembly": outputs({"0": COPIES["0"], "1": ("child > 0 AND asm1 > 0", "child"), "2": ONLY_ASM1}, 1000),
+        "expression_two_assemblies": outputs(TWO, 1000),
+        "expression_specific": f"{BASE} SELECT kmer, CASE WHEN pat = 0 THEN mat ELSE 0 END AS mat, CASE WHEN mat = 0 THEN pat ELSE 0 END AS pat FROM c WHERE (mat > 0) != (pat > 0)",
+        "expression_inherited": f"{BASE}, o AS (SELECT kmer, CASE WHEN mat >= 2 AND pat = 0 THEN child ELSE 0 END AS mat, CASE WHEN pat >= 3 AND mat = 0 THEN child ELSE 0 END AS pat FROM c) SELECT kmer, mat, pat FROM o WHERE mat > 0 OR pat > 0",
+        "expression_solid": outputs(SOLID_12, 1),
+        "kmer_table": f"{BASE} SELECT kmer, whole AS cnt FROM c",
+        "kmer_table_40": f"""WITH {SEQS}, {KMERS.replace(f"i, {K})", f"i, {LONG_K})").replace(f"length(seq) - {K - 2}", f"length(seq) - {LONG_K - 2}").replace(f"length(seq) >= {K}", f"length(seq) >= {LONG_K}")} SELECT kmer, count(*) AS cnt FROM km GROUP BY kmer""",
+        "kmer_seek_ordinal": f"{BASE}, o AS (SELECT row_number() OVER (ORDER BY kmer) - 1 AS ordinal, kmer, whole AS cnt, count(*) OVER () AS total FROM c) SELECT ordinal, kmer, cnt FROM o WHERE ordinal >= total // 2 AND ordinal < total // 2 + 1000",
+        "kmer_seek_key": f"{BASE}, o AS (SELECT row_number() OVER (ORDER BY kmer) - 1 AS ordinal, kmer, whole AS cnt FROM c) SELECT ordinal, kmer, cnt FROM o WHERE kmer >= '{SEEK}' ORDER BY kmer LIMIT 1000",
+        "table_full_outer": f"{BASE} SELECT kmer, asm1 AS cnt1, asm2 AS cnt2 FROM c WHERE asm1 > 0 OR asm2 > 0",
         "kmer_lookup": f"""{BASE}, bs AS (SELECT item_id, translate(lower(regexp_replace(text, '[^A-Za-z.\\n]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz.' || chr(10), 'acgtacgtacgtacgtacgtacgtac--') AS seq FROM benchmark), {windows('bs', 'item_id', 'bk')}
-          SELECT kmer, child AS cnt FROM c WHERE child > 0 AND kmer IN (SELECT kmer FROM bk)""",
-        "kmer_hist": f"{BASE} {HIST}",
-        "kmer_hist_capped": f"{BASE} SELECT least(child, 100)::BIGINT AS multiplicity, count(*) AS n_unique, sum(child)::BIGINT AS n_instances FROM c WHERE child > 0 GROUP BY 1",
-        "kmer_hist_reranged": f"{BASE} SELECT greatest(2, least(child, 50))::BIGINT AS multiplicity, count(*) AS n_unique, sum(child)::BIGINT AS n_instances FROM c WHERE child > 0 GROUP BY 1",
-        "solid_threshold": f"{BASE}, {SOLID} SELECT thresh, solid_count FROM solid",
+          SELECT kmer, whole AS cnt FROM c WHERE kmer IN (SELECT kmer FROM bk)""",
+        "kmer_hist": f"{BASE} {hist('whole')}",
+        "kmer_hist_capped": f"{BASE} SELECT least(whole, 100)::BIGINT AS multiplicity, count(*) AS n_unique, sum(whole)::BIGINT AS n_instances FROM c GROUP BY 1",
+        "kmer_hist_reranged": f"{BASE} SELECT greatest(2, least(whole, 50))::BIGINT AS multiplicity, count(*) AS n_unique, sum(whole)::BIGINT AS n_instances FROM c GROUP BY 1",
+        "solid_threshold": f"{BASE}, {solid('whole')} SELECT thresh, solid_count FROM solid",
         "table_minus": f"{BASE} SELECT kmer, mat AS cnt FROM c WHERE mat > 0 AND pat = 0",
         "table_semi": f"{BASE} SELECT kmer, child AS cnt FROM c WHERE child > 0 AND asm1 > 0",
         "table_semi_filtered": f"{BASE} SELECT kmer, child AS cnt FROM c WHERE child > 0 AND asm1 >= 2",
         "table_inner_sum": f"{BASE} SELECT kmer, asm1 + asm2 AS cnt FROM c WHERE asm1 > 0 AND asm2 > 0",
         "table_union_sum": f"{BASE} SELECT kmer, asm1 + asm2 AS cnt FROM c WHERE asm1 > 0 OR asm2 > 0",
-        "table_count_eq": f"{BASE} SELECT kmer, child AS cnt FROM c WHERE child = 3",
-        "table_count_ge": f"{BASE} SELECT kmer, child AS cnt FROM c WHERE child >= 12",
+        "table_count_eq": f"{BASE} SELECT kmer, whole AS cnt FROM c WHERE whole = 3",
+        "table_count_ge": f"{BASE} SELECT kmer, whole AS cnt FROM c WHERE whole >= 12",
         "cn_spectrum": f"{BASE} SELECT copies, multiplicity, n_unique, n_instances FROM ({CN})",
         "cn_zero": f"{BASE} SELECT CASE WHEN asm1 = 1 THEN '1' ELSE '>1' END AS copies, sum(asm1)::BIGINT AS n_instances FROM c WHERE child = 0 AND asm1 > 0 GROUP BY 1",
         "asm_spectrum_1": f"{BASE} SELECT CASE WHEN asm1 > 0 THEN 'asm1' ELSE 'read-only' END AS class, least(child, 1000)::BIGINT AS multiplicity, count(*) AS n_unique, sum(child)::BIGINT AS n_instances FROM c WHERE child > 0 GROUP BY 1, 2",
@@ -172,29 +203,29 @@ def _queries() -> dict[str, str]:
         "primary_peak": f"{BASE}, {CURVES} SELECT xmax, ymax FROM top",
         "stacked_peak": f"{BASE}, {STACK} SELECT xmax, ymax FROM stop",
         "stacked_limits": f"{BASE}, {STACK} SELECT floor((xmax + coalesce(m, xmax)) * 2.1 / 2)::BIGINT AS x_limit, floor(ymax * 1.1)::BIGINT AS y_limit FROM stop, ssec",
-        "max_bucket": f"{BASE} SELECT max(n) AS n FROM (SELECT count(*) AS n FROM c WHERE child > 0 GROUP BY substr(kmer, 1, 6))",
+        "max_bucket": f"{BASE} SELECT max(n) AS n FROM (SELECT count(*) AS n FROM c GROUP BY substr(kmer, 1, 6))",
         "spectrum_peaks": f"{BASE}, {SECOND} SELECT xmax, ymax, xsec FROM peaks",
         "axis_limits": f"""{BASE}, {SECOND}, lim AS (SELECT floor((xmax + xsec) * 2.1 / 2)::BIGINT AS x0, floor(ymax * 1.1)::BIGINT AS y_limit FROM peaks),
           up AS (SELECT copies, multiplicity, sum(n) OVER (PARTITION BY copies ORDER BY multiplicity) AS upto, floor(sum(n) OVER (PARTITION BY copies)::DOUBLE * 0.98) AS want, max(n) OVER (PARTITION BY copies) AS ym FROM bins WHERE multiplicity < 1000),
           wd AS (SELECT copies, min(multiplicity) AS x, max(ym) AS ym FROM up WHERE upto > want GROUP BY 1)
           SELECT greatest(x0, (SELECT max(x) FROM wd, lim WHERE ym > 0.01 * y_limit)) AS x_limit, y_limit FROM lim""",
-        "completeness": f"""{BASE}, {SOLID}, f AS (SELECT count(*) FILTER (asm1 > 0) AS a, count(*) FILTER (asm2 > 0) AS b, count(*) FILTER (asm1 > 0 OR asm2 > 0) AS e FROM c, solid WHERE child >= thresh)
+        "completeness": f"""{BASE}, {solid('child')}, f AS (SELECT count(*) FILTER (asm1 > 0) AS a, count(*) FILTER (asm2 > 0) AS b, count(*) FILTER (asm1 > 0 OR asm2 > 0) AS e FROM c, solid WHERE child >= thresh)
           SELECT assembly, found, solid_count AS total, 100.0::DOUBLE * found / solid_count AS pct FROM (SELECT 'asm1' AS assembly, a AS found FROM f UNION ALL SELECT 'asm2', b FROM f UNION ALL SELECT 'both', e FROM f), solid""",
         "parent_completeness": f"""{BASE} SELECT assembly, parent, found, total, 100.0::DOUBLE * found / total AS pct FROM (
           {' UNION ALL '.join(f"SELECT '{a}' AS assembly, '{p}' AS parent, count(*) FILTER ({p} > 0) AS found, count(*) AS total FROM c WHERE {a} > 0" for a in ('asm1', 'asm2') for p in ('mat', 'pat'))})""",
         "joint_matrix": f"{BASE} SELECT asm1 AS cnt1, asm2 AS cnt2, count(*) AS n FROM c WHERE asm1 + asm2 > 0 AND asm1 <= 1000 AND asm2 <= 1000 GROUP BY 1, 2",
         "joint_matrix_smoothed": f"{BASE}, {PEAKS} {smooth('jm', 'cnt1', 'cnt2', CELLS, 'SELECT max(height) FROM pk')}",
         "matrix_peaks": f"{BASE}, {PEAKS} SELECT axis, pos, height FROM pk",
-        "gc_matrix": f"{BASE} SELECT {GC}::INT AS gc, child AS cnt, count(*) AS n FROM c WHERE child > 0 AND child <= 1000 GROUP BY 1, 2",
+        "gc_matrix": f"{BASE} SELECT {GC}::INT AS gc, whole AS cnt, count(*) AS n FROM c WHERE whole <= 1000 GROUP BY 1, 2",
         "gc_matrix_smoothed": f"{BASE}, {GCM}, {peak('gc', 'cnt', K, 'gm', 'pg')} {smooth('gm', 'gc', 'cnt', K, 'SELECT max(height) FROM pg')}",
-        "relative_profile": f"{BASE} SELECT seq_id, pos, self_cnt, read_cnt FROM ({prof('asm1')})",
-        "scaffold_qv": f"{BASE}, m AS (SELECT seq_id, count(*) FILTER (read_cnt = 0) AS miss, count(*) AS total FROM ({prof('asm1')}) GROUP BY 1) SELECT seq_id, miss, total, {QV} FROM m",
+        "relative_profile": f"{BASE} SELECT seq_id, pos, self_cnt, read_cnt FROM ({prof('whole')})",
+        "scaffold_qv": f"{BASE}, m AS (SELECT seq_id, count(*) FILTER (read_cnt = 0) AS miss, count(*) AS total FROM ({prof('whole')}) GROUP BY 1) SELECT seq_id, miss, total, {QV} FROM m",
         "assembly_qv": f"""{BASE}, m AS (SELECT a AS assembly, count(*) FILTER (read_cnt = 0) AS miss, count(*) AS total FROM (SELECT 'asm1' AS a, * FROM ({prof('asm1')}) UNION ALL SELECT 'asm2', * FROM ({prof('asm2')})) GROUP BY 1),
           e AS (SELECT * FROM m UNION ALL SELECT 'both', sum(miss)::BIGINT, sum(total)::BIGINT FROM m) SELECT assembly, miss, total, {QV} FROM e""",
-        "unsupported_bed": f"""{BASE}, i AS (SELECT seq_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY seq_id ORDER BY pos) > {K} THEN 1 ELSE 0 END AS new FROM ({prof('asm1')}) WHERE read_cnt = 0),
+        "unsupported_bed": f"""{BASE}, i AS (SELECT seq_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY seq_id ORDER BY pos) > {K} THEN 1 ELSE 0 END AS new FROM ({prof('whole')}) WHERE read_cnt = 0),
           j AS (SELECT seq_id, pos, sum(new) OVER (PARTITION BY seq_id ORDER BY pos) AS island FROM i) SELECT seq_id, min(pos)::BIGINT AS beg, (max(pos) + {K})::BIGINT AS "end" FROM j GROUP BY seq_id, island""",
         "contigs": f"WITH {SEQS}, {KMERS}, {CONTIGS} SELECT seq_id, contig, beg, n_pos, size FROM ctg",
-        "scaffold_sizes": f"WITH {SEQS}, {KMERS}, {CONTIGS} SELECT 'scaffold' AS kind, 'asm1' AS grp, sum(n_pos)::BIGINT AS size FROM ctg GROUP BY seq_id UNION ALL SELECT 'contig', 'asm1', size FROM ctg",
+        "scaffold_sizes": f"WITH {SEQS}, {KMERS}, {CONTIGS} SELECT 'scaffold' AS kind, 'all' AS grp, sum(n_pos)::BIGINT AS size FROM ctg GROUP BY seq_id UNION ALL SELECT 'contig', 'all', size FROM ctg",
         "contig_stats": f"""WITH {SEQS}, {KMERS}, {CONTIGS}, w AS (SELECT count(*) AS n, sum(size)::BIGINT AS total, min(size) AS mn, max(size) AS mx FROM ctg), r AS (SELECT size, sum(size) OVER (ORDER BY size DESC) AS run FROM ctg)
           SELECT n, total, mn AS min, total // n AS avg, (SELECT max(size) FROM r WHERE run >= w.total // 2) AS n50, mx AS max FROM w""",
         "n_curve": f"""WITH {SEQS}, {KMERS}, {CONTIGS}, s AS (SELECT size, (sum(size) OVER (ORDER BY size DESC, seq_id, contig ROWS UNBOUNDED PRECEDING))::BIGINT AS cum, (sum(size) OVER ())::BIGINT AS total FROM ctg),

@@ -87,7 +87,7 @@ def blob(mat_markers: DataFrame, pat_markers: DataFrame, asms: list[Source], k:
     """Contig blobs of one or two assemblies; markers: tables of kmer."""
     _distinct_names(*asms)
     marks = _marks(mat_markers, pat_markers)
-    each = [profile.profile(windows(df, k), marks, {"mat_cnt": "mat", "pat_cnt": "pat"}).withColumn("assembly", F.lit(n)) for n, df in asms]
+    each = [profile.profile(windows(df, k, runs=True), marks, {"mat_cnt": "mat", "pat_cnt": "pat"}).withColumn("assembly", F.lit(n)) for n, df in asms]
     return profile.hap_blob(reduce(DataFrame.unionByName, each))
 
 
@@ -127,7 +127,7 @@ def full(reads: DataFrame, asms: list[Source], k: int, markers: tuple[DataFrame,
         for name, df in asms:
             positions = windows(df, k)
             p = profile.profile(positions, marks, {"mat_cnt": "mat", "pat_cnt": "pat"})
-            contig_table = profile.contigs(positions, k)
+            contig_table = profile.contigs(df, k)
             sites = profile.located(phasing.sites_of(p, k, ("seq_id",)), contig_table)
             blocks = phasing.phase_blocks(phasing.pure_blocks(sites), contig_table, k)
             out |= {f"{name}.contigs": contig_table, f"{name}.phased_block": blocks, f"{name}.block_stats": stats.size_stats(blocks), f"{name}.block_totals": phasing.phase_totals(blocks)}

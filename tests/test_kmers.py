@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -10,10 +11,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kspec import cli
-from kspec.functions.kmer import CHUNK
+from kspec.functions import minimizer
+from kspec.functions.kmer import CHUNK, codes, unpack, windows
 from kspec.operators import histogram, matrix, profile, stats
-from kspec.operators.phasing import Block, merge_blocks
-from kspec.operators.table import KmerTable
+from kspec.operators.phasing import Block, _best_split, merge_blocks
+from kspec.operators.table import KmerTable, joint_counts
 from kspec.plans import report
 from kspec.sources.sequences import read_fasta, read_fastq
 from kspec.streaming.counting import streaming_counts
@@ -304,3 +306,72 @@ def test_streaming(spark, tmp_path):
         assert as_dict(KmerTable(spark.table("kmers"), 5)) == dict(plain_counts(seqs, 5))
     finally:
         q.stop()
+
+
+def dense_rise(counts, strict):
+    top = max(counts)
+    for m in range(2, top + 1):
+        if counts.get(m, 0) > counts.get(m - 1, 0) or not strict and counts.get(m, 0) == counts.get(m - 1, 0):
+            return m
+    return top
+
+
+def test_thresholds_over_gaps(spark):
+    """The scan of present bins against one over all bins, zeros among the rows, and a greatest count that no array could reach."""
+    rng = random.Random(4)
+    cases = [{m: rng.choice([0, 1, 2, 5, 9]) for m in rng.sample(range(1, rng.choice([4, 8, 30])), rng.randint(1, 3))} for _ in range(40)] + [{1: 5}, {7: 3}, {2: 1}, {1: 9, 2: 0, 3: 0}, {1: 9, 2: 3, 4: 2}, {1: 9, 5: 0}]
+    for i, counts in enumerate(cases):
+        for strict in (False, True):
+            assert histogram.first_rise(hist(spark, counts), strict).first().thresh == dense_rise(counts, strict), (i, counts, strict)
+    far = {1: 90, 2: 40, 3: 30, 3_000_000_000: 7}
+    assert histogram.first_rise(hist(spark, far), True).first().thresh == 3_000_000_000 and tuple(histogram.solid(hist(spark, far)).first()) == (5, 7)
+    assert histogram.first_rise(hist(spark, {}), True).count() == 0
+
+
+def test_contigs_over_pieces(spark):
+    """Contigs within a piece, over an edge, over several pieces and of one position; runs that hap_blob joins."""
+    k = 5
+    seqs = [*sequences(21, 3, 2 * CHUNK + 33), "acgta" * (CHUNK // 2), "a" * (CHUNK - 1) + "-" + "c" * (CHUNK + 9), "acgt", "acgta", "", None, "-" * 40]
+    want = {}
+    for s, seq in enumerate(seqs):
+        ends = [m.span() for m in re.finditer("[acgt]+", seq or "") if m.end() - m.start() >= k]
+        want |= {(s, n): (a, b - a - k + 1, b - a) for n, (a, b) in enumerate(ends)}
+    df = frame(spark, seqs)
+    got = profile.contigs(df, k)
+    assert {(r.seq_id, r.contig): (r.beg, r.n_pos, r.size) for r in got.collect()} == want
+    assert "pos" not in got._jdf.queryExecution().toString().replace("n_pos", "")
+    prof = windows(df, k, runs=True).select("seq_id", "run", F.lit(1).alias("mat_cnt"), F.lit(0).alias("pat_cnt"))
+    assert {(r.seq_id, r.contig): (r.mat, r.pat, r.size) for r in profile.hap_blob(prof, ("seq_id",)).collect()} == {key: (n, 0, n) for key, (_, n, _) in want.items()}
+
+
+def test_many_loose_blocks():
+    rng = random.Random(6)
+
+    def plain(between, late):
+        costs = [(sum(abs(b.mrk) for b in between[:cut:2]) + sum(abs(b.mrk) for b in between[cut + 1 :: 2]), -cut if late else cut) for cut in range(0, len(between) + 1, 2)]
+        return abs(min(costs)[1])
+
+    for n in (0, 2, 4, 10, 40):
+        for _ in range(40):
+            between = [Block(i, i + 1, rng.choice([1, 2, 3]) * (-1) ** i) for i in range(n)]
+            for late in (False, True):
+                assert _best_split(between, late) == plain(between, late)
+    began = time.time()
+    loose = [Block(10 * i, 10 * i + 9, (i % 7 + 1) * (-1) ** i) for i in range(1_000_000)]
+    assert merge_blocks([Block(-500, 0, 90), *loose, Block(10**8, 10**8 + 500, -90)], 100, 1000)
+    assert time.time() - began < 30
+
+
+@pytest.mark.parametrize("k", [5, 13, 40])
+def test_minimizers(spark, k):
+    """A word and its complement have one minimizer; heavy buckets, several labels and rows without one."""
+    rng = random.Random(k)
+    words = ["".join(rng.choices("acgt", k=k)) for _ in range(50)]
+    for w in words:
+        pair = [minimizer.window_minimizers(codes(x.encode())[0], k, minimizer.minimizer_length(k)).tolist() for x in (w, w[::-1].translate(COMPLEMENT))]
+        assert pair[0] == pair[1]
+    seqs = [*sequences(5, 4, 3000), *["acacacacacac" * 40] * 6, "a" * 9000, None]
+    labelled = frame(spark, seqs)
+    got = {r.kmer: (r.even, r.big) for r in joint_counts(labelled, k, {"even": "seq_id % 2 = 0 and seq_id < 100", "big": "seq_id >= 6"}).withColumn("kmer", unpack(F.col("kmer"), k)).collect()}
+    even, big = plain_counts([s for s in seqs[::2] if s], k), plain_counts([s for s in seqs[6:] if s], k)
+    assert got == {w: (even[w], big[w]) for w in {*even, *big}}
