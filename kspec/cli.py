@@ -1,9 +1,13 @@
-"""python -m kspec.cli PROGRAM [flags] INPUTS... OUT: the programs over FASTA or FASTQ files, each table a folder of TSV under OUT.
+"""python -m kspec.cli PROGRAM [flags] INPUTS... OUT: the programs over FASTA or FASTQ files and counted tables, each table a folder of TSV under OUT.
+
+`count` writes a table of its input, OUT.ktab, and the table's histogram, OUT.hist; the other programs take such tables where they need counts only, so reads are counted once for all of them: every input of
+hapmers, cn, asm, joint and gc, the reads and parents of report, and the markers (mat.ktab and pat.ktab, which hapmers writes under OUT) of blob. Within a run counts and profiles are written once, under OUT/work, for
+all tables that come from them; the command line deletes them at its end.
 
 Flags stand before or between the paths, with their values attached: -l -f -s line, filled and stacked plots (none: all three), -z zero lines, -k keep the plot's data, -v verbose, -pdf,
--w6.0 -h4.5 width and height, -x2.1 -y1.1 axis ends in proportion to the peaks, -X -Y axis ends as counts, -T threads, -P sort folder, -K21 length of k-mers. Plots are not drawn:
-their data, axis ends and settings are written. Threads and sort folders are Spark's matter; both flags are accepted and do nothing. `cn`, `asm` and `blob` with OUT alone plot
-again what an earlier run with -k has kept under OUT."""
+-w6.0 -h4.5 width and height, -x2.1 -y1.1 axis ends in proportion to the peaks, -X -Y axis ends as counts, -T threads, -P sort folder, -K21 length of k-mers (that of the tables, if there are any). Plots are not
+drawn: their data, axis ends and settings are written. Threads and sort folders are Spark's matter; both flags are accepted and do nothing. `cn`, `asm` and `blob` with OUT alone plot again what an earlier run with -k
+has kept under OUT; `report -k` keeps for them under OUT/ASSEMBLY.spectrum, OUT/assembly.spectrum and OUT/hapmers."""
 
 from __future__ import annotations
 
@@ -11,18 +15,26 @@ import re
 from dataclasses import dataclass, field
 from pathlib import PurePath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kspec.operators import histogram
+from kspec.operators.stored import SortedTable
+from kspec.operators.table import KmerTable
 from kspec.plans import report
-from kspec.sources.sequences import read_fasta, read_fastq, write_bed, write_tsv
+from kspec.sources.sequences import keep, read_fasta, read_fastq, write_bed, write_tsv
 
 #: Inputs of each program, least and most, and its flags.
 PROGRAMS = {
+    "count": (1, 1, "vTKP"),
     "hapmers": (3, 3, "vTK"), "cn": (2, 2, "vklfszwhxXyYpTPK"), "asm": (2, 3, "vklfszwhxXyYpTPK"), "blob": (3, 4, "vkwhpTPK"),
     "report": (2, 5, "vklfszwhxXyYpTPK"), "joint": (2, 2, "lfswhxXyYpTK"), "gc": (1, 1, "lfswhxXpTK"),
 }
 REPLOT = ("cn", "asm", "blob")
+#: Inputs, by their places, that have to be sequences: those whose positions are looked at.
+SEQUENCES = {"count": slice(0, 1), "blob": slice(2, None)}
+TABLE = ".ktab"
 REALS, POSITIVE, WHOLE = {"w": 6.0, "h": 4.5, "x": 2.1, "y": 1.1}, "xy", "XYTK"
 
 
@@ -49,7 +61,7 @@ def parse(argv: list[str]) -> tuple[str, Flags, list[str]]:
             paths.append(a)
         elif letter in known and letter == "p":
             if value != "df":
-                raise ValueError(f"don't recognize option {a}")
+                raise ValueError(f"{a}: -pdf is all that begins with -p")
             flags.on.add("pdf")
         elif letter in known and letter == "P":
             continue
@@ -57,28 +69,33 @@ def parse(argv: list[str]) -> tuple[str, Flags, list[str]]:
             try:
                 flags.reals[letter] = float(value)
             except ValueError:
-                raise ValueError(f"-{letter} '{value}' argument is not a real number") from None
+                raise ValueError(f"{a}: a number has to follow -{letter}") from None
             if letter in POSITIVE and not flags.reals[letter] > 0:
-                raise ValueError(f"max {letter} scaling factor must be > 0")
+                raise ValueError(f"{a}: the factor after -{letter} has to be above 0")
         elif letter in known and letter in WHOLE:
             if not re.fullmatch(r"[+-]?[0-9]+", value):
-                raise ValueError(f"-{letter} '{value}' argument is not an integer")
+                raise ValueError(f"{a}: a whole number has to follow -{letter}")
             flags.whole[letter] = int(value)
             if flags.whole[letter] <= 0:
-                raise ValueError(f"-{letter} must be positive ({value})")
+                raise ValueError(f"{a}: the number after -{letter} has to be above 0")
         else:
             for c in a[1:] or "-":
                 if c not in known or c not in "vklfsz":
-                    raise ValueError(f"-{c} is an illegal option")
+                    raise ValueError(f"{a}: {program} has no flag -{c}")
                 flags.on.add(c)
     return program, flags, paths
 
 
 def root_name(path: str) -> str:
-    return re.sub(r"\.(fa|fasta|fq|fastq)?(\.gz)?$", "", PurePath(path).name)
+    return re.sub(r"\.ktab$|\.(fa|fasta|fq|fastq)?(\.gz)?$", "", PurePath(path).name)
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
+def _read(spark: SparkSession, path: str) -> DataFrame | SortedTable:
+    if path.rstrip("/").endswith(TABLE):
+        try:
+            return SortedTable.open(spark, path)
+        except AnalysisException as e:
+            raise ValueError(f"no table at {path}") from e
     return read_fastq(spark, path) if re.search(r"\.(fq|fastq)(\.gz)?$", path) else read_fasta(spark, path)
 
 
@@ -86,10 +103,27 @@ def _kept(spark: SparkSession, program: str, out: str) -> dict[str, DataFrame]:
     names = {"cn": ("spectrum", "zero"), "asm": ("spectrum", "zero"), "blob": ("blob",)}[program]
     try:
         return {n: spark.read.parquet(f"{out}/kept/{n}") for n in names}
-    except Exception as e:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise ValueError(f"nothing is kept under {out}") from e
 
 
+def _keep(data: dict[str, DataFrame], folder: str) -> None:
+    for name, df in data.items():
+        df.write.mode("overwrite").parquet(f"{folder}/kept/{name}")
+
+
+def _keep_report(found: dict[str, DataFrame], out: str) -> None:
+    """A report's spectra and blobs, each where the program that plots it again looks."""
+    for name, df in found.items():
+        root = "assembly" if name == "assembly_spectrum" else name.removesuffix(".spectrum")
+        if name == "blob":
+            _keep({"blob": df}, f"{out}/hapmers")
+        elif root != name:
+            _keep({"spectrum": df, "zero": found["assembly_zero" if name == "assembly_spectrum" else f"{root}.zero"]}, f"{out}/{root}.spectrum")
+
+
 def run(spark: SparkSession, argv: list[str]) -> dict[str, DataFrame]:
     """Writes a program's tables and returns them by name."""
     program, flags, paths = parse(argv)
@@ -105,40 +139,64 @@ def run(spark: SparkSession, argv: list[str]) -> dict[str, DataFrame]:
     names = [root_name(p) for p in inputs]
     if len(set(names)) < len(names):
         raise ValueError(f"two inputs have one name: {', '.join(names)}")
-    k = flags.whole.get("K", 21)
-    seqs = [_read(spark, p) for p in inputs]
+    given = [_read(spark, p) for p in inputs]
+    stored = [t for t in given if isinstance(t, SortedTable)]
+    for path, t in list(zip(inputs, given, strict=True))[SEQUENCES.get(program, slice(1 if len(inputs) < 4 else 3, None) if program == "report" else slice(0, 0))]:
+        if isinstance(t, SortedTable):
+            raise ValueError(f"{path}: sequences are needed here, not a table")
+    ks = {t.k for t in stored} | ({flags.whole["K"]} if "K" in flags.whole else set())
+    if len(ks) > 1:
+        raise ValueError(f"tables and -K of different k: {', '.join(map(str, sorted(ks)))}")
+    k = ks.pop() if ks else 21
+    seqs: list[DataFrame | KmerTable] = [t.table() if isinstance(t, SortedTable) else t for t in given]
     named = list(zip(names, seqs, strict=True))
     settings = {"styles": flags.styles, "zero": "z" in flags.on, "xrel": flags.reals["x"], "yrel": flags.reals["y"], "xmax": flags.whole.get("X"), "ymax": flags.whole.get("Y")}
+
+    def once(df: DataFrame, name: str) -> DataFrame:
+        return keep(df, f"{out}/work/{name}")
+
+    if program == "count":
+        table = SortedTable.write(KmerTable.count(seqs[0], k), out + TABLE).table()
+        histogram.save(histogram.histogram(table.df), f"{out}.hist", k)
+        return {"table": table.df, "hist": histogram.load(spark, f"{out}.hist", k)}
     if program == "hapmers":
-        tables = report.trio_hapmers(*seqs, k)
+        found = report.trio_hapmers(*seqs, k, once)
+        tables = {n: SortedTable.write(KmerTable(df, k), f"{out}/{n}{TABLE}").table().decoded() for n, df in found.items()}
     elif program in ("cn", "asm"):
         if again:
             data = _kept(spark, program, out)
-        elif program == "cn":
-            data = report.copy_numbers(*seqs, k)
         else:
-            data = report.assemblies(seqs[0], named[1:], k)
+            data = report.copy_numbers(*seqs, k, once) if program == "cn" else report.assemblies(seqs[0], named[1:], k, once)
+            data["spectrum"] = once(data["spectrum"], "spectrum")
         tables = report.plots(data, "copies" if program == "cn" else "class", **settings)
     elif program == "blob":
         if again:
             data = _kept(spark, program, out)
         else:
-            m = report.counts_of(k, mat=seqs[0], pat=seqs[1])
-            data = {"blob": report.blob(m.where("mat > 0 and pat = 0"), m.where("pat > 0 and mat = 0"), named[2:], k)}
+            marks = [s.df if isinstance(s, KmerTable) else None for s in seqs[:2]]
+            if None in marks and any(m is not None for m in marks):
+                raise ValueError("both parents are sequences, or both are tables of markers")
+            if None in marks:
+                m = once(report.counts_of(k, mat=seqs[0], pat=seqs[1]), "counts")
+                marks = [m.where("mat > 0 and pat = 0"), m.where("pat > 0 and mat = 0")]
+            data = {"blob": once(report.blob(*marks, named[2:], k), "blob")}
         tables = report.blob_plot(data["blob"], *(names[:2] if inputs else ("mat", "pat")))
     elif program == "report":
         if len(inputs) < 4:
-            tables = report.files(report.full(seqs[0], named[1:], k), settings)
+            found = report.full(seqs[0], named[1:], k, once=once)
+            tables = report.files(found, settings)
         else:  # reads, mother, father, one or two assemblies
-            h = report.trio_hapmers(seqs[1], seqs[2], seqs[0], k)
-            tables = report.files(report.full(seqs[0], named[3:], k, (h["mat"], h["pat"])), settings, (names[1], names[2]))
+            h = report.trio_hapmers(seqs[1], seqs[2], seqs[0], k, once)
+            found = report.full(seqs[0], named[3:], k, (h["mat"], h["pat"]), once)
+            tables = report.files(found, settings, (names[1], names[2]))
+        if "k" in flags.on:
+            _keep_report(found, out)
     elif program == "joint":
-        tables = report.joint_plot(*seqs, k, flags.whole.get("X", 1000), flags.whole.get("Y", 1000))
+        tables = report.joint_plot(*seqs, k, flags.whole.get("X", 1000), flags.whole.get("Y", 1000), once)
     else:
-        tables = report.gc_plot(seqs[0], k, flags.whole.get("X", 1000))
-    if "k" in flags.on and program in (*REPLOT, "report"):
-        for name, df in (data if program != "report" else {n: t for n, t in tables.items() if n.endswith(("spectrum", "blob"))}).items():
-            df.write.mode("overwrite").parquet(f"{out}/kept/{name}")
+        tables = report.gc_plot(seqs[0], k, flags.whole.get("X", 1000), once)
+    if "k" in flags.on and program in REPLOT:
+        _keep(data, out)
     drawn = {"width": flags.reals["w"], "height": flags.reals["h"], "pdf": "pdf" in flags.on, "k": k}
     tables["settings"] = spark.range(1).select(*[F.lit(v).alias(n) for n, v in drawn.items()])
     for name, df in tables.items():
@@ -148,12 +206,18 @@ def run(spark: SparkSession, argv: list[str]) -> dict[str, DataFrame]:
     return tables
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def main() -> None:
     import sys
 
     spark = SparkSession.builder.appName("kspec").getOrCreate()
     try:
         run(spark, sys.argv[1:])
+        _delete(spark, f"{sys.argv[-1]}/work")
     except ValueError as e:
         sys.exit(f"kspec: {e}")
 
