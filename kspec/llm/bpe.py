@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import PieceEncoder
-from .common import by_size, modest_batches, text_of
+from .common import by_size, carried_id, modest_batches, restored_id, text_of
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -256,8 +256,9 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, *, doc_id: str = "d
                 decoded.update(stream.finish().encode())
                 rows.append((len(ids), hashlib.sha256(data).hexdigest(), decoded.hexdigest(), *((ids,) if keep_ids else ())))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy() if batch["doc_id"].notna().all() else batch["doc_id"].astype("Int64"))
+            out.insert(0, "no_id", batch["no_id"].to_numpy())
+            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return slim.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * keep_ids)
+    slim = docs.select(*carried_id(F.col(doc_id)), text_of(text).alias("text"))
+    return restored_id(slim.mapInPandas(run, "doc_id long, no_id boolean, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * keep_ids))

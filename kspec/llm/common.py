@@ -97,6 +97,16 @@ def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str
     return docs.join(F.broadcast(keys) if few else keys, row_id.eqNullSafe(F.col(names[0])) & (row_text == F.col(names[1])), "left_anti")
 
 
+def carried_id(doc_id: Column) -> tuple[Column, Column]:
+    """An id as two columns without nulls, doc_id (0 for none) and no_id: pandas makes doubles of whole numbers among nulls, which changes those above 2^53."""
+    return F.coalesce(doc_id.cast("long"), F.lit(0)).cast("long").alias("doc_id"), doc_id.isNull().alias("no_id")
+
+
+def restored_id(df: DataFrame) -> DataFrame:
+    """The table with the ids that carried_id has taken apart."""
+    return df.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
+
+
 def text_of(text: str = "text") -> Column:
     """The text column; null counts as the empty text."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -23,7 +23,7 @@ def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .records import encoder
 
     narrow, plan, _ = mixture(_table(spark, sf_dir, "documents"), target_entropy=0.95, max_repeats=2.0, encoder=partial(encoder, public_tokenizers.path("byte_bpe_50k.json")))
-    return realise(narrow, plan)
+    return realise(narrow, plan).drop("t")
 
 
 def op2_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .chunks import PATTERN, PieceEncoder
-from .common import by_size, modest_batches, shared_dir, text_of, written
+from .common import by_size, carried_id, modest_batches, shared_dir, text_of, written
 
 CASTAGNOLI, MASK_DELTA, BLOCK = 0x82F63B78, 0xA282EAD8, 512
 HEAD = struct.Struct("<qIHH")
@@ -235,10 +235,10 @@ def write_records(docs: DataFrame, tokenizer: str, *, end_id: int | None = 2, wi
     spark = docs.sparkSession
     modest_batches(spark)
     path = path or shared_dir(spark, "records")
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *carried_id(F.col(doc_id))[1:], text_of(text).alias("text"))
     n_bytes = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // FILE_BYTES))
-    ordered = slim.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
+    ordered = slim.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h").withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context, encode = TaskContext.get(), encoder(tokenizer)
@@ -255,7 +255,7 @@ def write_records(docs: DataFrame, tokenizer: str, *, end_id: int | None = 2, wi
         with fs.open_output_stream(f"{folder}/{name}") as out, fs.open_output_stream(f"{folder}/{name}.idx") as index:
             while first is not None:
                 entries, payloads = [], []
-                doc_ids = [None if i is None or i != i else int(i) for i in first["doc_id"]]
+                doc_ids = [None if none else int(i) for i, none in zip(first["doc_id"], first["no_id"], strict=True)]
                 for i, t in zip(doc_ids, first["text"], strict=True):
                     ids = np.frombuffer(encode(t) + end, dtype="<u4")
                     payloads.append(payload_of(i, ids, wide))
@@ -298,4 +298,5 @@ def read_records(manifest: DataFrame) -> DataFrame:
 
 def _rows(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "path", "position"])
-    return out.astype({"doc_id": "Int64"})
+    out["doc_id"] = pd.array([r[0] for r in rows], dtype="Int64")  # not by way of doubles
+    return out

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, by_size, discard, modest_batches, row_key, text_of, without, written
+from .common import BROADCAST_ROWS, by_size, carried_id, discard, modest_batches, restored_id, row_key, text_of, without, written
 
 TILE, QUARTERS = 2048, 4
 #: Members of sets, and sets, that are verified side by side: a large group is cut into tiles of so many.
@@ -87,10 +87,6 @@ def wide_fingerprint(members: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ids(batch: pd.DataFrame) -> pd.Series:
-    return batch["doc_id"] if batch["doc_id"].notna().all() else batch["doc_id"].astype("Int64")
-
-
 def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     modest_batches(docs.sparkSession)
     row_id, row_text = row_key(docs, doc_id, text)
@@ -103,9 +99,10 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, doc_id: str = "doc_id", t
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t, shingle) for t in batch["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": _ids(batch), "t": batch["t"], "fp": fp})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "no_id": batch["no_id"], "t": batch["t"], "fp": fp})
 
-    return _slim(docs, doc_id, text).mapInPandas(run, "doc_id long, t long, fp long")
+    slim = _slim(docs, doc_id, text).select(*carried_id(F.col("doc_id")), "t", "text")
+    return restored_id(slim.mapInPandas(run, "doc_id long, no_id boolean, t long, fp long"))
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -357,11 +354,13 @@ def _similar(docs: DataFrame, similarity: float, shingle: int, doc_id: str, text
                 rows.append((_node_of(members), len(members), *wide_fingerprint(members).view(np.int64).tolist()))
             out = pd.DataFrame(rows, columns=["node", "n", *[f"f{k}" for k in range(WIDE)]])
             out.insert(0, "t", batch["t"].to_numpy())
-            out.insert(0, "doc_id", _ids(batch).reset_index(drop=True))
+            out.insert(0, "no_id", batch["no_id"].to_numpy())
+            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
     words = [f"f{k}" for k in range(WIDE)]
-    marked = written(slim.mapInPandas(mark, "doc_id long, t long, node long, n int, " + ", ".join(f"{w} long" for w in words)), "simhash-docs")
+    taken = slim.select(*carried_id(F.col("doc_id")), "t", "text")
+    marked = written(restored_id(taken.mapInPandas(mark, "doc_id long, no_id boolean, t long, node long, n int, " + ", ".join(f"{w} long" for w in words))), "simhash-docs")
     nodes = written(marked.groupBy("node").agg(F.min(_first()).alias("first"), *[F.first(c).alias(c) for c in ("n", *words)]), "simhash-nodes")
     roots = components(_in_reach(nodes.select("node", "n", *words), similarity))
     # the groups' sets are made again from the first text of each node

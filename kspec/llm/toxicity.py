@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, modest_batches, text_of, written
+from .common import by_size, carried_id, modest_batches, restored_id, text_of, written
 
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 #: Lengths of beginnings in characters, and how often a beginning must occur for each of its features.
@@ -200,11 +200,10 @@ def scored(docs: DataFrame, model: Model, *, threshold: float = 0.7, held_out_fo
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids = batch["doc_id"] if batch["doc_id"].notna().all() else batch["doc_id"].astype("Int64")
-            yield pd.DataFrame({"doc_id": ids, "score": [model.score(t) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "no_id": batch["no_id"], "score": [model.score(t) for t in batch["text"]]})
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    out = slim.mapInPandas(run, "doc_id long, score double")
+    slim = docs.select(*carried_id(F.col(doc_id)), text_of(text).alias("text"))
+    out = restored_id(slim.mapInPandas(run, "doc_id long, no_id boolean, score double"))
     held = F.coalesce(fold(F.col("doc_id")) == held_out_fold, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, modest_batches, text_of
+from .common import by_size, carried_id, modest_batches, restored_id, text_of
 
 # Fixed values of the format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -798,12 +798,13 @@ def media(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep_m
                 back = load(stored)
                 rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(back), *((stored,) if keep_media else ())))
             out = pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(["media"] if keep_media else [])])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy() if batch["doc_id"].notna().all() else batch["doc_id"].astype("Int64"))
+            out.insert(0, "no_id", batch["no_id"].to_numpy())
+            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return slim.mapInPandas(run, schema + ", media binary" * keep_media)
+    slim = docs.select(*carried_id(F.col(doc_id)), text_of(text).alias("text"))
+    schema = "doc_id long, no_id boolean, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return restored_id(slim.mapInPandas(run, schema + ", media binary" * keep_media))
 
 
 def pixel_arrays(df: DataFrame, media: str, key: str) -> DataFrame:
