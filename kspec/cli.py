@@ -1,4 +1,4 @@
-"""python -m kspec.cli PROGRAM [flags] INPUTS... OUT: the programs over FASTA or FASTQ files and counted tables, each table a folder of TSV under OUT.
+"""python -m kspec.cli PROGRAM [flags] INPUTS... OUT: the programs over FASTA, FASTQ, SAM or BAM files and counted tables, each table a folder of TSV under OUT.
 
 `count` writes a table of its input, OUT.ktab, and the table's histogram, OUT.hist; the other programs take such tables where they need counts only, so reads are counted once for all of them: every input of
 hapmers, cn, asm, joint and gc, the reads and parents of report, and the markers (mat.ktab and pat.ktab, which hapmers writes under OUT) of blob. Within a run counts and profiles are written once, under OUT/work, for
@@ -23,6 +23,7 @@ from kspec.operators import histogram
 from kspec.operators.stored import SortedTable
 from kspec.operators.table import KmerTable
 from kspec.plans import report
+from kspec.sources.alignments import read_bam, read_sam
 from kspec.sources.sequences import keep, read_fasta, read_fastq, write_bed, write_tsv
 
 #: Inputs of each program, least and most, and its flags.
@@ -87,7 +88,7 @@ def parse(argv: list[str]) -> tuple[str, Flags, list[str]]:
 
 
 def root_name(path: str) -> str:
-    return re.sub(r"\.ktab$|\.(fa|fasta|fq|fastq)?(\.gz)?$", "", PurePath(path).name)
+    return re.sub(r"\.(ktab|bam|sam)$|\.(fa|fasta|fq|fastq)?(\.gz)?$", "", PurePath(path).name)
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | SortedTable:
@@ -96,6 +97,8 @@ def _read(spark: SparkSession, path: str) -> DataFrame | SortedTable:
             return SortedTable.open(spark, path)
         except AnalysisException as e:
             raise ValueError(f"no table at {path}") from e
+    if m := re.search(r"\.(bam|sam)$", path):
+        return (read_bam if m[1] == "bam" else read_sam)(spark, path)
     return read_fastq(spark, path) if re.search(r"\.(fq|fastq)(\.gz)?$", path) else read_fasta(spark, path)
 
 

@@ -31,7 +31,7 @@ def unbroken(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("seq_id"), "doc_id", seq.alias("seq"))
 
 
-def _in_order(raw: DataFrame) -> DataFrame:
+def in_order(raw: DataFrame) -> DataFrame:
     """file, n (the row's place in its file, from 0), value of rows read by Spark's text reader, however it has split the files.
 
     Rows are counted in each split first; a split's rows follow those of the splits before it. The counts are a row a split."""
@@ -41,7 +41,7 @@ def _in_order(raw: DataFrame) -> DataFrame:
     return rows.join(splits.select("file", "block", "first", before.alias("before")), ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("n"), "value")
 
 
-def _numbered(records: DataFrame) -> DataFrame:
+def numbered_files(records: DataFrame) -> DataFrame:
     """seq_id, name, seq of records (file, n from 0 without gaps, name, seq): files in the order of their paths. The counts are a row a file."""
     files = records.groupBy("file").agg(F.count("*").alias("c"))
     before = F.coalesce(F.sum("c").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -54,24 +54,24 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     Records are cut by Spark's line reader where a line begins with '>', so a file of many sequences is read by many tasks, and lines of a record are joined."""
     raw = spark.read.option("lineSep", "\n>").text(path)
-    rows = _in_order(raw)
+    rows = in_order(raw)
     text = F.regexp_replace("value", "\r", "")
     begun = F.when(F.col("n") > 0, text).when(text.startswith(">"), F.substring(text, F.lit(2), F.length(text)))
     text = F.coalesce(begun, F.when(F.trim(text) != "", F.raise_error(F.concat(F.lit("no FASTA header at the beginning of "), "file"))))
     parts = F.split("text", "\n", 2)
     records = rows.select("file", "n", text.alias("text")).where("text is not null")
-    return _numbered(records.select("file", "n", parts[0].alias("name"), F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", "").alias("seq")))
+    return numbered_files(records.select("file", "n", parts[0].alias("name"), F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", "").alias("seq")))
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """seq_id, name, seq of FASTQ files with four lines a read, plain or .gz. A read that doesn't begin with '@' is an error.
 
     Files are split as any text is; lines are numbered by their splits' counts, and the two lines of a read that are used meet by that number."""
-    lines = _in_order(spark.read.option("lineSep", "\n").text(path)).where("n % 4 < 2 and length(trim(value)) > 0 or n % 4 = 1")
+    lines = in_order(spark.read.option("lineSep", "\n").text(path)).where("n % 4 < 2 and length(trim(value)) > 0 or n % 4 = 1")
     line = F.regexp_replace("value", "\r$", "")
     header = F.when(line.startswith("@"), F.substring(line, F.lit(2), F.length(line))).otherwise(F.raise_error(F.concat(F.lit("no FASTQ header where one is due in "), "file")))
     lines = lines.select("file", F.expr("n div 4").alias("n"), F.when(F.col("n") % 4 == 0, header).alias("name"), F.when(F.col("n") % 4 == 1, line).alias("seq"))
-    return _numbered(lines.groupBy("file", "n").agg(F.max("name").alias("name"), F.max("seq").alias("seq")).where("seq is not null and name is not null"))
+    return numbered_files(lines.groupBy("file", "n").agg(F.max("name").alias("name"), F.max("seq").alias("seq")).where("seq is not null and name is not null"))
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
