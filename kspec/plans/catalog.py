@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kspec.functions.kmer import part_count, unpack, windows
-from kspec.operators import hapmers, histogram, matrix, phasing, profile, spectra, stats
+from kspec.operators import contour, hapmers, histogram, matrix, phasing, profile, spectra, stats
 from kspec.operators.stored import SortedTable, joined_buckets, write_buckets
 from kspec.operators.table import KmerTable, joint_counts
 from kspec.plans import expressions
@@ -167,6 +167,12 @@ def _smoothed_joint(c: DataFrame) -> DataFrame:
     return matrix.smoothed(cells, "cnt1", "cnt2", CELLS, CELLS, _peaks(cells).agg(F.max("height").alias("height")).where("height is not null"))
 
 
+_on_counts("contour_bands_6", lambda c: contour.bands(_smoothed_joint(c), "cnt1", "cnt2", 6))
+_on_counts("contour_bands_12", lambda c: contour.bands(_smoothed_joint(c), "cnt1", "cnt2", 12))
+_on_counts("contour_bands_gc", lambda c: contour.bands(_smoothed_gc(c), "gc", "cnt", 10))
+_on_counts("contour_lines", lambda c: contour.lines(contour.segments(_smoothed_joint(c), "cnt1", "cnt2", 12)))
+
+
 def _smoothed_gc(c: DataFrame) -> DataFrame:
     cells = matrix.gc_matrix(_table(c, "whole"), CELLS)
     return matrix.smoothed(cells, "gc", "cnt", K, CELLS, matrix.axis_peak(cells, "gc", "cnt", K, CELLS))

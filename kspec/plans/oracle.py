@@ -90,6 +90,12 @@ def smooth(cells: str, row: str, col: str, rows: int, height: str) -> str:
   LEFT JOIN (SELECT {row} - a AS r, {col} - b AS k, sum(n)::BIGINT AS s FROM {cells}, (VALUES (0,0),(0,1),(1,0),(1,1)) v(a, b) GROUP BY 1, 2) USING (r, k) WHERE ({height}) IS NOT NULL"""
 
 
+def banded(cells: str, row: str, col: str, bins: int) -> str:
+    """Runs of cells of a row in one band, of smoothed cells."""
+    return f"""SELECT {row}, min({col}) AS beg, max({col}) + 1 AS "end", band FROM (SELECT *, {col} - row_number() OVER (PARTITION BY {row}, band ORDER BY {col}) AS run FROM (
+    SELECT {row}, {col}, least((n - low) * {bins} // greatest(high - low, 1), {bins - 1})::INT AS band FROM ({cells}) CROSS JOIN (SELECT min(n) AS low, max(n) AS high FROM ({cells})))) GROUP BY {row}, band, run"""
+
+
 def prof(role: str) -> str:
     of = {"asm1": "seq_id % 8 IN (0,1,6)", "asm2": "seq_id % 8 IN (4,5,7)", "whole": "true"}[role]
     return f"SELECT seq_id, pos, {role} AS self_cnt, child AS read_cnt, mat AS mat_cnt, pat AS pat_cnt FROM km JOIN c USING (kmer) WHERE {of}"
@@ -215,6 +221,8 @@ def _queries() -> dict[str, str]:
           {' UNION ALL '.join(f"SELECT '{a}' AS assembly, '{p}' AS parent, count(*) FILTER ({p} > 0) AS found, count(*) AS total FROM c WHERE {a} > 0" for a in ('asm1', 'asm2') for p in ('mat', 'pat'))})""",
         "joint_matrix": f"{BASE} SELECT asm1 AS cnt1, asm2 AS cnt2, count(*) AS n FROM c WHERE asm1 + asm2 > 0 AND asm1 <= 1000 AND asm2 <= 1000 GROUP BY 1, 2",
         "joint_matrix_smoothed": f"{BASE}, {PEAKS} {smooth('jm', 'cnt1', 'cnt2', CELLS, 'SELECT max(height) FROM pk')}",
+        **{f"contour_bands_{n}": f"{BASE}, {PEAKS}, sm AS ({smooth('jm', 'cnt1', 'cnt2', CELLS, 'SELECT max(height) FROM pk')}) {banded('SELECT * FROM sm', 'cnt1', 'cnt2', n)}" for n in (6, 12)},
+        "contour_bands_gc": f"{BASE}, {GCM}, {peak('gc', 'cnt', K, 'gm', 'pg')}, sm AS ({smooth('gm', 'gc', 'cnt', K, 'SELECT max(height) FROM pg')}) {banded('SELECT * FROM sm', 'gc', 'cnt', 10)}",
         "matrix_peaks": f"{BASE}, {PEAKS} SELECT axis, pos, height FROM pk",
         "gc_matrix": f"{BASE} SELECT {GC}::INT AS gc, whole AS cnt, count(*) AS n FROM c WHERE whole <= 1000 GROUP BY 1, 2",
         "gc_matrix_smoothed": f"{BASE}, {GCM}, {peak('gc', 'cnt', K, 'gm', 'pg')} {smooth('gm', 'gc', 'cnt', K, 'SELECT max(height) FROM pg')}",
