@@ -33,7 +33,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """ranks: token bytes -> id; a lower id merges earlier. Every single byte must be a token."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 50_000):
         self.ranks, self.max_states = ranks, max_states
         self.token = {i: b for b, i in ranks.items()}
         self.start = 1 << 31  # stands before the first token
@@ -163,7 +163,7 @@ class ByteBPE:
 
         self.transducer = Transducer(load_ranks(path))
         self.words = regex.compile(pattern).findall
-        self.encode_bytes = PieceEncoder(self._encode, pattern=pattern, word=self._word)
+        self.encode_bytes = PieceEncoder(self._encode, pattern=pattern, word=self._word, limit=200_000)
 
     def _encode(self, text: str) -> bytes:
         encode, out = self.transducer.encode_word, []
