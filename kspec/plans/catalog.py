@@ -16,6 +16,8 @@ from kspec.sources.sequences import chimeras, pseudo_dna, unbroken
 from kspec.sources.shared import shared_dir
 
 K, LONG_K = 13, 40
+#: Size of the genome of ng_curve.
+GENOME = 5_000_000
 #: Where the seek by key begins.
 SEEK = "catcat" + "a" * 7
 #: Which documents play which part where several tables are asked for; a query on one table takes all of them.
@@ -133,12 +135,12 @@ _on_counts("table_inner_sum", lambda c: _table(c, "asm1").intersect(_table(c, "a
 _on_counts("table_union_sum", lambda c: _table(c, "asm1").union(_table(c, "asm2")).decoded())
 _on_counts("table_count_eq", lambda c: _table(c, "whole").between(3, 3).decoded())
 _on_counts("table_count_ge", lambda c: _table(c, "whole").between(12).decoded())
-_on_counts("cn_spectrum", lambda c: spectra.cn_spectrum(c, "child", "asm1").drop("class_ord"))
+_on_counts("cn_spectrum", lambda c: spectra.cn_spectrum(c, "child", "asm1"))
 _on_counts("cn_zero", lambda c: spectra.cn_zero(c, "child", "asm1"))
 _on_counts("asm_spectrum_1", lambda c: spectra.asm_spectrum(c, "child", "asm1"))
 _on_counts("asm_spectrum_2", lambda c: spectra.asm_spectrum(c, "child", "asm1", "asm2"))
 _on_counts("asm_zero", lambda c: spectra.asm_zero(c, "child", "asm1", "asm2"))
-_on_counts("spectrum_plot", lambda c: spectra.plot_rows(spectra.cn_spectrum(c, "child", "asm1"), "copies", "class_ord", 80).drop("class_ord"))
+_on_counts("spectrum_plot", lambda c: spectra.plot_rows(spectra.cn_spectrum(c, "child", "asm1"), "copies", "class_ord", spectra.HIGH))
 _on_counts("primary_peak", lambda c: histogram.primary_peak(spectra.cn_spectrum(c, "child", "asm1"), "copies", "class_ord"))
 _on_counts("stacked_peak", lambda c: histogram.stacked_peak(spectra.cn_spectrum(c, "child", "asm1")))
 _on_counts("stacked_limits", lambda c: histogram.stacked_limits(spectra.cn_spectrum(c, "child", "asm1")))
@@ -242,6 +244,21 @@ def n_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.n_curve(sized, "type")
 
 
+@query
+def ng_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curve of contigs against a genome's size instead of their own sum."""
+    sized = contigs(spark, sf_dir).select(F.lit("contig").alias("type"), "size")
+    return stats.n_curve(sized, "type", GENOME)
+
+
+@query
+def plot_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Axis ends of a spectrum whose limits aren't given, with room for its zero lines."""
+    counts = _counts(spark, sf_dir)
+    plot = spectra.plot_rows(spectra.cn_spectrum(counts, "child", "asm1"), "copies", "class_ord", spectra.HIGH)
+    return histogram.fallback_limits(plot.withColumnRenamed("copies", "class"), spectra.cn_zero(counts, "child", "asm1"))
+
+
 def _chimera_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq_id, contig (one each), pos, mat_cnt, pat_cnt of the chimeras; markers are one parent's k-mers that the other lacks."""
     docs = _docs(spark, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import CELLS, LONG_K, SEEK, K
+from .catalog import CELLS, GENOME, LONG_K, SEEK, K
 
 SEQS = """seqs AS (SELECT doc_id AS seq_id, translate(lower(regexp_replace(text, '[^A-Za-z.\\n]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz.' || chr(10), 'acgtacgtacgtacgtacgtacgtac--') AS seq FROM documents)"""
 KMERS = f"""km AS (SELECT seq_id, pos, least(w, reverse(translate(w, 'acgt', 'tgca'))) AS kmer
@@ -159,6 +159,13 @@ PHASED = f"""{PURE.replace(" SELECT seq_id, contig, min(beg) AS beg,", ", pure A
 PHASED = PHASED.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def curve(total: str) -> str:
+    """Shares of the contigs' sum (total), or of a number."""
+    return f"""WITH {SEQS}, {KMERS}, {CONTIGS}, s AS (SELECT size, (sum(size) OVER (ORDER BY size DESC, seq_id, contig ROWS UNBOUNDED PRECEDING))::BIGINT AS cum, (sum(size) OVER ())::BIGINT AS total FROM ctg),
+          t AS (SELECT 'contig' AS type, size, cum, 100.0::DOUBLE * cum / {total} AS n, 100.0::DOUBLE * (cum - size) / {total} AS n2 FROM s)
+          SELECT * FROM t UNION ALL SELECT 'contig', 0, max(cum), max(n), max(n) FROM t HAVING count(*) > 0"""
+
+
 def outputs(of: dict[str, tuple[str, str]], cap: int) -> str:
     """Histograms of outputs: name -> which k-mers, and their counts."""
     each = " UNION ALL ".join(f"SELECT '{n}' AS output, ({cnt})::BIGINT AS cnt FROM c WHERE {on}" for n, (on, cnt) in of.items())
@@ -200,12 +207,14 @@ def _queries() -> dict[str, str]:
         "table_union_sum": f"{BASE} SELECT kmer, asm1 + asm2 AS cnt FROM c WHERE asm1 > 0 OR asm2 > 0",
         "table_count_eq": f"{BASE} SELECT kmer, whole AS cnt FROM c WHERE whole = 3",
         "table_count_ge": f"{BASE} SELECT kmer, whole AS cnt FROM c WHERE whole >= 12",
-        "cn_spectrum": f"{BASE} SELECT copies, multiplicity, n_unique, n_instances FROM ({CN})",
+        "cn_spectrum": f"{BASE} SELECT copies, class_ord::INT AS class_ord, multiplicity, n_unique, n_instances FROM ({CN})",
         "cn_zero": f"{BASE} SELECT CASE WHEN asm1 = 1 THEN '1' ELSE '>1' END AS copies, sum(asm1)::BIGINT AS n_instances FROM c WHERE child = 0 AND asm1 > 0 GROUP BY 1",
         "asm_spectrum_1": f"{BASE} SELECT CASE WHEN asm1 > 0 THEN 'asm1' ELSE 'read-only' END AS class, least(child, 1000)::BIGINT AS multiplicity, count(*) AS n_unique, sum(child)::BIGINT AS n_instances FROM c WHERE child > 0 GROUP BY 1, 2",
         "asm_spectrum_2": f"{BASE} SELECT {MEMBER} AS class, least(child, 1000)::BIGINT AS multiplicity, count(*) AS n_unique, sum(child)::BIGINT AS n_instances FROM c WHERE child > 0 GROUP BY 1, 2",
         "asm_zero": f"{BASE} SELECT {MEMBER} AS class, sum(asm1 + asm2)::BIGINT AS n_instances FROM c WHERE child = 0 AND asm1 + asm2 > 0 GROUP BY 1",
-        "spectrum_plot": f"{BASE}, {CURVES} SELECT copies, multiplicity, n::BIGINT AS n FROM bins WHERE multiplicity <= 80",
+        "spectrum_plot": f"{BASE}, {CURVES} SELECT copies, class_ord::INT AS class_ord, multiplicity, n::BIGINT AS n FROM bins WHERE multiplicity < 1000",
+        "plot_limits": f"""{BASE}, {CURVES}, tp AS (SELECT multiplicity AS m, n FROM bins WHERE copies != 'read-only' AND multiplicity > 3 AND multiplicity < 1000 ORDER BY n DESC, m LIMIT 1), z AS (SELECT coalesce(sum(asm1), 0) AS z FROM c WHERE child = 0)
+          SELECT m * 2.5::DOUBLE AS x_limit, greatest(n * 1.1::DOUBLE, z * 1.1::DOUBLE) AS y_limit FROM tp, z""",
         "primary_peak": f"{BASE}, {CURVES} SELECT xmax, ymax FROM top",
         "stacked_peak": f"{BASE}, {STACK} SELECT xmax, ymax FROM stop",
         "stacked_limits": f"{BASE}, {STACK} SELECT floor((xmax + coalesce(m, xmax)) * 2.1 / 2)::BIGINT AS x_limit, floor(ymax * 1.1)::BIGINT AS y_limit FROM stop, ssec",
@@ -236,9 +245,8 @@ def _queries() -> dict[str, str]:
         "scaffold_sizes": f"WITH {SEQS}, {KMERS}, {CONTIGS} SELECT 'scaffold' AS kind, 'all' AS grp, sum(n_pos)::BIGINT AS size FROM ctg GROUP BY seq_id UNION ALL SELECT 'contig', 'all', size FROM ctg",
         "contig_stats": f"""WITH {SEQS}, {KMERS}, {CONTIGS}, w AS (SELECT count(*) AS n, sum(size)::BIGINT AS total, min(size) AS mn, max(size) AS mx FROM ctg), r AS (SELECT size, sum(size) OVER (ORDER BY size DESC) AS run FROM ctg)
           SELECT n, total, mn AS min, total // n AS avg, (SELECT max(size) FROM r WHERE run >= w.total // 2) AS n50, mx AS max FROM w""",
-        "n_curve": f"""WITH {SEQS}, {KMERS}, {CONTIGS}, s AS (SELECT size, (sum(size) OVER (ORDER BY size DESC, seq_id, contig ROWS UNBOUNDED PRECEDING))::BIGINT AS cum, (sum(size) OVER ())::BIGINT AS total FROM ctg),
-          t AS (SELECT 'contig' AS type, size, cum, 100.0::DOUBLE * cum / total AS n, 100.0::DOUBLE * (cum - size) / total AS n2 FROM s)
-          SELECT * FROM t UNION ALL SELECT 'contig', 0, max(cum), max(n), max(n) FROM t HAVING count(*) > 0""",
+        "n_curve": curve("total"),
+        "ng_curve": curve(str(GENOME)),
         "hap_blob": f"""{BASE}, p AS (SELECT 'asm1' AS assembly, * FROM ({prof('asm1')}) UNION ALL SELECT 'asm2', * FROM ({prof('asm2')})),
           i AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY assembly, seq_id ORDER BY pos) > 1 THEN 1 ELSE 0 END AS new FROM p), j AS (SELECT *, (sum(new) OVER (PARTITION BY assembly, seq_id ORDER BY pos))::BIGINT AS contig FROM i)
           SELECT assembly, seq_id, contig, count(*) FILTER (mat_cnt > 0) AS mat, count(*) FILTER (pat_cnt > 0) AS pat, count(*) AS size FROM j GROUP BY 1, 2, 3""",
