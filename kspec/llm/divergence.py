@@ -95,7 +95,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = lists.flatten()
         s, p, b = (flat.field(n).to_numpy() for n in ("s", "p", "b"))
         langs = batch.column(0).dictionary_encode()
-        code = np.repeat(langs.indices.to_numpy(), size)
+        code = np.repeat(langs.indices.to_numpy().astype(np.int64), size)
         k, start = np.repeat(size, size), np.repeat(np.cumsum(size) - size, size)  # of each element its list's
         for piece in np.split(np.arange(len(s)), np.flatnonzero(np.diff(np.cumsum(k) // PAIRS)) + 1):
             if not len(piece):
@@ -107,10 +107,18 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(one):
                 continue
             added = _apart(p[one], p[other]) - _apart(p[one], b[other]) - _apart(b[one], p[other]) + _apart(b[one], b[other])
-            keys, inverse = np.unique(np.stack([code[one].astype(np.int64), s[one], s[other]]), axis=1, return_inverse=True)
-            sums = np.zeros(keys.shape[1], dtype=np.int64)
-            np.add.at(sums, inverse.reshape(-1), added)
-            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(keys[0])), pa.array(keys[1]), pa.array(keys[2]), pa.array(sums)], names=["lang", "s", "t", "v"])
+            width = int(s.max()) + 1
+            key, span = (code[one] * width + s[one]) * width + s[other], len(langs.dictionary) * width * width
+            if span <= 4 * PAIRS:
+                sums = np.zeros(span, dtype=np.int64)
+                np.add.at(sums, key, added)
+                keys = np.flatnonzero(sums)
+                sums = sums[keys]
+            else:
+                keys, inverse = np.unique(key, return_inverse=True)
+                sums = np.zeros(len(keys), dtype=np.int64)
+                np.add.at(sums, inverse, added)
+            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(keys // (width * width))), pa.array(keys // width % width), pa.array(keys % width), pa.array(sums)], names=["lang", "s", "t", "v"])
 
 
 def audit(docs: DataFrame, *, least_docs: int = 3, top: int = 200, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
