@@ -4,7 +4,7 @@ Windows of packed k-mers are made in numpy, a few steps for a million at a time:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -21,8 +21,8 @@ BASES = "acgt"
 BREAK = "-"
 #: Bases of a chunk, of packed k-mers and of longer ones. A chunk overlaps the next by k - 1, so chunks are independent, and those of one long sequence go to many tasks.
 CHUNK, LONG_K_CHUNK = 1 << 14, 512
-#: Windows that are packed together.
-GROUP = 1 << 20
+#: Windows that are packed together, and in one step.
+GROUP, SLICE = 1 << 20, 1 << 15
 #: Longest k-mer whose two bits a base fit a signed long, and longest that fits two: hi holds what is before the last MAX_PACKED bases, lo those.
 MAX_PACKED, MAX_DOUBLE = 31, 62
 #: Bytes of sequences for a task of the scan to be busy with.
@@ -78,7 +78,7 @@ def cleaned(sequence: Column) -> Column:
 
 def codes(bases: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Two-bit codes of bases, any for other bytes; and, for each place, how many other bytes are before it."""
-    lookup = np.full(256, 4, dtype=np.int64)
+    lookup = np.full(256, 4, dtype=np.uint8)
     lookup[np.frombuffer(BASES.encode(), dtype=np.uint8)] = np.arange(4)
     code = lookup[np.frombuffer(bases, dtype=np.uint8)]
     return code & 3, np.concatenate(([0], np.cumsum(code == 4)))
@@ -103,8 +103,19 @@ def directed_keys(code: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
         size *= 2
 
 
+def by_slices(code: np.ndarray, k: int, make: Callable[[np.ndarray, int], tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """make(code, k), which gives arrays of a number for each window of k bases, slice by slice, so that its steps stay in the processor's cache."""
+    found = [make(code[at : at + SLICE + k - 1].astype(np.int64), k) for at in range(0, max(len(code) - k + 1, 1), SLICE)]
+    return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def canonical_keys(code: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """Canonical keys of the windows at each place, as pack() writes them: one array, or those of hi and of lo. Windows of more than MAX_PACKED bases are two, and swap places when they are turned round."""
+    """Canonical keys of the windows at each place, as pack() writes them: one array, or those of hi and of lo."""
+    return by_slices(code, k, _canonical_keys)
+
+
+def _canonical_keys(code: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Windows of more than MAX_PACKED bases are two, and swap places when they are turned round."""
     if k <= MAX_PACKED:
         return (np.minimum(*directed_keys(code, k)),)
     rest, n = k - MAX_PACKED, len(code) - k + 1

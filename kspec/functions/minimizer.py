@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from kspec.functions.kmer import CHUNK, GROUP, canonical_keys, chunked, codes, directed_keys, grouped, key_array, key_type, part_count
+from kspec.functions.kmer import CHUNK, GROUP, by_slices, canonical_keys, chunked, codes, directed_keys, grouped, key_array, key_type, part_count
 
 if TYPE_CHECKING:
     import pyarrow as pa
@@ -31,6 +31,10 @@ def minimizer_length(k: int) -> int:
 
 def window_minimizers(code: np.ndarray, k: int, m: int) -> np.ndarray:
     """The minimizer of the window at each place."""
+    return by_slices(code, k, lambda part, _: (_window_minimizers(part, k, m),))[0]
+
+
+def _window_minimizers(code: np.ndarray, k: int, m: int) -> np.ndarray:
     key = np.minimum(*directed_keys(code, m)).astype(np.uint64)
     key = (key + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)  # no value twice, in no order of the bases
     key = (key ^ key >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
@@ -78,6 +82,24 @@ def reduced(keys: tuple[np.ndarray, ...], counts: np.ndarray) -> tuple[tuple[np.
     return tuple(x[first] for x in keys), np.add.reduceat(counts[order], first, axis=0)
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where equal neighbours begin."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, dtype=np.int64)
+
+
+def tallied(keys: tuple[np.ndarray, ...], mask: np.ndarray, labels: int, k: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Each key once, in order, with how often it comes with each bit of the masks. Where a key leaves room for the mask both are sorted as one number, which is several times faster than by way of an order."""
+    bits = np.arange(labels)
+    if len(keys) > 1 or 2 * k + labels > 63:
+        return reduced(keys, mask[:, None] >> bits & 1)
+    both = np.sort(keys[0] << labels | mask)
+    first = _starts(both)
+    times, both = np.diff(np.append(first, len(both))), both[first]
+    new = _starts(both >> labels)
+    counts = (both[:, None] >> bits & 1) * times[:, None]
+    return (both[new] >> labels,), np.add.reduceat(counts, new, axis=0) if len(new) else counts
+
+
 def packed(code: np.ndarray, start: np.ndarray, n_bases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bases of stretches, four a byte, each stretch from a byte of its own; and the bytes of each."""
     n_bytes = -(-n_bases // 4)
@@ -87,7 +109,7 @@ def packed(code: np.ndarray, start: np.ndarray, n_bases: np.ndarray) -> tuple[np
 
 def unpacked(data: np.ndarray, n_bases: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """The canonical keys of the windows of packed stretches, one stretch after another."""
-    code = (data[:, None] >> np.array([6, 4, 2, 0], dtype=np.uint8) & 3).reshape(-1).astype(np.int64)
+    code = (data[:, None] >> np.array([6, 4, 2, 0], dtype=np.uint8) & 3).reshape(-1)
     n_bytes = -(-n_bases // 4)
     at = _ranges(4 * (np.cumsum(n_bytes) - n_bytes), n_bases - k + 1)
     return tuple(x[at] for x in canonical_keys(code, k))
@@ -158,8 +180,8 @@ def _counted(k: int, labels: list[str]):
                 n_bases = np.concatenate([x[1] for x in waiting])
                 mask = np.repeat([x[0] for x in waiting], [int((x[1] - k + 1).sum()) for x in waiting])
                 keys = unpacked(np.concatenate([x[2] for x in waiting]), n_bases, k)
-                held.append((keys, weights(mask, np.ones(len(mask), dtype=np.int64))))
-            if held:
+                held.append(tallied(keys, mask, len(labels), k))
+            if len(held) > 1:
                 keys = tuple(np.concatenate([x[0][i] for x in held]) for i in range(words))
                 held = [reduced(keys, np.concatenate([x[1] for x in held]))]
             waiting, total = [], 0
