@@ -12,7 +12,8 @@ from kspec.operators import contour, hapmers, histogram, matrix, phasing, profil
 from kspec.operators.stored import SortedTable, joined_buckets, write_buckets
 from kspec.operators.table import KmerTable, joint_counts
 from kspec.plans import expressions
-from kspec.sources.sequences import chimeras, pseudo_dna, unbroken
+from kspec.sources import binary
+from kspec.sources.sequences import chimeras, in_sequence, pseudo_dna, unbroken
 from kspec.sources.shared import shared_dir
 
 K, LONG_K = 13, 40
@@ -259,6 +260,34 @@ def plot_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram.fallback_limits(plot.withColumnRenamed("copies", "class"), spectra.cn_zero(counts, "child", "asm1"))
 
 
+@query
+def binary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of all documents, written as a binary table of ranges and read back."""
+    path, table = shared_dir(spark, "binary-table"), KmerTable.count(_seqs(spark, sf_dir), K)
+    binary.write_table(table, path, parts=part_count(_docs(spark, sf_dir)))
+    return binary.read_table(spark, path).decoded()
+
+
+@query
+def binary_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of all documents up to 500, written as a binary file and read back."""
+    path = shared_dir(spark, "binary-histogram")
+    binary.write_histogram(_hist(_counts(spark, sf_dir)), path, K, 1, 500)
+    return binary.read_histogram(spark, path, K)
+
+
+@query
+def binary_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the reads have the k-mer at each position of all documents, written as encoded profiles, sequences numbered in the order of their ids, and read back. Positions without a k-mer have 0."""
+    seqs, path = _seqs(spark, sf_dir), shared_dir(spark, "binary-profiles")
+    numbers = in_sequence(seqs.select("seq_id"))
+    prof = _profile(spark, sf_dir, {"read_cnt": "child"}).join(numbers, "seq_id").select(F.col("number").alias("seq_id"), "pos", "read_cnt")
+    lengths = seqs.join(numbers, "seq_id").select(F.col("number").alias("seq_id"), F.greatest(F.length("seq") - (K - 1), F.lit(0)).cast("long").alias("n_pos"))
+    binary.write_profiles(prof, lengths, path, K, "read_cnt", parts=part_count(_docs(spark, sf_dir)))
+    back = binary.read_profiles(spark, path, "read_cnt")
+    return back.join(numbers, back["seq_id"] == numbers["number"]).select(numbers["seq_id"], "pos", "read_cnt")
+
+
 def _chimera_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq_id, contig (one each), pos, mat_cnt, pat_cnt of the chimeras; markers are one parent's k-mers that the other lacks."""
     docs = _docs(spark, sf_dir)

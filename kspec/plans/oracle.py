@@ -191,6 +191,10 @@ def _queries() -> dict[str, str]:
         "expression_solid": outputs(SOLID_12, 1),
         "kmer_table": f"{BASE} SELECT kmer, whole AS cnt FROM c",
         "kmer_table_40": f"""WITH {SEQS}, {KMERS.replace(f"i, {K})", f"i, {LONG_K})").replace(f"length(seq) - {K - 2}", f"length(seq) - {LONG_K - 2}").replace(f"length(seq) >= {K}", f"length(seq) >= {LONG_K}")} SELECT kmer, count(*) AS cnt FROM km GROUP BY kmer""",
+        "binary_table": f"{BASE} SELECT kmer, least(whole, 32767) AS cnt FROM c",
+        "binary_histogram": f"{BASE} SELECT least(whole, 500)::BIGINT AS multiplicity, count(*) AS n_unique, sum(whole)::BIGINT AS n_instances FROM c GROUP BY 1",
+        "binary_profiles": f"""{BASE}, pos AS (SELECT seq_id, unnest(range(0, length(seq) - {K - 1}))::INT AS pos FROM seqs WHERE length(seq) >= {K})
+          SELECT pos.seq_id, pos.pos, least(coalesce(child, 0), 32767) AS read_cnt FROM pos LEFT JOIN km ON km.seq_id = pos.seq_id AND km.pos = pos.pos LEFT JOIN c USING (kmer)""",
         "kmer_seek_ordinal": f"{BASE}, o AS (SELECT row_number() OVER (ORDER BY kmer) - 1 AS ordinal, kmer, whole AS cnt, count(*) OVER () AS total FROM c) SELECT ordinal, kmer, cnt FROM o WHERE ordinal >= total // 2 AND ordinal < total // 2 + 1000",
         "kmer_seek_key": f"{BASE}, o AS (SELECT row_number() OVER (ORDER BY kmer) - 1 AS ordinal, kmer, whole AS cnt FROM c) SELECT ordinal, kmer, cnt FROM o WHERE kmer >= '{SEEK}' ORDER BY kmer LIMIT 1000",
         "table_full_outer": f"{BASE} SELECT kmer, asm1 AS cnt1, asm2 AS cnt2 FROM c WHERE asm1 > 0 OR asm2 > 0",

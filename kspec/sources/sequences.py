@@ -49,6 +49,15 @@ def numbered_files(records: DataFrame) -> DataFrame:
     return each.select((F.col("before") + F.col("n")).cast("long").alias("seq_id"), "name", cleaned(F.col("seq")).alias("seq"))
 
 
+def in_sequence(ids: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """seq_id and number, from 0 without gaps in the order of the ids, each once. Ids are numbered within blocks of `block`; the counts are a row a block."""
+    own = ids.where("seq_id is not null").select("seq_id", F.floor(F.col("seq_id") / block).alias("b")).distinct()
+    counts = own.groupBy("b").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("b").orderBy("seq_id")) - 1
+    return own.join(counts.select("b", before.alias("before")), "b").select("seq_id", (F.col("before") + nth).cast("long").alias("number"))
+
+
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """seq_id (0 first, in file order, files by their paths), name, seq of FASTA files, plain or .gz; letters that are no bases become breaks. A file that doesn't begin with a header is refused.
 
