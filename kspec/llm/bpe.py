@@ -158,12 +158,12 @@ class Transducer:
 class ByteBPE:
     """Encoder of texts by a rank file and the pattern that cuts them into words."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remembered: int = 400_000):
         import regex
 
         self.transducer = Transducer(load_ranks(path))
         self.words = regex.compile(pattern).findall
-        self.encode_bytes = PieceEncoder(self._encode, pattern=pattern, word=self._word, limit=200_000)
+        self.encode_bytes = PieceEncoder(self._encode, pattern=pattern, word=self._word, limit=remembered)
 
     def _encode(self, text: str) -> bytes:
         encode, out = self.transducer.encode_word, []
@@ -228,23 +228,24 @@ class StreamDecoder:
 
 
 @lru_cache(maxsize=2)
-def _codec(path: str, pattern: str) -> ByteBPE:
-    return ByteBPE(path, pattern)
+def _codec(path: str, pattern: str, remembered: int) -> ByteBPE:
+    return ByteBPE(path, pattern, remembered)
 
 
 #: Ids that one feed of the decoder takes.
 FEED = 1 << 16
 
 
-def encode_decode(docs: DataFrame, ranks: str, pattern: str, *, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks: str, pattern: str, *, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False, remembered: int = 400_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (ids as little-endian u32), decoded_sha256 of the bytes that the ids decode to, and with keep_ids the ids.
 
-    A row for each row of docs, in no order; a null text is empty, an empty one has no ids. Rows that repeat get equal results, null ids stay null. Other columns are not read."""
+    A row for each row of docs, in no order; a null text is empty, an empty one has no ids. Rows that repeat get equal results, null ids stay null. Other columns are not read.
+    remembered: pieces whose ids a worker remembers, twice; it changes memory and time only."""
 
     modest_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = _codec(ranks, pattern)
+        codec = _codec(ranks, pattern, remembered)
         for batch in by_size(batches):
             rows = []
             for t in batch["text"]:
