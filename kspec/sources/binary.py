@@ -46,8 +46,9 @@ def _fs(uri: str):
 
 
 def _put(uri: str, data: bytes | Iterator[bytes], attempt: int = 0) -> None:
-    """Writes a file under another name first, so that a task that is repeated leaves no half of it."""
+    """Writes a file under another name first, so that a task that is repeated leaves no half of it. Its folder is made if it isn't there."""
     system, path = _fs(uri)
+    system.create_dir(_place(path)[0], recursive=True)
     draft = f"{path}.{attempt}.draft"
     with system.open_output_stream(draft) as out:
         for piece in [data] if isinstance(data, bytes) else data:

@@ -136,3 +136,10 @@ def test_profiles(spark, tmp_path, monkeypatch):
         (tmp_path / f".h.pidx.{p}").write_bytes(struct.pack("<iqq", 7, first, len(profiles)) + np.cumsum([len(x) for x in profiles]).astype("<i8").tobytes())
     assert [binary.fetch(str(tmp_path / "h"), i).tolist() for i in range(3)] == [[5] * 4, [], [40, 8, 39]]
     assert sorted(map(tuple, binary.read_profiles(spark, str(tmp_path / "h")).collect())) == [(0, p, 5) for p in range(4)] + [(2, 0, 40), (2, 1, 8), (2, 2, 39)]
+
+
+def test_histogram_in_a_new_folder(spark, tmp_path):
+    hist = spark.createDataFrame([(1, 3, 3), (7, 2, 14)], "multiplicity long, n_unique long, n_instances long")
+    path = f"file://{tmp_path}/of/no/other/hist"
+    binary.write_histogram(hist, path, 13, 1, 5)
+    assert sorted(tuple(r) for r in binary.read_histogram(spark, path, 13).collect()) == [(1, 3, 3), (5, 2, 14)]
