@@ -32,3 +32,29 @@ def test_buckets_leave_when_complete(monkeypatch):
     assert sum(n for _, n in out) == sum(len({w}) for w in {min(x[i : i + k], x[i : i + k].translate(bytes.maketrans(b"acgt", b"tgca"))[::-1]) for x in parts for i in range(388)})
     largest = max(np.unique(rows.column("bucket").to_numpy(), return_counts=True)[1])
     assert max(n for _, n in out) <= 500 + 2 * 24000 // 64 * 4 and out[0][0] < len(taken) / 4, (out, largest)
+
+
+@pytest.mark.parametrize("k", [13, 31, 40, 62])
+def test_profiles_of_sequences(spark, k):
+    rng = random.Random(k)
+    base = "".join(rng.choice("acgt") for _ in range(300))
+    seqs = [base, base[50:200] + "-" + base[:90], base[::-1].translate(str.maketrans("acgt", "tgca")), "a" * 150, "acg", "", None, "".join(rng.choice("acgt") for _ in range(20000)) + base]
+    df = spark.createDataFrame([*enumerate(seqs), (None, base)], "seq_id long, seq string")
+    counts = joint_counts(df, k, {"x": "seq_id % 2 = 0", "y": "seq_id in (1, 7)"}).where("x != 1")
+    columns = {"a": "x", "b": "y"}
+    plain = profile.profile(windows(df, k), counts, columns)
+    assert sorted(map(str, profile.positions(df, counts, k, columns).collect())) == sorted(map(str, plain.select("seq_id", "pos", "a", "b").collect()))
+    reads = profile.profile(windows(df, k), counts, {"read_cnt": "y"}).where("seq_id is not null")
+    own = df.where("seq_id is not null")
+    assert sorted(profile.unsupported(own, counts, k, "y").collect()) == sorted(profile.unsupported_bed(reads, k).collect())
+    assert sorted(map(str, profile.scaffold_quality(own, counts, k, "y").collect())) == sorted(map(str, profile.scaffold_qv(reads, k).collect()))
+    runs = profile.profile(windows(own, k, runs=True), counts, {"mat_cnt": "x", "pat_cnt": "y"})
+    assert sorted(profile.blobs(own, counts, k, "x", "y", ("seq_id",)).collect()) == sorted(profile.hap_blob(runs, ("seq_id",)).collect())
+    marks = counts.where("(x > 0) != (y > 0)").select("kmer", F.col("x").alias("mat"), F.col("y").alias("pat"))
+    sites = profile.profile(windows(own, k), marks, {"mat_cnt": "mat", "pat_cnt": "pat"})
+    assert sorted(phasing.sites_in(own, marks, k, ("seq_id",)).collect()) == sorted(phasing.sites_of(sites, k, ("seq_id",)).collect())
+
+
+@pytest.mark.parametrize("name", ["relative_profile", "scaffold_qv", "unsupported_bed", "hap_blob", "hap_sites", "assembly_qv", "blob_limit"])
+def test_no_position_is_joined(spark, sf_dir, name):
+    assert "Join" not in Q[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
