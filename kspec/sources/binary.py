@@ -17,7 +17,7 @@ from typing import TYPE_CHECKING
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from kspec.functions.kmer import MAX_DOUBLE, MAX_PACKED, key_array, key_type
@@ -222,16 +222,20 @@ def _change(before: int, value: int) -> bytes:
 
 def changes(values: np.ndarray) -> bytes:
     """The steps of a stretch after its first value. Runs of equal values are 63 long at most."""
-    out, at, n = bytearray(), 1, len(values)
-    steps = np.flatnonzero(np.diff(values)) + 1
-    for step in [*steps.tolist(), n]:
-        run = step - at
-        if run > 0:
-            out += b"\x3f" * (run // 63) + (bytes([run % 63]) if run % 63 else b"")
-        if step < n:
-            out += _change(int(values[step - 1]), int(values[step]))
-        at = step + 1
-    return bytes(out)
+    d = np.diff(values)
+    steps = np.flatnonzero(d) + 1
+    d = d[steps - 1]
+    run = np.diff(np.concatenate(([0], steps, [len(values)]))) - 1  # before each step, and after the last
+    full, rest, small = run // 63, run % 63, (d >= -32) & (d < 32)
+    ends = np.cumsum(full + (rest > 0) + np.append(np.where(small, 1, 2), 0))
+    out = np.full(ends[-1], 0x3F, dtype=np.uint8)
+    at = np.concatenate(([0], ends[:-1])) + full
+    out[at[rest > 0]] = rest[rest > 0]
+    at = (at + (rest > 0))[:-1]
+    out[at[small]] = 0x40 | d[small] & 0x3F
+    out[at[~small]] = 0x80 | (d[~small] & TOP) >> 8
+    out[at[~small] + 1] = d[~small] & 255
+    return out.tobytes()
 
 
 def encoded(values: np.ndarray) -> bytes:
@@ -244,49 +248,80 @@ def decoded(data: bytes) -> np.ndarray:
     """The values of an encoded profile."""
     if not data:
         return np.zeros(0, dtype=np.int64)
-    out: list[int] = []
-    value, at = (data[0], 1) if data[0] < 0x80 else ((data[0] & 0x7F) << 8 | data[1], 2)
-    out.append(value)
-    while at < len(data):
-        x = data[at]
-        if x & 0x80:
-            value = value + (x << 8 | data[at + 1]) & TOP
-            at += 1
-            out.append(value)
-        elif x & 0x40:
-            value += (x & 0x1F) - (x & 0x20)
-            out.append(value)
-        else:
-            out += [value] * x
-        at += 1
-    return np.array(out, dtype=np.int64)
+    value, begin = (data[0], 1) if data[0] < 0x80 else ((data[0] & 0x7F) << 8 | data[1], 2)
+    x = np.frombuffer(data, dtype=np.uint8)[begin:].astype(np.int64)
+    # a byte without its top bit is followed by a step's first byte; of bytes that have it, every other one from there on is a first one
+    i = np.arange(len(x))
+    fresh = np.maximum.accumulate(np.concatenate(([0], np.where(x[:-1] < 0x80, i[1:], 0)))) if len(x) else i
+    at = np.flatnonzero((i - fresh) % 2 == 0)
+    first, second = x[at], x[np.minimum(at + 1, max(len(x) - 1, 0))]
+    change = np.where(first >= 0x80, (first & 0x7F) << 8 | second, np.where(first >= 0x40, (first & 0x1F) - (first & 0x20), 0))
+    values = np.concatenate(([value], value + np.cumsum(change))) & TOP
+    return np.repeat(values, np.concatenate(([1], np.where(first >= 0x40, 1, first))))
 
 
 def write_profiles(prof: DataFrame, lengths: DataFrame, path: str, k: int, column: str, parts: int = 4) -> None:
-    """Profiles (seq_id, pos and a column of counts, absent positions 0) as PATH.prof. lengths: seq_id from 0 without gaps, and n_pos, the positions of each.
+    """Profiles (seq_id, pos and a column of counts, absent positions 0) as PATH.prof. lengths: seq_id from 0 without gaps, and n_pos, the positions of each. Counts above TOP become TOP."""
 
-    Profiles are encoded in pieces of PIECE positions; a piece after another begins with the step from that one's last value, so a long sequence is no task's own work. Counts above TOP become TOP."""
-    folder, name = _place(path)
-    n_sequences = lengths.count()
-    size = max(1, -(-n_sequences // parts))
-    grid = lengths.where("n_pos > 0").select("seq_id", "n_pos", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("n_pos") - 1) / PIECE).cast("long"))).alias("piece"))
-    values = prof.select("seq_id", F.expr(f"pos div {PIECE}").alias("piece"), F.struct((F.col("pos") % PIECE).alias("at"), F.least(F.col(column), F.lit(TOP)).alias("v")).alias("x"))
-    pieces = grid.join(values.groupBy("seq_id", "piece").agg(F.collect_list("x").alias("x")), ["seq_id", "piece"], "left")
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pandas as pd
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
 
         for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                v = np.zeros(min(PIECE, r.n_pos - r.piece * PIECE), dtype=np.int64)
-                if r.x is not None:
-                    for x in r.x:
-                        v[x["at"]] = x["v"]
-                rows.append((r.seq_id, r.piece, int(v[0]), int(v[-1]), changes(v)))
-            yield pd.DataFrame(rows, columns=["seq_id", "piece", "first", "last", "steps"])
-
-    done = pieces.mapInPandas(encode, "seq_id long, piece long, first int, last int, steps binary")
+            ends, v = np.arange(len(batch) + 1, dtype=np.int32) * 2, np.minimum(batch.column(2).to_numpy(), TOP).astype("<u2")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends), pa.py_buffer(v)])], names=["seq_id", "pos", "values"])
+
+    rows = prof.select(F.col("seq_id").cast("long"), F.col("pos").cast("long").alias("pos"), F.col(column).cast("long"))
+    write_stretches(rows.mapInArrow(single, "seq_id long, pos long, values binary"), lengths, path, k, parts)
+
+
+def _encode(batches: Iterator[pa.RecordBatch], piece_size: int) -> Iterator[pa.RecordBatch]:
+    """Rows by seq_id, piece and pos; each piece's first row has its length in n and pos -1, the others values of 16 bits from pos on -> each piece's first and last value and steps. One piece is held."""
+    import pyarrow as pa
+
+    fields = [("seq_id", pa.int64()), ("piece", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("steps", pa.binary())]
+    of, v = None, np.zeros(0, dtype=np.int64)
+    done: list[tuple] = []
+    size = 0
+    for batch in batches:
+        seq, piece, pos, n = (batch.column(i).to_numpy() for i in range(4))
+        offsets = np.frombuffer(batch.column(4).buffers()[1], dtype=np.int32)[batch.column(4).offset :][: len(batch) + 1]
+        values = np.frombuffer(batch.column(4).buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]].view("<u2")
+        begin = (offsets - offsets[0]).astype(np.int64) // 2
+        # where each value goes in its piece
+        place = np.arange(len(values)) + np.repeat(pos - piece * piece_size - begin[:-1], np.diff(begin))
+        first = np.concatenate(([0], np.flatnonzero((np.diff(seq) != 0) | (np.diff(piece) != 0)) + 1)) if len(batch) else []
+        for row, end in zip(first, [*first[1:], len(batch)], strict=True):
+            if (seq[row], piece[row]) != of:
+                if of is not None:
+                    done.append((*of, int(v[0]), int(v[-1]), changes(v)))
+                    size += len(done[-1][-1])
+                of, v = (seq[row], piece[row]), np.zeros(n[row], dtype=np.int64)
+            at, own = place[begin[row] : begin[end]], values[begin[row] : begin[end]]
+            inside = (at >= 0) & (at < len(v))
+            v[at[inside]] = own[inside]
+        if size > 1 << 22:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*done, strict=True), fields, strict=True)], names=[f for f, _ in fields])
+            done, size = [], 0
+    if of is not None:
+        done.append((*of, int(v[0]), int(v[-1]), changes(v)))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*done, strict=True), fields, strict=True)], names=[f for f, _ in fields])
+
+
+def write_stretches(values: DataFrame, lengths: DataFrame, path: str, k: int, parts: int = 4) -> None:
+    """Profiles as PATH.prof. values: seq_id, pos and values, the 16-bit numbers (TOP at most) at the positions from pos on; absent positions are 0. lengths: seq_id from 0 without gaps, and n_pos, the positions of each.
+
+    Profiles are encoded in pieces of PIECE positions, which a task takes one after another from sorted rows; a piece after another begins with the step from that one's last value, so a long sequence is no task's own
+    work."""
+    folder, name = _place(path)
+    n_sequences, piece_size = lengths.count(), PIECE
+    size = max(1, -(-n_sequences // parts))
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("n_pos") - 1) / PIECE).cast("long")))
+    grid = lengths.where("n_pos > 0").select("seq_id", piece.alias("piece"), F.lit(-1).cast("long").alias("pos"), "n_pos")
+    grid = grid.select("seq_id", "piece", "pos", F.least(F.lit(PIECE), F.col("n_pos") - F.col("piece") * PIECE).alias("n"), F.lit(b"").alias("values"))
+    last = (F.octet_length("values") / 2).cast("long") + F.col("pos") - 1
+    each = values.select("seq_id", F.explode(F.sequence(F.expr(f"pos div {PIECE}"), F.floor(last / PIECE))).alias("piece"), "pos", F.lit(0).cast("long").alias("n"), "values")
+    done = grid.unionByName(each).repartition("seq_id", "piece").sortWithinPartitions("seq_id", "piece", "pos", F.desc("n"))
+    done = done.mapInArrow(lambda batches: _encode(batches, piece_size), "seq_id long, piece long, first int, last int, steps binary")
     done = done.withColumn("before", F.lag("last").over(Window.partitionBy("seq_id").orderBy("piece")))
     rows = lengths.select("seq_id").join(done, "seq_id", "left").withColumn("part", F.expr(f"cast(seq_id div {size} as int)"))
 
@@ -354,24 +389,50 @@ def fetch(path: str, seq_id: int, k: int | None = None) -> np.ndarray:
     raise ValueError(f"no sequence {seq_id} in the profiles at {path}")
 
 
-def read_profiles(spark: SparkSession, path: str, column: str = "cnt", block: int = 1024) -> DataFrame:
-    """seq_id, pos and counts (zeros too) of all profiles, `block` sequences of a part a task."""
+def read_profiles(spark: SparkSession, path: str, column: str = "cnt", block: int = 1024, ids: DataFrame | None = None) -> DataFrame:
+    """seq_id, pos and counts (zeros too) of all profiles, `block` sequences a task. With ids (seq_id, number) sequences go by these ids in place of their numbers, which the tasks get with their blocks."""
     folder, name = _place(path)
     k, parts = struct.unpack("<ii", _get(f"{path}.prof", 0, 8))
     found = [(p, *_index(folder, name, p, k)) for p in range(1, parts + 1)]
-    ranges = spark.createDataFrame(found, "part int, first long, n long").where("n > 0").select("part", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block))).alias("begin"))
+    kind = ids.schema["seq_id"].dataType if ids is not None else LongType()
+    if ids is None:
+        ranges = spark.createDataFrame(found, "part int, first long, n long").where("n > 0").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(block))).alias("begin"), (F.col("first") + F.col("n")).alias("end"))
+        ranges = ranges.select("begin", F.least(F.col("begin") + block, F.col("end")).alias("end"), F.array().cast("array<long>").alias("ids"))
+    else:
+        each = ids.groupBy(F.expr(f"number div {block}").alias("b")).agg(F.array_sort(F.collect_list(F.struct("number", "seq_id"))).alias("x"))
+        ranges = each.select((F.col("b") * block).alias("begin"), (F.col("b") * block + F.size("x")).alias("end"), F.col("x.seq_id").alias("ids"))
+    n_sequences = sum(n for _, _, n in found)
+
+    def profiles(begin: int, end: int) -> Iterator[np.ndarray]:
+        for part, first, n in found:
+            low, high = max(begin, first) - first, min(end, first + n) - first
+            if low < high:
+                ends = np.frombuffer(_get(f"{folder}/.{name}.pidx.{part}", 20 + 8 * low, 8 * (high - low)), dtype="<i8").tolist()
+                at = struct.unpack("<q", _get(f"{folder}/.{name}.pidx.{part}", 12 + 8 * low, 8))[0] if low else 0
+                for stop in ends:
+                    yield decoded(_get(f"{folder}/.{name}.prof.{part}", at, stop - at))
+                    at = stop
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
+        def rows(of: list, held: list[np.ndarray], of_type: pa.DataType) -> pa.RecordBatch:
+            n = np.array([len(x) for x in held])
+            pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            return pa.RecordBatch.from_arrays([pa.array(of, of_type).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(pos.astype(np.int32)), pa.array(np.concatenate(held))], names=["seq_id", "pos", column])
+
         for batch in batches:
-            for part, first, n, begin in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                rows = min(block, n - begin)
-                ends = np.frombuffer(_get(f"{folder}/.{name}.pidx.{part}", 20 + 8 * begin, 8 * rows), dtype="<i8").tolist()
-                at = struct.unpack("<q", _get(f"{folder}/.{name}.pidx.{part}", 12 + 8 * begin, 8))[0] if begin else 0
-                for i, end in enumerate(ends):
-                    values = decoded(_get(f"{folder}/.{name}.prof.{part}", at, end - at))
-                    at = end
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), first + begin + i)), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["seq_id", "pos", column])
-
-    return ranges.repartition(max(1, min(10_000, sum(-(-n // block) for _, _, n in found))), "part", "begin").mapInArrow(read, f"seq_id long, pos int, {column} long")
+            of_type = batch.column(2).type.value_type
+            for begin, end, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                of, held, size = [], [], 0
+                for number, values in enumerate(profiles(begin, end), begin):
+                    of.append(own[number - begin] if own else number)
+                    held.append(values)
+                    if (size := size + len(values)) >= ROWS:
+                        yield rows(of, held, of_type)
+                        of, held, size = [], [], 0
+                if held:
+                    yield rows(of, held, of_type)
+
+    tasks = max(1, min(10_000, -(-n_sequences // block) + parts))
+    return ranges.repartition(tasks, "begin").mapInArrow(read, StructType([StructField("seq_id", kind), StructField("pos", IntegerType()), StructField(column, LongType())]))

@@ -58,3 +58,18 @@ def test_profiles_of_sequences(spark, k):
 @pytest.mark.parametrize("name", ["relative_profile", "scaffold_qv", "unsupported_bed", "hap_blob", "hap_sites", "assembly_qv", "blob_limit"])
 def test_no_position_is_joined(spark, sf_dir, name):
     assert "Join" not in Q[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_piece_is_encoded_by_itself(spark, tmp_path):
+    """Positions of a piece come as sorted rows, not as one list: a row of a list for each of thousands of pieces in a batch took an executor's memory."""
+    from kspec.sources import binary
+
+    rows = [(s, 16384 * p + at, 1 + (at + s) % 7) for s in range(3) for p in range(2) for at in range(0, 16384, 4096)]
+    prof, lengths = spark.createDataFrame(rows, "seq_id long, pos long, v long"), spark.createDataFrame([(s, 32000) for s in range(3)], "seq_id long, n_pos long")
+    binary.write_profiles(prof, lengths, str(tmp_path / "p"), 5, "v", parts=2)
+    ids = spark.createDataFrame([(10 * s, s) for s in range(3)], "seq_id long, number long")
+    got = {(r.seq_id, r.pos): r.v for r in binary.read_profiles(spark, str(tmp_path / "p"), "v", block=2, ids=ids).where("v > 0").collect()}
+    assert got == {(10 * s, pos): v for s, pos, v in rows if pos < 32000}
+    held = []
+    batches = (held.append(i) or pa.RecordBatch.from_arrays([pa.array([i] * 2), pa.array([0] * 2), pa.array([-1, 0]), pa.array([16384, 0]), pa.array([b"", b"\1\0" * 4])], names=["seq_id", "piece", "pos", "n", "values"]) for i in range(3))
+    assert [b.to_pylist() for b in binary._encode(batches, 16384)][0][0]["first"] == 1
