@@ -60,6 +60,17 @@ def test_no_position_is_joined(spark, sf_dir, name):
     assert "Join" not in Q[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_sets_of_joint_counts_are_filters(spark, sf_dir):
+    c = _counts(spark, sf_dir)
+    joint = {r: _table(c, r) for r in ROLES}
+    plain = {r: KmerTable(t.df, t.k) for r, t in joint.items()}
+    for make in (lambda t: t["mat"].minus(t["pat"]), lambda t: t["child"].intersect(t["asm1"].between(2)), lambda t: t["asm1"].between(1, 3).intersect(t["asm2"], "sum"), lambda t: t["asm1"].between(2).union(t["asm2"])):
+        got, want = make(joint).df, make(plain).df
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("MapInArrow") < want._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not got.isEmpty()
+
+
 def test_a_piece_is_encoded_by_itself(spark, tmp_path):
     """Positions of a piece come as sorted rows, not as one list: a row of a list for each of thousands of pieces in a batch took an executor's memory."""
     from kspec.sources import binary
