@@ -71,6 +71,12 @@ def test_sets_of_joint_counts_are_filters(spark, sf_dir):
         assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not got.isEmpty()
 
 
+@pytest.mark.parametrize("name", ["block_stats", "block_blob"])
+def test_counts_are_made_once(spark, sf_dir, name):
+    """What is read twice is kept: nothing but the kept files is in the plan."""
+    assert "MapInArrow" not in Q[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_piece_is_encoded_by_itself(spark, tmp_path):
     """Positions of a piece come as sorted rows, not as one list: a row of a list for each of thousands of pieces in a batch took an executor's memory."""
     from kspec.sources import binary
