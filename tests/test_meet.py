@@ -71,7 +71,7 @@ def test_sets_of_joint_counts_are_filters(spark, sf_dir):
         assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not got.isEmpty()
 
 
-@pytest.mark.parametrize("name", ["block_stats", "block_blob", "inherited_pat", "hapmers_pat"])
+@pytest.mark.parametrize("name", ["stacked_peak", "axis_limits", "plot_limits", "inherited_pat", "hapmers_pat", "block_stats", "block_blob"])
 def test_counts_are_made_once(spark, sf_dir, name):
     """What is read twice is kept: nothing but the kept files is in the plan."""
     assert "MapInArrow" not in Q[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
