@@ -11,18 +11,23 @@ Numbers are little-endian. Fixed values of the formats:
 from __future__ import annotations
 
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from kspec.functions.kmer import MAX_DOUBLE, MAX_PACKED, key_array, key_type
+from kspec.functions import minimizer
+from kspec.functions import places as by_place
+from kspec.functions.kmer import GROUP, MAX_DOUBLE, MAX_PACKED, key_array, key_type
+from kspec.operators import profile
 from kspec.operators.histogram import rerange
 from kspec.operators.table import KmerTable
+from kspec.sources.shared import kept_at
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -32,6 +37,8 @@ if TYPE_CHECKING:
 TOP = 0x7FFF
 #: Rows that are read or written together; positions of a piece of a profile.
 ROWS, PIECE = 1 << 18, 1 << 14
+#: Bytes of neighbouring profiles that are read together.
+READ = 1 << 22
 
 
 def _place(path: str) -> tuple[str, str]:
@@ -307,6 +314,35 @@ def _encode(batches: Iterator[pa.RecordBatch], piece_size: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*done, strict=True), fields, strict=True)], names=[f for f, _ in fields])
 
 
+class _Part:
+    """A part of profiles that a task writes, sequence after sequence, under another name until it is whole."""
+
+    def __init__(self, folder: str, name: str, k: int, part: int, first: int) -> None:
+        from pyspark import TaskContext
+
+        self.k, self.part, self.first, self.attempt = k, part, first, TaskContext.get().taskAttemptId()
+        self.index, (self.system, self.target) = f"{folder}/.{name}.pidx.{part + 1}", _fs(f"{folder}/.{name}.prof.{part + 1}")
+        self.out = self.system.open_output_stream(f"{self.target}.{self.attempt}.draft")
+        self.last, self.ends, self.size = None, [], 0
+
+    def sequence(self, seq_id: int) -> bool:
+        """What is put from here on is this sequence's. Whether it is another than before."""
+        if new := seq_id != self.last:
+            self.last = seq_id
+            self.ends.append(self.size)
+        return new
+
+    def put(self, data: bytes) -> None:
+        self.out.write(data)
+        self.size += len(data)
+        self.ends[-1] = self.size
+
+    def close(self) -> None:
+        self.out.close()
+        self.system.move(f"{self.target}.{self.attempt}.draft", self.target)
+        _put(self.index, struct.pack("<iqq", self.k, self.first, len(self.ends)) + np.array(self.ends, dtype="<i8").tobytes(), self.attempt)
+
+
 def write_stretches(values: DataFrame, lengths: DataFrame, path: str, k: int, parts: int = 4) -> None:
     """Profiles as PATH.prof. values: seq_id, pos and values, the 16-bit numbers (TOP at most) at the positions from pos on; absent positions are 0. lengths: seq_id from 0 without gaps, and n_pos, the positions of each.
 
@@ -328,36 +364,20 @@ def write_stretches(values: DataFrame, lengths: DataFrame, path: str, k: int, pa
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows by part, sequence and piece: each part is one file of profiles and one of their ends."""
         import pandas as pd
-        from pyspark import TaskContext
-
-        attempt = TaskContext.get().taskAttemptId()
-        part, first, last, ends, at, out = None, 0, -1, [], 0, None
-
-        def close() -> None:
-            out.close()
-            system, draft = _fs(f"{folder}/.{name}.prof.{part + 1}")
-            system.move(f"{draft}.{attempt}.draft", draft)
-            _put(f"{folder}/.{name}.pidx.{part + 1}", struct.pack("<iqq", k, first, len(ends)) + np.array(ends, dtype="<i8").tobytes(), attempt)
 
+        out = None
         for batch in batches:
             for r in batch.itertuples():
-                if r.part != part:
-                    if part is not None:
-                        close()
-                    part, first, last, ends, at = r.part, r.seq_id, -1, [], 0
-                    system, target = _fs(f"{folder}/.{name}.prof.{part + 1}")
-                    out = system.open_output_stream(f"{target}.{attempt}.draft")
-                if r.seq_id != last:
-                    ends.append(at)
-                    last = r.seq_id
+                if out is None or r.part != out.part:
+                    if out:
+                        out.close()
+                    out = _Part(folder, name, k, r.part, r.seq_id)
+                out.sequence(r.seq_id)
                 if r.steps is not None:
-                    data = (_first(int(r.first)) if r.before is None or r.before != r.before else _change(int(r.before), int(r.first))) + bytes(r.steps)
-                    out.write(data)
-                    at += len(data)
-                    ends[-1] = at
-        if part is not None:
-            close()
-            yield pd.DataFrame({"part": [part]})
+                    out.put((_first(int(r.first)) if r.before is None or r.before != r.before else _change(int(r.before), int(r.first))) + bytes(r.steps))
+        if out:
+            out.close()
+            yield pd.DataFrame({"part": [out.part]})
 
     _fs(folder)[0].create_dir(_fs(folder)[1], recursive=True)
     n_parts = -(-n_sequences // size)
@@ -366,6 +386,98 @@ def write_stretches(values: DataFrame, lengths: DataFrame, path: str, k: int, pa
     _put(f"{path}.prof", struct.pack("<ii", k, n_parts))
 
 
+def _packed_pieces(k: int, firsts: list[int]):
+    """seq_id, piece and its bases as letters -> the part that the sequence goes to (the last whose first id isn't greater), seq_id, piece, how many bases, they in two bits each, and where others are between them."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            part = (np.searchsorted(np.array(firsts), ids, side="right") - 1).astype(np.int32)
+            for rows, begin, code, broken in by_place.joined(texts):
+                n = np.diff(np.append(begin, len(code) + 1)) - 1
+                data, n_bytes = minimizer.packed(code, begin, n)
+                other = np.flatnonzero(np.diff(broken))
+                of = np.searchsorted(begin, other, side="right") - 1
+                own = other - begin[of] < n[of]  # the breaks that join() put between pieces are none of theirs
+                breaks, of = (other - begin[of])[own].astype(np.uint16), of[own]
+                ends = 2 * np.cumsum(np.bincount(of, minlength=len(rows)))
+                arrays = [pa.array(part[rows]), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(n.astype(np.int32)), minimizer.binary_column(data, np.cumsum(n_bytes)), minimizer.binary_column(breaks.view(np.uint8), ends)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["part", "seq_id", "piece", "n", "bases", "breaks"])
+
+    return emit
+
+
+def _values(batch: pa.RecordBatch, k: int, table: by_place.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row's number, of rows of _packed_pieces, and the counts at its positions, GROUP bases at a time."""
+    n_bases = batch.column(3).to_numpy().astype(np.int64)
+    data, at_data = minimizer.flat(batch.column(4), np.uint8)
+    breaks, at_breaks = minimizer.flat(batch.column(5), np.uint16)
+    for rows in np.split(np.arange(len(n_bases)), np.flatnonzero(np.diff(np.cumsum(n_bases) // GROUP)) + 1):
+        if not len(rows):
+            continue
+        low, high = rows[0], rows[-1] + 1
+        code = (data[at_data[low] : at_data[high], None] >> np.array([6, 4, 2, 0], dtype=np.uint8) & 3).reshape(-1)
+        begin = 4 * (at_data[low:high] - at_data[low])
+        other = np.zeros(len(code) + 1, dtype=np.int64)
+        other[breaks[at_breaks[low] : at_breaks[high]] + np.repeat(begin, np.diff(at_breaks[low : high + 1])) + 1] = 1
+        broken = np.cumsum(other)
+        n = np.maximum(n_bases[low:high] - (k - 1), 0)
+        at = minimizer.ranges(begin, n)
+        values = np.zeros(len(at), dtype=np.int64)
+        valid = np.flatnonzero(broken[at + k] == broken[at]) if len(at) else at
+        if len(valid):
+            values[valid] = np.minimum(table.at(by_place.places_at(code, k)[at[valid]])[:, 0], TOP)
+        yield from zip(rows.tolist(), np.split(values, np.cumsum(n)[:-1]), strict=True)
+
+
+def write_sequences(sequences: DataFrame, numbers: DataFrame, counts: DataFrame, path: str, k: int, column: str, parts: int = 4) -> None:
+    """Profiles of sequences (seq_id, seq) by a column of counts as PATH.prof, positions without a k-mer 0. numbers: the number, from 0 without gaps, of each seq_id, in the order of these; others are left out.
+
+    For short k-mers bases travel once, two bits each, to the task that writes their part, which looks the counts up and encodes them a piece of PIECE positions at a time: no value is shuffled or sorted."""
+    size = max(1, -(-numbers.count() // parts))
+    if not by_place.fits(k, 1):
+        numbered = sequences.join(numbers, "seq_id").select(F.col("number").alias("seq_id"), "seq")
+        lengths = numbered.select("seq_id", F.greatest(F.length("seq") - (k - 1), F.lit(0)).cast("long").alias("n_pos"))
+        write_stretches(profile.stretched(numbered, counts, k, column, TOP), lengths, path, k, parts)
+        return
+    folder, name = _place(path)
+    firsts = sorted(r.seq_id for r in numbers.where(F.col("number") % size == 0).collect())  # a row a part
+    uri = kept_at(counts.select("kmer", F.col(column).cast("long").alias(column)), "counts")
+    seq, piece = F.coalesce("seq", F.lit("")), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.octet_length("seq") - k) / F.lit(PIECE)).cast("int"))))
+    pieces = sequences.where("seq_id is not null").select("seq_id", F.encode(seq, "UTF-8").alias("raw"), piece.alias("piece"))
+    pieces = pieces.select("seq_id", "piece", F.substring("raw", F.col("piece") * PIECE + 1, F.lit(PIECE + k - 1)).alias("text"))
+    kind = sequences.schema["seq_id"].dataType
+    schema = StructType([StructField("part", IntegerType()), StructField("seq_id", kind), StructField("piece", IntegerType()), StructField("n", IntegerType()), StructField("bases", BinaryType()), StructField("breaks", BinaryType())])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by part, sequence and piece: each part is one file of profiles and one of their ends."""
+        import pyarrow as pa
+
+        out, before = None, 0
+        for batch in batches:
+            part, ids = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for row, values in _values(batch, k, by_place.table_of(uri, k, [column])):
+                if out is None or part[row] != out.part:
+                    if out:
+                        out.close()
+                    out = _Part(folder, name, k, int(part[row]), int(part[row]) * size)
+                new = out.sequence(ids[row])
+                if len(values):
+                    out.put((_first(int(values[0])) if new else _change(before, int(values[0]))) + changes(values))
+                    before = int(values[-1])
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([out.part], pa.int32())], names=["part"])
+
+    _fs(folder)[0].create_dir(_fs(folder)[1], recursive=True)
+    if firsts:
+        dealt = pieces.mapInArrow(_packed_pieces(k, firsts), schema).repartitionById(len(firsts), "part")
+        dealt.sortWithinPartitions("part", "seq_id", "piece").mapInArrow(write, "part int").count()
+    _put(f"{path}.prof", struct.pack("<ii", k, len(firsts)))
+
+
 def _index(folder: str, name: str, part: int, k: int) -> tuple[int, int]:
     own, first, n = struct.unpack("<iqq", _get(f"{folder}/.{name}.pidx.{part}", 0, 20))
     if own != k:
@@ -409,9 +521,14 @@ def read_profiles(spark: SparkSession, path: str, column: str = "cnt", block: in
             if low < high:
                 ends = np.frombuffer(_get(f"{folder}/.{name}.pidx.{part}", 20 + 8 * low, 8 * (high - low)), dtype="<i8").tolist()
                 at = struct.unpack("<q", _get(f"{folder}/.{name}.pidx.{part}", 12 + 8 * low, 8))[0] if low else 0
-                for stop in ends:
-                    yield decoded(_get(f"{folder}/.{name}.prof.{part}", at, stop - at))
-                    at = stop
+                i = 0
+                while i < len(ends):  # neighbours are read together, one profile at least
+                    upto = max(bisect_right(ends, at + READ), i + 1)
+                    data, begun = _get(f"{folder}/.{name}.prof.{part}", at, ends[upto - 1] - at), at
+                    for stop in ends[i:upto]:
+                        yield decoded(data[at - begun : stop - begun])
+                        at = stop
+                    i = upto
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
