@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from kspec.functions import places
+from kspec.functions import minimizer, places
 from kspec.operators import profile
 from kspec.operators.table import joint_counts
 from kspec.plans.catalog import K, Q, ROLES, _both, _counts
@@ -148,3 +148,11 @@ def test_long_kmers_go_by_minimizers(spark, tmp_path):
     df = spark.createDataFrame([(4, "acgttgcaacgtacgtacgatcgatcgatcgactagc"), (2, "ac")], "seq_id long, seq string")
     binary.write_sequences(df, in_sequence(df.select("seq_id")), joint_counts(df, 21, {"cnt": "true"}), str(tmp_path / "p"), 21, "cnt", parts=2)
     assert binary.fetch(str(tmp_path / "p"), 0, 21).tolist() == [] and binary.fetch(str(tmp_path / "p"), 1, 21).tolist() == [1] * 17
+
+
+@pytest.mark.parametrize("name", ["relative_profile", "hap_blob", "binary_profiles", "scaffold_qv", "assembly_qv", "unsupported_bed", "hap_sites"])
+def test_queries_count_what_they_need(spark, sf_dir, monkeypatch, name):
+    """By place, so that each k-mer is sent once a task; six roles at once went by minimizers, as stretches of all windows."""
+    monkeypatch.setattr(minimizer, "_spread", None)
+    monkeypatch.setattr(minimizer, "_placed", None)
+    assert not Q[name](spark, sf_dir).isEmpty()
