@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from kspec.functions import minimizer
 from kspec.functions import places as by_place
-from kspec.functions.kmer import GROUP, MAX_DOUBLE, MAX_PACKED, key_array, key_type
+from kspec.functions.kmer import MAX_DOUBLE, MAX_PACKED, key_array, key_type, sliced
 from kspec.operators import profile
 from kspec.operators.histogram import rerange
 from kspec.operators.table import KmerTable
@@ -392,7 +392,7 @@ def _packed_pieces(k: int, firsts: list[int]):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = batch.column(0).to_numpy(), batch.column(2).to_pylist()
             part = (np.searchsorted(np.array(firsts), ids, side="right") - 1).astype(np.int32)
             for rows, begin, code, broken in by_place.joined(texts):
@@ -410,11 +410,11 @@ def _packed_pieces(k: int, firsts: list[int]):
 
 
 def _values(batch: pa.RecordBatch, k: int, table: by_place.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """Each row's number, of rows of _packed_pieces, and the counts at its positions, GROUP bases at a time."""
+    """Each row's number, of rows of _packed_pieces, and the counts at its positions, so many bases at a time."""
     n_bases = batch.column(3).to_numpy().astype(np.int64)
     data, at_data = minimizer.flat(batch.column(4), np.uint8)
     breaks, at_breaks = minimizer.flat(batch.column(5), np.uint16)
-    for rows in np.split(np.arange(len(n_bases)), np.flatnonzero(np.diff(np.cumsum(n_bases) // GROUP)) + 1):
+    for rows in np.split(np.arange(len(n_bases)), np.flatnonzero(np.diff(np.cumsum(n_bases) // by_place.LOOKED_UP)) + 1):
         if not len(rows):
             continue
         low, high = rows[0], rows[-1] + 1

@@ -111,7 +111,7 @@ def test_many_labels_go_by_minimizers(spark):
 def test_profiles_from_sequences(spark, tmp_path, monkeypatch, k):
     """Files from packed bases: empty, short and long sequences, breaks at the edges of pieces, counts above the greatest, ids with gaps, a null id left out; profiles read one by one and together."""
     monkeypatch.setattr(binary, "PIECE", 64)
-    monkeypatch.setattr(binary, "GROUP", 300)
+    monkeypatch.setattr(places, "LOOKED_UP", 300)
     monkeypatch.setattr(binary, "READ", 50)
     rng = random.Random(k)
     texts = ["", None, "acg", "a" * 64 + "-" + "c" * 500, "-" * 90, *["".join(rng.choice("acgt" if rng.random() > 0.03 else "-") for _ in range(n)) for n in (k - 1, k, 63 + k, 64 + k, 1000, 64, 65, 300)]]
